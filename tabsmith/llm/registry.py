@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import linedup, media, mixing, shards
+from tabsmith.llm import langid, linedup, media, mixing, near, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op2_media": media.op2_media,
         "op3_mix": mixing.op3_mix,
+        "op4_lang": langid.op4_lang,
         "op5_lines": linedup.op5_lines,
+        "op7_near": near.op7_near,
         "op10_shard": shards.op10_shard,
     }
 
