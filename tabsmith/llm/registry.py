@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import langid, linedup, media, mixing, near, shards
+from tabsmith.llm import langid, license, linedup, media, mixing, near, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,9 @@ def queries() -> dict[str, Query]:
         "op3_mix": mixing.op3_mix,
         "op4_lang": langid.op4_lang,
         "op5_lines": linedup.op5_lines,
+        "op6_warc": warc.op6_warc,
         "op7_near": near.op7_near,
+        "op8_license": license.op8_license,
         "op10_shard": shards.op10_shard,
     }
 
