@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import langid, license, linedup, media, mixing, near, shards, warc
+from tabsmith.llm import langid, license, linedup, media, mixing, near, passages, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op6_warc": warc.op6_warc,
         "op7_near": near.op7_near,
         "op8_license": license.op8_license,
+        "op9_passages": passages.op9_passages,
         "op10_shard": shards.op10_shard,
     }
 
