@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import langid, license, linedup, media, mixing, near, passages, shards, warc
+from tabsmith.llm import decontam, langid, license, linedup, media, mixing, near, passages, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_leaks": decontam.op1_leaks,
         "op2_media": media.op2_media,
         "op3_mix": mixing.op3_mix,
         "op4_lang": langid.op4_lang,
