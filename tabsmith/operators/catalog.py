@@ -1,0 +1,213 @@
+"""Statistics, digests, snapshots and versions."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabsmith.errors import WorkbenchError
+from tabsmith.operators.dataset import NUMERIC
+from tabsmith.operators.features import finite_double
+from tabsmith.operators.order import global_index
+
+SECRET = r"(?i)password|token|secret|authorization|credential"
+REGISTRY = "snapshot_id string, source string, format string, raw_digest string, logical_digest string, rows long, path string, version int"
+
+
+def table_stats(df: DataFrame) -> DataFrame:
+    """A row per column: ``column_name, type, row_count, nulls, nullable, min, max, mean`` over finite numbers.
+    One aggregation for all columns."""
+    aggs, kinds = [F.count(F.lit(1)).alias("n")], []
+    for k, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        aggs.append(F.count_if(c.isNull()).alias(f"u{k}"))
+        numeric = isinstance(f.dataType, NUMERIC)
+        kinds.append((f.name, f.dataType.simpleString(), numeric))
+        if numeric:
+            v = finite_double(c)
+            aggs += [F.min(v).alias(f"a{k}"), F.max(v).alias(f"b{k}"), F.avg(v).alias(f"m{k}")]
+    none = F.lit(None).cast("double")
+    rows = [
+        F.struct(
+            F.lit(name).alias("column_name"),
+            F.lit(kind).alias("type"),
+            F.col("n").alias("row_count"),
+            F.col(f"u{k}").alias("nulls"),
+            (F.col(f"u{k}") > 0).alias("nullable"),
+            (F.col(f"a{k}") if numeric else none).alias("min"),
+            (F.col(f"b{k}") if numeric else none).alias("max"),
+            (F.col(f"m{k}") if numeric else none).alias("mean"),
+        )
+        for k, (name, kind, numeric) in enumerate(kinds)
+    ]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def key_set(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys).distinct().orderBy(*keys)
+
+
+def canonical_row(df: DataFrame) -> Column:
+    """A row as JSON, the same whatever format it came from: numbers as doubles, times as UTC text."""
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, NUMERIC):
+            c = c.cast("double")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        elif isinstance(f.dataType, T.DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
+        cells.append(c.alias(f.name))
+    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+
+
+def block_digests(df: DataFrame, order: Sequence[str | Column] | None = None, *, ordinal: str | None = None, block: int = 4096) -> DataFrame:
+    """``block, digest``: SHA-256 of the row digests of ``block`` consecutive rows. The rows are numbered by
+    ``ordinal`` or, without one, in ``order``."""
+    body = canonical_row(df.drop(ordinal) if ordinal else df)
+    at = df if ordinal else global_index(df, order or df.columns, "__ordinal")
+    place = F.col(ordinal or "__ordinal")
+    rows = at.select(F.floor(place / block).alias("block"), place.alias("p"), F.sha2(body, 256).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "")
+    return rows.groupBy("block").agg(F.sha2(joined, 256).alias("digest"))
+
+
+def logical_digest(df: DataFrame, order: Sequence[str | Column] | None = None, *, ordinal: str | None = None, block: int = 4096, fan: int = 4096) -> str:
+    """SHA-256 of column names and rows in order: digests of blocks, then of blocks of digests, until one is left."""
+    names = [c for c in df.columns if c != ordinal]
+    now = block_digests(df, order, ordinal=ordinal, block=block)
+    n = now.count()
+    while n > fan:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), "")
+        now = now.groupBy(F.floor(F.col("block") / fan).alias("up")).agg(F.sha2(joined, 256).alias("digest")).withColumnRenamed("up", "block")
+        n = -(-n // fan)
+    parts = [r["digest"] for r in now.orderBy("block").collect()]  # at most ``fan``
+    return hashlib.sha256((json.dumps(names) + "".join(parts)).encode()).hexdigest()
+
+
+def raw_digest(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, sha256`` of each file."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def snapshot_id(source_format: str, digest: str, types: dict[str, str]) -> str:
+    return hashlib.sha256(json.dumps({"format": source_format, "digest": digest, "types": types}, sort_keys=True).encode()).hexdigest()
+
+
+def _registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def snapshots(spark: SparkSession, root: str) -> DataFrame:
+    return _registry(spark, f"{root}/registry", REGISTRY)
+
+
+def check_source_name(name: str, taken: Sequence[str], *, replacing: bool = False) -> None:
+    if not name or not name.replace("_", "a").isalnum() or name[0].isdigit() or name.startswith("__"):
+        raise WorkbenchError("NAME_CONFLICT", "not a usable table name", name=name)
+    if not replacing and name.lower() in {t.lower() for t in taken}:
+        raise WorkbenchError("NAME_CONFLICT", "the name is taken", name=name)
+
+
+def save_snapshot(df: DataFrame, root: str, source: str, source_format: str, order: Sequence[str | Column] | None = None, *, snapshot: str | None = None) -> str:
+    """Writes an immutable snapshot and registers it as the source's next version. Equal content under the same id is
+    a no-op, other content an error. It can be seen once its registry row is written, after the data."""
+    spark = df.sparkSession
+    if df.isEmpty():
+        raise WorkbenchError("EMPTY_INPUT", "the source has no rows", source=source)
+    numbered = global_index(df, order or df.columns, "__ordinal")
+    digest = logical_digest(numbered, ordinal="__ordinal")
+    sid = snapshot or snapshot_id(source_format, digest, dict(df.dtypes))
+    known = snapshots(spark, root)
+    same = known.where(F.col("snapshot_id") == sid).select("logical_digest").head(1)
+    if same:
+        if same[0]["logical_digest"] != digest:
+            raise WorkbenchError("SNAPSHOT_CORRUPT", "a snapshot of that id has other content", snapshot_id=sid)
+        return sid
+    path = f"{root}/data/snapshot_id={sid}"
+    numbered.write.mode("overwrite").parquet(path)
+    last = known.where(F.col("source") == source).agg(F.max("version").alias("v")).first()["v"] or 0
+    row = [(sid, source, source_format, None, digest, spark.read.parquet(path).count(), path, last + 1)]
+    spark.createDataFrame(row, REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
+    return sid
+
+
+def read_snapshot(spark: SparkSession, root: str, sid: str, *, verify: bool = False) -> DataFrame | None:
+    """The snapshot's rows with their ordinal, or None if it is unknown or, when verified, not what was written."""
+    row = snapshots(spark, root).where(F.col("snapshot_id") == sid).head(1)
+    if not row:
+        return None
+    try:
+        df = spark.read.parquet(row[0]["path"])
+    except AnalysisException:
+        return None
+    if verify and (df.count() != row[0]["rows"] or logical_digest(df, ordinal="__ordinal") != row[0]["logical_digest"]):
+        return None
+    return df
+
+
+def list_versions(registry: DataFrame) -> DataFrame:
+    return registry.orderBy("source", "version")
+
+
+def next_versions(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """``source, snapshot_id`` (``new``, one a source) with the version each is registered as."""
+    last = registry.groupBy("source").agg(F.max("version").alias("v"))
+    return new.join(last, "source", "left").withColumn("version", F.coalesce("v", F.lit(0)) + 1).drop("v")
+
+
+def reference_counts(*users: DataFrame) -> DataFrame:
+    """``snapshot_id, references`` over tables of users, a row for each use."""
+    x = users[0].select("snapshot_id")
+    for u in users[1:]:
+        x = x.union(u.select("snapshot_id"))
+    return x.where("snapshot_id is not null").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("references"))
+
+
+def collect_unreferenced(registry: DataFrame, references: DataFrame) -> DataFrame:
+    """Versions that nothing refers to and that aren't their source's latest."""
+    last = registry.groupBy("source").agg(F.max("version").alias("version"))
+    return registry.join(references.where("references > 0"), "snapshot_id", "left_anti").join(last, ["source", "version"], "left_anti")
+
+
+def save_experiments(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new`` (``id, revision, body``) to append; raises if one is known with another body."""
+    both = new.join(known.select("id", "revision", F.col("body").alias("_body")), ["id", "revision"], "left")
+    if bad := both.where("_body is not null and _body <> body").head(1):
+        raise WorkbenchError("SNAPSHOT_CORRUPT", "the revision is known with another content", id=bad[0]["id"], revision=bad[0]["revision"])
+    return both.where("_body is null").drop("_body")
+
+
+def latest_revisions(experiments: DataFrame) -> DataFrame:
+    return experiments.groupBy("id").agg(F.max("revision").alias("revision"), F.max_by("body", "revision").alias("body"))
+
+
+def strip_credentials(params: Column) -> Column:
+    """A map without the keys that name secrets."""
+    return F.map_filter(params, lambda k, v: ~k.rlike(SECRET))
+
+
+def restore_check(experiments: DataFrame, registry: DataFrame, corrupt: DataFrame) -> DataFrame:
+    """``id, snapshots`` (array), known snapshots, and ids of corrupt ones → ``id, status, missing``: restored,
+    needs-data (none is named), missing or corrupt, with the snapshots that are not there."""
+    each = experiments.select("id", F.explode_outer("snapshots").alias("snapshot_id"))
+    x = each.join(registry.select("snapshot_id", F.lit(True).alias("there")).distinct(), "snapshot_id", "left")
+    x = x.join(corrupt.select("snapshot_id", F.lit(True).alias("broken")).distinct(), "snapshot_id", "left")
+    gone = F.col("snapshot_id").isNotNull() & F.col("there").isNull()
+    out = x.groupBy("id").agg(
+        F.count("snapshot_id").alias("n"),
+        F.array_sort(F.collect_set(F.when(gone, F.col("snapshot_id")))).alias("missing"),
+        F.coalesce(F.bool_or("broken"), F.lit(False)).alias("broken"),
+    )
+    status = F.when(F.col("n") == 0, "needs-data").when(F.size("missing") > 0, "missing").when(F.col("broken"), "corrupt").otherwise("restored")
+    return out.select("id", status.alias("status"), "missing")

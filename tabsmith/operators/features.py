@@ -28,6 +28,11 @@ def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & ~is_inf(c)
 
 
+def finite_double(c: Column) -> Column:
+    v = c.cast("double")
+    return F.when(is_finite(v), v)
+
+
 def as_double(c: str) -> Column:
     return F.col(c).cast("double")
 
