@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,14 +16,25 @@ from tabsmith.errors import WorkbenchError
 TAIL_MEAN = math.sqrt(2 / math.pi) / 0.6744897501960817
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, and not again wherever a lambda uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def total_of(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Probabilities of an array of logits; -inf has none. Arrays with NaN, +inf or without mass give null."""
-    x = F.transform(logits, lambda v: v.cast("double") / temperature)
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    bad = F.isnan(top) | (F.abs(top) == float("inf")) | top.isNull()
-    return F.when(~bad, F.transform(e, lambda v: v / total))
+
+    def scaled(x: Column) -> Column:
+        return let(F.array_max(x), lambda top: F.when(~F.isnan(top) & (F.abs(top) != float("inf")), raised(x, top)))
+
+    def raised(x: Column, top: Column) -> Column:
+        return let(F.transform(x, lambda v: F.exp(v - top)), lambda e: let(total_of(e), lambda s: F.transform(e, lambda v: v / s)))
+
+    return let(F.transform(logits, lambda v: v.cast("double") / temperature), scaled)
 
 
 def bucket_means(borders: Sequence[float], tails: bool = True) -> np.ndarray:

@@ -230,7 +230,8 @@ def h01(spark, d):
 
 @register("h02_rebin", f"SELECT vec_id, round(list_sum(p[1:16]), 8) AS a, round(list_sum(p[17:32]), 8) AS b, round(list_sum(p[33:64]), 8) AS c FROM ({P})")
 def h02(spark, d):
-    out = probs(spark, d).select("vec_id", dist.rebin(F.col("p"), BORDERS, [0.0, 16.0, 32.0, 64.0]).alias("r"))
+    # a Python UDF can not take an expression with lambdas
+    out = stored(probs(spark, d), "probs").select("vec_id", dist.rebin(F.col("p"), BORDERS, [0.0, 16.0, 32.0, 64.0]).alias("r"))
     return out.select("vec_id", *[F.round(F.get("r", F.lit(k)), 8).alias(n) for k, n in enumerate("abc")])
 
 
@@ -247,11 +248,11 @@ CDF = f"SELECT vec_id, k, p[k] AS m, list_sum(p[1:k]) AS c FROM (SELECT vec_id,
 
 @register(
     "h04_decode_quantiles",
-    f"""SELECT vec_id, round(min((k - 1) + (0.25 - (c - m)) / m) FILTER (WHERE c >= 0.25), 6) AS q25, round(min((k - 1) + (0.75 - (c - m)) / m) FILTER (WHERE c >= 0.75), 6) AS q75
-    FROM (SELECT * FROM ({CDF}) QUALIFY c >= 0.25 AND c - m < 0.25 OR c >= 0.75 AND c - m < 0.75) GROUP BY vec_id""",
+    f"""SELECT vec_id, round(min((k - 1) + (0.25 - (c - m)) / m) FILTER (WHERE c >= 0.25 AND c - m < 0.25), 6) AS q25, round(min((k - 1) + (0.75 - (c - m)) / m) FILTER (WHERE c >= 0.75 AND c - m < 0.75), 6) AS q75
+    FROM (SELECT * FROM ({CDF}) WHERE c >= 0.25 AND c - m < 0.25 OR c >= 0.75 AND c - m < 0.75) GROUP BY vec_id""",
 )
 def h04(spark, d):
-    out = probs(spark, d).select("vec_id", dist.decode_quantiles(F.col("p"), BORDERS).alias("q"))
+    out = stored(probs(spark, d), "probs").select("vec_id", dist.decode_quantiles(F.col("p"), BORDERS).alias("q"))
     return out.select("vec_id", F.round(F.get("q", F.lit(0)), 6).alias("q25"), F.round(F.get("q", F.lit(1)), 6).alias("q75"))
 
 

@@ -25,7 +25,7 @@ def _columns(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Null as ``\\N``, empty text quoted."""
-    _columns(df).write.csv(path, header=True, nullValue="\\N", emptyValue='""', quote='"', escape='"', timestampNTZFormat=STAMP, timestampFormat=STAMP, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    _columns(df).write.option("timestampNTZFormat", STAMP).csv(path, header=True, nullValue="\\N", emptyValue='""', quote='"', escape='"', timestampFormat=STAMP, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv_quoted(df: DataFrame, path: str) -> None:
