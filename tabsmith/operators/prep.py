@@ -9,7 +9,7 @@ import hashlib
 import json
 import math
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -196,7 +196,7 @@ def transform_features(df: DataFrame, state: Fitted, *, row_id: str | None = Non
     in which repeated rows have fingerprints of their own."""
     if gone := [f for f in state.features if f not in df.columns]:
         raise WorkbenchError("SCHEMA_MISMATCH", "features are missing", features=gone)
-    plain = [c for c in state.used if c != FINGERPRINT]
+    plain = [c for c in state.features if c in state.used]  # in the order in which they were fingerprinted
     if state.fingerprint:
         df = row_fingerprint_distinct(df, plain, state.salt, row_id) if row_id else row_fingerprint(df, plain, state.salt)
     return df.select(*keep, *[standardize(soft_clip(as_double(c), *state.bounds[c]), *state.scales[c]).cast("float").alias(c) for c in state.used])
@@ -241,5 +241,3 @@ def fit_or_reuse(spark: SparkSession, contexts: str, identity: str, fit: object)
     made.save(spark, contexts)
     return made, False
 
-
-Batches = Iterator[pd.DataFrame]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Sequence
+
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,9 +95,9 @@ def inference(df: DataFrame) -> DataFrame:
         finite = ~is_inf(v.try_cast("double"))
         aggs += [
             F.count(v).alias(f"n{k}"),
-            F.bool_and(v.rlike(NUMBER) & ~unsafe & finite).alias(f"d{k}"),
+            F.bool_and(F.when(v.isNotNull(), v.rlike(NUMBER) & ~unsafe & finite)).alias(f"d{k}"),
             F.bool_and(F.lower(v).isin("true", "false")).alias(f"b{k}"),
-            F.bool_and(v.rlike(TIME) & v.try_cast("timestamp").isNotNull()).alias(f"t{k}"),
+            F.bool_and(F.when(v.isNotNull(), v.rlike(TIME) & v.try_cast("timestamp").isNotNull())).alias(f"t{k}"),
         ]
     def kind(k: int) -> Column:
         return F.when(F.col(f"n{k}") == 0, "null").when(F.col(f"d{k}"), "number").when(F.col(f"b{k}"), "boolean").when(F.col(f"t{k}"), "timestamp").otherwise("string")
