@@ -147,7 +147,7 @@ def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int =
     both = base.select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("sha"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("page"))
     both = both.union(refs.select("page_id", empty, empty, "sha", "to", F.lit(False)))
     # at most ``bins`` rows
-    dealt = both.withColumn("bin", bin_of).join(F.broadcast(cut), "bin").repartition("shard")
+    dealt = both.withColumn("bin", bin_of).join(F.broadcast(cut), "bin").repartition(shards, "shard")
     beside = Window.partitionBy("shard", "page_id", "sha")
     dealt = dealt.withColumn("refers_to", F.max("to").over(beside)).where("page")
     dealt = dealt.sortWithinPartitions("shard", "page_id", "sha", "url").select("shard", "page_id", "url", "html", "refers_to")
@@ -165,11 +165,15 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
+def members(f: pa.NativeFile, chunk: int = 1 << 15) -> Iterator[bytes]:
+    """The gzip members of a stream, which is read in chunks: what is left after a member is copied for each."""
+    z, parts, data = zlib.decompressobj(31), [], b""
+    while data := data or f.read(chunk):
+        parts.append(z.decompress(data))
         data = z.unused_data
+        if z.eof:
+            yield b"".join(parts)
+            z, parts = zlib.decompressobj(31), []
 
 
 def _row(raw: bytes, file: str) -> tuple:
@@ -196,8 +200,7 @@ def _reader(out: str):
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 with fs.open_input_stream(posixpath.join(root, name), compression=None) as f:
-                    data = f.read()
-                rows = [_row(raw, name) for raw in members(data)]
+                    rows = [_row(raw, name) for raw in members(f)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     return run
