@@ -8,8 +8,9 @@ five words are not compared.
 1. A paragraph's key in each of 3 bands is one MinHash of its five-word shingles: at a Jaccard similarity of 0.8
    a pair shares a key with probability 1-0.2^3 = 0.99, equal paragraphs always do. Keys are counted; only
    paragraphs with a key that occurs more than once go on.
-2. Different paragraphs that share a key are grouped by components and all pairs of a group are compared
-   exactly, in blocks (see ``near``); similar ones are joined to one class by components.
+2. Of these, different paragraphs that share a key are banded again, more finely, linked to a leader of their bucket by exact
+   similarity (see ``near.candidate_links``) and grouped by components; all pairs of a group are compared in
+   blocks, and similar ones joined to one class by components.
 3. All occurrences of a class but the first, by (doc_id, word), are to be removed. Neighbouring repeated
    paragraphs of a document are one passage; a passage counts from ``least_words`` words on. (Of
    a passage of fifty words inside other text about thirty stand in whole paragraphs.)
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm.common import materialize, same, table
 from tabsmith.llm.components import components
-from tabsmith.llm.near import candidate_links, compare, lowered, set_keys
+from tabsmith.llm.near import candidate_links, compare, lowered, set_jaccard, set_keys
 from tabsmith.llm.numtext import MOST_ROWS, U64, Words, band_keys, list_array, minhash, mix64, pieces, seeds, shingles
 
 SIZE, SIMILAR, BANDS, ROWS, REACH = 5, 0.8, 3, 1, 5
+#: Bands among the paragraphs that share a key: 1-(1-0.8^6)^16 = 0.992 at 0.8, and small buckets below.
+FINE_BANDS, FINE_ROWS = 16, 6
 
 
 def cuts(w: Words, reach: int = REACH) -> np.ndarray:
@@ -98,18 +101,17 @@ def _items(sown: np.ndarray):
                 for row, first, size, value, off in paragraphs(w):
                     key = band_keys(minhash(value, off, sown), BANDS, ROWS)
                     hit = np.flatnonzero(np.isin(key ^ mix64(row.astype(U64))[:, None], sought).any(axis=1))
-                    count = np.diff(off)[hit]
                     keep = np.zeros(len(off) - 1, bool)
                     keep[hit] = True
-                    sets = set_keys(value, off)
-                    o = np.concatenate([[0], np.cumsum(count)])
+                    mine = value[np.repeat(keep, np.diff(off))]
+                    o = np.concatenate([[0], np.cumsum(np.diff(off)[hit])])
                     cols = [
                         ids.take(pa.array(row[hit])),
                         pa.array(first[hit], pa.int32()),
                         pa.array(size[hit], pa.int32()),
-                        pa.array([sets[k] for k in hit], pa.binary()),
-                        pa.array(count, pa.int32()),
-                        list_array(value[np.repeat(keep, np.diff(off))].view(np.int64), o, pa.int64()),
+                        pa.array(set_keys(mine, o), pa.binary()),
+                        pa.array(np.diff(o), pa.int32()),
+                        list_array(mine.view(np.int64), o, pa.int64()),
                         list_array(key[hit].reshape(-1).view(np.int64), np.arange(len(hit) + 1) * BANDS, pa.int64()),
                     ]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "first", "words", "cls", "n_shingles", "shingles", "bands"])
@@ -117,10 +119,23 @@ def _items(sown: np.ndarray):
     return run
 
 
+def _finely(fine: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column("shingles")
+            off = col.offsets.to_numpy().astype(np.int64)
+            value = col.values.to_numpy()[off[0] : off[-1]].view(U64)
+            key = band_keys(minhash(value, off - off[0], fine), FINE_BANDS, FINE_ROWS)
+            bands = list_array(key.reshape(-1).view(np.int64), np.arange(len(key) + 1) * FINE_BANDS, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), col, bands], ["cls", "shingles", "bands"])
+
+    return run
+
+
 def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float = SIMILAR) -> DataFrame:
     """``doc_id, text`` → a row per repeated passage of a document: ``doc_id, first_word, end_word, words``
     (in repeated paragraphs), ``removed_words``, ``kept_doc`` (where its first paragraph occurs first)."""
-    sown = seeds(BANDS * ROWS, 3)
+    sown, fine = seeds(BANDS * ROWS, 3), seeds(FINE_BANDS * FINE_ROWS, 4)
     low = lowered(docs)
     keys = low.mapInArrow(_keys(sown), "doc_id long, key long")
     several = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passage-keys")
@@ -130,7 +145,12 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float
     items = materialize(found.mapInArrow(_items(sown), "doc_id long, first int, words int, cls binary, n_shingles int, shingles array<long>, bands array<long>"), "passage-items")
 
     classes = items.groupBy("cls").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"))
-    groups = components(candidate_links(classes.select("cls", "bands"), agree=None))
+    classes = materialize(classes, "passage-classes")
+    keyed = classes.select("cls", F.explode("bands").alias("key"))
+    mixed = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
+    mixed = keyed.join(mixed, "key", "left_semi").select("cls").distinct()
+    few = materialize(classes.select("cls", "shingles").join(mixed, "cls", "left_semi").mapInArrow(_finely(fine), "cls binary, shingles array<long>, bands array<long>"), "passage-mixed")
+    groups = components(candidate_links(few, "shingles", set_jaccard, link=2 * similar - 1, done=similar))
     roots = groups.select(F.col("root").alias("u"), "root").distinct()
     member = groups.union(roots).withColumnRenamed("u", "cls").join(classes.drop("bands"), "cls")
     near = materialize(compare(materialize(member.withColumn("weight", F.lit(1).cast("long")), "passage-groups"), least=similar), "passage-near")
