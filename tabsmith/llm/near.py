@@ -33,7 +33,7 @@ SIZE, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 8
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Estimates (of a deviation of 0.04 to 0.05) at which classes are linked and leave a bucket. One that leaves is within
 #: 0.28 of the leader but for two deviations, so what is within 0.2 of it has 0.52 or more, two above the first.
-LINK, DONE = 0.5, 0.88
+LINK, DONE = 0.4, 0.8
 SKETCHED = "doc_id long, cls binary, n_shingles int, bits array<long>, bands array<long>"
 
 
