@@ -1,9 +1,9 @@
 """Substring dedup: MinHash banding over paragraphs cut where the text itself says so.
 
-Lines are cut into paragraphs of about eleven words before each word whose hash (with the next word's) is the
-least within five words on either side. A passage has the same cuts wherever it stands, but for its first and
-last words, so its inner paragraphs are equal in all documents even inside longer lines. Paragraphs below
-five words are not compared.
+A document's words are cut into paragraphs of about eleven words before each word whose hash (with the next word's) is
+the least within five words on either side. Line breaks don't count: a passage has the same cuts wherever it stands and
+however it is wrapped, but for its first and last words, so its inner paragraphs are equal in all documents. Only at
+the ends of a document can a paragraph have less than five words; it is not compared.
 
 1. A paragraph's key in each of 3 bands is one MinHash of its five-word shingles: at a Jaccard similarity of 0.8
    a pair shares a key with probability 1-0.2^3 = 0.99, equal paragraphs always do. Keys are counted; only
@@ -43,17 +43,15 @@ FINE_BANDS, FINE_ROWS = 16, 6
 def cuts(w: Words, reach: int = REACH) -> np.ndarray:
     """Whether each word starts a paragraph."""
     n = len(w.hash)
-    line = np.searchsorted(np.flatnonzero(w.data == 10), w.start)
-    start = np.ones(n, bool)
-    start[1:] = line[1:] != line[:-1]
+    start = np.zeros(n, bool)
     start[w.first[:-1][w.first[:-1] < n]] = True
-    line = np.cumsum(start)
+    row = np.cumsum(start)
     with np.errstate(over="ignore"):
         h = w.hash.copy()
         h[:-1] = mix64(w.hash[:-1] + (w.hash[1:] << U64(1)))
     least = np.ones(n, bool)
     for d in range(1, min(reach, n - 1) + 1):
-        apart = line[d:] != line[:-d]
+        apart = row[d:] != row[:-d]
         least[d:] &= apart | (h[d:] < h[:-d])
         least[:-d] &= apart | (h[:-d] <= h[d:])
     return start | least

@@ -402,6 +402,32 @@ def test_near_paragraphs(spark):
     assert got == {1, 2} and cut
 
 
+def wrapped(w, width):
+    return "\n".join(" ".join(w[k : k + width]) for k in range(0, len(w), width))
+
+
+def test_cuts_do_not_depend_on_lines():
+    w = [f"w{k * 7919 % 1000}" for k in range(300)]
+    cut = [passages.cuts(words(*column_bytes(pa.array([wrapped(w, n), wrapped(w, n)])))) for n in (300, 12, 4, 1)]
+    assert all((c == cut[0]).all() for c in cut) and cut[0][0] and cut[0][300]
+    assert np.diff(np.flatnonzero(cut[0][:300]))[1:-1].min() > passages.REACH
+
+
+def test_passages_in_short_and_rewrapped_lines(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, n = [], 40
+    for i in range(n):
+        p = [word() for _ in range(100)]
+        for k, width in enumerate((3, 4, 8, 100)):  # both copies' lines are short, or they differ
+            if k == i % 3 or k == 3 and i % 2:
+                rows.append((2 * i + k // 3, wrapped([word() for _ in range(80)], 9) + "\n" + wrapped(p, width) + "\n" + wrapped([word() for _ in range(80)], 7)))
+        if not i % 2:
+            rows.append((2 * i + 1, " ".join(word() for _ in range(50)) + "\n" + wrapped(p, (3, 4, 8)[i % 3])))
+    found = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows) == 2 * n and len(found) >= 0.95 * len(rows)
+
+
 def test_passage_edges(odd, none):
     got = {r["doc_id"] for r in passages.repeated_passages(odd).collect()}
     assert got == {6, 7} and passages.repeated_passages(none).count() == 0
