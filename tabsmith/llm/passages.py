@@ -14,11 +14,15 @@ the ends of a document can a paragraph have less than five words; it is not comp
 3. All occurrences of a class but the first, by (doc_id, word), are to be removed. Neighbouring repeated
    paragraphs of a document are one passage; a passage counts from ``least_words`` words on. (Of
    a passage of fifty words inside other text about thirty stand in whole paragraphs.)
+4. A changed word spoils its paragraph, and the edges of a passage are in none. So runs below ``least_words``, and runs beside
+   another, are seeds: each is held with the words around it against the first and last occurrence of its classes, and grown
+   word by word to both sides by a banded alignment (equal words count 1, others -2). A stretch of
+   ``least_stretch`` words of which the share ``similar`` is equal in order is a passage too.
 
 Defined cases: null and empty texts have no paragraph; rows with the same doc_id are versions of one document, of
 which the paragraphs at one word are one occurrence; a null doc_id orders first; an empty table gives an
 empty result; other columns are ignored. The pairs compared in a group of many different but colliding
-paragraphs grow with its square.
+paragraphs grow with its square. Of rows with one doc_id and paragraphs at one word, one is grown from.
 """
 
 from __future__ import annotations
@@ -38,6 +42,9 @@ from tabsmith.llm.numtext import MOST_ROWS, U64, Words, band_keys, list_array, m
 SIZE, SIMILAR, BANDS, ROWS, REACH = 5, 0.8, 3, 1, 5
 #: Bands among the paragraphs that share a key: 1-(1-0.8^6)^16 = 0.992 at 0.8, and small buckets below.
 FINE_BANDS, FINE_ROWS = 16, 6
+#: Words before and from a seed's first word on that are aligned, how far an alignment may leave the diagonal, and what an unequal
+#: word costs. Runs at most ``BESIDE`` words apart are grown over the gap.
+BEFORE, AFTER, DRIFT, COST, BESIDE = 60, 90, 4, 2, 40
 
 
 def cuts(w: Words, reach: int = REACH) -> np.ndarray:
@@ -130,9 +137,122 @@ def _finely(fine: np.ndarray):
     return run
 
 
-def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float = SIMILAR) -> DataFrame:
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """16-bit word hashes around the words ``firsts`` of each document."""
+    for batch in batches:
+        for part, w in pieces(batch):
+            short = (mix64(w.hash) >> U64(48)).astype("<u2")
+            row, first, near, at = [], [], [], []
+            for r, firsts in enumerate(part.column("firsts").to_pylist()):
+                a, e = int(w.first[r]), int(w.first[r + 1])
+                for f in firsts:
+                    if a + f < e:
+                        lo = max(a + f - BEFORE, a)
+                        row.append(r)
+                        first.append(f)
+                        near.append(short[lo : min(a + f + AFTER, e)].tobytes())
+                        at.append(a + f - lo)
+            if row:
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(first, pa.int32()), pa.array(near, pa.binary()), pa.array(at, pa.int32())], ["doc_id", "first", "near", "at"])
+
+
+def grow(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of two matrices of words (negative where there is none): how many words of either the best
+    alignment from their starts takes, and how many of them are equal."""
+    n, size = x.shape
+    wide, none = 2 * DRIFT + 1, np.int32(-(1 << 20))
+    steps = np.arange(wide) - DRIFT
+    score = np.full((wide + 2, n), none)  # by y's lead over x, with a border on either side
+    equal = np.zeros((wide + 2, n), np.int32)
+    for k in range(DRIFT, wide):
+        score[k + 1] = -COST * steps[k]
+    best, took_x, took_y, same_ = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for i in range(size):
+        old, was = score.copy(), equal.copy()
+        for k in range(wide):
+            j = i + steps[k]
+            now, have = old[k + 2] - COST, was[k + 2]  # x's word has no partner
+            if 0 <= j < y.shape[1]:
+                hit = x[:, i] == y[:, j]
+                by = old[k + 1] + np.where(hit, 1, -COST)
+                better = by > now
+                now, have = np.where(better, by, now), np.where(better, was[k + 1] + hit, have)
+            if j >= 0:
+                by = score[k] - COST  # y's word has no partner
+                better = by > now
+                now, have = np.where(better, by, now), np.where(better, equal[k], have)
+            elif j < -1:
+                now = np.full(n, none)
+            score[k + 1], equal[k + 1] = now, have
+            up = now > best
+            best = np.where(up, now, best)
+            took_x, took_y, same_ = np.where(up, i + 1, took_x), np.where(up, j + 1, took_y), np.where(up, have, same_)
+    return took_x, took_y, same_
+
+
+def _stretches(least_stretch: int, similar: float):
+    def matrix(col: pa.Array, at: np.ndarray, sign: int, size: int, pad: int) -> np.ndarray:
+        out = np.full((len(at), size), pad, np.int32)
+        for k, raw in enumerate(col.to_pylist()):
+            v = np.frombuffer(raw, "<u2")
+            v = v[at[k] :][:size] if sign > 0 else v[: at[k]][::-1][:size]
+            out[k, : len(v)] = v
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                ax, ay = batch.column("at").to_numpy(), batch.column("to_at").to_numpy()
+                left, right = (grow(matrix(batch.column("near"), ax, s, n, -1), matrix(batch.column("to_near"), ay, s, n, -2)) for s, n in ((-1, BEFORE), (1, AFTER)))
+                long, other, equal = (a + b for a, b in zip(left, right, strict=True))
+                keep = np.flatnonzero((long >= least_stretch) & (equal >= similar * np.maximum(long, other)))
+                first = batch.column("first").to_numpy()[keep] - left[0][keep]
+                rows = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(first, pa.int32()), pa.array(long[keep], pa.int32()), batch.column("gone").take(rows), batch.column("kept_doc").take(rows)], ["doc_id", "first", "words", "gone", "kept_doc"])
+
+    return run
+
+
+def _grown(low: DataFrame, rep: DataFrame, least_words: int, least_stretch: int, similar: float) -> DataFrame:
+    """``doc_id, first, words, gone, kept_doc`` of stretches about the paragraphs of short or neighbouring runs."""
+    runs = rep.groupBy("doc_id", "run").agg(F.min("first").alias("a"), F.max(F.col("first") + F.col("words")).alias("e"), F.sum("words").alias("n"))
+    along = Window.partitionBy("doc_id").orderBy("run")
+    beside = F.least(F.col("a") - F.lag("e").over(along), F.lead("a").over(along) - F.col("e"))
+    runs = runs.withColumn("beside", beside).where((F.col("n") < least_words) | (F.col("beside") <= BESIDE))
+    r, k = rep.alias("r"), runs.alias("k")
+    seed = r.join(k, same(F.col("r.doc_id"), F.col("k.doc_id")) & (F.col("r.run") == F.col("k.run"))).select("r.*")
+    place = F.struct("doc_id", "first")
+    pairs = seed.select("doc_id", "first", "run", F.explode(F.array("lead", "last")).alias("to")).where(~same(place, F.col("to")))
+    # along one diagonal all seeds of a run grow alike
+    shift = F.col("to.first") - F.col("first")
+    pairs = pairs.groupBy("doc_id", "run", F.col("to.doc_id").alias("to_doc"), shift.alias("shift")).agg(F.min("first").alias("first"))
+    pairs = materialize(pairs.select("doc_id", "first", "to_doc", (F.col("first") + F.col("shift")).alias("to_first")), "passage-seeds")
+    firsts = pairs.select("doc_id", "first").union(pairs.select("to_doc", "to_first")).groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))
+    d, f = low.alias("d"), firsts.alias("f")
+    near = d.join(f, same(F.col("d.doc_id"), F.col("f.doc_id"))).select("d.doc_id", "text", "firsts")
+    near = near.mapInArrow(_around, "doc_id long, first int, near binary, at int")
+    near = near.groupBy("doc_id", "first").agg(F.max(F.struct("near", "at")).alias("n")).select("doc_id", "first", "n.near", "n.at")
+    near = materialize(near, "passage-around")
+    p, x, y = pairs.alias("p"), near.alias("x"), near.alias("y")
+    both = p.join(x, same(F.col("p.doc_id"), F.col("x.doc_id")) & (F.col("p.first") == F.col("x.first")))
+    both = both.join(y, same(F.col("p.to_doc"), F.col("y.doc_id")) & (F.col("p.to_first") == F.col("y.first")))
+    gone = F.struct(F.col("p.to_doc").alias("doc_id"), F.col("p.to_first").alias("first")) < F.struct("p.doc_id", "p.first")
+    both = both.select("p.doc_id", "p.first", "x.near", "x.at", F.col("y.near").alias("to_near"), F.col("y.at").alias("to_at"), gone.alias("gone"), F.when(gone, F.col("p.to_doc")).otherwise(F.col("p.doc_id")).alias("kept_doc"))
+    return both.mapInArrow(_stretches(least_stretch, similar), "doc_id long, first int, words int, gone boolean, kept_doc long")
+
+
+def _numbered(rep: DataFrame) -> DataFrame:
+    """With ``run``, the number of the run of neighbouring rows of a document."""
+    along = Window.partitionBy("doc_id").orderBy("first", "words")
+    before = F.max(F.col("first") + F.col("words")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rep = rep.withColumn("new", F.coalesce((F.col("first") - before >= SIZE).cast("int"), F.lit(1)))
+    return rep.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float = SIMILAR, least_stretch: int = 45) -> DataFrame:
     """``doc_id, text`` → a row per repeated passage of a document: ``doc_id, first_word, end_word, words``
-    (in repeated paragraphs), ``removed_words``, ``kept_doc`` (where its first paragraph occurs first)."""
+    (in repeated paragraphs or stretches), ``removed_words``, ``kept_doc`` (where its first paragraph occurs first)."""
     sown, fine = seeds(BANDS * ROWS, 3), seeds(FINE_BANDS * FINE_ROWS, 4)
     low = lowered(docs)
     keys = low.mapInArrow(_keys(sown), "doc_id long, key long")
@@ -158,20 +278,33 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float
     o = materialize(o.select("doc_id", "first", "words", F.coalesce("root", "cls").alias("root")), "passage-occurrences")
     place = F.struct("doc_id", "first")
     twice = o.groupBy("root").agg(F.min(place).alias("lead"), F.max(place).alias("last")).where(~same(F.col("lead"), F.col("last")))
-    rep = o.join(twice.select("root", "lead"), "root").withColumn("gone", ~same(place, F.col("lead")))
-    rep = rep.groupBy("doc_id", "first").agg(F.max("words").alias("words"), F.max("gone").alias("gone"), F.min_by(F.col("lead.doc_id"), F.col("gone").cast("int")).alias("kept_doc"))
-    along = Window.partitionBy("doc_id").orderBy("first")
-    before = F.max(F.col("first") + F.col("words")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    rep = rep.withColumn("new", F.coalesce((F.col("first") - before >= SIZE).cast("int"), F.lit(1)))
-    rep = rep.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rep.groupBy("doc_id", "run").agg(
+    rep = o.join(twice, "root").withColumn("gone", ~same(place, F.col("lead")))
+    rep = rep.groupBy("doc_id", "first").agg(
+        F.max("words").alias("words"),
+        F.max("gone").alias("gone"),
+        F.min_by(F.col("lead.doc_id"), F.col("gone").cast("int")).alias("kept_doc"),
+        F.min("lead").alias("lead"),
+        F.max("last").alias("last"),
+    )
+    rep = materialize(_numbered(rep), "passage-repeated")
+    grown = _grown(low, rep, least_words, least_stretch, similar)
+    all_ = rep.select("doc_id", "first", "words", "gone", "kept_doc", F.col("words").alias("whole"), F.lit(False).alias("grown"))
+    all_ = _numbered(all_.union(grown.select("doc_id", "first", "words", "gone", "kept_doc", F.lit(0), F.lit(True))))
+    earlier = Window.partitionBy("doc_id", "run").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("first") + F.col("words")
+    # rows overlap; each counts the words that none before it has
+    fresh = F.greatest(F.lit(0), end - F.greatest(F.col("first"), F.coalesce(F.max(end).over(earlier), F.col("first"))))
+    leaves = F.greatest(F.lit(0), end - F.greatest(F.col("first"), F.coalesce(F.max(F.when(F.col("gone"), end)).over(earlier), F.col("first"))))
+    out = all_.withColumns({"fresh": fresh, "leaves": F.when(F.col("gone"), leaves).otherwise(0)}).groupBy("doc_id", "run").agg(
         F.min("first").alias("first_word"),
-        F.max(F.col("first") + F.col("words")).alias("end_word"),
-        F.sum("words").alias("words"),
-        F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("removed_words"),
-        F.min_by("kept_doc", "first").alias("kept_doc"),
+        F.max(end).alias("end_word"),
+        F.sum("fresh").alias("words"),
+        F.sum("leaves").alias("removed_words"),
+        F.min_by("kept_doc", F.struct("first", "words", "kept_doc")).alias("kept_doc"),
+        F.sum("whole").alias("whole"),
+        F.max("grown").alias("grown"),
     )
-    return out.where(F.col("words") >= least_words).drop("run")
+    return out.where((F.col("whole") >= least_words) | F.col("grown")).drop("run", "whole", "grown")
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

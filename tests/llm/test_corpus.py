@@ -428,6 +428,45 @@ def test_passages_in_short_and_rewrapped_lines(spark):
     assert len(rows) == 2 * n and len(found) >= 0.95 * len(rows)
 
 
+def test_grow_is_the_best_banded_alignment():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, (40, 20)).astype(np.int32)
+    y = np.where(rng.random((40, 20)) < 0.8, x, rng.integers(0, 5, (40, 20))).astype(np.int32)
+    y[::2, 7:] = y[::2, 6:-1]
+    a, b, equal = passages.grow(x, y)
+    for r in range(40):
+        s = {(0, 0): 0}
+        for i, j in itertools.product(range(21), range(21)):
+            if (i or j) and abs(i - j) <= passages.DRIFT:
+                ways = [s.get((i - 1, j), -999) - passages.COST, s.get((i, j - 1), -999) - passages.COST]
+                if i and j:
+                    ways.append(s[i - 1, j - 1] + (1 if x[r, i - 1] == y[r, j - 1] else -passages.COST))
+                s[i, j] = max(ways)
+        assert s[a[r], b[r]] == max(s.values()) and equal[r] <= min(a[r], b[r])
+
+
+def test_passages_with_an_inner_edit(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, sizes = [], {}
+    for i in range(120):
+        n, edits = ((51, [25]), (51, []), (60, [30]), (100, [33, 66]))[i % 4]
+        p = [word() for _ in range(n)]
+        q = list(p)
+        for e in edits:
+            q[e : e + 1] = [[word()], [], [word(), q[e]]][i % 3]
+        for k, w in enumerate((p, q)):
+            rows.append((2 * i + k, " ".join([word() for _ in range(70)] + w + [word() for _ in range(70)])))
+            sizes[2 * i + k] = n, len(w)
+    got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in range(4):
+        own = [i for i in sizes if i // 2 % 4 == kind]
+        assert sum(i in got for i in own) >= 0.85 * len(own), kind
+    for i, r in got.items():
+        assert 65 <= r["first_word"] and r["end_word"] <= 75 + sizes[i][1] and r["kept_doc"] == i - i % 2
+        assert r["words"] <= r["end_word"] - r["first_word"] and r["removed_words"] == (r["words"] if i % 2 else 0)
+
+
 def test_passage_edges(odd, none):
     got = {r["doc_id"] for r in passages.repeated_passages(odd).collect()}
     assert got == {6, 7} and passages.repeated_passages(none).count() == 0
