@@ -183,8 +183,9 @@ def synthetic_hourly(hours: DataFrame, index: str, origin: str = "2025-01-01 00:
     i = F.col(index)
     at = F.expr(f"timestampadd(HOUR, `{index}`, timestamp_ntz'{origin}')")
     hour = F.pmod(i, F.lit(24)).cast("int")
+    digits = i.cast("string")
     out = hours.select(
-        F.concat(F.lit("row-"), F.lpad(i.cast("string"), 4, "0")).alias("source_row_id"),
+        F.concat(F.lit("row-"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0"))).alias("source_row_id"),
         F.concat(F.lit("meter-"), F.lpad(F.pmod(i, F.lit(8)).cast("string"), 2, "0")).alias("business_key"),
         at.alias("timestamp_utc"),
         F.round(F.lit(7.5) + F.pmod(17 * i + 3, F.lit(181)) / 10, 6).alias("temperature_c"),

@@ -33,6 +33,11 @@ def text(path, content):
     return str(path)
 
 
+def test_hourly_ids_keep_all_digits(spark):
+    rows = readers.synthetic_hourly(spark.createDataFrame([(7,), (1234,), (12345,), (123456,)], "id long"), "id").collect()
+    assert [r["source_row_id"] for r in rows] == ["row-0007", "row-1234", "row-12345", "row-123456"]
+
+
 # --- SQL
 
 
