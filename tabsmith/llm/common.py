@@ -26,13 +26,48 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Spark's own setting by which a query's shuffle files go once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys of more rows than this may be taken out of a shuffle (see ``join_counted``).
+OFTEN = 256
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back: later steps start from
-    the files, so a lost executor costs no recomputation, and Spark knows the table's size."""
+    the files, so a lost executor costs no recomputation, and Spark knows the table's size. The shuffle files of the
+    write go with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that no frame which is still to be computed reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_counted(rows: DataFrame, per: DataFrame, key: str, total: int, *, most: int = 1024) -> DataFrame:
+    """Inner join of ``rows``, ``total`` in number, with ``per``: one row for each ``key`` with ``_n``, how many of ``rows`` have it.
+    Keys with more than ``OFTEN`` rows and a ``most``-th of all, of which there are less than ``most``, are broadcast,
+    so that the rows of such a key stay where they are; the others are joined by a shuffle. ``rows`` is read
+    three times and should be a written table."""
+    limit = max(OFTEN, total // most)
+    if total <= limit:
+        return rows.join(per.drop("_n"), key)
+    hubs = per.where(F.col("_n") > limit).drop("_n")
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hubs), key).unionByName(rest.join(per.where(F.col("_n") <= limit).drop("_n"), key))
 
 
 def same(a: Column, b: Column) -> Column:

@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round links every vertex's larger neighbours, then its smaller ones, to its least neighbour; a path
-of n vertices shrinks to a star in about log n rounds. Rounds end when the edges no longer change. Edges of
-a star's centre are as many as its members, but each step groups by vertex with partial minima and
-joins on it, so no group is collected; a written table after each round cuts the lineage.
+of n vertices shrinks to a star in about log n rounds. Rounds end when only stars are left. Each step groups by vertex
+with partial minima and joins on it; the edges of a vertex that has a great part of them all are joined by broadcast
+(see ``join_counted``), so no group is collected or dealt to one task. A written table after each round cuts the lineage.
 """
 
 from __future__ import annotations
@@ -11,19 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import materialize
+from tabsmith.llm.common import discard, join_counted, materialize
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one edge, to a ``v`` that has none."""
+    per = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    return per.where("n > 1").isEmpty() and per.join(per.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: each vertex sends its larger neighbours to its least; small: its smaller ones and itself."""
     both = edges.select("u", "v") if not large else edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    near = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("u", "m"))
+    near = join_counted(both, least, "u", edges.count() * (1 + large))
     if large:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -32,19 +33,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """``u, v`` (orderable, not null) → ``u, root`` for every vertex with an edge to another; the root is
+    """``u, v`` (orderable, not null) → a written table ``u, root`` for every vertex with an edge to another; the root is
     the least vertex of its component, and has no row of its own."""
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialize(now, "components")
-    state = _digest(now)
+    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     for _ in range(rounds):
-        if not state[0]:
+        if _stars_only(now):
             break
-        now = materialize(_star(_star(now, True), False), "components")
-        after = _digest(now)
-        if after == state:
-            break
-        state = after
+        wide = materialize(_star(now, True), "components-large")
+        discard(now)
+        now = materialize(_star(wide, False), "components")
+        discard(wide)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select("u", F.col("v").alias("root"))
+    out = now.select("u", F.col("v").alias("root"))
+    out.stored_at = now.stored_at
+    return out

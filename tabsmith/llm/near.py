@@ -11,9 +11,12 @@
 4. Tasks return the number of similar documents of each class and a spanning forest, not pairs. The
    number of compared pairs of different texts in a group still grows with its square: counting links needs it.
 
+Classes are numbered, so that all that follows compares and hashes longs. Buckets, stars, groups and classes with a
+great part of all rows are joined by broadcast of their one row (see ``common.join_counted``).
+
 Defined cases: null texts and texts without words are similar to nothing; texts below five words have
-all their words as one shingle; rows with the same doc_id are documents of their own; an empty table
-gives an empty result; other columns are ignored.
+all their words as one shingle; a text of any length is one row and must fit a task's memory about forty times; rows with the
+same doc_id are documents of their own; ties go to the least id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import materialize, same, table
+from tabsmith.llm.common import discard, join_counted, materialize, same, table, text_key
 from tabsmith.llm.components import components
 from tabsmith.llm.numtext import U64, band_keys, list_array, minhash, mix64, pieces, seeds, shingles
 
@@ -34,7 +37,7 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Estimates (of a deviation of 0.04 to 0.05) at which classes are linked and leave a bucket. One that leaves is within
 #: 0.28 of the leader but for two deviations, so what is within 0.2 of it has 0.52 or more, two above the first.
 LINK, DONE = 0.4, 0.8
-SKETCHED = "doc_id long, cls binary, n_shingles int, bits array<long>, bands array<long>"
+SKETCHED = "doc_id long, ver long, cls binary, n_shingles int, bits array<long>, bands array<long>"
 
 
 def set_keys(values: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
@@ -70,18 +73,25 @@ def sketcher(size: int, bands: int, rows: int):
                 key, bit = band_keys(sig, bands, rows), one_bit(sig)
                 cols = [
                     part.column("doc_id"),
+                    part.column("ver"),
                     pa.array(set_keys(value, off), pa.binary()),
                     pa.array(np.diff(off), pa.int32()),
                     list_array(bit.reshape(-1).view(np.int64), np.arange(n + 1) * 4, pa.int64()),
                     list_array(key.reshape(-1).view(np.int64), np.arange(n + 1) * bands, pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cls", "n_shingles", "bits", "bands"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ver", "cls", "n_shingles", "bits", "bands"])
 
     return run
 
 
 def lowered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    """``doc_id, ver`` (a hash of the text, which tells rows of one id apart) and the text in lower case."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("ver"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """With ``no``, a number for each row, in the order of ``cls`` within a partition; to be written before it is used."""
+    return classes.sortWithinPartitions("cls").withColumn("no", F.monotonically_increasing_id())
 
 
 def bit_estimate(a: Column, b: Column) -> Column:
@@ -98,28 +108,37 @@ def set_jaccard(a: Column, b: Column) -> Column:
 
 
 def candidate_links(classes: DataFrame, payload: str, similarity: Callable[[Column, Column], Column], *, link: float, done: float, rounds: int = 6) -> DataFrame:
-    """``cls, bands`` and a ``payload`` → links ``u, v`` such that classes that share a band and are at a distance of
-    0.2 at most are connected.
+    """``no, bands`` and a ``payload`` (a written table) → a written table of links ``u, v`` such that classes that share a
+    band and are at a distance of 0.2 at most are connected.
 
     In each bucket all are held against its least class. Those similar to ``link`` are linked to it; those similar
     to ``done`` leave the bucket, with it. As distances add up, whatever is near a class that leaves is linked to
     the same leader if link <= done - 0.2, with room for errors of the estimate. What is left after ``rounds`` is linked as it is.
     """
-    rows = classes.select("cls", F.explode("bands").alias("key"))
-    several = rows.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead <> last").select("key")
-    left = materialize(rows.join(several, "key").join(classes.select("cls", payload), "cls").select("key", "cls", payload), "near-buckets")
-    found = None
+    rows = classes.select("no", F.explode("bands").alias("key"))
+    several = rows.groupBy("key").agg(F.min("no").alias("lead"), F.max("no").alias("last"), F.count(F.lit(1)).alias("_n")).where("lead <> last").select("key", "_n")
+    several = materialize(several, "near-keys")
+    shared = join_counted(rows, several, "key", classes.agg(F.sum(F.size("bands"))).first()[0] or 0)
+    left = materialize(shared.join(classes.select("no", payload), "no").select("key", "no", payload), "near-buckets")
+    discard(several)
+    tables, found = [], None
     for turn in range(rounds + 1):
-        lead = left.groupBy("key").agg(F.min(F.struct("cls", payload)).alias("lead"))
-        tried = left.join(lead, "key").where(F.col("cls") != F.col("lead.cls"))
+        lead = left.groupBy("key").agg(F.min(F.struct("no", payload)).alias("lead"), F.count(F.lit(1)).alias("_n"))
+        tried = join_counted(left, lead, "key", left.count()).where(F.col("no") != F.col("lead.no"))
         alike = similarity(F.col(payload), F.col(f"lead.{payload}")) if turn < rounds else F.lit(1.0)
-        tried = materialize(tried.select("key", "cls", payload, F.col("lead.cls").alias("to"), alike.alias("alike")), "near-tried")
-        links = tried.where(F.col("alike") >= link).select(F.col("cls").alias("u"), F.col("to").alias("v")).distinct()
+        tried = materialize(tried.select("key", "no", payload, F.col("lead.no").alias("to"), alike.alias("alike")), "near-tried")
+        tables.append(tried)
+        if not turn:
+            discard(left)
+        links = tried.where(F.col("alike") >= link).select(F.col("no").alias("u"), F.col("to").alias("v")).distinct()
         found = links if found is None else found.union(links)
-        left = tried.where(F.col("alike") < done).select("key", "cls", payload)
+        left = materialize(tried.where(F.col("alike") < done).select("key", "no", payload), "near-left")
+        tables.append(left)
         if left.isEmpty():
             break
-    return found.distinct()
+    out = materialize(found.distinct(), "near-links")
+    discard(*tables)
+    return out
 
 
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
@@ -149,7 +168,7 @@ def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least:
     return inter >= least * both - 1e-9
 
 
-def compare_group(cls: list[bytes], weight: np.ndarray, side: np.ndarray, sets: list[np.ndarray], pair: tuple[int, int], least: float) -> tuple[np.ndarray, list[bytes]]:
+def compare_group(cls: np.ndarray, weight: np.ndarray, side: np.ndarray, sets: list[np.ndarray], pair: tuple[int, int], least: float) -> tuple[np.ndarray, np.ndarray]:
     """For each class of a task: the documents similar to it among the other side's (or all), and the
     least class it is connected with here."""
     left, right = np.flatnonzero(side == pair[0]), np.flatnonzero(side == pair[1])
@@ -170,28 +189,26 @@ def compare_group(cls: list[bytes], weight: np.ndarray, side: np.ndarray, sets:
             label[left[k]] = low
             label[others] = np.minimum(label[others], low)
         if (old == label).all():
-            return links, [cls[k] for k in label]
+            return links, cls[label]
 
 
 def _comparer(least: float):
     """Rows sorted by (root, i, j) → one row per class and task."""
 
     def flush(key: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
-        seen: dict[bytes, int] = {}
-        for k, r in enumerate(rows):
-            seen.setdefault(r[0], k)
-        rows = [rows[k] for k in sorted(seen.values(), key=lambda k: rows[k][0])]
+        seen = {r[0]: r for r in reversed(rows)}
+        rows = [seen[c] for c in sorted(seen)]
         if len(rows) < 2:
             return None
-        cls = [r[0] for r in rows]
+        cls = np.array([r[0] for r in rows], np.int64)
         links, low = compare_group(cls, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows]), [r[3] for r in rows], key[1:], least)
         keep = np.flatnonzero(links > 0)
-        return pa.RecordBatch.from_arrays([pa.array([cls[k] for k in keep], pa.binary()), pa.array(links[keep], pa.int64()), pa.array([low[k] for k in keep], pa.binary())], ["cls", "links", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(links[keep], pa.int64()), pa.array(low[keep])], ["no", "links", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            col = [batch.column(c) for c in ("root", "i", "j", "cls", "weight", "side")]
+            col = [batch.column(c) for c in ("root", "i", "j", "no", "weight", "side")]
             root, i, j, cls, weight, side = (c.to_pylist() for c in col)
             sets = batch.column("shingles")
             off = sets.offsets.to_numpy()
@@ -209,16 +226,16 @@ def _comparer(least: float):
 
 
 def compare(items: DataFrame, *, least: float = SIMILAR) -> DataFrame:
-    """``root, cls, weight, n_shingles, shingles`` (groups by root) → ``cls, links, low``: by task, the number of
+    """``root, no, weight, n_shingles, shingles`` (groups by root; a written table) → ``no, links, low``: by task, the number of
     similar documents of other classes and a class that it is connected with."""
     sizes = items.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
     blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
-    x = items.join(sizes.select("root", blocks.alias("_b")), "root")
-    x = x.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("_b")).cast("int"))
+    x = join_counted(items, sizes.select("root", "_n", blocks.alias("_b")), "root", items.count())
+    x = x.withColumn("side", F.pmod(F.xxhash64("no"), F.col("_b")).cast("int"))
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    x = x.select("root", F.least("side", "_o").alias("i"), F.greatest("side", "_o").alias("j"), "cls", "weight", "side", "shingles")
+    x = x.select("root", F.least("side", "_o").alias("i"), F.greatest("side", "_o").alias("j"), "no", "weight", "side", "shingles")
     dealt = x.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(_comparer(least), "cls binary, links long, low binary")
+    return dealt.mapInArrow(_comparer(least), "no long, links long, low long")
 
 
 def _shingler(size: int):
@@ -228,7 +245,7 @@ def _shingler(size: int):
                 value, off = shingles(w, size)
                 mine = pa.array(set_keys(value, off), pa.binary())
                 n = pa.array(np.diff(off), pa.int32())
-                out = pa.RecordBatch.from_arrays([part.column("root"), part.column("cls"), part.column("weight"), n, list_array(value.view(np.int64), off, pa.int64())], ["root", "cls", "weight", "n_shingles", "shingles"])
+                out = pa.RecordBatch.from_arrays([part.column("root"), part.column("no"), part.column("weight"), n, list_array(value.view(np.int64), off, pa.int64())], ["root", "no", "weight", "n_shingles", "shingles"])
                 yield out.filter(pa.array([a == b for a, b in zip(mine.to_pylist(), part.column("cls").to_pylist(), strict=True)]))
 
     return run
@@ -240,24 +257,30 @@ def near_duplicates(docs: DataFrame, *, size: int = SIZE, least: float = SIMILAR
     low = lowered(docs)
     sketch = materialize(low.mapInArrow(sketcher(size, bands, rows), SKETCHED), "near-sketch")
     worded = sketch.where("cls is not null")
-    classes = worded.groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "near-classes")
-    groups = components(candidate_links(classes, "bits", bit_estimate, link=LINK, done=DONE))
-    roots = groups.select(F.col("root").alias("u"), "root").distinct()
-    member = groups.union(roots).join(classes.select(F.col("cls").alias("u"), "copy_id", F.col("copies").alias("weight")), "u")
-    member = member.select(F.col("u").alias("cls"), "root", "weight", "copy_id")
+    classes = worded.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ver")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    classes = materialize(numbered(classes).select("no", "cls", F.col("rep.doc_id").alias("copy_id"), "rep.ver", "copies", "bits", "bands"), "near-classes")
+    edges = candidate_links(classes, "bits", bit_estimate, link=LINK, done=DONE)
+    groups = components(edges)
+    discard(edges)
+    member = groups.union(groups.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "no")
+    member = member.join(classes.select("no", "cls", "copy_id", "ver", F.col("copies").alias("weight")), "no")
     m, d = member.alias("m"), low.alias("d")
-    texts = m.join(d, same(F.col("m.copy_id"), F.col("d.doc_id"))).select("root", "cls", "weight", "text")
-    items = texts.mapInArrow(_shingler(size), "root binary, cls binary, weight long, n_shingles int, shingles array<long>")
-    found = materialize(compare(materialize(items, "near-sets"), least=least), "near-found")
-    links = found.groupBy("cls").agg(F.sum("links").alias("others"))
-    joined = components(found.select(F.col("cls").alias("u"), F.col("low").alias("v")))
-    slim = classes.select("cls", "copy_id", "copies").join(links, "cls", "left").join(joined.select(F.col("u").alias("cls"), "root"), "cls", "left")
-    slim = slim.withColumn("root", F.coalesce("root", "cls"))
-    ids = slim.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    slim = slim.join(ids, "root")
-    s, k = sketch.select("doc_id", "cls").alias("s"), slim.alias("k")
-    out = s.join(k, F.col("s.cls") == F.col("k.cls"), "left")
+    texts = m.join(d, same(F.col("m.copy_id"), F.col("d.doc_id")) & (F.col("m.ver") == F.col("d.ver"))).select("root", "no", "cls", "weight", "text")
+    items = materialize(texts.mapInArrow(_shingler(size), "root long, no long, weight long, n_shingles int, shingles array<long>"), "near-sets")
+    found = materialize(compare(items, least=least), "near-found")
+    discard(items, groups)
+    links = found.groupBy("no").agg(F.sum("links").alias("others"))
+    joined = components(found.select(F.col("no").alias("u"), F.col("low").alias("v")))
+    slim = classes.select("no", "cls", "copy_id", "copies").join(links, "no", "left").join(joined.withColumnRenamed("u", "no"), "no", "left")
+    slim = materialize(slim.withColumn("root", F.coalesce("root", "no")), "near-slim")
+    discard(found, joined)
+    ids = slim.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    slim = join_counted(slim, ids, "root", slim.count())
+    # equal texts may be a great part of all
+    per = slim.select("cls", "class_id", "copy_id", "copies", "others", F.col("copies").alias("_n"))
+    slim_docs = sketch.select("doc_id", "cls")
+    some = join_counted(slim_docs.where("cls is not null"), per, "cls", sketch.count())
+    out = some.unionByName(slim_docs.where("cls is null"), allowMissingColumns=True)
     return out.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),

@@ -1,12 +1,13 @@
 """Words, word hashes and shingles of a whole Arrow string column at a time, in numpy.
 
 A word is a maximal run of bytes other than ASCII blanks, controls and punctuation, with ASCII letters
-lower-cased (callers lower other letters with Spark's ``lower`` first). Words are hashed by a polynomial
-over their bytes modulo 2^64, taken from prefix sums, and then mixed; nothing is done word by word in Python.
+lower-cased (callers lower other letters with Spark's ``lower`` first). Words are hashed eight bytes at a time, all words
+at once; only words above ``LONG`` bytes, of which a text has few for its size, are hashed one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at a time; a longer document makes a piece of its own.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Rows of a piece, so that a row number and a shingle's 48 bits fit one sortable word.
 MOST_ROWS = 1 << 15
 KEPT = U64((1 << 48) - 1)
@@ -24,18 +25,9 @@ _KIND = np.ones(256, bool)
 _KIND[:128] = [chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = {"n": 0}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, PIECE)
-        with np.errstate(over="ignore"):
-            up, down = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, b, U64)]), dtype=U64) for b in (_BASE, _INVERSE))
-        _powers.update(n=size, up=up, down=down)
-    return _powers["up"], _powers["down"]
+#: For 0 to 8 bytes of a little-endian word, the bits they have.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LONG = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -84,12 +76,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     if len(cut):  # a row ends inside a run: end the word and start another
         at = np.sort(np.concatenate([at, cut, cut]))
     start, end = at[0::2], at[1::2]
-    up, down = _power_tables(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        value = (sums[end] - sums[start]) * down[start]
-    return Words(data, start, end, mix64(value + (end - start).astype(U64)), np.searchsorted(start, offsets, "left"))
+    return Words(data, start, end, word_hashes(data, start, end), np.searchsorted(start, offsets, "left"))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, ASCII letters taken as lower-case."""
+    low = data.tobytes().translate(_LOWER.tobytes()) + bytes(8)
+    eight = np.ndarray(len(data) + 1, "<u8", low, 0, (1,))  # the eight bytes from each byte on
+    size = end - start
+    value = mix64((eight[start] & _BYTES[np.minimum(size, 8)]) ^ size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(left):
+        more = eight[start[left] + done] & _BYTES[np.minimum(size[left] - done, 8)]
+        value[left] = mix64(value[left] * U64(0x100000001B3) ^ more)
+        done += 8
+        left = left[size[left] > done]
+    for k in np.flatnonzero(size > LONG).tolist():
+        value[k] = int.from_bytes(hashlib.blake2b(low[start[k] : end[k]], digest_size=8).digest(), "little")
+    return value
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -119,10 +124,10 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((count > 0) & (count < size))
     acc = mix64(acc)
     if len(short):
+        lone = np.flatnonzero((count < size)[row])
         with np.errstate(over="ignore"):
-            for r in short:
-                h = w.hash[w.first[r] : w.first[r + 1]]
-                acc[w.first[r]] = mix64((h * (2 * np.arange(len(h), dtype=U64) + U64(3))).sum(dtype=U64)[None])[0]
+            each = w.hash[lone] * (2 * place[lone].astype(U64) + U64(3))
+            acc[w.first[:-1][short]] = mix64(np.add.reduceat(each, np.flatnonzero(place[lone] == 0)))
         keep[w.first[:-1][short]] = True
     row, value = row[keep], acc[keep]
     if len(count) > MOST_ROWS:

@@ -6,23 +6,26 @@ however it is wrapped, but for its first and last words, so its inner paragraphs
 the ends of a document can a paragraph have less than five words; it is not compared.
 
 1. A paragraph's key in each of 3 bands is one MinHash of its five-word shingles: at a Jaccard similarity of 0.8
-   a pair shares a key with probability 1-0.2^3 = 0.99, equal paragraphs always do. Keys are counted; only
-   paragraphs with a key that occurs more than once go on.
+   a pair shares a key with probability 1-0.2^3 = 0.99, equal paragraphs always do. The keys are written, one row a document,
+   and counted; only paragraphs with a key that occurs more than once go on.
 2. Of these, different paragraphs that share a key are banded again, more finely, linked to a leader of their bucket by exact
    similarity (see ``near.candidate_links``) and grouped by components; all pairs of a group are compared in
    blocks, and similar ones joined to one class by components.
-3. All occurrences of a class but the first, by (doc_id, word), are to be removed. Neighbouring repeated
+3. All occurrences of a class but the first, by (doc_id, text, word), are to be removed. Neighbouring repeated
    paragraphs of a document are one passage; a passage counts from ``least_words`` words on. (Of
    a passage of fifty words inside other text about thirty stand in whole paragraphs.)
 4. A changed word spoils its paragraph, and the edges of a passage are in none. So runs below ``least_words``, and runs beside
    another, are seeds: each is held with the words around it against the first and last occurrence of its classes, and grown
    word by word to both sides by a banded alignment (equal words count 1, others -2). A stretch of
-   ``least_stretch`` words of which the share ``similar`` is equal in order is a passage too.
+   ``least_stretch`` words of which the share ``similar`` is equal in order is a passage too. The words are kept as
+   16-bit marks from the second reading of the texts, so there is no third.
 
-Defined cases: null and empty texts have no paragraph; rows with the same doc_id are versions of one document, of
-which the paragraphs at one word are one occurrence; a null doc_id orders first; an empty table gives an
-empty result; other columns are ignored. The pairs compared in a group of many different but colliding
-paragraphs grow with its square. Of rows with one doc_id and paragraphs at one word, one is grown from.
+With ``across``, what is repeated within one document only is no passage.
+
+Defined cases: null and empty texts have no paragraph; rows equal in doc_id and text are one document, rows of one
+doc_id with other texts are documents of their own (``ver`` tells them apart); a null doc_id orders first; a text of any length is one
+row, and must fit a task's memory about forty times; an empty table gives an empty result; other columns are ignored. The pairs compared in a group of many different but colliding
+paragraphs grow with its square.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import materialize, same, table
+from tabsmith.llm.common import OFTEN, discard, join_counted, materialize, same, table
 from tabsmith.llm.components import components
-from tabsmith.llm.near import candidate_links, compare, lowered, set_jaccard, set_keys
+from tabsmith.llm.near import candidate_links, compare, lowered, numbered, set_jaccard, set_keys
 from tabsmith.llm.numtext import MOST_ROWS, U64, Words, band_keys, list_array, minhash, mix64, pieces, seeds, shingles
 
 SIZE, SIMILAR, BANDS, ROWS, REACH = 5, 0.8, 3, 1, 5
@@ -82,26 +85,36 @@ def paragraphs(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _keys(sown: np.ndarray):
+    """The keys of all paragraphs of a document, with repeats."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, w in pieces(batch):
-                ids = part.column("doc_id")
-                for row, _, _, value, off in paragraphs(w):
-                    key = band_keys(minhash(value, off, sown), BANDS, ROWS)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(row, BANDS))), pa.array(key.reshape(-1).view(np.int64))], ["doc_id", "key"])
+                found = [(row, band_keys(minhash(value, off, sown), BANDS, ROWS)) for row, _, _, value, off in paragraphs(w)]
+                row = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in found]])
+                key = np.concatenate([np.zeros((0, BANDS), U64), *[k for _, k in found]])
+                off = np.searchsorted(row, np.arange(part.num_rows + 1)) * BANDS
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ver"), list_array(key.reshape(-1).view(np.int64), off, pa.int64())], ["doc_id", "ver", "keys"])
 
     return run
 
 
+ITEMS = "doc_id long, ver long, first int, words int, cls binary, n_shingles int, shingles array<long>, bands array<long>, marks binary"
+
+
 def _items(sown: np.ndarray):
-    """Paragraphs of a document whose keys are among ``keys``."""
+    """Paragraphs of a document whose keys are among ``keys``; and, with ``first`` null, all its words as ``marks``."""
+    names = [x.split()[0] for x in ITEMS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, w in pieces(batch):
-                ids, wanted = part.column("doc_id"), part.column("keys")
+                n = part.num_rows
+                ids, ver, wanted = part.column("doc_id"), part.column("ver"), part.column("keys")
+                none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([ids, ver, *none, marks(w)], names)
                 koff, kval = wanted.offsets.to_numpy(), wanted.values.to_numpy().view(U64)
-                own = np.repeat(np.arange(part.num_rows), np.diff(koff))
+                own = np.repeat(np.arange(n), np.diff(koff))
                 sought = kval[koff[0] : koff[-1]] ^ mix64(own.astype(U64))
                 for row, first, size, value, off in paragraphs(w):
                     key = band_keys(minhash(value, off, sown), BANDS, ROWS)
@@ -110,20 +123,29 @@ def _items(sown: np.ndarray):
                     keep[hit] = True
                     mine = value[np.repeat(keep, np.diff(off))]
                     o = np.concatenate([[0], np.cumsum(np.diff(off)[hit])])
+                    at = pa.array(row[hit])
                     cols = [
-                        ids.take(pa.array(row[hit])),
+                        ids.take(at),
+                        ver.take(at),
                         pa.array(first[hit], pa.int32()),
                         pa.array(size[hit], pa.int32()),
                         pa.array(set_keys(mine, o), pa.binary()),
                         pa.array(np.diff(o), pa.int32()),
                         list_array(mine.view(np.int64), o, pa.int64()),
                         list_array(key[hit].reshape(-1).view(np.int64), np.arange(len(hit) + 1) * BANDS, pa.int64()),
+                        pa.nulls(len(hit), pa.binary()),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "first", "words", "cls", "n_shingles", "shingles", "bands"])
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
+def marks(w: Words) -> pa.Array:
+    """Two bytes for each word of a row."""
+    short = (mix64(w.hash) >> U64(48)).astype("<u2")
+    return pa.Array.from_buffers(pa.binary(), len(w.first) - 1, [None, pa.py_buffer((w.first * 2).astype(np.int32)), pa.py_buffer(short.tobytes())])
+
+
 def _finely(fine: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,30 +154,11 @@ def _finely(fine: np.ndarray):
             value = col.values.to_numpy()[off[0] : off[-1]].view(U64)
             key = band_keys(minhash(value, off - off[0], fine), FINE_BANDS, FINE_ROWS)
             bands = list_array(key.reshape(-1).view(np.int64), np.arange(len(key) + 1) * FINE_BANDS, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), col, bands], ["cls", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("no"), col, bands], ["no", "shingles", "bands"])
 
     return run
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """16-bit word hashes around the words ``firsts`` of each document."""
-    for batch in batches:
-        for part, w in pieces(batch):
-            short = (mix64(w.hash) >> U64(48)).astype("<u2")
-            row, first, near, at = [], [], [], []
-            for r, firsts in enumerate(part.column("firsts").to_pylist()):
-                a, e = int(w.first[r]), int(w.first[r + 1])
-                for f in firsts:
-                    if a + f < e:
-                        lo = max(a + f - BEFORE, a)
-                        row.append(r)
-                        first.append(f)
-                        near.append(short[lo : min(a + f + AFTER, e)].tobytes())
-                        at.append(a + f - lo)
-            if row:
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(first, pa.int32()), pa.array(near, pa.binary()), pa.array(at, pa.int32())], ["doc_id", "first", "near", "at"])
-
-
 def grow(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of two matrices of words (negative where there is none): how many words of either the best
     alignment from their starts takes, and how many of them are equal."""
@@ -209,77 +212,121 @@ def _stretches(least_stretch: int, similar: float):
                 keep = np.flatnonzero((long >= least_stretch) & (equal >= similar * np.maximum(long, other)))
                 first = batch.column("first").to_numpy()[keep] - left[0][keep]
                 rows = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(first, pa.int32()), pa.array(long[keep], pa.int32()), batch.column("gone").take(rows), batch.column("kept_doc").take(rows)], ["doc_id", "first", "words", "gone", "kept_doc"])
+                of = [batch.column(c).take(rows) for c in ("doc_id", "ver", "gone", "kept_doc")]
+                yield pa.RecordBatch.from_arrays([*of[:2], pa.array(first, pa.int32()), pa.array(long[keep], pa.int32()), *of[2:]], ["doc_id", "ver", "first", "words", "gone", "kept_doc"])
 
     return run
 
 
-def _grown(low: DataFrame, rep: DataFrame, least_words: int, least_stretch: int, similar: float) -> DataFrame:
-    """``doc_id, first, words, gone, kept_doc`` of stretches about the paragraphs of short or neighbouring runs."""
-    runs = rep.groupBy("doc_id", "run").agg(F.min("first").alias("a"), F.max(F.col("first") + F.col("words")).alias("e"), F.sum("words").alias("n"))
-    along = Window.partitionBy("doc_id").orderBy("run")
+DOC = ["doc_id", "ver"]
+
+
+def _same_doc(a: str, b: str, *more: str) -> Column:
+    """Whether rows under two aliases are of one document, and have equal ``more``."""
+    out = same(F.col(f"{a}.doc_id"), F.col(f"{b}.doc_id"))
+    for c in ("ver", *more):
+        out = out & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return out
+
+
+def _grown(words: DataFrame, rep: DataFrame, least_words: int, least_stretch: int, similar: float) -> DataFrame:
+    """``doc_id, ver, first, words, gone, kept_doc`` of stretches about the paragraphs of short or neighbouring runs; ``words``: the
+    documents' marks."""
+    runs = rep.groupBy(*DOC, "run").agg(F.min("first").alias("a"), F.max(F.col("first") + F.col("words")).alias("e"), F.sum("words").alias("n"))
+    along = Window.partitionBy(*DOC).orderBy("run")
     beside = F.least(F.col("a") - F.lag("e").over(along), F.lead("a").over(along) - F.col("e"))
     runs = runs.withColumn("beside", beside).where((F.col("n") < least_words) | (F.col("beside") <= BESIDE))
-    r, k = rep.alias("r"), runs.alias("k")
-    seed = r.join(k, same(F.col("r.doc_id"), F.col("k.doc_id")) & (F.col("r.run") == F.col("k.run"))).select("r.*")
-    place = F.struct("doc_id", "first")
-    pairs = seed.select("doc_id", "first", "run", F.explode(F.array("lead", "last")).alias("to")).where(~same(place, F.col("to")))
+    seed = rep.alias("r").join(runs.alias("k"), _same_doc("r", "k", "run")).select("r.*")
+    place = F.struct(*DOC, "first")
+    pairs = seed.select(*DOC, "first", "run", F.explode(F.array("lead", "last")).alias("to")).where(~same(place, F.col("to")))
     # along one diagonal all seeds of a run grow alike
     shift = F.col("to.first") - F.col("first")
-    pairs = pairs.groupBy("doc_id", "run", F.col("to.doc_id").alias("to_doc"), shift.alias("shift")).agg(F.min("first").alias("first"))
-    pairs = materialize(pairs.select("doc_id", "first", "to_doc", (F.col("first") + F.col("shift")).alias("to_first")), "passage-seeds")
-    firsts = pairs.select("doc_id", "first").union(pairs.select("to_doc", "to_first")).groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))
-    d, f = low.alias("d"), firsts.alias("f")
-    near = d.join(f, same(F.col("d.doc_id"), F.col("f.doc_id"))).select("d.doc_id", "text", "firsts")
-    near = near.mapInArrow(_around, "doc_id long, first int, near binary, at int")
-    near = near.groupBy("doc_id", "first").agg(F.max(F.struct("near", "at")).alias("n")).select("doc_id", "first", "n.near", "n.at")
-    near = materialize(near, "passage-around")
-    p, x, y = pairs.alias("p"), near.alias("x"), near.alias("y")
-    both = p.join(x, same(F.col("p.doc_id"), F.col("x.doc_id")) & (F.col("p.first") == F.col("x.first")))
-    both = both.join(y, same(F.col("p.to_doc"), F.col("y.doc_id")) & (F.col("p.to_first") == F.col("y.first")))
-    gone = F.struct(F.col("p.to_doc").alias("doc_id"), F.col("p.to_first").alias("first")) < F.struct("p.doc_id", "p.first")
-    both = both.select("p.doc_id", "p.first", "x.near", "x.at", F.col("y.near").alias("to_near"), F.col("y.at").alias("to_at"), gone.alias("gone"), F.when(gone, F.col("p.to_doc")).otherwise(F.col("p.doc_id")).alias("kept_doc"))
-    return both.mapInArrow(_stretches(least_stretch, similar), "doc_id long, first int, words int, gone boolean, kept_doc long")
+    pairs = pairs.groupBy(*DOC, "run", F.col("to.doc_id").alias("to_doc"), F.col("to.ver").alias("to_ver"), shift.alias("shift")).agg(F.min("first").alias("first"))
+    pairs = materialize(pairs.select(*DOC, "first", "to_doc", "to_ver", (F.col("first") + F.col("shift")).alias("to_first")), "passage-seeds")
+    target = pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_ver").alias("ver"), F.col("to_first").alias("first"))
+    firsts = pairs.select(*DOC, "first").union(target).groupBy(*DOC).agg(F.collect_set("first").alias("firsts"))
+    held = words.alias("d").join(firsts.alias("f"), _same_doc("d", "f")).select("d.doc_id", "d.ver", "marks", "firsts")
+
+    def around(first: Column) -> Column:
+        low = F.greatest(first - BEFORE, F.lit(0))
+        return F.struct(first.alias("first"), F.substr("marks", 2 * low + 1, 2 * (first + AFTER - low)).alias("near"), (first - low).alias("at"))
+
+    near = materialize(held.select(*DOC, F.inline(F.transform("firsts", around))).dropDuplicates([*DOC, "first"]), "passage-around")
+    of = pairs.alias("p").join(near.alias("x"), _same_doc("p", "x", "first")).select("p.*", "near", "at")
+    to = near.select(F.col("doc_id").alias("to_doc"), F.col("ver").alias("to_ver"), F.col("first").alias("to_first"), F.col("near").alias("to_near"), F.col("at").alias("to_at"))
+    equal = same(F.col("p.to_doc"), F.col("y.to_doc")) & (F.col("p.to_ver") == F.col("y.to_ver")) & (F.col("p.to_first") == F.col("y.to_first"))
+    both = of.alias("p").join(to.alias("y"), equal)
+    gone = F.struct("p.to_doc", "p.to_ver", "p.to_first") < F.struct("p.doc_id", "p.ver", "p.first")
+    both = both.select("p.doc_id", "p.ver", "p.first", "near", "at", "to_near", "to_at", gone.alias("gone"), F.when(gone, F.col("p.to_doc")).otherwise(F.col("p.doc_id")).alias("kept_doc"))
+    return both.mapInArrow(_stretches(least_stretch, similar), "doc_id long, ver long, first int, words int, gone boolean, kept_doc long")
 
 
 def _numbered(rep: DataFrame) -> DataFrame:
     """With ``run``, the number of the run of neighbouring rows of a document."""
-    along = Window.partitionBy("doc_id").orderBy("first", "words")
+    along = Window.partitionBy(*DOC).orderBy("first", "words")
     before = F.max(F.col("first") + F.col("words")).over(along.rowsBetween(Window.unboundedPreceding, -1))
     rep = rep.withColumn("new", F.coalesce((F.col("first") - before >= SIZE).cast("int"), F.lit(1)))
     return rep.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float = SIMILAR, least_stretch: int = 45) -> DataFrame:
-    """``doc_id, text`` → a row per repeated passage of a document: ``doc_id, first_word, end_word, words``
-    (in repeated paragraphs or stretches), ``removed_words``, ``kept_doc`` (where its first paragraph occurs first)."""
-    sown, fine = seeds(BANDS * ROWS, 3), seeds(FINE_BANDS * FINE_ROWS, 4)
-    low = lowered(docs)
-    keys = low.mapInArrow(_keys(sown), "doc_id long, key long")
-    several = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passage-keys")
-    wanted = keys.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    d, k = low.alias("d"), wanted.alias("k")
-    found = d.join(k, same(F.col("d.doc_id"), F.col("k.doc_id"))).select("d.doc_id", "text", "keys")
-    items = materialize(found.mapInArrow(_items(sown), "doc_id long, first int, words int, cls binary, n_shingles int, shingles array<long>, bands array<long>"), "passage-items")
-
+def _repeated_items(low: DataFrame, sown: np.ndarray) -> DataFrame:
+    """A written table of the paragraphs that share a key with another, and of their documents' marks (see ``ITEMS``)."""
+    keyed = materialize(low.mapInArrow(_keys(sown), "doc_id long, ver long, keys array<long>"), "passage-keys")
+    keys = keyed.select(*DOC, F.explode("keys").alias("key"))
+    several = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-counts")
+    # keys with a great part of all rows, of which there are less than 1,024, are known without a join
+    limit = max(OFTEN, (keyed.agg(F.sum(F.size("keys"))).first()[0] or 0) // 1024)
+    often = [r["key"] for r in several.where(F.col("n") > limit).select("key").collect()]
+    hub = F.col("key").isin(often)
+    shared = keys.where(~hub).join(several, "key", "left_semi").union(keys.where(hub)) if often else keys.join(several, "key", "left_semi")
+    wanted = materialize(shared.groupBy(*DOC).agg(F.collect_set("key").alias("keys")), "passage-wanted")
+    discard(keyed, several)
+    found = low.alias("d").join(wanted.alias("k"), _same_doc("d", "k")).select("d.doc_id", "d.ver", "text", "keys")
+    items = materialize(found.mapInArrow(_items(sown), ITEMS), "passage-items")
+    discard(wanted)
+    return items
+
+
+def _joined(items: DataFrame, similar: float) -> DataFrame:
+    """A written table ``doc_id, ver, first, words, root``: paragraphs with the least class of those that similar ones join."""
+    fine = seeds(FINE_BANDS * FINE_ROWS, 4)
     classes = items.groupBy("cls").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"))
-    classes = materialize(classes, "passage-classes")
-    keyed = classes.select("cls", F.explode("bands").alias("key"))
-    mixed = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
-    mixed = keyed.join(mixed, "key", "left_semi").select("cls").distinct()
-    few = materialize(classes.select("cls", "shingles").join(mixed, "cls", "left_semi").mapInArrow(_finely(fine), "cls binary, shingles array<long>, bands array<long>"), "passage-mixed")
-    groups = components(candidate_links(few, "shingles", set_jaccard, link=2 * similar - 1, done=similar))
-    roots = groups.select(F.col("root").alias("u"), "root").distinct()
-    member = groups.union(roots).withColumnRenamed("u", "cls").join(classes.drop("bands"), "cls")
-    near = materialize(compare(materialize(member.withColumn("weight", F.lit(1).cast("long")), "passage-groups"), least=similar), "passage-near")
-    joined = components(near.select(F.col("cls").alias("u"), F.col("low").alias("v")))
-
-    o = items.select("doc_id", "first", "words", "cls").join(joined.withColumnRenamed("u", "cls"), "cls", "left")
-    o = materialize(o.select("doc_id", "first", "words", F.coalesce("root", "cls").alias("root")), "passage-occurrences")
-    place = F.struct("doc_id", "first")
-    twice = o.groupBy("root").agg(F.min(place).alias("lead"), F.max(place).alias("last")).where(~same(F.col("lead"), F.col("last")))
-    rep = o.join(twice, "root").withColumn("gone", ~same(place, F.col("lead")))
-    rep = rep.groupBy("doc_id", "first").agg(
+    classes = materialize(numbered(classes), "passage-classes")
+    keyed = classes.select("no", F.explode("bands").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("no").alias("a"), F.max("no").alias("b")).where("a <> b").select("key")
+    mixed = keyed.join(several, "key", "left_semi").select("no").distinct()
+    few = classes.select("no", "shingles").join(mixed, "no", "left_semi")
+    few = materialize(few.mapInArrow(_finely(fine), "no long, shingles array<long>, bands array<long>"), "passage-mixed")
+    edges = candidate_links(few, "shingles", set_jaccard, link=2 * similar - 1, done=similar)
+    discard(few)
+    groups = components(edges)
+    discard(edges)
+    member = groups.union(groups.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "no")
+    member = member.join(classes.select("no", "shingles", "n_shingles"), "no").withColumn("weight", F.lit(1).cast("long"))
+    member = materialize(member, "passage-groups")
+    discard(groups)
+    near = materialize(compare(member, least=similar), "passage-near")
+    discard(member)
+    joined = components(near.select(F.col("no").alias("u"), F.col("low").alias("v")))
+    named = classes.select("no", "cls")
+    root = named.select(F.col("no").alias("root"), F.col("cls").alias("root_cls"))
+    joined_cls = joined.withColumnRenamed("u", "no").join(named, "no").join(root, "root").select("cls", "root_cls")
+    o = items.select(*DOC, "first", "words", "cls").join(joined_cls, "cls", "left")
+    o = materialize(o.select(*DOC, "first", "words", F.coalesce("root_cls", "cls").alias("root")), "passage-occurrences")
+    discard(near, joined, classes)
+    return o
+
+
+def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float = SIMILAR, least_stretch: int = 45, across: bool = False) -> DataFrame:
+    """``doc_id, text`` → a row per repeated passage of a document: ``doc_id, ver, first_word, end_word, words``
+    (in repeated paragraphs or stretches), ``removed_words``, ``kept_doc`` (where its first paragraph occurs first)."""
+    items = _repeated_items(lowered(docs), seeds(BANDS * ROWS, 3))
+    o = _joined(items.where("first is not null"), similar)
+    place = F.struct(*DOC, "first")
+    twice = o.groupBy("root").agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.count(F.lit(1)).alias("_n"))
+    twice = twice.where(~same(F.col("lead.doc_id"), F.col("last.doc_id")) | (F.col("lead.ver") != F.col("last.ver")) if across else ~same(F.col("lead"), F.col("last")))
+    rep = join_counted(o, twice, "root", o.count()).withColumn("gone", ~same(place, F.col("lead")))
+    rep = rep.groupBy(*DOC, "first").agg(
         F.max("words").alias("words"),
         F.max("gone").alias("gone"),
         F.min_by(F.col("lead.doc_id"), F.col("gone").cast("int")).alias("kept_doc"),
@@ -287,15 +334,16 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float
         F.max("last").alias("last"),
     )
     rep = materialize(_numbered(rep), "passage-repeated")
-    grown = _grown(low, rep, least_words, least_stretch, similar)
-    all_ = rep.select("doc_id", "first", "words", "gone", "kept_doc", F.col("words").alias("whole"), F.lit(False).alias("grown"))
-    all_ = _numbered(all_.union(grown.select("doc_id", "first", "words", "gone", "kept_doc", F.lit(0), F.lit(True))))
-    earlier = Window.partitionBy("doc_id", "run").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
+    discard(o)
+    grown = _grown(items.where("first is null").select(*DOC, "marks"), rep, least_words, least_stretch, similar)
+    all_ = rep.select(*DOC, "first", "words", "gone", "kept_doc", F.col("words").alias("whole"), F.lit(False).alias("grown"))
+    all_ = _numbered(all_.union(grown.select(*DOC, "first", "words", "gone", "kept_doc", F.lit(0), F.lit(True))))
+    earlier = Window.partitionBy(*DOC, "run").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("first") + F.col("words")
     # rows overlap; each counts the words that none before it has
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("first"), F.coalesce(F.max(end).over(earlier), F.col("first"))))
     leaves = F.greatest(F.lit(0), end - F.greatest(F.col("first"), F.coalesce(F.max(F.when(F.col("gone"), end)).over(earlier), F.col("first"))))
-    out = all_.withColumns({"fresh": fresh, "leaves": F.when(F.col("gone"), leaves).otherwise(0)}).groupBy("doc_id", "run").agg(
+    out = all_.withColumns({"fresh": fresh, "leaves": F.when(F.col("gone"), leaves).otherwise(0)}).groupBy(*DOC, "run").agg(
         F.min("first").alias("first_word"),
         F.max(end).alias("end_word"),
         F.sum("fresh").alias("words"),
@@ -308,4 +356,5 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """Passages that repeat across documents."""
+    return repeated_passages(table(spark, sf_dir, "documents"), across=True).drop("ver")
