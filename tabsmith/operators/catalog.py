@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +16,11 @@ from pyspark.sql import types as T
 
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.dataset import NUMERIC
-from tabsmith.operators.features import finite_double
+from tabsmith.operators.features import SAFE, finite_double
 from tabsmith.operators.order import global_index
+from tabsmith.operators.times import TIMES, utc_text
 
+#: Parts of names that tell of a secret.
 SECRET = r"(?i)password|token|secret|authorization|credential"
 REGISTRY = "snapshot_id string, source string, format string, raw_digest string, logical_digest string, rows long, path string, version int"
 
@@ -53,17 +58,31 @@ def key_set(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct().orderBy(*keys)
 
 
+def number_text(c: Column, kind: T.DataType) -> Column:
+    """A number as text, the same for equal numbers of any type; integers and decimals lose no digit."""
+    if isinstance(kind, T.IntegralType):
+        return c.cast("string")
+    if isinstance(kind, T.DecimalType):
+        plain = c.cast("string")
+        short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        v = c.cast("double")
+        return F.when(v.cast(kind) == c, number_text(v, T.DoubleType())).otherwise(short)
+    v = c.cast("double")
+    whole = (F.abs(v) <= SAFE) & (F.floor(v) == v)
+    return F.when(F.coalesce(whole, F.lit(False)), v.cast("long").cast("string")).otherwise(v.cast("string"))
+
+
 def canonical_row(df: DataFrame) -> Column:
-    """A row as JSON, the same whatever format it came from: numbers as doubles, times as UTC text."""
+    """A row as JSON, the same whatever format it came from: numbers and times (of UTC) as text."""
     cells = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, NUMERIC):
-            c = c.cast("double")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+            c = number_text(c, f.dataType)
+        elif isinstance(f.dataType, TIMES):
+            c = utc_text(c, f.dataType)
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("string")
         cells.append(c.alias(f.name))
     return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
 
@@ -92,9 +111,23 @@ def logical_digest(df: DataFrame, order: Sequence[str | Column] | None = None, *
     return hashlib.sha256((json.dumps(names) + "".join(parts)).encode()).hexdigest()
 
 
-def raw_digest(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            fs, path = pafs.FileSystem.from_uri(row["path"])
+            h = hashlib.sha256()
+            with fs.open_input_stream(path, compression=None) as f:
+                while part := f.read(1 << 22):
+                    h.update(part)
+            yield pa.RecordBatch.from_pylist([row | {"sha256": h.hexdigest()}])
+
+
+def raw_digest(spark: SparkSession, path: str, *, whole: int = 1 << 28, recursive: bool = False) -> DataFrame:
+    """``path, length, sha256`` of each file. Files of up to ``whole`` bytes are read as one value each, larger ones in pieces."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", "length").repartition("path")
+    return small.union(large.mapInArrow(_hash_files, "path string, length long, sha256 string"))
 
 
 def snapshot_id(source_format: str, digest: str, types: dict[str, str]) -> str:
@@ -192,9 +225,19 @@ def latest_revisions(experiments: DataFrame) -> DataFrame:
     return experiments.groupBy("id").agg(F.max("revision").alias("revision"), F.max_by("body", "revision").alias("body"))
 
 
-def strip_credentials(params: Column) -> Column:
-    """A map without the keys that name secrets."""
-    return F.map_filter(params, lambda k, v: ~k.rlike(SECRET))
+def strip_credentials(params: Column, kind: T.DataType | None = None) -> Column:
+    """Parameters without the keys that name secrets. ``kind`` is their type, a flat map unless given; maps, structs and lists
+    inside are stripped as well."""
+    if kind is None:
+        return F.map_filter(params, lambda k, v: ~k.rlike(SECRET))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(F.map_filter(params, lambda k, v: ~k.rlike(SECRET)), lambda k, v: strip_credentials(v, kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(params, lambda v: strip_credentials(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        kept = [f for f in kind.fields if not re.search(SECRET, f.name)]
+        return F.when(params.isNotNull(), F.struct(*[strip_credentials(params[f.name], f.dataType).alias(f.name) for f in kept]))
+    return params
 
 
 def restore_check(experiments: DataFrame, registry: DataFrame, corrupt: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,14 @@ from pyspark.sql import types as T
 
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.order import global_index
+from tabsmith.operators.times import utc_wall
 from tabsmith.plans.readonly import query
 
 ROW_ID = "__row_id"
 PREFIX = "__"
-#: Names that take no part as features, and names of time columns, in order of preference.
-NOT_FEATURES = ("id", "row_id", "source_row_id", "business_key", "row_ordinal", "timestamp", "timestamp_utc", "features_available_at", "target_time")
-TIME_NAMES = ("timestamp", "timestamp_utc", "target_time", "event_time", "event time", "ts", "time", "date")
+#: What names of columns that are no features hold, and names of time columns; ``ts`` is one of ours.
+NOT_FEATURES = r"(?i)^id$|_id$|ordinal|timestamp|available_at"
+TIME_NAMES = r"(?i)timestamp|target_time|event[_ ]?time|^time$|^date$|^ts$"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -48,14 +50,17 @@ def ratio_split(df: DataFrame, order_by: str | None = None, row_id: str = ROW_ID
 
 
 def time_split(df: DataFrame, column: str, cutoff: str | datetime) -> tuple[DataFrame, DataFrame]:
-    """Train: before the cutoff; Test: from it on; rows without a time are in neither."""
+    """Train: before the cutoff; Test: from it on; rows without a time are in neither. Times are those of UTC: a cutoff without
+    an offset is one of UTC, and so is a column without a zone."""
     if isinstance(cutoff, str):
         try:
-            cutoff = datetime.fromisoformat(cutoff.replace("Z", "+00:00")).replace(tzinfo=None)
+            cutoff = datetime.fromisoformat(cutoff.replace("Z", "+00:00"))
         except ValueError:
             raise WorkbenchError("INVALID_DATA", "the cutoff is not a time", cutoff=cutoff) from None
-    at = F.col(column).cast("timestamp_ntz")
-    return df.where(at < F.lit(cutoff).cast("timestamp_ntz")), df.where(at >= F.lit(cutoff).cast("timestamp_ntz"))
+    if cutoff.tzinfo:
+        cutoff = cutoff.astimezone(timezone.utc).replace(tzinfo=None)
+    at, edge = utc_wall(F.col(column), df.schema[column].dataType), F.lit(cutoff.isoformat(" ")).cast("timestamp_ntz")
+    return df.where(at < edge), df.where(at >= edge)
 
 
 def default_cutoff(df: DataFrame, column: str, row_id: str = ROW_ID) -> DataFrame:
@@ -95,13 +100,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def column_roles(train: DataFrame, test: DataFrame, target: str | None = None) -> dict[str, object]:
-    """``features, target, time``: see the names above; the target is kept if numeric, else the last numeric column."""
+    """``features, target, time``: features by their names' patterns (see above); the target is kept if numeric, else the last
+    numeric column; the first column named like a time."""
     mine, theirs = numeric_columns(train), set(numeric_columns(test))
     target = target if target in mine else (mine[-1] if mine else None)
-    skip = {n.lower() for n in NOT_FEATURES}
-    features = [c for c in mine if c in theirs and c != target and c.lower() not in skip and not c.startswith(PREFIX)]
-    low = {c.lower(): c for c in reversed(train.columns)}
-    time = next((low[n] for n in TIME_NAMES if n in low), None)
+    features = [c for c in mine if c in theirs and c != target and not re.search(NOT_FEATURES, c) and not c.startswith(PREFIX)]
+    time = next((c for c in train.columns if re.search(TIME_NAMES, c)), None)
     return {"features": features, "target": target, "time": time}
 
 

@@ -32,3 +32,22 @@ def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_
     # one row a partition
     out = dealt.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(counts), "_part")
     return out.withColumn(name, F.col("_ahead") + F.col("_rank") + F.lit(start - 1)).drop("_part", "_rank", "_ahead")
+
+
+def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str, *, parts: int | None = None) -> DataFrame:
+    """Adds 0, 1, ... in ``order`` within each group of equal ``group`` columns, however large a group is.
+
+    Rows are range-partitioned by group and order and written; a partition numbers its own, and adds the rows that its first
+    group has in the partitions before: no other group of it reaches back, so there is one such count a partition.
+    """
+    keys = [*sort_keys(group), *sort_keys(order)]
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    counts = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    back = counts.withColumn("_ahead", ahead).where("_ahead > 0").select("_part", "_ahead", F.struct(*group).alias("_group"))
+    own = Window.partitionBy("_part", *group).orderBy(*sort_keys(order))
+    ranked = dealt.withColumn("_rank", F.row_number().over(own) - 1).withColumn("_own", F.struct(*group))
+    r, b = ranked.alias("r"), F.broadcast(back).alias("b")
+    out = r.join(b, (F.col("r._part") == F.col("b._part")) & F.col("r._own").eqNullSafe(F.col("b._group")), "left")
+    return out.select("r.*", (F.col("_rank") + F.coalesce("_ahead", F.lit(0))).alias(name)).drop("_part", "_rank", "_own")

@@ -8,18 +8,19 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import struct
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.features import as_double, float_column, is_finite
+from tabsmith.operators.order import index_within
+from tabsmith.storage import stored
 
 SIGMA, TINY, FINGERPRINT = 12.0, 1e-12, "__fingerprint"
 
@@ -28,25 +29,32 @@ def finite_or_null(c: Column) -> Column:
     return F.when(is_finite(c), c)
 
 
-def constant_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with a struct for each column: ``lo, hi, n, nans`` over its numbers."""
+def _constants(columns: Sequence[str]) -> list[Column]:
     each = []
     for c in columns:
         v = as_double(c)
         known = F.when(~F.isnan(v), v)
         each.append(F.struct(F.min(known).alias("lo"), F.max(known).alias("hi"), F.count(known).alias("n"), F.count_if(v.isNull() | F.isnan(v)).alias("nans")).alias(c))
-    return df.agg(*each)
+    return each
 
 
-def select_non_constant(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns with a value that vary or have missing values."""
-    row = constant_stats(df, columns).first()
+def _not_constant(row: Row, columns: Sequence[str]) -> list[str]:
     keep = [c for c in columns if row[c]["n"] and (row[c]["lo"] != row[c]["hi"] or row[c]["nans"])]
     if not keep:
         raise WorkbenchError("INVALID_DATA", "all features are constant", columns=list(columns))
     return keep
 
 
+def constant_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with a struct for each column: ``lo, hi, n, nans`` over its numbers."""
+    return df.agg(*_constants(columns))
+
+
+def select_non_constant(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns with a value that vary or have missing values."""
+    return _not_constant(constant_stats(df, columns).first(), columns)
+
+
 def _fingerprint(values: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """Rows of float32 and a salt each → the last eight bytes of SHA-256, as a part of 2^64-1."""
     x = values.astype(np.float64)
@@ -54,11 +62,10 @@ def _fingerprint(values: np.ndarray, salt: np.ndarray) -> np.ndarray:
         x = np.where(np.isinf(x), np.nan, np.round(x / TINY) * TINY)
     raw = np.ascontiguousarray(x.astype("<f4"))
     raw[np.isnan(raw)] = np.nan
-    out = np.empty(len(raw), np.float32)
-    for k in range(len(raw)):
-        h = hashlib.sha256(raw[k].tobytes() + struct.pack("<q", int(salt[k]))).digest()
-        out[k] = np.float32(int.from_bytes(h[-8:], "big") / (2**64 - 1))
-    return out
+    body = np.concatenate([raw.view(np.uint8), np.asarray(salt).astype("<i8")[:, None].view(np.uint8)], axis=1)
+    size, body = body.shape[1], body.tobytes()
+    tails = b"".join(hashlib.sha256(body[k : k + size]).digest()[-8:] for k in range(0, len(body), size))
+    return (np.frombuffer(tails, ">u8").astype(np.float64) / (2**64 - 1)).astype(np.float32)
 
 
 def row_fingerprint(df: DataFrame, columns: Sequence[str], salt: Column | int, name: str = FINGERPRINT) -> DataFrame:
@@ -74,31 +81,37 @@ def row_fingerprint(df: DataFrame, columns: Sequence[str], salt: Column | int, n
 
 
 def row_fingerprint_distinct(df: DataFrame, columns: Sequence[str], salt: int, row_id: str, name: str = FINGERPRINT) -> DataFrame:
-    """As above, but the k-th repeat of equal rows has salt + k."""
-    same = [F.hash(F.lit(7)), *[float_column(c) for c in columns]]
-    turn = Window.partitionBy(*same[1:]).orderBy(row_id)
-    return row_fingerprint(df.withColumn("_k", F.row_number().over(turn) - 1), columns, F.lit(salt) + F.col("_k"), name).drop("_k")
+    """As above, but the k-th repeat of equal rows, in the order of ``row_id``, has salt + k."""
+    same = [f"_f{k}" for k in range(len(columns))]
+    x = df.withColumns({s: float_column(c) for s, c in zip(same, columns, strict=True)})
+    x = index_within(x, same, [row_id], "_k").drop(*same)
+    return row_fingerprint(x, columns, F.lit(salt) + F.col("_k"), name).drop("_k")
 
 
-def clip_bounds(df: DataFrame, columns: Sequence[str], sigma: float = SIGMA) -> dict[str, tuple[float, float]]:
-    """mean ± sigma x sample deviation, twice: first over all finite values, then over those inside."""
+def _moments(columns: Sequence[str], within: dict[str, tuple[float, float]] | None = None) -> list[Column]:
+    """Mean and sample deviation of each column's finite values, or of those within its bounds."""
+    aggs = []
+    for c in columns:
+        v = finite_or_null(as_double(c))
+        if within:
+            v = F.when(v.between(*map(F.lit, within[c])), v)
+        aggs += [F.avg(v).alias(f"m:{c}"), F.stddev_samp(v).alias(f"s:{c}")]
+    return aggs
+
 
-    def bounds(within: dict[str, tuple[float, float]] | None) -> dict[str, tuple[float, float]]:
-        aggs = []
-        for c in columns:
-            v = finite_or_null(as_double(c))
-            if within:
-                v = F.when(v.between(*map(F.lit, within[c])), v)
-            aggs += [F.avg(v).alias(f"m:{c}"), F.stddev_samp(v).alias(f"s:{c}")]
-        row = df.agg(*aggs).first()
-        out = {}
-        for c in columns:
-            m, s = row[f"m:{c}"] or 0.0, row[f"s:{c}"]
-            s = 0.0 if s is None or math.isnan(s) else s
-            out[c] = (m - sigma * s, m + sigma * s)
-        return out
+def _bounds(row: Row, columns: Sequence[str], sigma: float) -> dict[str, tuple[float, float]]:
+    out = {}
+    for c in columns:
+        m, s = row[f"m:{c}"] or 0.0, row[f"s:{c}"]
+        s = 0.0 if s is None or math.isnan(s) else s
+        out[c] = (m - sigma * s, m + sigma * s)
+    return out
 
-    return bounds(bounds(None))
+
+def clip_bounds(df: DataFrame, columns: Sequence[str], sigma: float = SIGMA) -> dict[str, tuple[float, float]]:
+    """mean ± sigma x sample deviation, twice: first over all finite values, then over those inside."""
+    first = _bounds(df.agg(*_moments(columns)).first(), columns, sigma)
+    return _bounds(df.agg(*_moments(columns, first)).first(), columns, sigma)
 
 
 def soft_clip(c: Column, lower: float, upper: float) -> Column:
@@ -107,13 +120,15 @@ def soft_clip(c: Column, lower: float, upper: float) -> Column:
     return F.when(is_finite(c), F.least(F.lit(upper) + F.log1p(F.abs(a)), a)).otherwise(c)
 
 
-def standardizer(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation over finite values; a deviation of 0 (or one value) scales by 1."""
+def _spread(columns: Sequence[str]) -> list[Column]:
     aggs = []
     for c in columns:
         v = finite_or_null(as_double(c))
         aggs += [F.avg(v).alias(f"m:{c}"), F.stddev_pop(v).alias(f"s:{c}"), F.count(v).alias(f"n:{c}")]
-    row = df.agg(*aggs).first()
+    return aggs
+
+
+def _scales(row: Row, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     out = {}
     for c in columns:
         s = row[f"s:{c}"] or 0.0
@@ -121,6 +136,11 @@ def standardizer(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float
     return out
 
 
+def standardizer(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation over finite values; a deviation of 0 (or one value) scales by 1."""
+    return _scales(df.agg(*_spread(columns)).first(), columns)
+
+
 def standardize(c: Column, mean: float, scale: float) -> Column:
     return (F.when(c.isNull() | F.isnan(c), F.lit(mean)).otherwise(c) - mean) / scale
 
@@ -131,10 +151,17 @@ def standardize_clamp(c: Column, mean: float, scale: float, low: float, high: fl
     return F.least(F.greatest((c - mean) / scale, F.lit(low)), F.lit(high))
 
 
+def _target_aggs(target: str) -> list[Column]:
+    return [F.avg(as_double(target)).alias("mean of target"), F.stddev_pop(as_double(target)).alias("spread of target")]
+
+
+def _goal(row: Row) -> tuple[float, float]:
+    scale = float(np.float32(row["spread of target"] or 0.0))
+    return float(np.float32(row["mean of target"] or 0.0)), scale if scale > TINY else 1.0
+
+
 def target_statistics(df: DataFrame, target: str) -> tuple[float, float]:
-    row = df.agg(F.avg(as_double(target)).alias("m"), F.stddev_pop(as_double(target)).alias("s")).first()
-    scale = float(np.float32(row["s"] or 0.0))
-    return float(np.float32(row["m"] or 0.0)), scale if scale > TINY else 1.0
+    return _goal(df.agg(*_target_aggs(target)).first())
 
 
 def univariate_weights(df: DataFrame, columns: Sequence[str], target: str) -> dict[str, float]:
@@ -203,20 +230,25 @@ def transform_features(df: DataFrame, state: Fitted, *, row_id: str | None = Non
 
 
 def fit_preprocessing(train: DataFrame, features: Sequence[str], target: str, row_id: str, *, fingerprint: bool = True, context_id: str = "", **order: object) -> Fitted:
-    """Four aggregations over the training rows, whatever the number of features."""
-    df = train.persist()
-    try:
-        used = select_non_constant(df, features)
-        salt = df.count() * len(used)
-        full = row_fingerprint_distinct(df, used, salt, row_id) if fingerprint else df
-        names = permutation([*used, FINGERPRINT] if fingerprint else used, **order)
-        bounds = clip_bounds(full, names)
-        clipped = full.select(F.col(target), *[soft_clip(as_double(c), *bounds[c]).alias(c) for c in names])
-        scales, goal = standardizer(clipped, names), target_statistics(df, target)
-        scaled = clipped.select(standardize(as_double(target), *goal).alias(target), *[standardize(F.col(c), *scales[c]).alias(c) for c in names])
-        return Fitted(list(features), names, salt, bounds, scales, univariate_weights(scaled, names, target), goal, fingerprint, context_id)
-    finally:
-        df.unpersist()
+    """Three aggregations over the training rows, whatever the number of features; with ``fingerprint`` the rows are written once with it,
+    which needs one more. A weight is sum(x t) / sum(x x) of a clipped, standardised feature and the standardised target, from their
+    covariance; values that aren't finite take no part in it."""
+    features = list(features)
+    row = train.agg(F.count(F.lit(1)).alias("count of rows"), *_constants(features), *_moments(features), *_target_aggs(target)).first()
+    used, goal = _not_constant(row, features), _goal(row)
+    salt = row["count of rows"] * len(used)
+    first = _bounds(row, used, SIGMA)
+    full, names = train, permutation([*used, FINGERPRINT] if fingerprint else used, **order)
+    if fingerprint:
+        full = stored(row_fingerprint_distinct(train.select(row_id, target, *used), used, salt, row_id), "fingerprinted")
+        first |= _bounds(full.agg(*_moments([FINGERPRINT])).first(), [FINGERPRINT], SIGMA)
+    bounds = _bounds(full.agg(*_moments(names, first)).first(), names, SIGMA)
+    clipped = full.select(F.col(target), *[soft_clip(as_double(c), *bounds[c]).alias(c) for c in names])
+    pairs = [a for c in names for v in [finite_or_null(F.col(c))] for a in (F.covar_pop(v, as_double(target)).alias(f"c:{c}"), F.var_pop(v).alias(f"v:{c}"))]
+    row = clipped.agg(*_spread(names), *pairs).first()
+    scales = _scales(row, names)
+    weights = {c: (row[f"c:{c}"] or 0.0) / row[f"v:{c}"] * scales[c][1] / goal[1] if row[f"v:{c}"] else 0.0 for c in names}
+    return Fitted(features, names, salt, bounds, scales, weights, goal, fingerprint, context_id)
 
 
 def score_linear(matrix: DataFrame, state: Fitted, keep: Sequence[str] = (), name: str = "mean") -> DataFrame:

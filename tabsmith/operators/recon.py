@@ -9,26 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.errors import WorkbenchError
+from tabsmith.operators.times import TIMES, utc_text
 
 
 def normalize_cells(df: DataFrame, digits: int = 6) -> DataFrame:
     """Times as UTC ISO text, floats rounded."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, TIMES):
+            c = utc_text(c, f.dataType, 3)
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("string")
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = F.round(c.cast("double"), digits)
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
-def _differs(kind: T.DataType, a: Column, b: Column, tol: float) -> Column:
-    if isinstance(kind, T.NumericType):
-        return ~(a.eqNullSafe(b) | F.coalesce(F.abs(a.cast("double") - b.cast("double")) <= tol, F.lit(False)))
+EXACT = (T.IntegralType, T.DecimalType)
+
+
+def _differs(kinds: tuple[T.DataType, T.DataType], a: Column, b: Column, tol: float) -> Column:
+    """Integers and decimals are held against each other exactly, other numbers as doubles."""
+    if all(isinstance(k, T.NumericType) for k in kinds):
+        if all(isinstance(k, EXACT) for k in kinds):
+            a, b = (x.cast("decimal(38,0)") if isinstance(k, T.IntegralType) else x for x, k in zip((a, b), kinds, strict=True))
+            gap = F.abs(a - b).cast("double")
+        else:
+            gap = F.abs(a.cast("double") - b.cast("double"))
+        return ~(a.eqNullSafe(b) | F.coalesce(gap <= tol, F.lit(False)))
     return ~a.eqNullSafe(b)
 
 
@@ -40,7 +50,7 @@ def diff_tables(actual: DataFrame, expected: DataFrame, *, on: str = "row_ordina
     names = list(columns or [c for c in actual.columns if c != on])
     a, b = actual.select(on, F.struct(*names).alias("a")), expected.select(on, F.struct(*names).alias("b"))
     x = a.join(b, on, "full_outer")
-    kinds = {f.name: f.dataType for f in expected.schema.fields}
+    kinds = {f.name: (actual.schema[f.name].dataType, f.dataType) for f in expected.schema.fields}
     one = F.col("a").isNull() | F.col("b").isNull()
     cells = [F.when(one, F.when(F.lit(k == 0), F.struct(F.lit("<row>").alias("column"), F.when(F.col("a").isNull(), "missing").otherwise("extra").alias("actual"), F.lit(None).cast("string").alias("expected")))).when(_differs(kinds[c], F.col(f"a.{c}"), F.col(f"b.{c}"), tol), F.struct(F.lit(c).alias("column"), F.col(f"a.{c}").cast("string").alias("actual"), F.col(f"b.{c}").cast("string").alias("expected"))) for k, c in enumerate(names)]
     return x.select(on, F.explode(F.array_compact(F.array(*cells))).alias("d")).select(on, "d.*")

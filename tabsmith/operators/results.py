@@ -1,7 +1,7 @@
 """Prediction results: the gate before publication, joins back to rows, runs and scenarios, chart series.
 
 Runs live in an event table (``request_id, stream_id, generation, seq, kind, baseline, experiment``), with
-kinds reserve, publish, cancel, fail, rollback and delete. States and pointers are derived from it, never changed.
+kinds reserve, publish, cancel, fail, rollback and delete. States and pointers are derived from it (see ``runs``), never changed.
 """
 
 from __future__ import annotations
@@ -74,62 +74,19 @@ def with_truth_and_ordinal(test: DataFrame, truth: DataFrame, on: str) -> DataFr
     return global_index(out, [F.col(on).asc()], ordinal).orderBy(ordinal)
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """A row per request: ``request_id, stream_id, generation, baseline, experiment, seq, status``. The first closing
-    event counts. A pending run of no baseline is superseded once its stream reserves a newer generation; a
-    publication of one that was superseded before is refused; a deleted run is gone."""
-    first = events.where("kind = 'reserve'").groupBy("request_id").agg(*[F.min_by(c, "seq").alias(c) for c in ("stream_id", "generation", "baseline", "experiment")], F.min("seq").alias("seq"))
-    end = events.where("kind in ('publish', 'cancel', 'fail')").groupBy("request_id").agg(F.min(F.struct("seq", "kind")).alias("end"))
-    undone = events.where("kind in ('rollback', 'delete')").groupBy("request_id").agg(F.max_by("kind", "seq").alias("undone"))
-    # generations rise with seq in a stream, so the next reservation is the one that supersedes
-    by = Window.partitionBy("stream_id").orderBy("seq")
-    newest = F.max("generation").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    first = first.withColumn("stale", F.coalesce(F.col("generation") <= newest, F.lit(False)))
-    counted = first.where(~F.col("stale"))
-    next_seq = F.min(F.when(~F.col("experiment"), F.col("seq"))).over(by.rowsBetween(1, Window.unboundedFollowing))
-    x = counted.withColumn("next_seq", next_seq).join(end, "request_id", "left").join(undone, "request_id", "left")
-    before_end = F.col("next_seq").isNotNull() & (F.col("end").isNull() | (F.col("next_seq") < F.col("end.seq")))
-    status = (
-        F.when(F.col("undone") == "delete", "deleted")
-        .when(F.col("undone") == "rollback", "rolled_back")
-        .when(before_end & ~F.col("baseline") & ~F.col("experiment"), "superseded")
-        .when(F.col("end.kind") == "publish", "published")
-        .when(F.col("end.kind") == "cancel", "cancelled")
-        .when(F.col("end.kind") == "fail", "failed")
-        .otherwise("pending")
-    )
-    cols = ["request_id", "stream_id", "generation", "baseline", "experiment", "seq"]
-    done = x.select(*cols, status.alias("status"))
-    refused = first.where("stale").select(*cols, F.lit("refused").alias("status"))
-    return done.union(refused)
-
-
 def run_history(states: DataFrame, stream: str) -> DataFrame:
-    return states.where((F.col("stream_id") == stream) & (F.col("status") != "deleted")).orderBy("seq")
-
-
-def stream_heads(states: DataFrame) -> DataFrame:
-    """The generation that each stream points at: the newest reserved, unless it failed or was rolled back; then the
-    highest published that is no experiment. Cancelling does not move it back."""
-    x = states.where(~F.col("experiment") & ~F.col("status").isin("refused", "deleted"))
-    stands = F.col("status").isin("failed", "rolled_back")
-    return x.groupBy("stream_id").agg(
-        F.coalesce(
-            F.when(~F.max_by(stands, "generation"), F.max("generation")),
-            F.max(F.when(F.col("status") == "published", F.col("generation"))),
-        ).alias("head")
-    )
+    return states.where((F.col("stream_id") == stream) & ~F.col("status").isin("deleted", "refused")).orderBy("seq")
 
 
-def current_runs(states: DataFrame) -> DataFrame:
-    """The published run at each stream's head; none while a newer one is pending."""
-    return states.where("status = 'published'").join(stream_heads(states), "stream_id").where("generation = head").select("stream_id", "request_id", "generation")
+def current_runs(states: DataFrame, heads: DataFrame) -> DataFrame:
+    """The published run at each stream's head, the last of them if several have its generation; none while it is pending."""
+    x = states.where("status = 'published'").join(heads.select("stream_id", F.col("head").alias("generation")), ["stream_id", "generation"])
+    return x.groupBy("stream_id", "generation").agg(F.max_by("request_id", "seq").alias("request_id"))
 
 
-def baseline_runs(states: DataFrame) -> DataFrame:
-    """The latest published baseline of each stream."""
-    x = states.where("baseline and status = 'published'")
-    return x.groupBy("stream_id").agg(F.max_by("request_id", "seq").alias("request_id"), F.max("seq").alias("seq"))
+def baseline_runs(heads: DataFrame) -> DataFrame:
+    """The baseline that each stream points at."""
+    return heads.where("baseline is not null").select("stream_id", F.col("baseline").alias("request_id"))
 
 
 def last_good(states: DataFrame) -> DataFrame:

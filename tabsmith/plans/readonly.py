@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.order import global_index
-from tabsmith.storage import stored
 
 #: Heads a statement may have, and table functions that read nothing.
 HEADS = ("with", "select", "values", "table")
 FUNCTIONS = ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "sequence")
+#: Functions that run code by its name.
+REFUSED = ("reflect", "java_method", "try_reflect")
 _lock = threading.Lock()
 
 
@@ -39,12 +40,27 @@ def check_readonly(spark: SparkSession, sql: str) -> None:
             name = node.name().mkString(".").lower()
             if name not in FUNCTIONS:
                 raise WorkbenchError("INVALID_QUERY", f"table function {name} is not allowed")
+        _check_functions(node)
         below = node.children()
         todo += [below.apply(k) for k in range(below.size())]
         inner = node.innerChildren()
         todo += [x for k in range(inner.size()) if hasattr(x := inner.apply(k), "innerChildren")]
 
 
+def _check_functions(node: Any) -> None:
+    """Refuses functions of ``REFUSED`` and those of a catalog, which may be anyone's code, anywhere in a plan node's expressions."""
+    held = node.expressions()
+    todo = [held.apply(k) for k in range(held.size())]
+    while todo:
+        e = todo.pop()
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            parts = [str(p).lower() for p in (e.nameParts().apply(k) for k in range(e.nameParts().size()))]
+            if parts[-1] in REFUSED or len(parts) > 1:
+                raise WorkbenchError("INVALID_QUERY", f"function {'.'.join(parts)} is not allowed")
+        below = e.children()
+        todo += [below.apply(k) for k in range(below.size())]
+
+
 def query(spark: SparkSession, sql: str, args: Sequence[Any] | dict[str, Any] | None = None) -> DataFrame:
     """Runs a read-only statement with typed parameters (``?`` in order, or ``:name``)."""
     check_readonly(spark, sql)
@@ -80,5 +96,5 @@ def with_row_ordinal(df: DataFrame, order: Sequence[Any]) -> DataFrame:
 
 
 def materialize(df: DataFrame, order: Sequence[Any]) -> DataFrame:
-    """Freezes a result with its ordinals."""
-    return stored(global_index(df, order), "materialized")
+    """Freezes a result with its ordinals: they are made from rows that have been written."""
+    return global_index(df, order)

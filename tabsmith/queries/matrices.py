@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tabsmith.functions import distributions as dist
 from tabsmith.operators import features as ft
 from tabsmith.operators import prep
+from tabsmith.operators.catalog import logical_digest
 from tabsmith.operators.order import global_index
 from tabsmith.operators.scorer import predict, register_scorer
 from tabsmith.queries.core import register, table
+from tabsmith.queries.storage import PRICE, digest_sql
 from tabsmith.storage import fresh_path, stored
 
 X = ["l_quantity", "l_discount", "l_tax"]
@@ -135,12 +137,12 @@ def fitted(spark, d):
 @register(
     "g09_transform_features",
     """WITH s AS (SELECT avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs, avg(l_discount) AS dm, stddev_pop(l_discount) AS ds, avg(l_tax) AS tm, stddev_pop(l_tax) AS ts FROM lineitem)
-    SELECT count(*) AS n, round(sum(abs(CAST((l_quantity - qm) / qs AS FLOAT))), 0) AS q, round(sum(abs(CAST((l_discount - dm) / ds AS FLOAT))), 0) AS d, round(sum(abs(CAST((l_tax - tm) / ts AS FLOAT))), 0) AS t FROM lineitem, s""",
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity - qm) / qs, 4) AS q, round((l_discount - dm) / ds, 4) AS d, round((l_tax - tm) / ts, 4) AS t FROM lineitem, s""",
 )
 def g09(spark, d):
     x, state = fitted(spark, d)
-    m = prep.transform_features(x, state)
-    return m.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.abs(F.col(c).cast("double"))), 0).alias(a) for c, a in zip(X, "qdt", strict=True)])
+    m = prep.transform_features(x, state, keep=KEY)
+    return m.select(*KEY, *[F.round(F.col(c).cast("double"), 4).alias(a) for c, a in zip(X, "qdt", strict=True)])
 
 
 @register(
@@ -154,6 +156,15 @@ def g10(spark, d):
     return spark.createDataFrame(rows, "feature string, mean double, scale double").select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
 
 
+@register("g10_with_fingerprint", "SELECT 'l_discount' AS feature, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS scale, count(*) * 3 AS salt FROM lineitem UNION ALL SELECT 'l_quantity', round(avg(l_quantity), 6), round(stddev_pop(l_quantity), 6), count(*) * 3 FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax), 6), round(stddev_pop(l_tax), 6), count(*) * 3 FROM lineitem")
+def g10_with(spark, d):
+    """With the fingerprint as a feature; its own scale is a hash's, and is tested elsewhere."""
+    x = table(spark, d, "lineitem").select(*X, Y).withColumn("row_id", F.xxhash64(*X, Y))
+    state = prep.fit_preprocessing(x, X, Y, "row_id", seed=3)
+    rows = [(c, *state.scales[c], state.salt) for c in state.used if c in X]
+    return spark.createDataFrame(rows, "feature string, mean double, scale double, salt long").select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"), "salt")
+
+
 @register("g11_standardize_clamp", "SELECT o_orderkey, round(least(greatest((o_totalprice - 150000) / 80000, -1), 1), 8) AS z FROM orders")
 def g11(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(prep.standardize_clamp(F.col("o_totalprice"), 150000.0, 80000.0, -1.0, 1.0), 8).alias("z"))
@@ -189,29 +200,32 @@ def g14(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(prep.inverse_target(z, 1000.0, 500.0).cast("double"), 1).alias("v"))
 
 
-@register("g15_training_digest")
-def g15(spark, d):
-    from tabsmith.operators.catalog import logical_digest
+MATRIX = digest_sql("(SELECT o_orderkey, CAST(CAST(o_custkey AS FLOAT) AS DOUBLE) AS c, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS p FROM orders)", {"o_custkey": "CAST(CAST(c AS BIGINT) AS VARCHAR)", "o_totalprice": "CASE WHEN p = floor(p) THEN CAST(CAST(p AS BIGINT) AS VARCHAR) ELSE CAST(p AS VARCHAR) END"}, "o_orderkey")
+
 
+@register("g15_training_digest", "WITH " + MATRIX + " SELECT digest, count(*) AS n FROM blocks_all, orders GROUP BY digest")
+def g15(spark, d):
     m = global_index(ft.to_float32(table(spark, d, "orders"), ["o_custkey", "o_totalprice"], keep=["o_orderkey"]), ["o_orderkey"])
     return spark.createDataFrame([(logical_digest(m.drop("o_orderkey"), ordinal="row_ordinal"), m.count())], "digest string, n long")
 
 
-@register("g16_context_id")
-def g16(spark, d):
-    from tabsmith.operators.catalog import logical_digest
+PAIRS = digest_sql("orders", {"o_orderkey": "CAST(o_orderkey AS VARCHAR)", "o_totalprice": PRICE}, "o_orderkey")
 
+
+@register("g16_context_id", "WITH " + PAIRS + """ SELECT shift, sha256('{"args":[],"config":{"shift":' || shift || '},"features":["o_custkey"],"model":"linear","sql":"SELECT 1","target":"o_totalprice","training":"' || digest || '","version":"1"}') AS context_id FROM blocks_all, (VALUES (0), (1), (0)) AS t(shift)""")
+def g16(spark, d):
     digest = logical_digest(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
-    ids = [prep.context_id("linear", "1", digest, "SELECT 1", [], ["o_custkey"], "o_totalprice", {"shift": s}) for s in (0, 1, 0)]
-    return spark.createDataFrame([(i, len(set(ids))) for i in ids], "context_id string, different long")
+    ids = [(s, prep.context_id("linear", "1", digest, "SELECT 1", [], ["o_custkey"], "o_totalprice", {"shift": s})) for s in (0, 1, 0)]
+    return spark.createDataFrame(ids, "shift int, context_id string")
 
 
-@register("g17_fit_or_reuse", "SELECT false AS first_reused, true AS second_reused, true AS same FROM lineitem HAVING count(*) > 0")
+@register("g17_fit_or_reuse", """SELECT feature, round(mean, 6) AS mean, round(scale, 6) AS scale, reused FROM (SELECT 'l_discount' AS feature, avg(l_discount) AS mean, stddev_pop(l_discount) AS scale FROM lineitem
+    UNION ALL SELECT 'l_quantity', avg(l_quantity), stddev_pop(l_quantity) FROM lineitem UNION ALL SELECT 'l_tax', avg(l_tax), stddev_pop(l_tax) FROM lineitem), (VALUES (false), (true)) AS t(reused)""")
 def g17(spark, d):
     path = fresh_path(spark, "contexts")
-    one, a = prep.fit_or_reuse(spark, path, "ctx-1", lambda: fitted(spark, d)[1])
-    two, b = prep.fit_or_reuse(spark, path, "ctx-1", lambda: fitted(spark, d)[1])
-    return spark.createDataFrame([(a, b, one.scales == {k: tuple(v) for k, v in two.scales.items()})], "first_reused boolean, second_reused boolean, same boolean")
+    made = [prep.fit_or_reuse(spark, path, "ctx-1", lambda: fitted(spark, d)[1]) for _ in range(2)]
+    rows = [(c, *s, reused) for state, reused in made for c, s in state.scales.items()]
+    return spark.createDataFrame(rows, "feature string, mean double, scale double, reused boolean").select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"), "reused")
 
 
 BINS = 64
@@ -267,10 +281,11 @@ def h06(spark, d):
     return dist.check_distribution(table(spark, d, "embeddings").withColumn("e", odd), "e", 64)
 
 
-@register("l01_scorer", LINEAR.replace("p AS (SELECT z.*, (wq * q + wd * d + wt * t) * ys + ym AS mean FROM z, w)", "p AS (SELECT 1)") + " SELECT count(*) AS n, round(sum(abs(q))) AS total FROM z")
+@register("l01_scorer", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(abs(q), 3) AS size FROM (SELECT *, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS q FROM lineitem)")
 def l01(spark, d):
     x, state = fitted(spark, d)
     x = global_index(x, [*KEY, "row_id"])
     at = state.used.index("l_quantity")
     register_scorer("size_of_first", lambda s, m: abs(m[:, s]), at)
-    return predict(x, state, name="size_of_first").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mean")).alias("total"))
+    found = predict(x, state, name="size_of_first")
+    return x.select(*KEY, "row_ordinal").join(found, "row_ordinal").select(*KEY, F.round(F.col("mean").cast("double"), 3).alias("size"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.operators import recon, results
+from tabsmith.operators import recon, results, runs
 from tabsmith.operators.order import global_index
 from tabsmith.queries.core import register, table
+from tabsmith.queries.matrices import KEY, LINEAR, fitted
 from tabsmith.sources.writers import query_results, register_results
 from tabsmith.storage import fresh_path, stored
 from tabsmith.streaming.runs import latest_per_stream, run_state, score_stream
@@ -57,56 +58,70 @@ def i04(spark, d):
     return results.with_truth_and_ordinal(p.select("business_key", F.lit(7).alias("truth")), p.select("business_key", "truth"), "business_key")
 
 
+#: The rules of ``operators.runs`` as a recursive query: a step is each stream's next event, a row its head, baseline and all its runs.
+STATES = """WITH RECURSIVE raw AS (SELECT event_id AS i, 'r' || event_id AS r, 's' || (user_id % 400) AS stream_id, CASE WHEN event_id % 70 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 1 ELSE event_id + 1 END AS g, event_id % 10 = 0 AS b, event_id % 11 = 0 AS x FROM events),
+ev AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM (
+  SELECT stream_id, r, g, b, x, i * 10 AS seq, 'reserve' AS kind FROM raw
+  UNION ALL SELECT stream_id, r, g, b, x, i * 10 + 1 + (i % 3) * 4000, CASE WHEN i % 4 = 2 THEN 'cancel' WHEN i % 4 = 3 THEN 'fail' ELSE 'publish' END FROM raw WHERE i % 7 <> 0
+  UNION ALL SELECT stream_id, r, g, b, x, i * 10 + 9002, CASE WHEN i % 40 < 20 THEN 'rollback' ELSE 'delete' END FROM raw WHERE i % 20 < 2)),
+st AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS head, CAST(NULL AS VARCHAR) AS base, CAST([] AS STRUCT(r VARCHAR, g BIGINT, b BOOLEAN, x BOOLEAN, s BIGINT, status VARCHAR, p VARCHAR)[]) AS runs FROM ev
+UNION ALL SELECT stream_id, n,
+  CASE WHEN kind = 'reserve' AND moves THEN g WHEN kind IN ('fail', 'rollback') AND hit THEN list_max([q.g FOR q IN runs IF q.status = 'published' AND NOT q.x AND q.r <> r]) ELSE head END,
+  CASE WHEN kind = 'publish' AND hit AND NOT old AND (me.b OR me.g = 0) THEN r
+       WHEN kind = 'delete' AND base = r THEN NULL
+       WHEN kind = 'rollback' AND hit AND base = r THEN CASE WHEN len([q FOR q IN runs IF q.r = me.p AND q.status = 'published']) > 0 THEN me.p END ELSE base END,
+  CASE WHEN kind = 'reserve' THEN list_append(list_transform(runs, lambda q: CASE WHEN moves AND q.status = 'pending' AND q.g < g AND NOT q.b THEN struct_pack(r := q.r, g := q.g, b := q.b, x := q.x, s := q.s, status := 'superseded', p := q.p) ELSE q END),
+         struct_pack(r := r, g := g, b := b, x := x, s := seq, status := CASE WHEN refused THEN 'refused' ELSE 'pending' END, p := CAST(NULL AS VARCHAR)))
+       WHEN hit THEN list_transform(runs, lambda q: CASE WHEN q.s = me.s THEN struct_pack(r := q.r, g := q.g, b := q.b, x := q.x, s := q.s,
+         status := CASE kind WHEN 'publish' THEN CASE WHEN old THEN 'superseded' ELSE 'published' END WHEN 'cancel' THEN 'cancelled' WHEN 'delete' THEN 'deleted' ELSE 'failed' END,
+         p := CASE WHEN kind = 'publish' THEN base ELSE q.p END) ELSE q END)
+       ELSE runs END
+FROM (SELECT *, NOT refused AND NOT x AND (NOT (b OR g = 0) OR head IS NULL) AS moves, me IS NOT NULL AND (kind = 'delete' OR kind = 'rollback' AND me.status = 'published' OR kind IN ('publish', 'cancel', 'fail') AND me.status = 'pending') AS hit,
+        NOT me.x AND NOT (me.b OR me.g = 0) AND head IS NOT NULL AND head <> me.g AS old
+  FROM (SELECT st.stream_id, st.head, st.base, st.runs, ev.n, ev.r, ev.g, ev.b, ev.x, ev.seq, ev.kind,
+          NOT ev.x AND NOT (ev.b OR ev.g = 0) AND st.head IS NOT NULL AND ev.g <= st.head AS refused,
+          list_filter(st.runs, lambda q: q.r = ev.r AND q.status IN ('pending', 'published'))[1] AS me
+        FROM st JOIN ev ON ev.stream_id = st.stream_id AND ev.n = st.n + 1))),
+last AS (SELECT * FROM st JOIN (SELECT stream_id, max(n) AS n FROM ev GROUP BY 1) USING (stream_id, n)),
+states AS (SELECT stream_id, q.r AS request_id, q.g AS generation, q.b AS baseline, q.x AS experiment, q.s AS seq, q.status AS status FROM (SELECT stream_id, unnest(runs) AS q FROM last))"""
+
+
 def run_events(spark, d):
-    """Reservations and their ends, a request for each event."""
+    """Reservations, their ends and what is undone, a request for each event."""
     e, i = table(spark, d, "events"), F.col("event_id")
-    gen = F.when(i % 13 == 0, F.lit(1)).otherwise(i + 1)
+    gen = F.when(i % 70 == 0, F.lit(0)).when(i % 13 == 0, F.lit(1)).otherwise(i + 1)
     req = F.concat(F.lit("r"), i.cast("string")).alias("request_id")
-    stream = F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string")).alias("stream_id")
-    flags = [(i % 10 == 0).alias("baseline"), (i % 11 == 0).alias("experiment")]
-    start = e.select(req, stream, gen.alias("generation"), (i * 2).alias("seq"), F.lit("reserve").alias("kind"), *flags)
-    kind = F.when(i % 4 == 2, "cancel").when(i % 4 == 3, "fail").otherwise("publish")
-    end = e.where(i % 7 != 0).select(req, stream, gen.alias("generation"), (i * 2 + 1 + (i % 3) * 100).alias("seq"), kind.alias("kind"), *flags)
-    back = e.where(i % 40 == 1).select(req, stream, gen.alias("generation"), (i * 2 + 1000).alias("seq"), F.when(i % 80 == 1, "rollback").otherwise("delete").alias("kind"), *flags)
-    return start.union(end).union(back)
-
-
-STATES = """WITH e AS (SELECT event_id AS i, 'r' || event_id AS request_id, 's' || (user_id % 50) AS stream_id, CASE WHEN event_id % 13 = 0 THEN 1 ELSE event_id + 1 END AS generation, event_id * 2 AS seq, event_id % 10 = 0 AS baseline, event_id % 11 = 0 AS experiment FROM events),
-s AS (SELECT *, coalesce(generation <= max(generation) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM e),
-n AS (SELECT *, min(seq) FILTER (WHERE NOT experiment) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_seq, CASE WHEN i % 7 <> 0 THEN seq + 1 + (i % 3) * 100 END AS end_seq FROM s WHERE NOT stale),
-states AS (SELECT request_id, stream_id, generation, baseline, experiment, seq,
-  CASE WHEN i % 40 = 1 AND i % 80 <> 1 THEN 'deleted' WHEN i % 80 = 1 THEN 'rolled_back'
-       WHEN next_seq IS NOT NULL AND (end_seq IS NULL OR next_seq < end_seq) AND NOT baseline AND NOT experiment THEN 'superseded'
-       WHEN end_seq IS NULL THEN 'pending' WHEN i % 4 = 2 THEN 'cancelled' WHEN i % 4 = 3 THEN 'failed' ELSE 'published' END AS status FROM n
-  UNION ALL SELECT request_id, stream_id, generation, baseline, experiment, seq, 'refused' FROM s WHERE stale)"""
+    stream = F.concat(F.lit("s"), (F.col("user_id") % 400).cast("string")).alias("stream_id")
+    end = F.when(i % 4 == 2, "cancel").when(i % 4 == 3, "fail").otherwise("publish")
+    undone = F.when(i % 40 < 20, "rollback").otherwise("delete")
+    each = [F.struct((i * 10).alias("seq"), F.lit("reserve").alias("kind")), F.when(i % 7 != 0, F.struct((i * 10 + 1 + (i % 3) * 4000).alias("seq"), end.alias("kind"))), F.when(i % 20 < 2, F.struct((i * 10 + 9002).alias("seq"), undone.alias("kind")))]
+    out = e.select(req, stream, gen.alias("generation"), (i % 10 == 0).alias("baseline"), (i % 11 == 0).alias("experiment"), F.explode(F.array_compact(F.array(*each))).alias("e"))
+    return out.select("request_id", "stream_id", "generation", "baseline", "experiment", "e.seq", "e.kind")
 
 
 def states(spark, d):
-    return results.run_states(run_events(spark, d))
+    return runs.run_states(runs.replayed(run_events(spark, d)))
 
 
-@register("i05_run_history", STATES + " SELECT request_id, generation, seq, status FROM states WHERE stream_id = 's7' AND status <> 'deleted'")
+@register("i05_run_history", STATES + " SELECT stream_id, request_id, generation, seq, status FROM states WHERE stream_id = 's7' AND status NOT IN ('deleted', 'refused')")
 def i05(spark, d):
-    return results.run_history(states(spark, d), "s7").select("request_id", "generation", "seq", "status")
+    return results.run_history(states(spark, d), "s7").select("stream_id", "request_id", "generation", "seq", "status")
 
 
-HEADS = """, h AS (SELECT stream_id, coalesce(CASE WHEN NOT arg_max(status IN ('failed', 'rolled_back'), generation) THEN max(generation) END, max(generation) FILTER (WHERE status = 'published')) AS head
-FROM states WHERE NOT experiment AND status NOT IN ('refused', 'deleted') GROUP BY stream_id)"""
-
-
-@register("i06_current_run", STATES + HEADS + " SELECT stream_id, request_id, generation FROM states JOIN h USING (stream_id) WHERE status = 'published' AND generation = head")
+@register("i06_current_run", STATES + " SELECT stream_id, arg_max(request_id, seq) AS request_id, generation FROM states JOIN last USING (stream_id) WHERE status = 'published' AND generation = head GROUP BY stream_id, generation")
 def i06(spark, d):
-    return results.current_runs(stored(states(spark, d), "states"))
+    changes = stored(runs.replayed(run_events(spark, d)), "changes")
+    return results.current_runs(runs.run_states(changes), runs.stream_heads(changes))
 
 
-@register("i07_baseline_run", STATES + " SELECT stream_id, arg_max(request_id, seq) AS request_id, max(seq) AS seq FROM states WHERE baseline AND status = 'published' GROUP BY stream_id")
+@register("i07_baseline_run", STATES + " SELECT stream_id, base AS request_id FROM last WHERE base IS NOT NULL")
 def i07(spark, d):
-    return results.baseline_runs(states(spark, d))
+    return results.baseline_runs(runs.stream_heads(runs.replayed(run_events(spark, d))))
 
 
-@register("i08_supersede", STATES + " SELECT status, count(*) AS n FROM states GROUP BY status")
+@register("i08_supersede", STATES + " SELECT request_id, status FROM states")
 def i08(spark, d):
-    return states(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return states(spark, d).select("request_id", "status")
 
 
 @register("i09_last_good", STATES + " SELECT stream_id, max(generation) AS generation FROM states WHERE status = 'published' AND NOT experiment GROUP BY stream_id")
@@ -119,6 +134,12 @@ def i10(spark, d):
     return states(spark, d).where("status = 'cancelled'").select("request_id", "stream_id")
 
 
+@register("i12_drop_run", STATES + " SELECT stream_id, count(*) FILTER (WHERE status <> 'deleted') AS kept, count(*) FILTER (WHERE status = 'deleted') AS gone FROM states GROUP BY stream_id")
+def i12(spark, d):
+    gone = F.col("status") == "deleted"
+    return states(spark, d).groupBy("stream_id").agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("gone"))
+
+
 @register("i11_query_results", "SELECT row_ordinal, CAST(business_key AS VARCHAR) AS business_key, mean, q25, q75 FROM (" + PREDICTED + ")")
 def i11(spark, d):
     root, x = fresh_path(spark, "results"), stored(as_results(spark, d), "as-results")
@@ -128,11 +149,6 @@ def i11(spark, d):
     return query_results(spark, root, "b").select("row_ordinal", "business_key", "mean", "q25", "q75")
 
 
-@register("i12_drop_run", STATES + " SELECT stream_id, count(*) AS kept FROM states WHERE status <> 'deleted' GROUP BY stream_id")
-def i12(spark, d):
-    return states(spark, d).where("status <> 'deleted'").groupBy("stream_id").agg(F.count(F.lit(1)).alias("kept"))
-
-
 @register("i13_error_by_group", "SELECT CAST(o_orderdate AS DATE) AS day, round(avg(abs(truth - mean)), 3) AS mae, round(sqrt(avg((truth - mean) * (truth - mean))), 3) AS rmse, count(*) AS n FROM (" + PREDICTED + ") GROUP BY 1")
 def i13(spark, d):
     out = results.error_by_group(predicted(spark, d), F.to_date("o_orderdate").alias("day"), "truth", "mean")
@@ -204,7 +220,7 @@ def j02(spark, d):
     return recon.normalize_cells(table(spark, d, "events").select("event_id", "ts", "value"))
 
 
-@register("k01_latest_per_stream", "SELECT stream_id, max(generation) AS generation, arg_max(request_id, generation) AS request_id FROM (SELECT 's' || (user_id % 50) AS stream_id, event_id + 1 AS generation, 'r' || event_id AS request_id FROM events WHERE event_id % 13 <> 0) GROUP BY stream_id")
+@register("k01_latest_per_stream", "SELECT stream_id, max(generation) AS generation, arg_max(request_id, generation) AS request_id FROM (SELECT 's' || (user_id % 400) AS stream_id, event_id + 1 AS generation, 'r' || event_id AS request_id FROM events WHERE event_id % 13 <> 0 AND event_id % 70 <> 0) GROUP BY stream_id")
 def k01(spark, d):
     """Over a stream of files, in update mode; the sink's last row of each stream is what a table would hold."""
     path = fresh_path(spark, "latest-in")
@@ -216,26 +232,26 @@ def k01(spark, d):
     return spark.read.parquet(out).groupBy("stream_id").agg(F.max_by(F.struct("generation", "request_id"), "batch").alias("l")).select("stream_id", "l.generation", "l.request_id")
 
 
-STREAMED = """SELECT stream_id, count(*) AS changes FROM (SELECT 's' || (user_id % 50) AS stream_id FROM events) GROUP BY stream_id"""
-
-
-@register("k02_run_state")
+@register("k02_run_state", STATES + " SELECT request_id, status FROM states")
 def k02(spark, d):
-    """The state machine over a stream of files, by final status."""
+    """The state machine over a stream of files, in three micro-batches; each reservation's last status."""
     path, out = fresh_path(spark, "runs-in"), fresh_path(spark, "runs-out")
-    run_events(spark, d).where("kind in ('reserve', 'publish', 'cancel', 'fail')").select("stream_id", "request_id", "generation", "kind", "seq").repartitionByRange(3, "seq").write.parquet(path)
-    src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = run_events(spark, d)
+    third = max(1, (events.agg(F.max("seq")).first()[0] or 0) // 3)
+    for k in range(3):  # files are read in the order of their times, and a stream has one file in each third
+        part = events.where(F.least(F.floor(F.col("seq") / third), F.lit(2)) == k)
+        part.repartition(4, "stream_id").write.mode("append").parquet(path)
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
     q = run_state(src).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "runs-cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out).groupBy("stream_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return runs.run_states(spark.read.parquet(out)).select("request_id", "status")
 
 
-@register("k03_score_stream", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0")
+@register("k03_score_stream", LINEAR + " SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(mean / 10) AS tens FROM p")
 def k03(spark, d):
-    from tabsmith.queries.matrices import KEY, fitted
-
+    """All rows of the table arrive as files and get the scores that the batch gives them."""
     x, state = fitted(spark, d)
     path, out = fresh_path(spark, "rows-in"), fresh_path(spark, "rows-out")
-    x.where("l_orderkey % 3 = 0").repartition(2).write.parquet(path)
+    x.write.parquet(path)
     score_stream(spark.readStream.schema(x.schema).parquet(path), state, out, fresh_path(spark, "rows-cp"), keep=tuple(KEY)).awaitTermination()
-    return spark.read.parquet(out).agg(F.count(F.when(~F.isnan("mean"), 1)).alias("n"))
+    return spark.read.parquet(out).select(*KEY, F.round(F.col("mean").cast("double") / 10).alias("tens"))

@@ -9,7 +9,6 @@ from tabsmith.operators import dataset as ds
 from tabsmith.operators.order import global_index
 from tabsmith.plans.readonly import materialize, preview, query, with_row_ordinal
 from tabsmith.queries.core import register, table, views
-from tabsmith.storage import stored
 
 
 def sql_query(name: str, text: str, tables: tuple[str, ...], args: list | None = None, oracle: str | None = None) -> None:
@@ -75,7 +74,7 @@ DATASET = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderprior
 
 def orders_dataset(spark: SparkSession, d: str) -> DataFrame:
     views(spark, d, "orders")
-    return stored(ds.build_dataset(spark, DATASET, ["o_orderkey"]), "dataset")
+    return ds.build_dataset(spark, DATASET, ["o_orderkey"])
 
 
 @register("e01_build_dataset", "SELECT row_number() OVER (ORDER BY o_orderkey) AS __row_id, o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -100,7 +99,7 @@ def e02_train(spark, d):
 
 @register("e03_time_split", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN 'train' ELSE 'test' END AS side FROM events WHERE ts IS NOT NULL")
 def e03(spark, d):
-    train, test = ds.time_split(table(spark, d, "events"), "ts", "2024-01-10T00:00:00Z")
+    train, test = ds.time_split(table(spark, d, "events"), "ts", "2024-01-10T02:00:00+02:00")
     return train.select("event_id", F.lit("train").alias("side")).union(test.select("event_id", F.lit("test").alias("side")))
 
 
@@ -133,10 +132,15 @@ def e07(spark, d):
     return spark.createDataFrame([(c,) for c in ds.numeric_columns(table(spark, d, "lineitem"))], "name string")
 
 
-@register("e08_column_roles", "SELECT 'event_id,user_id' AS features, 'value' AS target, 'ts' AS time FROM events HAVING count(value) > 0")
+RENAMED = "SELECT l_orderkey AS order_id, l_partkey AS id, l_suppkey AS supplier, l_linenumber AS line_ordinal, l_quantity AS quantity, l_discount AS discount_available_at, l_tax AS idle, l_extendedprice AS price, l_shipdate AS ship_timestamp, l_returnflag AS flag FROM lineitem"
+
+
+@register("e08_column_roles", f"""SELECT string_agg(column_name, ',') AS features, 'price' AS target, (SELECT min(column_name) FROM (DESCRIBE {RENAMED}) WHERE contains(column_name, 'timestamp')) AS time
+FROM (DESCRIBE {RENAMED}) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AND column_name NOT IN ('id', 'price') AND NOT ends_with(column_name, '_id') AND NOT contains(column_name, 'ordinal') AND NOT contains(column_name, 'available_at')""")
 def e08(spark, d):
-    train, test = ds.time_split(table(spark, d, "events"), "ts", "2024-01-10T00:00:00")
-    r = ds.column_roles(train, test, "value")
+    views(spark, d, "lineitem")
+    train, test = ds.time_split(query(spark, RENAMED), "ship_timestamp", "1998-01-01T00:00:00")
+    r = ds.column_roles(train, test, "price")
     return spark.createDataFrame([(",".join(r["features"]), r["target"], r["time"])], "features string, target string, time string")
 
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Sequence
 
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.errors import WorkbenchError
+from tabsmith.operators.catalog import check_source_name, raw_digest
 from tabsmith.operators.features import SAFE, is_inf
 
 CORRUPT = "__corrupt"
@@ -37,18 +38,30 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False, infer: bool = True, types: dict[str, str] | None = None) -> DataFrame:
-    """Rows of a CSV file; blank lines are dropped, ragged rows and open quotes raise. ``multi_line`` allows line breaks
-    in cells and makes a file one task."""
+    """Rows of CSV files with one header; blank lines are dropped; ragged rows, open quotes and a file with other names or
+    another order of them raise. ``multi_line`` allows line breaks in cells and makes a file one task. The checks and
+    the inference are one pass over the files."""
     names = csv_header(spark, path)
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.csv(path, schema=schema, header=True, nullValue="\\N", quote='"', escape='"', multiLine=multi_line, columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, mode="PERMISSIVE")
+    raw = spark.read.csv(path, schema=schema, header=True, nullValue="\\N", quote='"', escape='"', multiLine=multi_line, columnNameOfCorruptRecord=CORRUPT, enforceSchema=False, mode="PERMISSIVE")
     quotes = F.length(F.col(CORRUPT)) - F.length(F.replace(F.col(CORRUPT), F.lit('"')))
-    row = raw.cache().agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"), F.count_if(quotes % 2 == 1).alias("open"), F.first(CORRUPT, True).alias("sample")).first()
-    raw.unpersist()
+    checks = [F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"), F.count_if(quotes % 2 == 1).alias("open"), F.first(CORRUPT, True).alias("sample")]
+    df = raw.drop(CORRUPT)
+    try:
+        row = raw.agg(*checks, *inference_aggs(names)).first()
+    except Exception as e:
+        if "CSV header does not conform" in str(e):
+            raise WorkbenchError("SCHEMA_MISMATCH", "a file's header differs", expected=names) from None
+        raise
     if row["ragged"]:
         raise WorkbenchError("INVALID_FORMAT", "unterminated quote" if row["open"] else "rows of another length", rows=row["ragged"], sample=(row["sample"] or "")[:80])
-    df = raw.drop(CORRUPT)
-    return import_types(df, types) if infer or types else df
+    declared = types or {}
+    if declared:
+        df = cast_declared(df, declared)
+    if infer:  # what was inferred holds for all values
+        found = {c: inferred(row, k) for k, c in enumerate(names) if c not in declared}
+        df = df.select(*[F.col(f"`{c}`").cast(DECLARED[found[c]]).alias(c) if found.get(c, "null") not in ("null", "string") else F.col(f"`{c}`") for c in names])
+    return df
 
 
 def read_json_rows(spark: SparkSession, path: str, where: str = "$", *, lines: bool = False, types: dict[str, str] | None = None) -> DataFrame:
@@ -85,11 +98,9 @@ def union_by_name(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def inference(df: DataFrame) -> DataFrame:
-    """``column_name, type`` for columns of text: number, boolean, timestamp, null or string. Integers that a
-    double can't hold make a column text."""
+def inference_aggs(names: Sequence[str]) -> list[Column]:
     aggs = []
-    for k, c in enumerate(df.columns):
+    for k, c in enumerate(names):
         v = F.trim(F.col(f"`{c}`"))
         unsafe = v.rlike(INTEGER) & F.coalesce(F.abs(v.try_cast("decimal(38,0)")) > SAFE, F.lit(True))
         finite = ~is_inf(v.try_cast("double"))
@@ -99,11 +110,19 @@ def inference(df: DataFrame) -> DataFrame:
             F.bool_and(F.lower(v).isin("true", "false")).alias(f"b{k}"),
             F.bool_and(F.when(v.isNotNull(), v.rlike(TIME) & v.try_cast("timestamp").isNotNull())).alias(f"t{k}"),
         ]
-    def kind(k: int) -> Column:
-        return F.when(F.col(f"n{k}") == 0, "null").when(F.col(f"d{k}"), "number").when(F.col(f"b{k}"), "boolean").when(F.col(f"t{k}"), "timestamp").otherwise("string")
+    return aggs
 
-    rows = [F.struct(F.lit(c).alias("column_name"), kind(k).alias("type")) for k, c in enumerate(df.columns)]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+def inferred(row: Row, k: int) -> str:
+    """The type of the ``k``-th column, from one row of ``inference_aggs``."""
+    return "null" if not row[f"n{k}"] else "number" if row[f"d{k}"] else "boolean" if row[f"b{k}"] else "timestamp" if row[f"t{k}"] else "string"
+
+
+def inference(df: DataFrame) -> DataFrame:
+    """``column_name, type`` for columns of text: number, boolean, timestamp, null or string. Integers that a
+    double can't hold make a column text."""
+    row = df.agg(*inference_aggs(df.columns)).first()
+    return df.sparkSession.createDataFrame([(c, inferred(row, k)) for k, c in enumerate(df.columns)], "column_name string, type string")
 
 
 def import_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
@@ -171,15 +190,13 @@ def reject_empty(df: DataFrame) -> DataFrame:
 
 def import_source(spark: SparkSession, df: DataFrame, name: str, *, replacing: bool = False) -> DataFrame:
     """Registers a view after all checks; a failed import leaves the old one."""
-    from tabsmith.operators.catalog import check_source_name
-
     check_source_name(name, [t.name for t in spark.catalog.listTables()], replacing=replacing)
     reject_empty(df).createOrReplaceTempView(name)
     return spark.table(name)
 
 
 def synthetic_hourly(hours: DataFrame, index: str, origin: str = "2025-01-01 00:00:00") -> DataFrame:
-    """Hourly weather and demand by modular arithmetic for each index in ``hours``."""
+    """Hourly weather and demand by modular arithmetic for each index in ``hours``. The constants of the fixture."""
     i = F.col(index)
     at = F.expr(f"timestampadd(HOUR, `{index}`, timestamp_ntz'{origin}')")
     hour = F.pmod(i, F.lit(24)).cast("int")
@@ -200,9 +217,9 @@ def synthetic_hourly(hours: DataFrame, index: str, origin: str = "2025-01-01 00:
 def audit_files(spark: SparkSession, path: str, manifest: DataFrame, *, max_bytes: int | None = None) -> DataFrame:
     """``name, fault`` (missing, extra, length, sha256) of the files below ``path`` against ``name, length, sha256``."""
     base = path.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    found = raw_digest(spark, base, recursive=True)
     tail = F.element_at(F.split("path", F.lit(re.escape(base.split("://")[-1].rstrip("/")) + "/")), -1)
-    found = found.select(tail.alias("name"), F.col("length").alias("l"), F.sha2("content", 256).alias("h"))
+    found = found.select(tail.alias("name"), F.col("length").alias("l"), F.col("sha256").alias("h"))
     if max_bytes is not None and (found.agg(F.sum("l")).first()[0] or 0) > max_bytes:
         raise WorkbenchError("INPUT_LIMIT", "the files are larger than allowed", most=max_bytes)
     x = manifest.join(found, "name", "full_outer")

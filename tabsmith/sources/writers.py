@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.catalog import logical_digest
@@ -60,33 +62,49 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/_metadata").first()["value"])
 
 
+def view_name(request_id: str) -> str:
+    return "predictions_" + re.sub(r"[^A-Za-z0-9_]", "_", request_id)
+
+
 def register_results(results: DataFrame, root: str, request_id: str, rows: int) -> DataFrame:
-    """Checks a request's results and replaces its partition below ``root``; the view ``predictions_<request>``
+    """Checks a request's results and replaces its partition below ``root``; the view ``view_name(request)``
     then shows it. Other requests' partitions are left alone."""
     validate_results(results, rows)
     spark = results.sparkSession
     out = results.withColumn("request_id", F.lit(request_id)).select(*RESULT_COLUMNS)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("request_id").parquet(root)
     view = query_results(spark, root, request_id)
-    view.createOrReplaceTempView(f"predictions_{request_id}")
+    view.createOrReplaceTempView(view_name(request_id))
     return view
 
 
+def all_results(spark: SparkSession, root: str) -> DataFrame:
+    """Every request's rows; a request's id is text as it was given, also where it looks like a number."""
+    found = spark.read.parquet(root).schema
+    kinds = T.StructType([T.StructField(f.name, T.StringType() if f.name == "request_id" else f.dataType) for f in found.fields])
+    return spark.read.schema(kinds).parquet(root)
+
+
 def query_results(spark: SparkSession, root: str, request_id: str) -> DataFrame:
-    return spark.read.parquet(root).where(F.col("request_id") == request_id).select(*RESULT_COLUMNS)
+    return all_results(spark, root).where(F.col("request_id") == request_id).select(*RESULT_COLUMNS)
 
 
-def round_trip_check(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
-    """``format, same_digest, has_metadata``: written in each format, read again, and compared by digest."""
-    spark, want = df.sparkSession, logical_digest(df, order)
-    rows = []
+def round_trip(df: DataFrame, path: str) -> dict[str, DataFrame]:
+    """``df`` as it is read back from each format that it is written in below ``path``."""
+    spark, out = df.sparkSession, {}
     for fmt in ("csv", "parquet", "arrow"):
-        write_with_metadata(df, f"{path}/{fmt}", fmt, digest=want)
+        write_with_metadata(df, f"{path}/{fmt}", fmt)
         if fmt == "csv":
             # a text column whose values all look like numbers would be read as numbers
             kinds = {f.name: "string" for f in df.schema.fields if f.dataType.simpleString() == "string"}
-            back = read_csv(spark, f"{path}/{fmt}/data", types=kinds)
+            out[fmt] = read_csv(spark, f"{path}/{fmt}/data", types=kinds)
         else:
-            back = spark.read.parquet(f"{path}/{fmt}/data") if fmt == "parquet" else read_arrow_ipc(spark, f"{path}/{fmt}/data")
-        rows.append((fmt, logical_digest(back, order) == want, read_metadata(spark, f"{path}/{fmt}")["digest"] == want))
-    return spark.createDataFrame(rows, "format string, same_digest boolean, has_metadata boolean")
+            out[fmt] = spark.read.parquet(f"{path}/{fmt}/data") if fmt == "parquet" else read_arrow_ipc(spark, f"{path}/{fmt}/data")
+    return out
+
+
+def round_trip_check(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
+    """``format, same_digest, has_metadata``: written in each format, read again, and compared by digest."""
+    want = logical_digest(df, order)
+    rows = [(fmt, logical_digest(back, order) == want, len(read_metadata(df.sparkSession, f"{path}/{fmt}")["schema"]) == len(df.columns)) for fmt, back in round_trip(df, path).items()]
+    return df.sparkSession.createDataFrame(rows, "format string, same_digest boolean, has_metadata boolean")

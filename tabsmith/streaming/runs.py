@@ -11,9 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tabsmith.operators.prep import Fitted, score_linear, transform_features
-
-STATE = "stream_id string, request_id string, generation long, status string"
-
+from tabsmith.operators.runs import CHANGES, Run, Stream, changes_of
 
 def latest_per_stream(events: DataFrame) -> DataFrame:
     """``stream_id, generation, request_id``: the newest submission of each stream; batch or stream (update mode)."""
@@ -21,47 +19,23 @@ def latest_per_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("stream_id").agg(newest.alias("l")).select("stream_id", "l.generation", "l.request_id")
 
 
-def _step(head: int, status: dict[str, tuple[int, str]], row: tuple) -> tuple[int, list[tuple[str, int, str]]]:
-    """The head and the changes after an event (request, generation, kind)."""
-    request, generation, kind = row
-    if kind == "reserve":
-        if generation <= head or request in status:
-            return head, [] if request in status else [(request, generation, "refused")]
-        older = [(r, g, "superseded") for r, (g, s) in status.items() if s == "pending"]
-        return generation, [*older, (request, generation, "pending")]
-    if request not in status or status[request][1] != "pending":
-        return head, []
-    g = status[request][0]
-    end = {"publish": "published", "cancel": "cancelled", "fail": "failed"}.get(kind)
-    if end is None:
-        return head, []
-    if end == "failed":
-        head = max([x for x, s in status.values() if s == "published"], default=0)
-    return head, [(request, g, end)]
-
-
 def run_state(events: DataFrame) -> DataFrame:
-    """Changes of state, as ``STATE``, of a stream of ``stream_id, request_id, generation, kind, seq``. Each stream_id's state
-    holds its head and its pending and published requests."""
+    """Changes of state, as ``CHANGES``, of a stream of run events by the rules of ``operators.runs``. Each stream_id's state holds its head, its
+    baseline, and its pending and published runs. Events must arrive in the order of ``seq``, but for those of one micro-batch."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        head, requests, generations, states = state.get if state.exists else (0, [], [], [])
-        status = dict(zip(requests, zip(generations, states, strict=True), strict=True))
-        out = []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            head, changes = _step(head, status, (row.request_id, row.generation, row.kind))
-            for r, g, s in changes:
-                if s != "refused":
-                    status[r] = (g, s)
-                out.append((key[0], r, g, s))
-        # closed requests are remembered while they are newer than the last published one
-        last = max([g for g, s in status.values() if s == "published"], default=0)
-        status = {r: v for r, v in status.items() if v[1] == "pending" or v[0] >= last}
-        state.update((int(head), list(status), [int(v[0]) for v in status.values()], [v[1] for v in status.values()]))
-        yield pd.DataFrame(out, columns=["stream_id", "request_id", "generation", "status"])
-
-    kept = "head long, requests array<string>, generations array<long>, states array<string>"
-    return events.groupBy("stream_id").applyInPandasWithState(update, STATE, kept, "append", GroupStateTimeout.NoTimeout)
+        stream = Stream()
+        if state.exists:
+            stream.head, stream.base, *columns = state.get
+            for row in zip(*columns, strict=True):
+                stream.hold(Run(*row))
+        rows = changes_of(key[0], stream, pd.concat(list(frames)).sort_values("seq"))
+        held = [[getattr(r, c) for r in stream.runs.values()] for c in ("request", "generation", "baseline", "experiment", "seq", "status", "before")]
+        state.update((stream.head, stream.base, *held))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    kept = "head long, base string, requests array<string>, generations array<long>, baselines array<boolean>, experiments array<boolean>, seqs array<long>, states array<string>, befores array<string>"
+    return events.groupBy("stream_id").applyInPandasWithState(update, CHANGES, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def score_stream(rows: DataFrame, state: Fitted, root: str, checkpoint: str, *, keep: tuple[str, ...] = ("row_ordinal",), request_id: str = "stream") -> StreamingQuery:

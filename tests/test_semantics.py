@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tabsmith.errors import WorkbenchError
 from tabsmith.functions import distributions as dist
-from tabsmith.operators import catalog, dataset, features, prep, recon, results
-from tabsmith.operators.order import global_index
+from tabsmith.operators import catalog, dataset, features, prep, recon, results, runs
+from tabsmith.operators.order import global_index, index_within
 from tabsmith.plans.readonly import check_readonly, preview, query
 from tabsmith.sources import readers, writers
 from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
@@ -262,24 +264,49 @@ def events(spark, rows):
     return spark.createDataFrame([(f"r{r}", "s", g, q, k, b, e) for r, g, q, k, b, e in rows], "request_id string, stream_id string, generation long, seq long, kind string, baseline boolean, experiment boolean")
 
 
+def replay(spark, rows):
+    changes = runs.replayed(events(spark, rows)).cache()
+    states, heads = runs.run_states(changes), runs.stream_heads(changes)
+    return {r["request_id"]: r["status"] for r in states.collect()}, results.current_runs(states, heads).first(), heads.first()
+
+
 def test_twenty_scenarios(spark):
     """A baseline and twenty edits in a row: the twentieth is current, the others are superseded."""
-    rows = [(0, 1, 0, "reserve", True, False), (0, 1, 1, "publish", True, False)]
+    rows = [(0, 0, 0, "reserve", True, False), (0, 0, 1, "publish", True, False)]
     rows += [(k, k + 1, 1 + k, "reserve", False, False) for k in range(1, 21)] + [(k, k + 1, 50 + k, "publish", False, False) for k in (3, 20)]
-    states = results.run_states(events(spark, rows))
-    by = {r["request_id"]: r["status"] for r in states.collect()}
+    by, current, heads = replay(spark, rows)
     assert sum(v == "superseded" for v in by.values()) == 19 and by["r20"] == by["r0"] == "published"
-    assert results.current_runs(states).first()["request_id"] == "r20"
-    assert results.baseline_runs(states).first()["request_id"] == "r0"
+    assert current["request_id"] == "r20" and heads["baseline"] == "r0" and heads["head"] == 21
 
 
 def test_current_while_pending_and_cancelled(spark):
     rows = [(1, 1, 0, "reserve", False, False), (1, 1, 1, "publish", False, False), (2, 2, 2, "reserve", False, False)]
-    assert results.current_runs(results.run_states(events(spark, rows))).count() == 0
+    assert replay(spark, rows)[1] is None
     rows.append((2, 2, 3, "cancel", False, False))
-    assert results.current_runs(results.run_states(events(spark, rows))).count() == 0
+    assert replay(spark, rows)[1] is None
     rows[-1] = (2, 2, 3, "fail", False, False)
-    assert results.current_runs(results.run_states(events(spark, rows))).first()["request_id"] == "r1"
+    assert replay(spark, rows)[1]["request_id"] == "r1"
+
+
+def test_baselines_and_experiments_are_never_stale(spark):
+    rows = [(1, 5, 0, "reserve", False, False), (2, 9, 1, "reserve", False, True), (3, 0, 2, "reserve", True, False), (4, 7, 3, "reserve", True, False), (1, 5, 4, "publish", False, False), (5, 6, 5, "reserve", False, False), (6, 4, 6, "reserve", False, False), (7, 3, 7, "reserve", False, True)]
+    by, current, heads = replay(spark, rows)
+    assert by == {"r1": "published", "r2": "pending", "r3": "pending", "r4": "pending", "r5": "pending", "r6": "refused", "r7": "pending"}
+    assert current is None and heads["head"] == 6
+    rows += [(5, 6, 8, "fail", False, False), (6, 4, 9, "reserve", False, False)]
+    by, current, heads = replay(spark, rows)
+    assert current["request_id"] == "r1" and by["r6"] == "refused" and heads["head"] == 5
+
+
+def test_baseline_goes_back_when_rolled_back(spark):
+    rows = [(1, 0, 0, "reserve", True, False), (1, 0, 1, "publish", True, False), (2, 0, 2, "reserve", True, False), (2, 0, 3, "publish", True, False)]
+    assert replay(spark, rows)[2]["baseline"] == "r2"
+    rows.append((2, 0, 4, "rollback", True, False))
+    by, _, heads = replay(spark, rows)
+    assert by["r2"] == "failed" and heads["baseline"] == "r1"
+    rows.append((1, 0, 5, "delete", True, False))
+    by, _, heads = replay(spark, rows)
+    assert by["r1"] == "deleted" and heads["baseline"] is None
 
 
 def test_axis_and_scope(spark):
@@ -334,3 +361,102 @@ def test_tables_that_differ(spark):
     b = spark.createDataFrame([(0, 1.0 + 1e-9, "x"), (1, 2.1, None), (2, 0.0, "z")], "row_ordinal long, v double, s string")
     assert {(r["row_ordinal"], r["column"]) for r in recon.diff_tables(a, b).collect()} == {(1, "v"), (2, "<row>")}
     assert code(recon.diff_tables, a, b.drop("s")) == "SCHEMA_MISMATCH"
+
+
+# --- what large values, zones, names and paths must not change
+
+
+def test_integers_beyond_doubles_differ(spark):
+    a, b = (spark.createDataFrame([(0, 2**53 + k, Decimal(2**53 + k))], "row_ordinal long, v long, m decimal(38,3)") for k in (0, 1))
+    assert catalog.logical_digest(a, ["row_ordinal"]) != catalog.logical_digest(b, ["row_ordinal"])
+    assert {r["column"] for r in recon.diff_tables(a, b).collect()} == {"v", "m"}
+    kinds = ("v long", "v double", "v decimal(20,4)", "v int", "v float")
+    same = [catalog.logical_digest(spark.createDataFrame([(Decimal(7) if "dec" in k else float(7) if "do" in k or "fl" in k else 7,)], k), ["v"]) for k in kinds]
+    assert len(set(same)) == 1
+
+
+def test_digests_do_not_depend_on_the_zone(spark):
+    df = spark.sql("SELECT 1 AS k, timestamp_micros(1700000000123456) AS t, timestamp_ntz'2024-03-10 02:30:00' AS n")
+    found, cells = set(), set()
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.add(catalog.logical_digest(df, ["k"]))
+        cells.add(tuple(recon.normalize_cells(df).first()))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(found) == 1 and cells == {(1, "2023-11-14T22:13:20.123Z", "2024-03-10T02:30:00.000Z")}
+
+
+def test_cutoffs_with_an_offset(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-09 23:00:00' AS t UNION ALL SELECT timestamp_ntz'2024-01-09 21:00:00'")
+    train, test = dataset.time_split(df, "t", "2024-01-10T00:00:00+02:00")
+    assert (train.count(), test.count()) == (1, 1)
+
+
+def test_roles_by_pattern(spark):
+    df = spark.createDataFrame([(1, 1, 1, 1.0, 2.0, "2024")], "user_id long, slot_ordinal long, idx long, load double, y double, reading_timestamp string")
+    assert dataset.column_roles(df, df, "y") == {"features": ["idx", "load"], "target": "y", "time": "reading_timestamp"}
+
+
+def test_request_ids_are_text(spark, tmp_path):
+    root = str(tmp_path / "r")
+    for k, request in enumerate(("7", "007", "a-b", "2024-01-01")):
+        rows = make_results(spark, [(0, float(k), 0.0, 9.0)]).withColumns({c: F.lit("x") for c in ("input_snapshot_id", "business_key", "scenario_id", "context_id")})
+        writers.register_results(rows, root, request, 1)
+    got = {r["request_id"]: r["mean"] for r in writers.all_results(spark, root).collect()}
+    assert got == {"7": 0.0, "007": 1.0, "a-b": 2.0, "2024-01-01": 3.0}
+    assert spark.table("predictions_a_b").first()["mean"] == 2.0
+
+
+def test_csv_files_of_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n3,4\n")
+    assert code(readers.read_csv, spark, str(tmp_path)) == "SCHEMA_MISMATCH"
+    (tmp_path / "b.csv").write_text("x,y\n3,4\n")
+    assert sorted(tuple(r) for r in readers.read_csv(spark, str(tmp_path)).collect()) == [(1.0, 2.0), (3.0, 4.0)]
+
+
+def test_synthetic_ids_keep_their_digits(spark):
+    got = [r[0] for r in readers.synthetic_hourly(spark.range(99_999, 100_002), "id").select("source_row_id").collect()]
+    assert got == ["row-99999", "row-100000", "row-100001"]
+
+
+def test_functions_that_run_code(spark):
+    for sql in ("SELECT reflect('java.lang.System', 'getProperty', 'x')", "SELECT 1 WHERE java_method('java.lang.Math', 'abs', 1) = 1", "WITH a AS (SELECT try_reflect('a', 'b') AS x) SELECT * FROM a", "SELECT (SELECT reflect('a', 'b'))"):
+        assert code(check_readonly, spark, sql) == "INVALID_QUERY"
+    check_readonly(spark, "SELECT upper('a'), count(*) OVER () FROM range(3)")
+
+
+def test_files_in_pieces(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"abc" * 1000)
+    whole, parts = (catalog.raw_digest(spark, f"{tmp_path}/*.bin", whole=w).first() for w in (1 << 20, 10))
+    assert whole == parts and whole["sha256"] == hashlib.sha256(b"abc" * 1000).hexdigest()
+
+
+def test_secrets_in_nested_parameters(spark):
+    df = spark.createDataFrame([({"a": {"token": "1", "b": "2"}, "Secret": {}},)], "p map<string,map<string,string>>")
+    assert df.select(catalog.strip_credentials(F.col("p"), df.schema["p"].dataType).alias("p")).first()["p"] == {"a": {"b": "2"}}
+
+
+def test_index_within_a_large_group(spark):
+    df = spark.range(1000).select((F.col("id") % 7 == 0).cast("int").alias("g"), F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(1).alias("h"), "id")
+    got = index_within(df, ["g", "h"], ["id"], "k", parts=5).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r["id"]):
+        assert r["k"] == seen.get((r["g"], r["h"]), 0)
+        seen[r["g"], r["h"]] = r["k"] + 1
+    assert len(got) == 1000
+
+
+def test_fit_with_the_fingerprint_by_hand(spark):
+    rows = [(k, float(k % 5), float(k * k % 11), 3.0 * (k % 5) + k % 3) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    state = prep.fit_preprocessing(df, ["a", "b"], "y", "id", shift=1)
+    fp = prep.row_fingerprint_distinct(df, ["a", "b"], 400, "id").orderBy("id").collect()
+    x = np.array([[r[2], r[1], f[prep.FINGERPRINT]] for r, f in zip([(r[0], r[1], r[2]) for r in rows], fp, strict=True)])
+    y = np.array([r[3] for r in rows])
+    t = (y - state.target[0]) / state.target[1]
+    by = dict(zip(("b", "a", prep.FINGERPRINT), x.T, strict=True))
+    assert set(state.used) == set(by) and state.salt == 400
+    for c, v in by.items():
+        z = (v - v.mean()) / v.std()
+        assert state.scales[c] == pytest.approx((v.mean(), v.std())) and state.weights[c] == pytest.approx((z * t).sum() / (z * z).sum(), abs=1e-6)
