@@ -57,15 +57,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_counted(rows: DataFrame, per: DataFrame, key: str, total: int, *, most: int = 1024) -> DataFrame:
+def join_counted(rows: DataFrame, per: DataFrame, key: str, total: int, *, most: int = 1024, written: bool = False) -> DataFrame:
     """Inner join of ``rows``, ``total`` in number, with ``per``: one row for each ``key`` with ``_n``, how many of ``rows`` have it.
     Keys with more than ``OFTEN`` rows and a ``most``-th of all, of which there are less than ``most``, are broadcast,
     so that the rows of such a key stay where they are; the others are joined by a shuffle. ``rows`` is read
-    three times and should be a written table."""
+    three times and should be a written table; if ``per`` is one too (``written``), it is first seen whether there are such keys."""
     limit = max(OFTEN, total // most)
-    if total <= limit:
-        return rows.join(per.drop("_n"), key)
     hubs = per.where(F.col("_n") > limit).drop("_n")
+    if total <= limit or written and hubs.isEmpty():
+        return rows.join(per.drop("_n"), key)
     rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hubs), key).unionByName(rest.join(per.where(F.col("_n") <= limit).drop("_n"), key))
 

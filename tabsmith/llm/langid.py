@@ -11,7 +11,7 @@ of the id. Everything else covers whole texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so are all texts if nothing
 was learned; texts with letters in unseen scripts only get the language of most training text and score 0;
-ties go to the language that sorts first; null labels aren't learned from; rows repeat if they do in the input;
+ties go to the language that sorts first; a text of any length is one row, and must fit a task's memory about forty times, and more with many languages; null labels aren't learned from; rows repeat if they do in the input;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tabsmith.llm.common import table
 from tabsmith.llm.numtext import _KIND, _LOWER, Words, pieces
 
-BUCKETS, SEGMENT, RULED_OUT = 1 << 15, 128, -60.0
+BUCKETS, SEGMENT, RULED_OUT, FEW = 1 << 15, 128, -60.0, 16
 #: Script ranges by the first byte of a character's UTF-8 form: 0 none (digits, blanks), 1 Latin, 2 Greek,
 #: 3 Cyrillic and Armenian, 4 Hebrew and Arabic, 5 Indic and Thai, 6 other syllabic, 7 kana and Han, 8 Hangul, 9 rest.
 RANGES = [(0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD5, 3), (0xD6, 0xDF, 4), (0xE0, 0xE0, 5), (0xE1, 0xE1, 6), (0xE3, 0xE9, 7), (0xEA, 0xED, 8), (0xEE, 0xF4, 9)]
@@ -48,8 +48,12 @@ def triples(w: Words) -> np.ndarray:
 
 
 def scripts(w: Words) -> np.ndarray:
-    """Each word's script: that of its first letter beyond ASCII, else Latin if it has a letter, else none."""
+    """Each word's script, of several the one with the greatest number; none if it has no letter."""
     s = _SCRIPT[w.data]
+    extended = np.flatnonzero(w.data[:-1] == 0xE1)  # U+1E00 to U+1EFF is Latin, U+1F00 to U+1FFF Greek
+    second = w.data[extended + 1]
+    s[extended[(second >= 0xB8) & (second <= 0xBB)]] = 1
+    s[extended[second >= 0xBC]] = 2
     return np.maximum.reduceat(s, w.start) if len(w.start) else np.zeros(0, np.uint8)
 
 
@@ -120,12 +124,47 @@ def word_scores(w: Words, m: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def viterbi(score: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
+    """The best language of each word, over a chain in which a change costs ``penalty`` except at ``starts``, where a document begins.
+    Time and memory go with words x languages for many languages, words x languages squared for up to ``FEW``."""
+    n, k = score.shape
+    if n == 0 or k == 0:
+        return np.zeros(n, np.int64)
+    return by_segments(score, starts, penalty) if k <= FEW else by_documents(score, starts, penalty)
+
+
+def by_documents(score: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
+    """All documents advance together, a word of each at a time, the longest first."""
+    n, k = score.shape
+    begin = np.unique(np.append(0, starts[starts < n]))
+    size = np.diff(np.append(begin, n))
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    d = score[begin].astype(np.float64)
+    best, stay = np.zeros(n, np.int16), np.zeros((n, k), bool)
+    active = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # documents that have so many words
+    for t in range(1, size[0]):
+        m = active[t]
+        now, at = d[:m], begin[:m] + t
+        best[at] = now.argmax(axis=1)
+        top = now.max(axis=1, keepdims=True) - penalty
+        stay[at] = now >= top
+        d[:m] = np.maximum(now, top) + score[at]
+    path = np.zeros(n, np.int64)
+    state = d.argmax(axis=1)
+    for t in range(size[0] - 1, -1, -1):
+        m = active[t]
+        at = begin[:m] + t
+        path[at] = state[:m]
+        if t:
+            state[:m] = np.where(stay[at, state[:m]], state[:m], best[at])
+    return path
+
+
+def by_segments(score: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word, over a chain in which a change costs ``penalty`` except at
     ``starts``, where a document begins. The chain is cut in segments of ``SEGMENT`` words; all segments are
     worked on at once for each language before them, then joined, then traced back at once."""
     n, k = score.shape
-    if n == 0 or k == 0:
-        return np.zeros(n, np.int64)
     rows = -(-n // SEGMENT)
     s = np.zeros((rows * SEGMENT, k), np.float32)
     s[:n] = score

@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
 The mix is counted in blocks of ``block`` words. Sources get their whole number of blocks by the
-highest quotients weight/(2k+1); the blocks of a source are divided the same way among its shards,
-groups of documents chosen by a seeded hash and of a bounded expected size. In a shard the documents
+highest quotients weight/(2k+1); the blocks of a source are divided the same way among its districts of ``DISTRICT`` shards, and
+those of a district among its shards, so no list that is ranked grows with the data. Shards are
+groups of documents chosen by a seeded hash of id and text, of bounded expected words and rows. In a shard the documents
 stand end to end in seeded order, are cut in blocks, and blocks are taken in a seeded order until the
 shard's quota of words is full; a quota above the shard's size takes every block once before any twice.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, ordered last;
 repeated rows are documents of their own; an empty table gives an empty result; other columns of the
-input are ignored.
+input are ignored; rows equal in id and text go to one shard; a text of any length is counted whole, and cut in blocks.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import materialize, same, table
+from tabsmith.llm.common import materialize, same, table, text_key
 
-#: Sizes of white space as the contract has them.
+#: Shards of a district.
+DISTRICT = 1 << 10
+#: White space as the contract has it.
 BLANKS = "\t\n\x0b\x0c\r"
 
 
@@ -82,24 +85,31 @@ def mix(
     most: float = 2.0,
     block: int = 64,
     shard_words: int = 1 << 20,
+    shard_rows: int = 1 << 18,
     seed: int = 7,
 ) -> DataFrame:
     """``doc_id, source, text`` → a row per document: ``doc_id, source, size, source_size, target, taken,
     blocks`` (the source's blocks)."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sized = materialize(docs.select("doc_id", "source", text_key(F.col("text")).alias("ver"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     per = targets(per, weights, share, most)
     per = per.withColumn("all_blocks", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     per = sainte_lague(per, [], ["rank"], "target", "all_blocks", "blocks")
-    per = per.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
+    per = per.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows)))
     per = materialize(per.select("source", "source_size", "target", "blocks", "shards"), "mix-sources")
 
     dealt = sized.alias("d").join(per.select("source", "blocks", "shards").alias("s"), same(F.col("d.source"), F.col("s.source")))
-    hashed = F.xxhash64(F.lit(seed), F.col("d.doc_id"))
-    dealt = dealt.select("d.doc_id", "d.source", "size", "blocks", F.pmod(hashed, F.col("shards")).alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("d.doc_id")).alias("turn"))
+    hashed = F.xxhash64(F.lit(seed), F.col("d.doc_id"), F.col("ver"))
+    turn = F.xxhash64(F.lit(seed + 1), F.col("d.doc_id"), F.col("ver"))
+    dealt = dealt.select("d.doc_id", "d.source", "size", "blocks", F.pmod(hashed, F.col("shards")).alias("shard"), turn.alias("turn"))
     shards = dealt.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("words"))
-    quotas = sainte_lague(shards, ["source"], ["shard"], "words", "blocks", "quota").select("source", "shard", "words", "quota")
+    shards = materialize(shards.withColumn("district", F.floor(F.col("shard") / DISTRICT)), "mix-shards")
+    districts = shards.groupBy("source", "district", "blocks").agg(F.sum("words").alias("words"))
+    districts = sainte_lague(districts, ["source"], ["district"], "words", "blocks", "part").select("source", "district", "part")
+    s, t = shards.alias("s"), districts.alias("t")
+    shards = s.join(t, same(F.col("s.source"), F.col("t.source")) & (F.col("s.district") == F.col("t.district"))).select("s.*", "part")
+    quotas = sainte_lague(shards, ["source", "district"], ["shard"], "words", "part", "quota").select("source", "shard", "words", "quota")
 
     laid = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "size")
     placed = dealt.withColumn("start", F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))

@@ -107,7 +107,7 @@ def set_jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def candidate_links(classes: DataFrame, payload: str, similarity: Callable[[Column, Column], Column], *, link: float, done: float, rounds: int = 6) -> DataFrame:
+def candidate_links(classes: DataFrame, payload: str, similarity: Callable[[Column, Column], Column], *, link: float, done: float, rounds: int = 4) -> DataFrame:
     """``no, bands`` and a ``payload`` (a written table) → a written table of links ``u, v`` such that classes that share a
     band and are at a distance of 0.2 at most are connected.
 
@@ -118,23 +118,22 @@ def candidate_links(classes: DataFrame, payload: str, similarity: Callable[[Colu
     rows = classes.select("no", F.explode("bands").alias("key"))
     several = rows.groupBy("key").agg(F.min("no").alias("lead"), F.max("no").alias("last"), F.count(F.lit(1)).alias("_n")).where("lead <> last").select("key", "_n")
     several = materialize(several, "near-keys")
-    shared = join_counted(rows, several, "key", classes.agg(F.sum(F.size("bands"))).first()[0] or 0)
+    shared = join_counted(rows, several, "key", classes.agg(F.sum(F.size("bands"))).first()[0] or 0, written=True)
     left = materialize(shared.join(classes.select("no", payload), "no").select("key", "no", payload), "near-buckets")
     discard(several)
-    tables, found = [], None
+    tables, found = [left], None
+    count = left.count()
     for turn in range(rounds + 1):
         lead = left.groupBy("key").agg(F.min(F.struct("no", payload)).alias("lead"), F.count(F.lit(1)).alias("_n"))
-        tried = join_counted(left, lead, "key", left.count()).where(F.col("no") != F.col("lead.no"))
+        tried = join_counted(left, lead, "key", count).where(F.col("no") != F.col("lead.no"))
         alike = similarity(F.col(payload), F.col(f"lead.{payload}")) if turn < rounds else F.lit(1.0)
         tried = materialize(tried.select("key", "no", payload, F.col("lead.no").alias("to"), alike.alias("alike")), "near-tried")
         tables.append(tried)
-        if not turn:
-            discard(left)
-        links = tried.where(F.col("alike") >= link).select(F.col("no").alias("u"), F.col("to").alias("v")).distinct()
+        links = tried.where(F.col("alike") >= link).select(F.col("no").alias("u"), F.col("to").alias("v"))
         found = links if found is None else found.union(links)
-        left = materialize(tried.where(F.col("alike") < done).select("key", "no", payload), "near-left")
-        tables.append(left)
-        if left.isEmpty():
+        left = tried.where(F.col("alike") < done).select("key", "no", payload)
+        count = left.count()
+        if not count:
             break
     out = materialize(found.distinct(), "near-links")
     discard(*tables)
@@ -292,3 +291,32 @@ def near_duplicates(docs: DataFrame, *, size: int = SIZE, least: float = SIMILAR
 
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Brute force over all pairs of classes that share a shingle.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0
+), sets AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM s GROUP BY doc_id
+), cls AS (
+  SELECT k, min(doc_id) AS copy_id, count(*) AS copies, any_value(n) AS n FROM sets GROUP BY k
+), cs AS (
+  SELECT copy_id, n, g FROM cls JOIN s ON s.doc_id = copy_id
+), half AS (
+  SELECT a.copy_id AS a, b.copy_id AS b FROM cs a JOIN cs b ON a.g = b.g AND a.copy_id < b.copy_id
+  GROUP BY a.copy_id, b.copy_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+), e AS (
+  SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), links AS (
+  SELECT a, CAST(sum(copies) AS BIGINT) AS others FROM e JOIN cls ON copy_id = b GROUP BY a
+), r AS (
+  SELECT copy_id AS v, copy_id AS c FROM cls UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v
+), least AS (
+  SELECT v, min(c) AS class_id FROM r GROUP BY v
+)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(copies, 1) AS copies, coalesce(copies, 1) - 1 + coalesce(others, 0) AS links
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN cls ON sets.k = cls.k LEFT JOIN links ON a = copy_id LEFT JOIN least ON v = copy_id
+"""

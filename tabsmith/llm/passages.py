@@ -7,7 +7,7 @@ the ends of a document can a paragraph have less than five words; it is not comp
 
 1. A paragraph's key in each of 3 bands is one MinHash of its five-word shingles: at a Jaccard similarity of 0.8
    a pair shares a key with probability 1-0.2^3 = 0.99, equal paragraphs always do. The keys are written, one row a document,
-   and counted; only paragraphs with a key that occurs more than once go on.
+   and sorted once; only paragraphs with a key that occurs more than once go on.
 2. Of these, different paragraphs that share a key are banded again, more finely, linked to a leader of their bucket by exact
    similarity (see ``near.candidate_links``) and grouped by components; all pairs of a group are compared in
    blocks, and similar ones joined to one class by components.
@@ -99,6 +99,41 @@ def _keys(sown: np.ndarray):
     return run
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``no, key`` sorted by key those whose key another has. The last row of a batch waits for the next."""
+    key, no, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        key, no = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in ((key, "key"), (no, "no")))
+        equal = key[1:] == key[:-1]
+        hit = np.zeros(len(key), bool)
+        hit[1:] = equal
+        hit[:-1] |= equal
+        hit[0] |= known
+        keep = np.flatnonzero(hit[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(no[keep]), pa.array(key[keep])], ["no", "key"])
+        key, no, known = key[-1:], no[-1:], bool(hit[-1])
+    if known:
+        yield pa.RecordBatch.from_arrays([pa.array(no), pa.array(key)], ["no", "key"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``no, key`` sorted by no → a row of keys for each no. The last of a batch waits for the next."""
+
+    def out(no: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(np.append(True, no[1:] != no[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(no[at]), list_array(key, np.append(at, len(no)), pa.int64())], ["no", "keys"])
+
+    key, no = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, no = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in ((key, "key"), (no, "no")))
+        last = int(np.searchsorted(no, no[-1], "left")) if len(no) else 0
+        if last:
+            yield out(no[:last], key[:last])
+            key, no = key[last:], no[last:]
+    if len(no):
+        yield out(no, key)
+
+
 ITEMS = "doc_id long, ver long, first int, words int, cls binary, n_shingles int, shingles array<long>, bands array<long>, marks binary"
 
 
@@ -232,11 +267,7 @@ def _same_doc(a: str, b: str, *more: str) -> Column:
 def _grown(words: DataFrame, rep: DataFrame, least_words: int, least_stretch: int, similar: float) -> DataFrame:
     """``doc_id, ver, first, words, gone, kept_doc`` of stretches about the paragraphs of short or neighbouring runs; ``words``: the
     documents' marks."""
-    runs = rep.groupBy(*DOC, "run").agg(F.min("first").alias("a"), F.max(F.col("first") + F.col("words")).alias("e"), F.sum("words").alias("n"))
-    along = Window.partitionBy(*DOC).orderBy("run")
-    beside = F.least(F.col("a") - F.lag("e").over(along), F.lead("a").over(along) - F.col("e"))
-    runs = runs.withColumn("beside", beside).where((F.col("n") < least_words) | (F.col("beside") <= BESIDE))
-    seed = rep.alias("r").join(runs.alias("k"), _same_doc("r", "k", "run")).select("r.*")
+    seed = rep.where((F.col("run_words") < least_words) | (F.col("beside") <= BESIDE))
     place = F.struct(*DOC, "first")
     pairs = seed.select(*DOC, "first", "run", F.explode(F.array("lead", "last")).alias("to")).where(~same(place, F.col("to")))
     # along one diagonal all seeds of a run grow alike
@@ -269,28 +300,54 @@ def _numbered(rep: DataFrame) -> DataFrame:
     return rep.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
+def _often(keys: DataFrame, total: int, *, sample: int = 1 << 20, most: int = 1024) -> list[int]:
+    """Up to ``most`` keys that a great part of the documents have, from about ``sample`` of the ``total`` keys, those of documents
+    drawn by their number; they only go another way, and each occurs more than once."""
+    part = min(1.0, sample / max(total, 1))
+    drawn = keys.where(F.pmod(F.xxhash64(F.lit(3), F.col("no")), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    least = max(OFTEN * part, part * total / most, 2)
+    return [r["key"] for r in drawn.where(F.col("n") > least).orderBy(F.col("n").desc(), "key").limit(most).select("key").collect()]
+
+
+def _with_sizes(rep: DataFrame) -> DataFrame:
+    """Rows once a place, with the words of their run and the words between it and the nearest run."""
+    along = Window.partitionBy(*DOC).orderBy("first", "words")
+    rep = _numbered(rep.withColumn("again", F.coalesce(F.lag("first").over(along) == F.col("first"), F.lit(False))).where("not again").drop("again"))
+    ends = F.max(F.col("first") + F.col("words")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    rep = rep.withColumn("ends", ends)
+    to_next, own = F.lead("first").over(along) - F.col("ends"), Window.partitionBy(*DOC, "run")
+    rep = rep.withColumns({"after": F.when(to_next >= SIZE, to_next), "before": F.when(F.lag("run").over(along) != F.col("run"), F.lag("ends").over(along))})
+    beside = F.least(F.max("after").over(own), F.min("first").over(own) - F.max("before").over(own))
+    return rep.withColumns({"run_words": F.sum("words").over(own), "beside": beside}).drop("after", "before", "ends")
+
+
 def _repeated_items(low: DataFrame, sown: np.ndarray) -> DataFrame:
     """A written table of the paragraphs that share a key with another, and of their documents' marks (see ``ITEMS``)."""
-    keyed = materialize(low.mapInArrow(_keys(sown), "doc_id long, ver long, keys array<long>"), "passage-keys")
-    keys = keyed.select(*DOC, F.explode("keys").alias("key"))
-    several = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-counts")
-    # keys with a great part of all rows, of which there are less than 1,024, are known without a join
-    limit = max(OFTEN, (keyed.agg(F.sum(F.size("keys"))).first()[0] or 0) // 1024)
-    often = [r["key"] for r in several.where(F.col("n") > limit).select("key").collect()]
-    hub = F.col("key").isin(often)
-    shared = keys.where(~hub).join(several, "key", "left_semi").union(keys.where(hub)) if often else keys.join(several, "key", "left_semi")
-    wanted = materialize(shared.groupBy(*DOC).agg(F.collect_set("key").alias("keys")), "passage-wanted")
-    discard(keyed, several)
-    found = low.alias("d").join(wanted.alias("k"), _same_doc("d", "k")).select("d.doc_id", "d.ver", "text", "keys")
+    keyed = low.mapInArrow(_keys(sown), "doc_id long, ver long, keys array<long>").withColumn("no", F.monotonically_increasing_id())
+    keyed = materialize(keyed, "passage-keys")
+    keys = keyed.select("no", F.explode("keys").alias("key"))
+    often = _often(keys, keyed.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    # one shuffle of the others: equal keys stand side by side, and those beside another go on
+    rest = (keys.where(~F.col("key").isin(often)) if often else keys).repartition("key").sortWithinPartitions("key")
+    shared = rest.mapInArrow(_beside, "no long, key long")
+    if often:
+        shared = shared.union(keys.where(F.col("key").isin(often)))
+    wanted = shared.repartition("no").sortWithinPartitions("no").mapInArrow(_listed, "no long, keys array<long>")
+    wanted = materialize(wanted.join(keyed.select("no", *DOC), "no").drop("no"), "passage-wanted")
+    discard(keyed)
+    # the keys of a partition's documents are held in a hash table, so that texts need not be sorted
+    found = low.alias("d").join(wanted.hint("shuffle_hash").alias("k"), _same_doc("d", "k")).select("d.doc_id", "d.ver", "text", "keys")
     items = materialize(found.mapInArrow(_items(sown), ITEMS), "passage-items")
     discard(wanted)
     return items
 
 
-def _joined(items: DataFrame, similar: float) -> DataFrame:
-    """A written table ``doc_id, ver, first, words, root``: paragraphs with the least class of those that similar ones join."""
+def _twice(items: DataFrame, similar: float, across: bool) -> DataFrame:
+    """A written table ``cls, lead, last, _n``: of classes that, with those that similar ones join, have more than one place, the first and last place,
+    and the class's own number of paragraphs."""
     fine = seeds(FINE_BANDS * FINE_ROWS, 4)
-    classes = items.groupBy("cls").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"))
+    place = F.struct(*DOC, "first")
+    classes = items.groupBy("cls").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"), F.min(place).alias("lead"), F.max(place).alias("last"), F.count(F.lit(1)).alias("_n"))
     classes = materialize(numbered(classes), "passage-classes")
     keyed = classes.select("no", F.explode("bands").alias("key"))
     several = keyed.groupBy("key").agg(F.min("no").alias("a"), F.max("no").alias("b")).where("a <> b").select("key")
@@ -308,33 +365,30 @@ def _joined(items: DataFrame, similar: float) -> DataFrame:
     near = materialize(compare(member, least=similar), "passage-near")
     discard(member)
     joined = components(near.select(F.col("no").alias("u"), F.col("low").alias("v")))
-    named = classes.select("no", "cls")
-    root = named.select(F.col("no").alias("root"), F.col("cls").alias("root_cls"))
-    joined_cls = joined.withColumnRenamed("u", "no").join(named, "no").join(root, "root").select("cls", "root_cls")
-    o = items.select(*DOC, "first", "words", "cls").join(joined_cls, "cls", "left")
-    o = materialize(o.select(*DOC, "first", "words", F.coalesce("root_cls", "cls").alias("root")), "passage-occurrences")
-    discard(near, joined, classes)
-    return o
+    alike = joined.union(joined.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "no")
+    alike = materialize(alike.join(classes.select("no", "lead", "last"), "no"), "passage-alike")
+    ends = alike.groupBy("root").agg(F.min("lead").alias("_lead"), F.max("last").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    ends = join_counted(alike.select("no", "root"), ends, "root", alike.count()).select("no", "_lead", "_last")
+    lead, last = F.coalesce("_lead", "lead"), F.coalesce("_last", "last")
+    out = classes.select("no", "cls", "lead", "last", "_n").join(ends, "no", "left").select("cls", lead.alias("lead"), last.alias("last"), "_n")
+    apart = ~same(F.col("lead"), F.col("last"))
+    if across:
+        apart = ~same(F.col("lead.doc_id"), F.col("last.doc_id")) | (F.col("lead.ver") != F.col("last.ver"))
+    out = materialize(out.where(apart), "passage-twice")
+    discard(near, joined, alike, classes)
+    return out
 
 
 def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float = SIMILAR, least_stretch: int = 45, across: bool = False) -> DataFrame:
     """``doc_id, text`` → a row per repeated passage of a document: ``doc_id, ver, first_word, end_word, words``
     (in repeated paragraphs or stretches), ``removed_words``, ``kept_doc`` (where its first paragraph occurs first)."""
     items = _repeated_items(lowered(docs), seeds(BANDS * ROWS, 3))
-    o = _joined(items.where("first is not null"), similar)
-    place = F.struct(*DOC, "first")
-    twice = o.groupBy("root").agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.count(F.lit(1)).alias("_n"))
-    twice = twice.where(~same(F.col("lead.doc_id"), F.col("last.doc_id")) | (F.col("lead.ver") != F.col("last.ver")) if across else ~same(F.col("lead"), F.col("last")))
-    rep = join_counted(o, twice, "root", o.count()).withColumn("gone", ~same(place, F.col("lead")))
-    rep = rep.groupBy(*DOC, "first").agg(
-        F.max("words").alias("words"),
-        F.max("gone").alias("gone"),
-        F.min_by(F.col("lead.doc_id"), F.col("gone").cast("int")).alias("kept_doc"),
-        F.min("lead").alias("lead"),
-        F.max("last").alias("last"),
-    )
-    rep = materialize(_numbered(rep), "passage-repeated")
-    discard(o)
+    cells = items.where("first is not null")
+    twice = _twice(cells, similar, across)
+    rep = join_counted(cells.select(*DOC, "first", "words", "cls"), twice, "cls", cells.count(), written=True)
+    rep = rep.withColumns({"gone": ~same(F.struct(*DOC, "first"), F.col("lead")), "kept_doc": F.col("lead.doc_id")}).drop("cls")
+    rep = materialize(_with_sizes(rep), "passage-repeated")
+    discard(twice)
     grown = _grown(items.where("first is null").select(*DOC, "marks"), rep, least_words, least_stretch, similar)
     all_ = rep.select(*DOC, "first", "words", "gone", "kept_doc", F.col("words").alias("whole"), F.lit(False).alias("grown"))
     all_ = _numbered(all_.union(grown.select(*DOC, "first", "words", "gone", "kept_doc", F.lit(0), F.lit(True))))

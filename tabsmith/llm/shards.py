@@ -5,7 +5,8 @@ the shard with the highest. A new shard only adds a score, so records move into
 
 Defined cases: a null key is a key like any other; rows with equal keys go to one shard and get slots of
 their own; a null text has no bytes (size 1, checksum of the empty text); an empty table gives an empty
-result; other columns of the input are ignored.
+result; a text of any length only gives its length and checksum; other columns of the input are ignored. Slots go by a hash of
+key, checksum and size, so that equal keys with other texts are numbered in parts; of rows equal in all three none is before another.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def numbered(df: DataFrame, shard: str, order: list[str], *, parts: int = 1024,
     """Adds ``slot``: 0, 1, ... within each shard without a gap. A shard is cut by a hash of ``order`` into
     ``parts``; rows are numbered in each part and moved by the rows of the parts before, of which there
     are shards x parts counts at most."""
-    x = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), F.col(order[0])), F.lit(parts)))
+    x = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(parts)))
     counts = x.groupBy(shard, "_part").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(shard, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))

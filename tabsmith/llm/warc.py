@@ -1,7 +1,9 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Pages are cut in shards by ranges of page_id of about ``shard_bytes`` payload (from exact sums over fixed
-bins of the id range, so equal tables have equal shards), sorted in each shard, and written as
+Pages are cut in shards of about ``shard_bytes`` payload, at most ``MOST_SHARDS``, by their place in the order of page_id, digest
+and url: the rows' keys and sizes are range-partitioned and written, and summed exactly over the rows before, so equal tables have equal
+shards however they are stored, and neither an outlying id nor an id with many rows makes a shard larger. The shards' first keys, as many as there
+are shards, go to all tasks; each shard is a partition of its own, sorted, and written as
 gzip members, one a record; a file is closed when it has ``roll_bytes`` or more. Headers and digests are made
 anew from the rows. A task writes under temporary names; the list of finished files is written as a table,
 the listed files are moved to their names, and the manifest table, written last, commits the archive: a lost
@@ -12,12 +14,14 @@ others are revisits that keep the HTTP head and refer to it.
 
 Defined cases: a null html is an empty payload; a null url gives the target urn:page:<id>; rows that share a
 page_id are records of their own, all responses if their id is the smallest; a null page_id is a response in
-the first shard; an empty table gives an empty archive; other columns are ignored.
+the first shard; rows equal in id, digest and url stand side by side; a page of any length is one record, held whole by its task with its
+compressed form; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import posixpath
 import uuid
@@ -29,8 +33,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import materialize, same, shared_dir, table
+from tabsmith.llm.common import discard, join_counted, materialize, shared_dir, table
 
+MOST_SHARDS = 1 << 14
 DATE = "2000-01-01T00:00:00Z"
 FILES = "shard int, seq int, temporary string, name string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
@@ -129,30 +134,62 @@ def _mover(out: str):
     return run
 
 
-def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int = 1 << 25, roll_bytes: int = 1 << 24, bins: int = 1 << 14) -> DataFrame:
+KEY = ["page_id", "sha", "u"]
+DEALT = "shard int, page_id long, sha string, u long, url string, html string, to long, page boolean"
+
+
+def shard_keys(slim: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The first key of each shard but the first; nulls are the least page_id."""
+    parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in KEY]
+    dealt = materialize(slim.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "warc-ordered")
+    counts = dealt.groupBy("_part").agg(F.sum("n").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_ahead", ahead)
+    whole = counts.agg(F.sum("_n")).first()[0] or 0
+    size = max(shard_bytes, -(-whole // MOST_SHARDS))
+    own = Window.partitionBy("_part").orderBy(*order)
+    before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition
+    at = dealt.withColumn("_own", before).join(F.broadcast(counts), "_part").select(*KEY, F.floor((F.col("_ahead") + F.col("_own")) / size).alias("shard"))
+    least = at.groupBy("shard").agg(F.min(F.struct(*KEY)).alias("k")).orderBy("k").collect()  # at most ``MOST_SHARDS``
+    discard(dealt)
+    return [_comparable(*r["k"]) for r in least[1:]]
+
+
+def _comparable(page_id: int | None, sha: str, u: int) -> tuple:
+    return page_id is not None, page_id or 0, sha, u
+
+
+def _dealer(firsts: list[tuple]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)
+            shard = [bisect.bisect_right(firsts, _comparable(*k)) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], ["shard", *batch.schema.names])
+
+    return run
+
+
+def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int = 1 << 25, roll_bytes: int = 1 << 24) -> DataFrame:
     """``page_id, url, html`` → files under the URI ``out`` and their manifest, which is returned."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    slim = materialize(base.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").cast("long").alias("n")), "warc-digests")
-    span = slim.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(F.col("n") + 1).alias("all")).first()
-    lo, width = span["lo"] or 0, ((span["hi"] or 0) - (span["lo"] or 0)) // bins + 1
-    shards = max(1, -(-(span["all"] or 0) // shard_bytes))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - lo) / width), F.lit(0)).cast("int").alias("bin")
-    sums = slim.groupBy(bin_of).agg(F.sum(F.col("n") + 1).alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = sums.select("bin", F.floor(ahead * shards / max(span["all"] or 1, 1)).cast("int").alias("shard"))
-
-    first = slim.where(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("to"), F.max("page_id").alias("hi")).where("hi > to")
-    refs = slim.join(first, "sha").where("page_id > to")
+    keyed = [F.col("page_id"), F.sha1(F.col("html").cast("binary")).alias("sha"), F.xxhash64(F.coalesce("url", F.lit("")), F.col("url").isNull()).alias("u")]
+    slim = materialize(base.select(*keyed, F.octet_length("html").cast("long").alias("payload"), (F.octet_length("html") + 1).cast("long").alias("n")), "warc-digests")
+    firsts = shard_keys(slim, shard_bytes)
+
+    first = slim.where(F.col("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("to"), F.max("page_id").alias("hi"), F.count(F.lit(1)).alias("_n")).where("hi > to")
+    refs = join_counted(slim.select(*KEY), first.drop("hi"), "sha", slim.count()).where("page_id > to").distinct()
     empty = F.lit(None).cast("string")
-    both = base.select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("sha"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("page"))
-    both = both.union(refs.select("page_id", empty, empty, "sha", "to", F.lit(False)))
-    # at most ``bins`` rows
-    dealt = both.withColumn("bin", bin_of).join(F.broadcast(cut), "bin").repartition(shards, "shard")
-    beside = Window.partitionBy("shard", "page_id", "sha")
+    both = base.select(*keyed, "url", "html", F.lit(None).cast("long").alias("to"), F.lit(True).alias("page"))
+    both = both.union(refs.select(*KEY, empty, empty, "to", F.lit(False)))
+    dealt = both.mapInArrow(_dealer(firsts), DEALT).repartitionById(len(firsts) + 1, "shard")
+    beside = Window.partitionBy("shard", *KEY)
     dealt = dealt.withColumn("refers_to", F.max("to").over(beside)).where("page")
-    dealt = dealt.sortWithinPartitions("shard", "page_id", "sha", "url").select("shard", "page_id", "url", "html", "refers_to")
+    dealt = dealt.sortWithinPartitions("shard", *KEY).select("shard", "page_id", "url", "html", "refers_to")
     made = materialize(dealt.mapInArrow(_writer(out, roll_bytes), FILES), "warc-files")
     made.mapInArrow(_mover(out), FILES).write.parquet(f"{out}/_manifest")
+    discard(slim, made)
     fs, root = pafs.FileSystem.from_uri(out)
     if fs.get_file_info(posixpath.join(root, "_temporary")).type != pafs.FileType.NotFound:
         fs.delete_dir(posixpath.join(root, "_temporary"))
@@ -208,11 +245,26 @@ def _reader(out: str):
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """The records of the files that the manifest under ``out`` names, one task a file."""
-    files = spark.read.parquet(f"{out}/_manifest").select("name")
-    return files.repartition(max(1, files.count()), "name").mapInArrow(_reader(out), RECORDS)
+    files = spark.read.parquet(f"{out}/_manifest").select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("at"))  # a row a file
+    return files.repartitionById(max(1, files.count()), F.col("at").cast("int")).mapInArrow(_reader(out), RECORDS)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), out)
-    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file")
+    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: The contract's columns, with the digest's hex digits made base32, twenty bits at a time.
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT h, min(page_id) AS least FROM p GROUP BY h
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to,
+  CASE WHEN trim(coalesce(url, '')) = '' THEN 'urn:page:' || page_id ELSE regexp_replace(trim(url), '\s+', ' ', 'g') END AS url
+FROM p JOIN f USING (h)
+"""

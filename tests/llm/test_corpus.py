@@ -9,6 +9,7 @@ import math
 import os
 import random
 import re
+import time
 import wave
 import zlib
 
@@ -16,6 +17,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -94,6 +96,10 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
+    edges += [(1000 + k, 1000) for k in range(1, 700)] + [(1699, 1700)]  # a hub, whose edges are joined by broadcast
+    for a, b in edges[-700:]:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
     got = {r["u"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {u: find(u) for u in parent if find(u) != u}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
@@ -124,6 +130,20 @@ def test_media_digests(spark):
     assert r["media_bytes"] == len(media.to_wav(payload)) and wave.open
 
 
+def test_fingerprint_of_a_text_by_hand(spark):
+    text = "Ein Text, dessen Bytes zu Tönen werden. " * 12
+    r = media.fingerprints(media.store_wav(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    raw = text.encode()
+    x = np.frombuffer(raw + b" " * (-len(raw) % 192), np.uint8).astype(float) - 128
+    n, window = 192, [0.5 - 0.5 * math.cos(2 * math.pi * k / 191) for k in range(192)]
+    bins = []
+    for lo in range(0, len(x) - n + 1, 96):
+        part = [abs(sum(x[lo + k] * window[k] * complex(math.cos(2 * math.pi * f * k / n), -math.sin(2 * math.pi * f * k / n)) for k in range(n))) for f in range(1, 97)]
+        bins.append(1 + part.index(max(part)))
+    want = [(k, bins[k] << 9 | bins[k + d] << 2 | d) for k in range(len(bins)) for d in (1, 2, 3) if k + d < len(bins)]
+    assert list(zip(r["frames"], r["codes"], strict=True)) == want
+
+
 def test_peaks_find_a_tone():
     t = np.arange(1920)
     tone = (128 + 100 * np.sin(2 * np.pi * 24 * t / media.FRAME)).astype(np.uint8)
@@ -189,6 +209,56 @@ def test_mix_meets_its_targets(documents):
     assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mix_by_hand(spark):
+    """Shards, their quotas and the seeded blocks of one run, made again row by row."""
+    rng = random.Random(11)
+    rows = [(k, f"s{k % 3}" if k % 7 else None, " ".join(["w"] * rng.choice([0, 0, 1, 7, 90, 400]))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df, shard_words=1500, shard_rows=40).collect()}
+    ver = mixing.text_key(F.col("text"))
+    hashed = df.select("doc_id", "source", *[F.xxhash64(F.lit(n), F.col("doc_id"), ver).alias(f"h{n}") for n in (7, 8)]).collect()
+    pick = {(b, s): h for b, s, h in spark.range(200).crossJoin(spark.range(40).withColumnRenamed("id", "s")).select("id", "s", F.xxhash64(F.lit(9), F.col("id"), F.col("s"))).collect()}
+    size = {k: len(t.split()) for k, _, t in rows}
+    names = ["s0", "s1", "s2", None]
+    total = {n: sum(size[r["doc_id"]] for r in hashed if r["source"] == n) for n in names}
+    target = {r["source"]: r["target"] for r in mixing.mix(df).select("source", "target").distinct().collect()}
+
+    def divide(weights, seats):
+        have = [0] * len(weights)
+        for _ in range(seats if sum(weights) else 0):
+            k = min(range(len(weights)), key=lambda k: (-weights[k] / (2 * have[k] + 1), k))
+            have[k] += 1
+        return have
+
+    blocks = dict(zip(names, divide([target[n] for n in names], math.floor(sum(target.values()) / 64 + 0.5)), strict=True))
+    for n in names:
+        own = [r for r in hashed if r["source"] == n]
+        shards = max(1, math.ceil(total[n] / 1500), math.ceil(len(own) / 40))
+        parts = [sorted((r["h8"], r["doc_id"]) for r in own if r["h7"] % shards == k) for k in range(shards)]
+        words = [sum(size[i] for _, i in p) for p in parts]
+        filled = [k for k in range(shards) if parts[k]]
+        quota = dict(zip(filled, divide([words[k] for k in filled], blocks[n]), strict=True))
+        for k in filled:
+            line = [i for _, i in parts[k] for _ in range(size[i])]
+            want = collections.Counter({i: 0 for _, i in parts[k]})
+            left = min(quota[k] * 64, 2 * len(line))
+            while line and left >= len(line):
+                want.update(line)
+                left -= len(line)
+            for b in sorted(range(-(-len(line) // 64)), key=lambda b: pick[b, k]):
+                some = line[64 * b : 64 * b + 64][:left]
+                want.update(some)
+                left -= len(some)
+            assert {i: got[i] for i in want} == dict(want)
+
+
+def test_many_empty_texts_have_many_shards(spark, monkeypatch):
+    df = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("").alias("text")).union(spark.createDataFrame([(-1, "a", "one two")], "doc_id long, source string, text string"))
+    monkeypatch.setattr(mixing, "DISTRICT", 4)
+    out = mixing.mix(df, shard_rows=2000)
+    assert out.count() == 50_001 and out.agg(F.sum("taken")).first()[0] <= 4 and out.where("taken > 0").count() <= 1
+
+
 def test_mix_edges(odd, none):
     out = mixing.mix(odd)
     assert ids(out) == ids(odd) and mixing.mix(none).count() == 0
@@ -216,6 +286,27 @@ def test_viterbi_is_the_best_path():
         assert value == pytest.approx(d.max(), abs=1e-2)
 
 
+def test_many_languages_and_long_documents():
+    rng = np.random.default_rng(2)
+    for k in (3, 16, 130, 200):
+        score = rng.normal(size=(500, k)).astype(np.float32)
+        score[:, k - 1] += 1.0
+        starts = np.array([0, 40, 41, 300])
+        slow = langid.by_documents(score, starts, 2.0)
+        if k <= 16:
+            fast = langid.by_segments(score, starts, 2.0)
+            cost = [sum(score[t, p[t]] - (2.0 if t and t not in starts and p[t] != p[t - 1] else 0) for t in range(500)) for p in (slow, fast)]
+            assert cost[0] == pytest.approx(cost[1], abs=1e-2)
+        assert slow.min() >= 0 and np.bincount(slow).argmax() == k - 1
+        assert (langid.viterbi(score, starts, 2.0) == (fast if k <= 16 else slow)).all()
+
+
+def test_scripts_by_code_point():
+    texts = ["việt ẽ", "ἀρχή", "word 123", "слово", "ქართ", "漢字"]
+    w = words(*column_bytes(pa.array(texts)))
+    assert langid.scripts(w).tolist() == [1, 1, 2, 1, 0, 3, 6, 7]
+
+
 def test_held_out_accuracy(documents):
     model = langid.train(documents.where(~langid.held_out(F.col("doc_id"))))
     out = langid.label(documents, model).join(documents.select("doc_id", "lang"), "doc_id").where(langid.held_out(F.col("doc_id")))
@@ -255,13 +346,16 @@ def test_lines_edges(odd, none):
     assert by[1]["kept_text"] is None and by[2]["kept_text"] == "" and by[5]["n_removed"] == 1
 
 
-def test_lines_sql(spark):
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    got = con.execute(registry.oracle_sql()["op5_lines"])
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = con.execute(registry.oracle_sql()[name])
     names = [x[0] for x in got.description]
-    mine = linedup.op5_lines(spark, DATA).select(*names)
-    assert sorted(map(str, (tuple(r) for r in mine.collect()))) == sorted(map(str, got.fetchall()))
+    mine = registry.queries()[name](spark, DATA)
+    assert sorted(mine.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r) for r in mine.select(*names).collect()))) == sorted(map(str, got.fetchall()))
 
 
 # --- 6 WARC
@@ -291,6 +385,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert empty.count() == 0 and warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_outlying_ids_leave_shards_even(spark, tmp_path):
+    """An id of 2^60, one 2^63 below it, and an id that many rows share."""
+    df = spark.range(3000).select(F.when(F.col("id") == 1, F.lit(1 << 60)).when(F.col("id") == 2, F.lit(-(1 << 62) * 2 + 1)).when(F.col("id") < 1000, F.lit(5)).otherwise(F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id")).alias("html"))
+    files = warc.write_warc(df, f"file://{tmp_path}/w", shard_bytes=2000).groupBy("shard").agg(F.sum("records").alias("n")).orderBy("shard").collect()
+    n = [r["n"] for r in files]
+    assert sum(n) == 3000 and len(n) > 10 and max(n) <= 1.5 * min(n[:-1])
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 3000
+
+
 # --- 7 near duplicates
 
 
@@ -372,6 +475,17 @@ def test_license_edges(spark, odd, none):
     assert license.scan(odd).count() == 0 and license.scan(none).count() == 0 and license.scan(odd, {}).count() == 0
 
 
+def test_license_texts_and_long_texts(spark):
+    other = [f"w{k % 5000}" for k in range(100_000)]
+    mit = license.TEMPLATES["MIT-text"].split()
+    long = " ".join([*other, *mit[:60], "an", "edit", *mit[61:], *other])
+    rows = [(1, long), (2, " ".join(license.TEMPLATES["BSD-3-Clause-text"].split()[40:90])), (3, "Licensed under CC BY-NC 4.0")]
+    began = time.time()
+    got = {(r["doc_id"], r["license"]): r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k in got if k[0] == 1} == {(1, "MIT-text"), (1, "MIT-grant")} and got[1, "MIT-text"]["first_word"] == 100_000
+    assert {k for k in got if k[0] > 1} == {(3, "CC-BY-NC")} and time.time() - began < 60
+
+
 # --- 9 passages
 
 
@@ -467,6 +581,62 @@ def test_passages_with_an_inner_edit(spark):
         assert r["words"] <= r["end_word"] - r["first_word"] and r["removed_words"] == (r["words"] if i % 2 else 0)
 
 
+def shared_runs(texts, size):
+    """Documents that have ``size`` equal words in a row with another."""
+    where = collections.defaultdict(set)
+    for i, t in texts.items():
+        w = split(t)
+        for k in range(len(w) - size + 1):
+            where[hash(tuple(w[k : k + size]))].add(i)
+    return {i for s in where.values() if len(s) > 1 for i in s}
+
+
+def near_somewhere(a, b, size=20, share=0.7):
+    """Whether some stretch of ``size`` words of ``a`` shares most of its words with a stretch of ``b``."""
+    at = collections.defaultdict(list)
+    for k in range(len(b)):
+        at[b[k]].append(k)
+    for k in range(0, max(len(a) - size + 1, 1)):
+        near = collections.Counter(p // size for w in set(a[k : k + size]) for p in set(at.get(w, ())))
+        if near and max(near[p] + near[p + 1] for p in near) >= share * len(set(a[k : k + size])):
+            return True
+    return False
+
+
+def test_passages_by_brute_force(spark):
+    """Recall of documents with equal runs, and every reported passage is one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet") if os.path.isdir("/root/testdata/sf0.01") else spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    out = passages.repeated_passages(docs, across=True).collect()
+    found = {r["doc_id"] for r in out}
+    for size, least in ((51, 0.98), (24, 0.9)):
+        want = shared_runs(texts, size)
+        assert want and len(want & found) >= least * len(want), (size, len(want & found), len(want))
+    assert found <= {r["doc_id"] for r in passages.repeated_passages(docs).collect()}
+    for r in out:
+        if r["removed_words"]:
+            own = split(texts[r["doc_id"]])[r["first_word"] : r["end_word"]]
+            assert near_somewhere(own, split(texts[r["kept_doc"]])), r
+
+
+def test_passages_within_one_document(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    p = [word() for _ in range(60)]
+    df = spark.createDataFrame([(1, " ".join([*p, *[word() for _ in range(50)], *p])), (2, " ".join(word() for _ in range(90)))], "doc_id long, text string")
+    assert {r["doc_id"] for r in passages.repeated_passages(df).collect()} == {1}
+    assert passages.repeated_passages(df, across=True).count() == 0
+
+
+def test_versions_of_one_id(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    p = [word() for _ in range(60)]
+    rows = [(None, " ".join([word() for _ in range(9)] + p)), (None, " ".join(p + [word() for _ in range(9)])), (None, " ".join(p + ["x"])), (None, " ".join(p + ["x"]))]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["ver"] for r in out}) == 3 and sum(r["removed_words"] == 0 for r in out) == 1
+
+
 def test_passage_edges(odd, none):
     got = {r["doc_id"] for r in passages.repeated_passages(odd).collect()}
     assert got == {6, 7} and passages.repeated_passages(none).count() == 0
@@ -487,6 +657,18 @@ def test_shards(odd, none, documents):
     assert (by[1]["size"], by[1]["text_crc32"], by[4]["size"], by[4]["text_crc32"]) == (1, 0, 8, zlib.crc32(b"one two"))
 
 
+def test_winning_scores_by_hand(spark):
+    def xx(value, width, seed):
+        return xxhash.xxh64((value & (1 << 8 * width) - 1).to_bytes(width, "little"), seed).intdigest()
+
+    keys = [0, 1, -5, 2**40, 77]
+    got = [tuple(r) for r in spark.createDataFrame([(k,) for k in keys], "k long").select(shards.rendezvous(F.col("k"), [1.0] * 16), shards.rendezvous(F.col("k"), [1.0, 2.5, 0.5])).collect()]
+    for key, mine in zip(keys, got, strict=True):
+        for weights, shard in zip(([1.0] * 16, [1.0, 2.5, 0.5]), mine, strict=True):
+            u = [((xx(key, 8, xx(j, 4, xx(11, 4, 42))) >> 11) + 0.5) / 2**53 for j in range(len(weights))]
+            assert shard == max(range(len(weights)), key=lambda j: -weights[j] / math.log(u[j]))
+
+
 def test_weighted_shards(spark):
     df = spark.range(40_000).select(shards.rendezvous(F.col("id"), [1.0, 3.0]).alias("s"))
     n = {r["s"]: r["count"] for r in df.groupBy("s").count().collect()}
@@ -527,6 +709,66 @@ def test_leaks_and_paraphrases(spark, documents):
     assert len(hit & set(enumerate(sorted(items)[:20]))) >= 18 and rng
 
 
+def brute_leaks(texts, items, copied=0.8, paraphrased=0.6, answer_words=5):
+    """All pairs, the rule itself: the LCS of the item with any stretch of the document of one and a half times its length."""
+    out = set()
+    have = {i: np.array([hash(x) & (1 << 62) - 1 for x in split(t)], np.uint64) for i, t in texts.items()}
+    for k, x in items.items():
+        w = np.array([hash(y) & (1 << 62) - 1 for y in split(x)], np.uint64)
+        some = set(w.tolist())
+        for i, h in have.items():
+            if not len(w) or len(some & set(h.tolist())) < paraphrased * len(some) * 0.9:
+                continue
+            step = max(len(w) // 4, 1)
+            for lo in range(0, max(len(h) - len(w) // 2, 1), step):
+                near = h[lo : lo + len(w) + 2 * step]
+                score = decontam.lcs(w, near) / len(w)
+                if score >= copied or score >= paraphrased and decontam.lcs(w[-answer_words:], near) >= 0.8 * len(w[-answer_words:]):
+                    out.add((i, k))
+                    break
+    return out
+
+
+def test_leaks_by_brute_force_on_all_pairs(spark, documents, texts):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    rng = random.Random(3)
+    planted = dict(texts)
+    for n, k in enumerate(sorted(items)):  # part of the words replaced, by words of other texts or rare ones, or left out; the answer stays
+        w = items[k].split()
+        fill = split(texts[sorted(texts)[n % len(texts)]]) or ["x"]
+        for j in rng.sample(range(max(len(w) - 5, 0)), int(0.33 * max(len(w) - 5, 0))):
+            w[j] = ("", f"rare{n}x{j}", rng.choice(fill))[n % 3]
+        planted[10_000 + n] = " ".join([*fill[:60], *w, *fill[60:120]])
+    df = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
+    want = brute_leaks(planted, items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench).collect()}
+    short = {(i, k) for i, k in want if len(split(items[k])) < 25}
+    assert len(want) >= len(items) and len(want & got) >= 0.9 * len(want), (len(want), len(want & got))
+    assert not short or len(short & got) >= 0.9 * len(short), (len(short), len(short & got))
+    assert len(got - want) <= 0.02 * len(got)
+
+
+def test_items_of_any_length_and_in_parts(spark, documents):
+    rng = random.Random(7)
+    vocabulary = sorted({x for t in ("alpha beta gamma delta epsilon zeta eta theta", ) for x in t.split()} | {f"word{k}" for k in range(3000)})
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate((6, 12, 20, 40, 61, 150, 300, 600, 1500, 5000))]
+    rows = [(100_000 + k, " ".join(rng.choice(vocabulary) for _ in range(200)) + " " + t + " " + " ".join(rng.choice(vocabulary) for _ in range(130 + k))) for k, t in items]
+    df = documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for part in (25_000, 4):
+        got = {(r["doc_id"] - 100_000, r["item_id"]) for r in decontam.find_leaks(df, bench, part_items=part).where("doc_id >= 100000").collect()}
+        assert got == {(k, k) for k, _ in items}
+
+
+def test_answers_only_if_named(spark, documents):
+    words_ = " ".join(f"q{k}" for k in range(8))
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame([(100_000, words_ + " and then the reply is forty two")], "doc_id long, text string"))
+    bench = spark.createDataFrame([(1, words_ + " x y z", "forty two")], "item_id long, text string, answer string")
+    assert decontam.find_leaks(docs, bench).count() == 0
+    assert decontam.find_leaks(docs, bench, answer="answer").count() == 1
+
+
 def test_leak_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (3, "one two")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(odd, bench).collect()}
