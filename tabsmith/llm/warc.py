@@ -26,11 +26,11 @@ import hashlib
 import posixpath
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import discard, join_counted, materialize, shared_dir, table
@@ -135,7 +135,6 @@ def _mover(out: str):
 
 
 KEY = ["page_id", "sha", "u"]
-DEALT = "shard int, page_id long, sha string, u long, url string, html string, to long, page boolean"
 
 
 def shard_keys(slim: DataFrame, shard_bytes: int) -> list[tuple]:
@@ -161,14 +160,15 @@ def _comparable(page_id: int | None, sha: str, u: int) -> tuple:
     return page_id is not None, page_id or 0, sha, u
 
 
-def _dealer(firsts: list[tuple]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)
-            shard = [bisect.bisect_right(firsts, _comparable(*k)) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], ["shard", *batch.schema.names])
+def shard_of(firsts: list[tuple]) -> Callable[..., Column]:
+    """The shard of a row by its key's columns; only these go to Python."""
 
-    return run
+    @F.arrow_udf("int")
+    def deal(page_id: pa.Array, sha: pa.Array, u: pa.Array) -> pa.Array:
+        keys = zip(page_id.to_pylist(), sha.to_pylist(), u.to_pylist(), strict=True)
+        return pa.array([bisect.bisect_right(firsts, _comparable(*k)) for k in keys], pa.int32())
+
+    return deal
 
 
 def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int = 1 << 25, roll_bytes: int = 1 << 24) -> DataFrame:
@@ -183,7 +183,7 @@ def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int =
     empty = F.lit(None).cast("string")
     both = base.select(*keyed, "url", "html", F.lit(None).cast("long").alias("to"), F.lit(True).alias("page"))
     both = both.union(refs.select(*KEY, empty, empty, "to", F.lit(False)))
-    dealt = both.mapInArrow(_dealer(firsts), DEALT).repartitionById(len(firsts) + 1, "shard")
+    dealt = both.withColumn("shard", shard_of(firsts)(*KEY)).repartitionById(len(firsts) + 1, "shard")
     beside = Window.partitionBy("shard", *KEY)
     dealt = dealt.withColumn("refers_to", F.max("to").over(beside)).where("page")
     dealt = dealt.sortWithinPartitions("shard", *KEY).select("shard", "page_id", "url", "html", "refers_to")
