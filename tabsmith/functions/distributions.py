@@ -54,11 +54,20 @@ def check_borders(borders: Sequence[float], bins: int) -> None:
 
 
 def check_distribution(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """One row: rows, and those whose array is missing, of another length, or not a distribution's logits."""
+    """One row: rows, and those whose array is missing or of another length, holds what is no logit, or has no mass."""
     x = F.col(column)
     wrong = x.isNull() | (F.size(x) != bins)
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (v == float("inf")))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(wrong).alias("wrong_length"), F.count_if(~wrong & odd).alias("not_logits"))
+    none = ~F.exists(x, lambda v: v > float("-inf"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(wrong).alias("wrong_length"), F.count_if(~wrong & odd).alias("not_logits"), F.count_if(~wrong & ~odd & none).alias("no_mass"))
+
+
+def require_distribution(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """``df``, if every row has the logits of a distribution."""
+    row = check_distribution(df, column, bins).first().asDict()
+    if faults := {k: v for k, v in row.items() if k != "rows" and v}:
+        raise WorkbenchError("RESULT_INVALID", "not logits of a distribution", **faults)
+    return df
 
 
 def decode_mean(probs: Column, means: Sequence[float], mean: float = 0.0, scale: float = 1.0) -> Column:

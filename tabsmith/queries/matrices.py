@@ -275,9 +275,9 @@ def h05(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(dist.decode_quantile_mean(F.col("embedding"), 5.0, 3.0), 6).alias("v"))
 
 
-@register("h06_check_distribution", "SELECT count(*) AS rows, count(*) FILTER (WHERE label = 1) AS wrong_length, count(*) FILTER (WHERE label = 2) AS not_logits FROM embeddings")
+@register("h06_check_distribution", "SELECT count(*) AS rows, count(*) FILTER (WHERE label = 1) AS wrong_length, count(*) FILTER (WHERE label = 2) AS not_logits, count(*) FILTER (WHERE label = 3) AS no_mass FROM embeddings")
 def h06(spark, d):
-    odd = F.when(F.col("label") == 1, F.slice("embedding", 1, 10)).when(F.col("label") == 2, F.transform("embedding", lambda v: v * float("inf"))).otherwise(F.col("embedding"))
+    odd = F.when(F.col("label") == 1, F.slice("embedding", 1, 10)).when(F.col("label") == 2, F.transform("embedding", lambda v: v * float("inf"))).when(F.col("label") == 3, F.transform("embedding", lambda v: F.lit(float("-inf")).cast("float"))).otherwise(F.col("embedding"))
     return dist.check_distribution(table(spark, d, "embeddings").withColumn("e", odd), "e", 64)
 
 

@@ -460,3 +460,10 @@ def test_fit_with_the_fingerprint_by_hand(spark):
     for c, v in by.items():
         z = (v - v.mean()) / v.std()
         assert state.scales[c] == pytest.approx((v.mean(), v.std())) and state.weights[c] == pytest.approx((z * t).sum() / (z * z).sum(), abs=1e-6)
+
+
+def test_distributions_without_mass_are_refused(spark):
+    rows = [([0.0, 1.0],), ([float("-inf"), 0.0],)]
+    assert dist.require_distribution(spark.createDataFrame(rows, "e array<double>"), "e", 2).count() == 2
+    for bad in ([float("-inf")] * 2, [float("nan"), 0.0], [1.0], None):
+        assert code(dist.require_distribution, spark.createDataFrame([*rows, (bad,)], "e array<double>"), "e", 2) == "RESULT_INVALID"
