@@ -104,6 +104,8 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, no, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
     for batch in batches:
         key, no = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in ((key, "key"), (no, "no")))
+        if not len(key):
+            continue
         equal = key[1:] == key[:-1]
         hit = np.zeros(len(key), bool)
         hit[1:] = equal

@@ -505,6 +505,27 @@ def test_license_texts_and_long_texts(spark):
 # --- 9 passages
 
 
+def test_sorted_rows_in_batches_of_any_size():
+    """Keys that another row has, and the keys of each number, whatever the cuts between batches."""
+    rng = random.Random(15)
+
+    def batches(rows):
+        i = 0
+        while i < len(rows):
+            j = i + rng.randrange(0, 7)
+            yield pa.RecordBatch.from_pydict({"no": pa.array([r[0] for r in rows[i:j]], pa.int64()), "key": pa.array([r[1] for r in rows[i:j]], pa.int64())})
+            i = j
+
+    for _ in range(100):
+        rows = sorted(((rng.randrange(9), rng.randrange(30)) for _ in range(rng.randrange(60))), key=lambda r: r[1])
+        keys = collections.Counter(k for _, k in rows)
+        got = [(r["no"], r["key"]) for b in passages._beside(batches(rows)) for r in b.to_pylist()]
+        assert got == [r for r in rows if keys[r[1]] > 1]
+        rows.sort()
+        got = [(r["no"], k) for b in passages._listed(batches(rows)) for r in b.to_pylist() for k in r["keys"]]
+        assert got == rows
+
+
 def test_planted_passages(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
