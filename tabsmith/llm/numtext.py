@@ -63,8 +63,9 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the rows ``data[offsets[i]:offsets[i+1]]``; no word spans two rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word of the rows ``data[offsets[i]:offsets[i+1]]``, and the index of each row's first word, and the
+    end; no word spans two rows."""
     n = len(data)
     kind = np.zeros(n + 2, bool)
     kind[1 : n + 1] = _KIND[data]
@@ -75,8 +76,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     at = np.flatnonzero(change)
     if len(cut):  # a row ends inside a run: end the word and start another
         at = np.sort(np.concatenate([at, cut, cut]))
-    start, end = at[0::2], at[1::2]
-    return Words(data, start, end, word_hashes(data, start, end), np.searchsorted(start, offsets, "left"))
+    return at[0::2], at[1::2], np.searchsorted(at[0::2], offsets, "left")
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words of the rows ``data[offsets[i]:offsets[i+1]]``, with their hashes."""
+    start, end, first = word_spans(data, offsets)
+    return Words(data, start, end, word_hashes(data, start, end), first)
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import decontam, langid, license, linedup, media, mixing, near, passages, shards, warc
+from tabsmith.llm import decontam, langid, license, linedup, media, mixing, near, passages, resample, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_license": license.op8_license,
         "op9_passages": passages.op9_passages,
         "op10_shard": shards.op10_shard,
+        "op11_resample": resample.op11_resample,
     }
 
 
