@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import decontam, langid, license, linedup, media, mixing, near, passages, resample, shards, warc
+from tabsmith.llm import decontam, langid, license, linedup, media, mixing, near, passages, ranked, resample, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,9 @@ def queries() -> dict[str, Query]:
         "op9_passages": passages.op9_passages,
         "op10_shard": shards.op10_shard,
         "op11_resample": resample.op11_resample,
+        "op13_ranked": ranked.op13_ranked,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": linedup.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_near": near.OP7_SQL, "op8_license": license.OP8_SQL}
+    return {"op5_lines": linedup.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_near": near.OP7_SQL, "op8_license": license.OP8_SQL, "op13_ranked": ranked.OP13_SQL}
