@@ -113,6 +113,16 @@ def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
         k = m
 
 
+def byte_pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows k to m of a batch, of about ``PIECE`` bytes, with their bytes and offsets."""
+    data, offsets = column_bytes(batch.column(text))
+    k, n = 0, batch.num_rows
+    while k < n:
+        m = min(max(int(np.searchsorted(offsets, offsets[k] + PIECE, "right")) - 1, k + 1), n)
+        yield k, m, data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k]
+        k = m
+
+
 def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 48-bit shingle hashes of each row, one row after another, and each row's offset. A row of
     fewer words than ``size`` (but at least one) has all its words as the single shingle."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.llm import decontam, langid, license, linedup, media, mixing, near, passages, ranked, resample, shards, warc
+from tabsmith.llm import decontam, langid, license, linedup, media, mixing, near, passages, ranked, resample, shards, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_passages": passages.op9_passages,
         "op10_shard": shards.op10_shard,
         "op11_resample": resample.op11_resample,
+        "op12_suffixes": suffixes.op12_suffixes,
         "op13_ranked": ranked.op13_ranked,
     }
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import materialize, table
-from tabsmith.llm.numtext import _LOWER, PIECE, column_bytes, word_spans
+from tabsmith.llm.numtext import _LOWER, byte_pieces, word_spans
 
 #: Distances in the table, and bytes of spans that are looked up at a time.
 DEPTH, SLAB = 512, 1 << 16
@@ -142,22 +142,13 @@ def features(data: np.ndarray, offsets: np.ndarray, longest: int, buckets: int)
         k = m
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = column_bytes(batch.column("text"))
-    k, n = 0, batch.num_rows
-    while k < n:
-        m = min(max(int(np.searchsorted(offsets, offsets[k] + PIECE, "right")) - 1, k + 1), n)
-        yield k, m, data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k]
-        k = m
-
-
 def bucket_counts(docs: DataFrame, *, longest: int = 2, buckets: int = 10_000) -> DataFrame:
     """``bucket, n``: the features of all texts in each bucket; at most ``buckets`` rows a task are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, _, data, offsets in _pieces(batch):
+            for _, _, data, offsets in byte_pieces(batch):
                 for _, bucket, _ in features(data, offsets, longest, buckets):
                     have += np.bincount(bucket, minlength=buckets)
         k = np.flatnonzero(have)
@@ -181,7 +172,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, *, longest: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, count, total = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for k, m, data, offsets in _pieces(batch):
+            for k, m, data, offsets in byte_pieces(batch):
                 for row, bucket, g in features(data, offsets, longest, len(gain)):
                     if not len(row):
                         continue
