@@ -30,4 +30,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": linedup.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_near": near.OP7_SQL, "op8_license": license.OP8_SQL, "op13_ranked": ranked.OP13_SQL}
+    return {
+        "op5_lines": linedup.OP5_SQL,
+        "op6_warc": warc.OP6_SQL,
+        "op7_near": near.OP7_SQL,
+        "op8_license": license.OP8_SQL,
+        "op11_resample": resample.OP11_SQL,
+        "op12_suffixes": suffixes.OP12_SQL,
+        "op13_ranked": ranked.OP13_SQL,
+    }

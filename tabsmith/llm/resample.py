@@ -222,3 +222,45 @@ def resample(docs: DataFrame, target: DataFrame, *, longest: int = 2, buckets: i
 
 def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH bit0 AS (SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS v FROM range(256) t(b)
+), bits AS (
+  SELECT list(list_reduce([v, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS t FROM bit0
+), low AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), word AS (
+  SELECT kind, id, unnest(ws) AS a, unnest(ws[2:]) AS b FROM low
+), gram AS (
+  SELECT kind, id, a AS f FROM word UNION ALL SELECT kind, id, a || ' ' || b FROM word WHERE b IS NOT NULL
+), feature AS (
+  SELECT kind, id, f, count(*) AS n FROM gram GROUP BY kind, id, f
+), crc AS (
+  SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(len(hex(encode(f))) // 2), lambda i: CAST(('0x' || substr(hex(encode(f)), 2 * i + 1, 2)) AS BIGINT))), lambda c, x: xor(c >> 8, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM feature), bits
+), bucketed AS (
+  SELECT kind, id, n, bucket FROM feature JOIN crc USING (f)
+), counted AS (
+  SELECT bucket, CAST(sum(n) FILTER (WHERE kind = 0) AS BIGINT) AS s, CAST(sum(n) FILTER (WHERE kind = 1) AS BIGINT) AS t FROM bucketed GROUP BY bucket
+), whole AS (
+  SELECT coalesce(sum(s), 0) + 10000 AS s_all, coalesce(sum(t), 0) + 10000 AS t_all FROM counted
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * s_all AS DOUBLE) / CAST((coalesce(s, 0) + 1) * t_all AS DOUBLE))) AS BIGINT) AS g FROM counted, whole
+), own AS (
+  SELECT id AS doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS total FROM bucketed JOIN gain USING (bucket) WHERE kind = 0 GROUP BY id
+), size AS (
+  SELECT id AS doc_id, len(ws) AS n_words FROM low WHERE kind = 0
+), scored AS (
+  SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(CAST(floor(CAST(total AS DOUBLE) / n_features) AS BIGINT), 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM size LEFT JOIN own USING (doc_id)
+), drawn AS (
+  SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS many FROM drawn
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * many // 100 THEN CAST(place AS BIGINT) END AS rank, CAST(n_words AS BIGINT) AS n_words FROM placed
+"""

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,10 @@ def test_documents_against_zlib(spark):
     out = resample.op11_resample(spark, DATA)
     read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").collect()
     assert got(out) == plain([(r["doc_id"], r["text"]) for r in read("documents")], [r["text"] for r in read("benchmark")])
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    assert sorted(repr(list(r[:5])) for r in con.execute(resample.OP11_SQL).fetchall()) == got(out)
     assert dict(out.dtypes) | {"n_words": ""} == dict.fromkeys(("doc_id", "n_features", "weight", "score", "rank"), "bigint") | {"n_words": ""}
 
 

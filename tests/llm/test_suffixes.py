@@ -8,6 +8,7 @@ import random
 import tempfile
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,7 +60,11 @@ def test_suffix_order_and_shared_starts(memory, width, monkeypatch):
 def test_documents_against_all_strings(spark):
     out = suffixes.op12_suffixes(spark, DATA)
     assert dict(out.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
-    assert sorted(repr(list(r)) for r in out.collect()) == plain(texts(spark))
+    rows = sorted(repr(list(r)) for r in out.collect())
+    assert rows == plain(texts(spark))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    assert sorted(repr(list(r)) for r in con.execute(suffixes.OP12_SQL).fetchall()) == rows
 
 
 @pytest.mark.parametrize("options", [{}, {"shard_bytes": 4000, "memory": 100}, {"wide_bytes": 1000}])
