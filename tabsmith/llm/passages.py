@@ -412,5 +412,4 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 24, similar: float
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents."""
-    return repeated_passages(table(spark, sf_dir, "documents"), across=True).drop("ver")
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("ver")
