@@ -30,6 +30,14 @@ def a01(spark, d):
     return readers.read_csv(spark, path)
 
 
+@register("a01_cells_with_line_breaks", "SELECT CAST(page_id AS DOUBLE) AS page_id, url, html FROM pages")
+def a01_breaks(spark, d):
+    """Pages with their HTML in cells: line breaks, commas and quotes."""
+    path = fresh_path(spark, "csv")
+    writers.write_csv(table(spark, d, "pages").select("page_id", "url", "html"), path)
+    return readers.read_csv(spark, path, types={"url": "string", "html": "string"})
+
+
 @register("a02_read_json_rows", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def a02(spark, d):
     path = fresh_path(spark, "json")
@@ -317,10 +325,11 @@ def d13(spark, d):
     return out.select("id", "status", F.size("missing").cast("long").alias("missing"))
 
 
-@register("j03_round_trip", "SELECT format, true AS same_digest, true AS has_metadata, c_custkey, c_name, c_acctbal, c_mktsegment FROM customer, (VALUES ('csv'), ('parquet'), ('arrow')) AS t(format)")
+@register("j03_round_trip", "SELECT format, true AS same_digest, true AS has_metadata, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || '\"a\",' || chr(10) ELSE c_name END AS c_name, c_acctbal, c_mktsegment FROM customer, (VALUES ('csv'), ('parquet'), ('arrow')) AS t(format)")
 def j03(spark, d):
-    """The rows that come back from each format, beside what the check by digest says."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    """The rows that come back from each format, beside what the check by digest says; some names have line breaks and quotes."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit('\n"a",\n'))).otherwise(F.col("c_name"))
+    c = table(spark, d, "customer").select("c_custkey", name.alias("c_name"), "c_acctbal", "c_mktsegment")
     said = writers.round_trip_check(c, fresh_path(spark, "trip"), ["c_custkey"])
     out = None
     for fmt, back in writers.round_trip(c, fresh_path(spark, "trip")).items():

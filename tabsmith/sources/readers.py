@@ -7,6 +7,7 @@ Types are inferred over whole columns, in one aggregation for all; declared type
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Sequence
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.catalog import check_source_name, raw_digest
 from tabsmith.operators.features import SAFE, is_inf
+from tabsmith.sources.csv_records import records
 
 CORRUPT = "__corrupt"
 #: What counts as a number and as an ISO-8601 time.
@@ -31,19 +33,37 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     lines = spark.read.text(path).limit(1).collect()
     if not lines:
         raise WorkbenchError("EMPTY_INPUT", "the file has no line", path=path)
-    names = [x.strip() for x in next(csv.reader([lines[0]["value"].removeprefix("﻿")]))]
+    return _names(lines[0]["value"].removeprefix("\ufeff"))
+
+
+def _names(line: str) -> list[str]:
+    names = [x.strip() for x in next(csv.reader(io.StringIO(line, newline="")))]
     if any(not n for n in names) or len({n.lower() for n in names}) < len(names):
         raise WorkbenchError("SCHEMA_MISMATCH", "column names are empty or repeat", columns=names)
     return names
 
 
-def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False, infer: bool = True, types: dict[str, str] | None = None) -> DataFrame:
-    """Rows of CSV files with one header; blank lines are dropped; ragged rows, open quotes and a file with other names or
-    another order of them raise. ``multi_line`` allows line breaks in cells and makes a file one task. The checks and
-    the inference are one pass over the files."""
-    names = csv_header(spark, path)
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.csv(path, schema=schema, header=True, nullValue="\\N", quote='"', escape='"', multiLine=multi_line, columnNameOfCorruptRecord=CORRUPT, enforceSchema=False, mode="PERMISSIVE")
+def _csv_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """Column names and rows of text cells, with ``CORRUPT`` for the text of ragged ones. Where no cell has a line break Spark's own reader cuts the files."""
+    found = records(spark, path)
+    cell = {"nullValue": "\\N", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
+    if found is None:
+        names = csv_header(spark, path)
+        schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(CORRUPT, T.StringType())])
+        return names, spark.read.csv(path, schema=schema, header=True, enforceSchema=False, **cell)
+    heads = [r["value"] for r in found.where("first").select(F.ltrim("value", F.lit("\ufeff")).alias("value")).distinct().limit(2).collect()]
+    names = _names(heads[0])
+    if len(heads) > 1:
+        raise WorkbenchError("SCHEMA_MISMATCH", "a file's header differs", expected=names)
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, CORRUPT])
+    return names, found.where("not first").select(F.from_csv("value", ddl, cell).alias("r")).select("r.*")
+
+
+def read_csv(spark: SparkSession, path: str, *, infer: bool = True, types: dict[str, str] | None = None) -> DataFrame:
+    """Rows of CSV files with one header; cells may hold line breaks, and files are cut in parallel all the same (see ``csv_records``). Blank
+    lines are dropped; ragged rows, open quotes and a file with other names or another order of them raise. The checks and
+    the inference are one pass over the files, after one that counts quotes."""
+    names, raw = _csv_rows(spark, path)
     quotes = F.length(F.col(CORRUPT)) - F.length(F.replace(F.col(CORRUPT), F.lit('"')))
     checks = [F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"), F.count_if(quotes % 2 == 1).alias("open"), F.first(CORRUPT, True).alias("sample")]
     df = raw.drop(CORRUPT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -467,3 +468,67 @@ def test_distributions_without_mass_are_refused(spark):
     assert dist.require_distribution(spark.createDataFrame(rows, "e array<double>"), "e", 2).count() == 2
     for bad in ([float("-inf")] * 2, [float("nan"), 0.0], [1.0], None):
         assert code(dist.require_distribution, spark.createDataFrame([*rows, (bad,)], "e array<double>"), "e", 2) == "RESULT_INVALID"
+
+
+def plain_csv(text):
+    """Records as a reader of one character at a time sees them: a quote toggles, a break outside ends a record."""
+    out, record, cell, quoted, ever = [], [], "", False, False
+
+    def close():
+        nonlocal record, cell, ever
+        record.append((None if cell == "\\N" or cell == "" and not ever else cell, ever, cell))
+        cell, ever = "", False
+
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if c == '"':
+            if quoted and text[i + 1 : i + 2] == '"':
+                cell, i = cell + '"', i + 1
+            else:
+                quoted, ever = not quoted, True
+        elif c == "," and not quoted:
+            close()
+        elif c in "\r\n" and not quoted:
+            close()
+            out.append(record)
+            record = []
+        else:
+            cell += c
+        i += 1
+    if cell or record or ever:
+        close()
+        out.append(record)
+    return [[x[0] for x in r] for r in out if any(x[2] or x[1] for x in r)]
+
+
+def test_csv_line_breaks_in_cells_over_many_ranges(spark, tmp_path):
+    rng = random.Random(6)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for trial, size in enumerate((60, 400, 5000)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            folder, want = tmp_path / f"t{trial}", []
+            folder.mkdir()
+            for f in range(2):
+                rows = [[str(k), "".join(rng.choice(["a", "é", ",", '"', "\n", "\r\n", "\r", " "]) for _ in range(rng.choice([0, 1, 5, 150]))), rng.choice(["", "x", "\\N"])] for k in range(15)]
+                end = rng.choice(["\n", "\r\n"])
+                cells = lambda r: ",".join(f'"{c.replace(chr(34), chr(34) * 2)}"' if k == 1 or c == "" and rng.random() < 0.5 else c for k, c in enumerate(r))
+                lines = ['id,"no\nte",tag', *[cells(r) for r in rows]]
+                lines.insert(7, rng.choice(["", ",,"]))
+                text = end.join(lines) + rng.choice(["", end])
+                (folder / f"{f}.csv").write_bytes((rng.choice(["", "\ufeff"]) + text).encode())
+                want += [r for r in plain_csv(text)[1:]]
+            got = readers.read_csv(spark, str(folder), infer=False)
+            assert got.columns == ["id", "no\nte", "tag"]
+            assert sorted(map(repr, ([*r] for r in got.collect()))) == sorted(map(repr, want))
+            if size < 5000:
+                assert got.rdd.getNumPartitions() > 3
+        (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n')
+        assert code(readers.read_csv, spark, str(tmp_path / "open.csv")) == "INVALID_FORMAT"
+        (tmp_path / "ragged.csv").write_text('a,b\n1,"x\n"\n2\n')
+        assert code(readers.read_csv, spark, str(tmp_path / "ragged.csv")) == "INVALID_FORMAT"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
