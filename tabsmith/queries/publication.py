@@ -10,7 +10,7 @@ from tabsmith.queries.core import register, table
 from tabsmith.queries.matrices import KEY, LINEAR, fitted
 from tabsmith.sources.writers import query_results, register_results
 from tabsmith.storage import fresh_path, stored
-from tabsmith.streaming.runs import latest_per_stream, run_state, score_stream
+from tabsmith.streaming.runs import PROVIDER, latest_per_stream, run_state, score_stream
 
 PREDICTED = "SELECT o_orderkey AS business_key, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_ordinal, o_totalprice * 1.5 AS mean, o_totalprice AS q25, o_totalprice * 2 AS q75, o_totalprice + o_custkey AS truth, o_orderdate FROM orders"
 
@@ -58,12 +58,15 @@ def i04(spark, d):
     return results.with_truth_and_ordinal(p.select("business_key", F.lit(7).alias("truth")), p.select("business_key", "truth"), "business_key")
 
 
-#: The rules of ``operators.runs`` as a recursive query: a step is each stream's next event, a row its head, baseline and all its runs.
+#: The rules of publication as a recursive query: a step is each stream's next event, a row its head, baseline and all its runs. A request is known until
+#: it is deleted, and known ones are not reserved again.
 STATES = """WITH RECURSIVE raw AS (SELECT event_id AS i, 'r' || event_id AS r, 's' || (user_id % 400) AS stream_id, CASE WHEN event_id % 70 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 1 ELSE event_id + 1 END AS g, event_id % 10 = 0 AS b, event_id % 11 = 0 AS x FROM events),
 ev AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM (
   SELECT stream_id, r, g, b, x, i * 10 AS seq, 'reserve' AS kind FROM raw
-  UNION ALL SELECT stream_id, r, g, b, x, i * 10 + 1 + (i % 3) * 4000, CASE WHEN i % 4 = 2 THEN 'cancel' WHEN i % 4 = 3 THEN 'fail' ELSE 'publish' END FROM raw WHERE i % 7 <> 0
-  UNION ALL SELECT stream_id, r, g, b, x, i * 10 + 9002, CASE WHEN i % 40 < 20 THEN 'rollback' ELSE 'delete' END FROM raw WHERE i % 20 < 2)),
+  UNION ALL SELECT stream_id, r, g, b, x, i * 10 + 1 + (i % 3) * 4000, CASE WHEN (i // 3) % 4 = 2 THEN 'cancel' WHEN (i // 3) % 4 = 3 THEN 'fail' ELSE 'publish' END FROM raw WHERE i % 7 <> 0
+  UNION ALL SELECT stream_id, r, g, b, x, i * 10 + 9002, CASE WHEN i % 60 < 20 THEN 'rollback' ELSE 'delete' END FROM raw WHERE i % 20 < 2 AND i % 60 < 40
+  UNION ALL SELECT stream_id, r, g, b, x, i * 10 + 9003, 'delete' FROM raw WHERE i % 17 = 5
+  UNION ALL SELECT stream_id, r, g + 1200, b, x, i * 10 + 9004, 'reserve' FROM raw WHERE i % 9 = 4)),
 st AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS head, CAST(NULL AS VARCHAR) AS base, CAST([] AS STRUCT(r VARCHAR, g BIGINT, b BOOLEAN, x BOOLEAN, s BIGINT, status VARCHAR, p VARCHAR)[]) AS runs FROM ev
 UNION ALL SELECT stream_id, n,
   CASE WHEN kind = 'reserve' AND moves THEN g WHEN kind IN ('fail', 'rollback') AND hit THEN list_max([q.g FOR q IN runs IF q.status = 'published' AND NOT q.x AND q.r <> r]) ELSE head END,
@@ -78,25 +81,33 @@ UNION ALL SELECT stream_id, n,
        ELSE runs END
 FROM (SELECT *, NOT refused AND NOT x AND (NOT (b OR g = 0) OR head IS NULL) AS moves, me IS NOT NULL AND (kind = 'delete' OR kind = 'rollback' AND me.status = 'published' OR kind IN ('publish', 'cancel', 'fail') AND me.status = 'pending') AS hit,
         NOT me.x AND NOT (me.b OR me.g = 0) AND head IS NOT NULL AND head <> me.g AS old
+  FROM (SELECT *, me IS NOT NULL OR NOT x AND NOT (b OR g = 0) AND head IS NOT NULL AND g <= head AS refused
   FROM (SELECT st.stream_id, st.head, st.base, st.runs, ev.n, ev.r, ev.g, ev.b, ev.x, ev.seq, ev.kind,
-          NOT ev.x AND NOT (ev.b OR ev.g = 0) AND st.head IS NOT NULL AND ev.g <= st.head AS refused,
-          list_filter(st.runs, lambda q: q.r = ev.r AND q.status IN ('pending', 'published'))[1] AS me
-        FROM st JOIN ev ON ev.stream_id = st.stream_id AND ev.n = st.n + 1))),
+          list_filter(st.runs, lambda q: q.r = ev.r AND q.status NOT IN ('deleted', 'refused'))[1] AS me
+        FROM st JOIN ev ON ev.stream_id = st.stream_id AND ev.n = st.n + 1)))),
 last AS (SELECT * FROM st JOIN (SELECT stream_id, max(n) AS n FROM ev GROUP BY 1) USING (stream_id, n)),
 states AS (SELECT stream_id, q.r AS request_id, q.g AS generation, q.b AS baseline, q.x AS experiment, q.s AS seq, q.status AS status FROM (SELECT stream_id, unnest(runs) AS q FROM last))"""
 
 
 def run_events(spark, d):
-    """Reservations, their ends and what is undone, a request for each event."""
+    """Reservations, their ends, what is undone or deleted, and requests that are reserved again."""
     e, i = table(spark, d, "events"), F.col("event_id")
     gen = F.when(i % 70 == 0, F.lit(0)).when(i % 13 == 0, F.lit(1)).otherwise(i + 1)
     req = F.concat(F.lit("r"), i.cast("string")).alias("request_id")
     stream = F.concat(F.lit("s"), (F.col("user_id") % 400).cast("string")).alias("stream_id")
-    end = F.when(i % 4 == 2, "cancel").when(i % 4 == 3, "fail").otherwise("publish")
-    undone = F.when(i % 40 < 20, "rollback").otherwise("delete")
-    each = [F.struct((i * 10).alias("seq"), F.lit("reserve").alias("kind")), F.when(i % 7 != 0, F.struct((i * 10 + 1 + (i % 3) * 4000).alias("seq"), end.alias("kind"))), F.when(i % 20 < 2, F.struct((i * 10 + 9002).alias("seq"), undone.alias("kind")))]
-    out = e.select(req, stream, gen.alias("generation"), (i % 10 == 0).alias("baseline"), (i % 11 == 0).alias("experiment"), F.explode(F.array_compact(F.array(*each))).alias("e"))
-    return out.select("request_id", "stream_id", "generation", "baseline", "experiment", "e.seq", "e.kind")
+    turn = F.floor(i / 3) % 4
+    end = F.when(turn == 2, "cancel").when(turn == 3, "fail").otherwise("publish")
+    undone = F.when(i % 60 < 20, "rollback").otherwise("delete")
+    at = lambda seq, kind, g=gen: F.struct(seq.alias("seq"), kind.alias("kind"), g.alias("generation"))
+    each = [
+        at(i * 10, F.lit("reserve")),
+        F.when(i % 7 != 0, at(i * 10 + 1 + (i % 3) * 4000, end)),
+        F.when((i % 20 < 2) & (i % 60 < 40), at(i * 10 + 9002, undone)),
+        F.when(i % 17 == 5, at(i * 10 + 9003, F.lit("delete"))),
+        F.when(i % 9 == 4, at(i * 10 + 9004, F.lit("reserve"), gen + 1200)),
+    ]
+    out = e.select(req, stream, (i % 10 == 0).alias("baseline"), (i % 11 == 0).alias("experiment"), F.explode(F.array_compact(F.array(*each))).alias("e"))
+    return out.select("request_id", "stream_id", "e.generation", "baseline", "experiment", "e.seq", "e.kind")
 
 
 def states(spark, d):
@@ -119,9 +130,18 @@ def i07(spark, d):
     return results.baseline_runs(runs.stream_heads(runs.replayed(run_events(spark, d))))
 
 
-@register("i08_supersede", STATES + " SELECT request_id, status FROM states")
+@register("i08_supersede", STATES + " SELECT request_id, seq, status FROM states")
 def i08(spark, d):
-    return states(spark, d).select("request_id", "status")
+    return states(spark, d).select("request_id", "seq", "status")
+
+
+@register("i08_resumed_states", STATES + " SELECT request_id, seq, status FROM states")
+def i08_resumed(spark, d):
+    """The same from states that are stored three times on the way."""
+    events = run_events(spark, d)
+    last = events.agg(F.max("seq")).first()[0] or 0
+    changes, _ = runs.replayed_in_steps(events, [last // 4, last // 2, 3 * last // 4])
+    return runs.run_states(changes).select("request_id", "seq", "status")
 
 
 @register("i09_last_good", STATES + " SELECT stream_id, max(generation) AS generation FROM states WHERE status = 'published' AND NOT experiment GROUP BY stream_id")
@@ -232,19 +252,23 @@ def k01(spark, d):
     return spark.read.parquet(out).groupBy("stream_id").agg(F.max_by(F.struct("generation", "request_id"), "batch").alias("l")).select("stream_id", "l.generation", "l.request_id")
 
 
-@register("k02_run_state", STATES + " SELECT request_id, status FROM states")
+@register("k02_run_state", STATES + " SELECT request_id, seq, status FROM states")
 def k02(spark, d):
-    """The state machine over a stream of files, in three micro-batches; each reservation's last status."""
+    """The state machine over a stream of files, in ten micro-batches; each reservation's last status."""
     path, out = fresh_path(spark, "runs-in"), fresh_path(spark, "runs-out")
     events = run_events(spark, d)
-    third = max(1, (events.agg(F.max("seq")).first()[0] or 0) // 3)
-    for k in range(3):  # files are read in the order of their times, and a stream has one file in each third
-        part = events.where(F.least(F.floor(F.col("seq") / third), F.lit(2)) == k)
-        part.repartition(4, "stream_id").write.mode("append").parquet(path)
+    part = max(1, (events.agg(F.max("seq")).first()[0] or 0) // 10)
+    for k in range(10):  # files are read in the order of their times, and a stream has one file in each tenth
+        events.where(F.least(F.floor(F.col("seq") / part), F.lit(9)) == k).repartition(4, "stream_id").write.mode("append").parquet(path)
     src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    q = run_state(src).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "runs-cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return runs.run_states(spark.read.parquet(out)).select("request_id", "status")
+    before = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        q = run_state(src).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "runs-cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before)
+    return runs.run_states(spark.read.parquet(out)).select("request_id", "seq", "status")
 
 
 @register("k03_score_stream", LINEAR + " SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(mean / 10) AS tens FROM p")

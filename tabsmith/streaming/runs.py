@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tabsmith.operators.prep import Fitted, score_linear, transform_features
-from tabsmith.operators.runs import CHANGES, Run, Stream, changes_of
+from tabsmith.operators.runs import CHANGES, Cells, Heap, Run, Stream, changes_of, frame
+
+#: The state store in which a map's entries are read and written one by one.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def latest_per_stream(events: DataFrame) -> DataFrame:
     """``stream_id, generation, request_id``: the newest submission of each stream; batch or stream (update mode)."""
@@ -19,28 +23,57 @@ def latest_per_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("stream_id").agg(newest.alias("l")).select("stream_id", "l.generation", "l.request_id")
 
 
-def run_state(events: DataFrame) -> DataFrame:
-    """Changes of state, as ``CHANGES``, of a stream of run events by the rules of ``operators.runs``. Each stream_id's state holds its head, its
-    baseline, and its pending and published runs. Events must arrive in the order of ``seq``, but for those of one micro-batch."""
+def _reader(state: Any, made: Callable[..., Any]) -> Callable[[Any], Any]:
+    def load(key: Any) -> Any:
+        return made(key, state.getValue((key,))) if state.containsKey((key,)) else None
+
+    return load
+
+
+def _write(cells: Cells, state: Any, row: Callable[[Any], tuple]) -> None:
+    for key in cells.changed:
+        value = cells.have[key]
+        if value is not None:
+            state.updateValue((key,), row(value))
+        elif state.containsKey((key,)):
+            state.removeKey((key,))
+
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stream = Stream()
-        if state.exists:
-            stream.head, stream.base, *columns = state.get
-            for row in zip(*columns, strict=True):
-                stream.hold(Run(*row))
-        rows = changes_of(key[0], stream, pd.concat(list(frames)).sort_values("seq"))
-        held = [[getattr(r, c) for r in stream.runs.values()] for c in ("request", "generation", "baseline", "experiment", "seq", "status", "before")]
-        state.update((stream.head, stream.base, *held))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGES.split(", ")])
+class RunStates(StatefulProcessor):
+    """The rules of ``operators.runs`` over keyed state: a value for a stream's head, baseline and heap sizes, and maps of its known runs and of
+    the cells of its two heaps. A batch reads and writes the entries that its events touch."""
 
-    kept = "head long, base string, requests array<string>, generations array<long>, baselines array<boolean>, experiments array<boolean>, seqs array<long>, states array<string>, befores array<string>"
-    return events.groupBy("stream_id").applyInPandasWithState(update, CHANGES, kept, "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        cell = "generation long, seq long, request string"
+        self.top = handle.getValueState("top", "head long, base string, pending long, published long")
+        self.runs = handle.getMapState("runs", "request string", "generation long, baseline boolean, experiment boolean, seq long, status string, before string")
+        self.pending = handle.getMapState("pending", "place long", cell)
+        self.published = handle.getMapState("published", "place long", cell)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        top = self.top.get() if self.top.exists() else (None, None, 0, 0)
+        runs = Cells(_reader(self.runs, lambda request, v: Run(request, v[0], v[1], v[2], v[3], v[4], v[5])))
+        heaps = [Heap(Cells(_reader(m, lambda _, v: tuple(v))), n) for m, n in ((self.pending, top[2]), (self.published, top[3]))]
+        stream = Stream(top[0], top[1], runs, *heaps)
+        # the rows of one micro-batch
+        out = changes_of(key[0], stream, pd.concat(list(rows)).sort_values("seq"))
+        self.top.update((stream.head, stream.base, stream.pending.size, stream.published.size))
+        _write(runs, self.runs, lambda r: (r.generation, r.baseline, r.experiment, r.seq, r.status, r.before))
+        _write(stream.pending.cells, self.pending, lambda e: e)
+        _write(stream.published.cells, self.published, lambda e: e)
+        yield frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def run_state(events: DataFrame) -> DataFrame:
+    """Changes of state, as ``CHANGES``, of a stream of run events by the rules of ``operators.runs``. Events must arrive in the order of
+    ``seq``, but for those of one micro-batch. The session's state store must be that of ``PROVIDER``."""
+    return events.groupBy("stream_id").transformWithStateInPandas(RunStates(), CHANGES, "Append", "none")
 
 
 def score_stream(rows: DataFrame, state: Fitted, root: str, checkpoint: str, *, keep: tuple[str, ...] = ("row_ordinal",), request_id: str = "stream") -> StreamingQuery:
     """Scores arriving rows with a fitted state, without fitting anew, and appends them to ``root`` by request."""
     out = score_linear(transform_features(rows, state, keep=keep), state, keep).withColumn("request_id", F.lit(request_id))
     return out.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy("request_id").trigger(availableNow=True).start()
-
-

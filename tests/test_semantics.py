@@ -310,6 +310,56 @@ def test_baseline_goes_back_when_rolled_back(spark):
     assert by["r1"] == "deleted" and heads["baseline"] is None
 
 
+def test_known_requests_and_deletion(spark):
+    rows = [(1, 1, 0, "reserve", False, False), (1, 1, 1, "cancel", False, False), (1, 9, 2, "reserve", False, False)]
+    by, _, heads = replay(spark, rows)
+    assert by == {"r1": "refused"} or by == {"r1": "cancelled"} and heads["head"] == 1
+    got = runs.run_states(runs.replayed(events(spark, rows))).collect()
+    assert {(r["seq"], r["status"]) for r in got} == {(0, "cancelled"), (2, "refused")}
+    rows += [(1, 1, 3, "delete", False, False), (1, 9, 4, "reserve", False, False), (2, 10, 5, "reserve", False, False), (1, 9, 6, "delete", False, False)]
+    changes = runs.replayed(events(spark, rows)).cache()
+    assert {(r["seq"], r["status"]) for r in runs.run_states(changes).collect()} == {(0, "deleted"), (2, "refused"), (4, "deleted"), (5, "pending")}
+    assert [r["request_id"] for r in results.run_history(runs.run_states(changes), "s").collect()] == ["r2"]
+
+
+def random_events(rng, n):
+    out, kinds = [], ["reserve", "reserve", "publish", "publish", "cancel", "fail", "rollback", "delete"]
+    for k in range(n):
+        r = rng.randrange(max(1, n // 4))
+        out.append((r, rng.choice([0, 1, k, k + 1, k + 5]), k, rng.choice(kinds), r % 5 == 0, r % 7 == 3))
+    return out
+
+
+def test_states_from_any_cut_are_those_from_the_beginning(spark):
+    """Stream k has the same events k later, so that one cut comes after another event in each."""
+    rng, n = random.Random(8), 60
+    rows = [(f"r{r}", f"s{k}", g, q + k, kind, b, x) for k in range(n + 1) for r, g, q, kind, b, x in random_events(random.Random(1000 + k % 7), n)]
+    ev = spark.createDataFrame(rows, "request_id string, stream_id string, generation long, seq long, kind string, baseline boolean, experiment boolean")
+    whole = runs.replayed(ev).cache()
+    key = lambda df: sorted(map(repr, (tuple(r[c] for c in runs.NAMES) for r in df.collect())))
+    changes, state = runs.replayed_in_steps(ev, [n, n + rng.randrange(5, 20)])
+    assert key(changes) == key(whole.where("status <> 'head'"))
+    assert key(state) == key(runs.settled(whole))
+    plain = {}
+    for k in range(7):
+        stream = runs.Stream()
+        plain[f"s{k}"] = [c for e in random_events(random.Random(1000 + k), n) for c in stream.step(f"r{e[0]}", e[1], e[2] + k, *e[3:])]
+    assert sum(map(len, plain.values())) == whole.where("status <> 'head' and stream_id in ('s0','s1','s2','s3','s4','s5','s6')").count()
+
+
+def test_heap():
+    rng, heap, have = random.Random(9), runs.Heap(), []
+    for _ in range(3000):
+        if have and rng.random() < 0.45:
+            assert heap.top() == min(have)
+            have.remove(heap.top())
+            heap.pop()
+        else:
+            have.append((rng.randrange(50), rng.randrange(1000), "x"))
+            heap.push(have[-1])
+    assert heap.size == len(have)
+
+
 def test_axis_and_scope(spark):
     df = spark.createDataFrame([(0, "3"), (1, "1"), (2, None), (3, "20")], "row_ordinal long, a string")
     got = results.axis_order(df, "a").orderBy("position").collect()
