@@ -18,10 +18,14 @@ from tabsmith.errors import WorkbenchError
 from tabsmith.operators.dataset import NUMERIC
 from tabsmith.operators.features import SAFE, finite_double
 from tabsmith.operators.order import global_index
+from tabsmith.operators.recon import diff_tables
 from tabsmith.operators.times import TIMES, utc_text
+from tabsmith.storage import claim, stored
 
 #: Parts of names that tell of a secret.
 SECRET = r"(?i)password|token|secret|authorization|credential"
+#: The folder of a snapshot's rows, and how many of them are named in a filter.
+SEGMENT, SEGMENTS = "__segment", 1000
 REGISTRY = "snapshot_id string, source string, format string, raw_digest string, logical_digest string, rows long, path string, version int"
 
 
@@ -69,7 +73,8 @@ def number_text(c: Column, kind: T.DataType) -> Column:
         return F.when(v.cast(kind) == c, number_text(v, T.DoubleType())).otherwise(short)
     v = c.cast("double")
     whole = (F.abs(v) <= SAFE) & (F.floor(v) == v)
-    return F.when(F.coalesce(whole, F.lit(False)), v.cast("long").cast("string")).otherwise(v.cast("string"))
+    plain = F.when(F.coalesce(whole, F.lit(False)), v.cast("long").cast("string")).otherwise(v.cast("string"))
+    return F.when((v == 0) & (v.cast("string") == "-0.0"), F.lit("-0")).otherwise(plain)
 
 
 def canonical_row(df: DataFrame) -> Column:
@@ -98,17 +103,50 @@ def block_digests(df: DataFrame, order: Sequence[str | Column] | None = None, *,
     return rows.groupBy("block").agg(F.sha2(joined, 256).alias("digest"))
 
 
-def logical_digest(df: DataFrame, order: Sequence[str | Column] | None = None, *, ordinal: str | None = None, block: int = 4096, fan: int = 4096) -> str:
-    """SHA-256 of column names and rows in order: digests of blocks, then of blocks of digests, until one is left."""
-    names = [c for c in df.columns if c != ordinal]
-    now = block_digests(df, order, ordinal=ordinal, block=block)
-    n = now.count()
+def digest_tree(df: DataFrame, order: Sequence[str | Column] | None = None, *, ordinal: str | None = None, block: int = 4096, fan: int = 4096) -> DataFrame:
+    """``level, block, digest``: level 0 has the digests of blocks of rows, each level above those of ``fan`` digests of the one below, until
+    at most ``fan`` are left. A written table."""
+    now = stored(block_digests(df, order, ordinal=ordinal, block=block).withColumn("level", F.lit(0)), "digests")
+    tree, n, level = now, now.count(), 0
     while n > fan:
+        level += 1
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), "")
-        now = now.groupBy(F.floor(F.col("block") / fan).alias("up")).agg(F.sha2(joined, 256).alias("digest")).withColumnRenamed("up", "block")
-        n = -(-n // fan)
-    parts = [r["digest"] for r in now.orderBy("block").collect()]  # at most ``fan``
-    return hashlib.sha256((json.dumps(names) + "".join(parts)).encode()).hexdigest()
+        now = stored(now.groupBy(F.floor(F.col("block") / fan).alias("up")).agg(F.sha2(joined, 256).alias("digest")).select(F.col("up").alias("block"), "digest", F.lit(level).alias("level")), "digests")
+        tree, n = tree.unionByName(now), -(-n // fan)
+    return tree.select("level", "block", "digest")
+
+
+def root_digest(tree: DataFrame, names: Sequence[str]) -> str:
+    """SHA-256 of column names and the digests of the highest level."""
+    top = tree.agg(F.max("level")).first()[0] or 0
+    parts = [r["digest"] for r in tree.where(F.col("level") == top).orderBy("block").collect()]  # at most ``fan``
+    return hashlib.sha256((json.dumps(list(names)) + "".join(parts)).encode()).hexdigest()
+
+
+def logical_digest(df: DataFrame, order: Sequence[str | Column] | None = None, *, ordinal: str | None = None, block: int = 4096, fan: int = 4096) -> str:
+    """SHA-256 of column names and rows in order: digests of blocks, then of blocks of digests, until few are left."""
+    return root_digest(digest_tree(df, order, ordinal=ordinal, block=block, fan=fan), [c for c in df.columns if c != ordinal])
+
+
+def changed_blocks(found: DataFrame, want: DataFrame, *, fan: int = 4096) -> DataFrame:
+    """``block, fault`` (changed, missing, extra) of the blocks whose digests differ between two trees. Levels are compared from the top, and only
+    blocks below one that differs are looked at."""
+    tops = [t.agg(F.max("level")).first()[0] or 0 for t in (found, want)]
+    above = None
+    for level in range(min(tops), -1, -1):  # trees of another height differ above that
+        a, b = (t.where(F.col("level") == level) for t in (found, want))
+        if above is not None:
+            a, b = (t.join(above, F.floor(F.col("block") / fan) == F.col("up"), "left_semi") for t in (a, b))
+        above = _faults(a, b)
+        if level:
+            above = stored(above.select(F.col("block").alias("up")), "differing")
+    return above
+
+
+def _faults(found: DataFrame, want: DataFrame) -> DataFrame:
+    x = want.select("block", F.col("digest").alias("want")).join(found.select("block", F.col("digest").alias("found")), "block", "full_outer")
+    fault = F.when(F.col("found").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("found") != F.col("want"), "changed")
+    return x.select("block", fault.alias("fault")).where("fault is not null")
 
 
 def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +190,16 @@ def check_source_name(name: str, taken: Sequence[str], *, replacing: bool = Fals
         raise WorkbenchError("NAME_CONFLICT", "the name is taken", name=name)
 
 
-def save_snapshot(df: DataFrame, root: str, source: str, source_format: str, order: Sequence[str | Column] | None = None, *, snapshot: str | None = None) -> str:
+def save_snapshot(df: DataFrame, root: str, source: str, source_format: str, order: Sequence[str | Column] | None = None, *, snapshot: str | None = None, block: int = 4096, segment: int = 1 << 20) -> str:
     """Writes an immutable snapshot and registers it as the source's next version. Equal content under the same id is
-    a no-op, other content an error. It can be seen once its registry row is written, after the data."""
+    a no-op, other content an error. It can be seen once its registry row is written, after the data and its digest tree. A version is
+    claimed by a file that only one writer can make. The rows are kept in folders of ``segment`` consecutive ones, so that a part can be read."""
     spark = df.sparkSession
     if df.isEmpty():
         raise WorkbenchError("EMPTY_INPUT", "the source has no rows", source=source)
     numbered = global_index(df, order or df.columns, "__ordinal")
-    digest = logical_digest(numbered, ordinal="__ordinal")
+    tree = digest_tree(numbered, ordinal="__ordinal", block=block)
+    digest = root_digest(tree, df.columns)
     sid = snapshot or snapshot_id(source_format, digest, dict(df.dtypes))
     known = snapshots(spark, root)
     same = known.where(F.col("snapshot_id") == sid).select("logical_digest").head(1)
@@ -168,23 +208,59 @@ def save_snapshot(df: DataFrame, root: str, source: str, source_format: str, ord
             raise WorkbenchError("SNAPSHOT_CORRUPT", "a snapshot of that id has other content", snapshot_id=sid)
         return sid
     path = f"{root}/data/snapshot_id={sid}"
-    numbered.write.mode("overwrite").parquet(path)
-    last = known.where(F.col("source") == source).agg(F.max("version").alias("v")).first()["v"] or 0
-    row = [(sid, source, source_format, None, digest, spark.read.parquet(path).count(), path, last + 1)]
+    numbered.withColumn(SEGMENT, F.floor(F.col("__ordinal") / segment)).write.mode("overwrite").partitionBy(SEGMENT).parquet(path)
+    tree.withColumns({"rows": F.lit(block), "segment": F.lit(segment)}).write.mode("overwrite").parquet(f"{root}/trees/snapshot_id={sid}")
+    version = (known.where(F.col("source") == source).agg(F.max("version").alias("v")).first()["v"] or 0) + 1
+    while not claim(spark, f"{root}/claims/{source}/{version}"):
+        version += 1
+    row = [(sid, source, source_format, None, digest, spark.read.parquet(path).count(), path, version)]
     spark.createDataFrame(row, REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
     return sid
 
 
+def snapshot_tree(spark: SparkSession, root: str, sid: str) -> DataFrame:
+    """``level, block, digest, rows, segment``: the tree that was written with a snapshot, and its rows a block and a segment."""
+    return spark.read.parquet(f"{root}/trees/snapshot_id={sid}")
+
+
+def verify_blocks(spark: SparkSession, root: str, sid: str) -> DataFrame:
+    """``block, fault`` of the blocks whose rows are not what was written."""
+    want = snapshot_tree(spark, root, sid)
+    size = want.select("rows").first()["rows"]
+    rows = spark.read.parquet(f"{root}/data/snapshot_id={sid}").drop(SEGMENT)
+    return changed_blocks(digest_tree(rows, ordinal="__ordinal", block=size), want)
+
+
+def snapshot_blocks(spark: SparkSession, root: str, sid: str, blocks: DataFrame) -> DataFrame:
+    """The rows of the given ``block`` numbers; only the segments that hold one are read."""
+    shape = snapshot_tree(spark, root, sid).select("rows", "segment").first()
+    df = spark.read.parquet(f"{root}/data/snapshot_id={sid}")
+    segments = blocks.select(F.floor(F.col("block") * shape["rows"] / shape["segment"]).alias(SEGMENT)).distinct()
+    few = [r[0] for r in segments.limit(SEGMENTS + 1).collect()]  # folders are pruned by their numbers; more of them are pruned by a join
+    df = df.where(F.col(SEGMENT).isin(few)) if len(few) <= SEGMENTS else df.join(F.broadcast(segments), SEGMENT, "left_semi")
+    return df.join(blocks, F.floor(F.col("__ordinal") / shape["rows"]) == F.col("block"), "left_semi").drop(SEGMENT)
+
+
+def diff_snapshots(spark: SparkSession, root: str, a: str, b: str, *, tol: float = 1e-6) -> DataFrame:
+    """``__ordinal, column, actual, expected`` of the cells in which two snapshots differ, by position. Their trees tell the blocks that differ, and only those are read."""
+    trees = [snapshot_tree(spark, root, s) for s in (a, b)]
+    shapes = [t.select("rows", "segment").first() for t in trees]
+    if shapes[0] != shapes[1]:
+        raise WorkbenchError("SCHEMA_MISMATCH", "the snapshots have blocks of another size")
+    blocks = stored(changed_blocks(*trees).select("block"), "differing")
+    return diff_tables(*(snapshot_blocks(spark, root, s, blocks) for s in (a, b)), on="__ordinal", tol=tol)
+
+
 def read_snapshot(spark: SparkSession, root: str, sid: str, *, verify: bool = False) -> DataFrame | None:
     """The snapshot's rows with their ordinal, or None if it is unknown or, when verified, not what was written."""
     row = snapshots(spark, root).where(F.col("snapshot_id") == sid).head(1)
     if not row:
         return None
     try:
-        df = spark.read.parquet(row[0]["path"])
+        df = spark.read.parquet(row[0]["path"]).drop(SEGMENT)
     except AnalysisException:
         return None
-    if verify and (df.count() != row[0]["rows"] or logical_digest(df, ordinal="__ordinal") != row[0]["logical_digest"]):
+    if verify and (df.count() != row[0]["rows"] or not verify_blocks(spark, root, sid).isEmpty()):
         return None
     return df
 
@@ -240,17 +316,18 @@ def strip_credentials(params: Column, kind: T.DataType | None = None) -> Column:
     return params
 
 
-def restore_check(experiments: DataFrame, registry: DataFrame, corrupt: DataFrame) -> DataFrame:
-    """``id, snapshots`` (array), known snapshots, and ids of corrupt ones → ``id, status, missing``: restored,
-    needs-data (none is named), missing or corrupt, with the snapshots that are not there."""
+def restore_check(experiments: DataFrame, registry: DataFrame, corrupt: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``id, snapshots`` (array, the first of them the dataset's), known snapshots, and ids of corrupt ones → ``id, status, missing``. A corrupt snapshot is
+    as good as gone. needs-data: one that the experiment names is gone, and ``missing`` names it; corrupt: it names none; else restored. Of
+    the ids in ``wanted`` (all that are known, unless given) those that no experiment has are missing."""
+    there = registry.select("snapshot_id").distinct().join(corrupt.select("snapshot_id"), "snapshot_id", "left_anti").withColumn("there", F.lit(True))
     each = experiments.select("id", F.explode_outer("snapshots").alias("snapshot_id"))
-    x = each.join(registry.select("snapshot_id", F.lit(True).alias("there")).distinct(), "snapshot_id", "left")
-    x = x.join(corrupt.select("snapshot_id", F.lit(True).alias("broken")).distinct(), "snapshot_id", "left")
+    x = each.join(there, "snapshot_id", "left")
     gone = F.col("snapshot_id").isNotNull() & F.col("there").isNull()
-    out = x.groupBy("id").agg(
-        F.count("snapshot_id").alias("n"),
-        F.array_sort(F.collect_set(F.when(gone, F.col("snapshot_id")))).alias("missing"),
-        F.coalesce(F.bool_or("broken"), F.lit(False)).alias("broken"),
-    )
-    status = F.when(F.col("n") == 0, "needs-data").when(F.size("missing") > 0, "missing").when(F.col("broken"), "corrupt").otherwise("restored")
-    return out.select("id", status.alias("status"), "missing")
+    out = x.groupBy("id").agg(F.count("snapshot_id").alias("n"), F.array_sort(F.collect_set(F.when(gone, F.col("snapshot_id")))).alias("missing"))
+    status = F.when(F.size("missing") > 0, "needs-data").when(F.col("n") == 0, "corrupt").otherwise("restored")
+    out = out.select("id", status.alias("status"), "missing")
+    if wanted is None:
+        return out
+    none = F.array().cast("array<string>")
+    return wanted.select("id").distinct().join(out, "id", "left").select("id", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce("missing", none).alias("missing"))

@@ -39,14 +39,20 @@ def _differs(kinds: tuple[T.DataType, T.DataType], a: Column, b: Column, tol: fl
         else:
             gap = F.abs(a.cast("double") - b.cast("double"))
         return ~(a.eqNullSafe(b) | F.coalesce(gap <= tol, F.lit(False)))
+    groups = (T.NumericType, T.BooleanType, T.StringType, T.BinaryType, (T.DateType, *TIMES))
+    if any(isinstance(kinds[0], g) != isinstance(kinds[1], g) for g in groups):  # text that looks like a number is none
+        return a.isNotNull() | b.isNotNull()
     return ~a.eqNullSafe(b)
 
 
 def diff_tables(actual: DataFrame, expected: DataFrame, *, on: str = "row_ordinal", columns: Sequence[str] | None = None, tol: float = 1e-6) -> DataFrame:
     """``on, column, actual, expected`` for each cell that differs; a row on one side only differs as column ``<row>``.
-    Raises if the columns differ. A join on the position and a long form of the mismatches only."""
+    Cells of other kinds (text and a number) differ unless both are null. Raises if the columns differ, or if a position repeats. A join on the position and a long form of the mismatches only."""
     if sorted(actual.columns) != sorted(expected.columns):
         raise WorkbenchError("SCHEMA_MISMATCH", "columns differ", actual=actual.columns, expected=expected.columns)
+    for side in (actual, expected):
+        if bad := side.groupBy(on).count().where("count > 1").head(1):
+            raise WorkbenchError("INVALID_DATA", "a position repeats", position=str(bad[0][on]), rows=bad[0]["count"])
     names = list(columns or [c for c in actual.columns if c != on])
     a, b = actual.select(on, F.struct(*names).alias("a")), expected.select(on, F.struct(*names).alias("b"))
     x = a.join(b, on, "full_outer")

@@ -283,7 +283,7 @@ def d09(spark, d):
     """The rows of those snapshots that are what was written: one whole, one tampered with, one unknown."""
     root = saved(spark, d)
     first, second = [r["snapshot_id"] for r in catalog.snapshots(spark, root).orderBy("version").collect()]
-    spark.read.parquet(f"{root}/data/snapshot_id={second}").limit(1).write.mode("append").parquet(f"{root}/data/snapshot_id={second}")
+    spark.read.parquet(f"{root}/data/snapshot_id={second}").limit(1).write.mode("append").partitionBy(catalog.SEGMENT).parquet(f"{root}/data/snapshot_id={second}")
     found = {n: catalog.read_snapshot(spark, root, i, verify=True) for n, i in (("whole", first), ("tampered", second), ("unknown", "none"))}
     parts = [df.select(F.lit(n).alias("snapshot"), "o_orderkey", "o_totalprice", "o_orderdate", "__ordinal") for n, df in found.items() if df is not None]
     out = parts[0]
@@ -292,6 +292,31 @@ def d09(spark, d):
     return out
 
 
+@register("d09_changed_blocks", """SELECT block, CASE WHEN bool_and(gone) THEN 'missing' ELSE 'changed' END AS fault FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS block, o_orderkey % 701 = 0 AS other, row_number() OVER (ORDER BY o_orderkey DESC) <= 200 AS gone FROM orders) GROUP BY block HAVING bool_or(other) OR bool_or(gone)""")
+def d09_blocks(spark, d):
+    """The blocks of a snapshot in which some prices are not what was written, and of which the last rows are gone."""
+    root = fresh_path(spark, "snapshots")
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    sid = catalog.save_snapshot(o, root, "orders", "parquet", ["o_orderkey"], block=64, segment=1024)
+    n, other = o.count(), fresh_path(spark, "tampered")
+    price = F.when(F.col("o_orderkey") % 701 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    catalog.read_snapshot(spark, root, sid).where(F.col("__ordinal") < n - 200).withColumn("o_totalprice", price).write.parquet(other)
+    found = catalog.digest_tree(spark.read.parquet(other), ordinal="__ordinal", block=64)
+    return catalog.changed_blocks(found, catalog.snapshot_tree(spark, root, sid))
+
+
+@register("j01_diff_snapshots", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS __ordinal, 'o_totalprice' AS \"column\", o_orderkey FROM orders QUALIFY o_orderkey % 701 = 0 UNION ALL SELECT row_number() OVER (ORDER BY o_orderkey) - 1, 'o_orderstatus', o_orderkey FROM orders QUALIFY o_orderkey % 997 = 0")
+def j01_snapshots(spark, d):
+    """Cells in which two snapshots differ, from the blocks that their digest trees name."""
+    root, k = fresh_path(spark, "snapshots"), F.col("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    new = o.select("o_orderkey", F.when(k % 701 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.when(k % 997 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    ids = [catalog.save_snapshot(x, root, "orders", "parquet", ["o_orderkey"], block=64, segment=1024) for x in (o, new)]
+    found = catalog.diff_snapshots(spark, root, *ids)
+    keys = catalog.read_snapshot(spark, root, ids[0]).select("__ordinal", "o_orderkey")
+    return found.select("__ordinal", "column").join(keys, "__ordinal")
+
+
 def experiments(spark, d):
     return table(spark, d, "events").select(F.concat(F.lit("x"), (F.col("user_id") % 100).cast("string")).alias("id"), F.col("event_id").alias("revision"), F.col("props").alias("body"))
 
@@ -316,12 +341,15 @@ def d12(spark, d):
     return x.select("event_id", F.to_json(catalog.strip_credentials(F.col("params"), x.schema["params"].dataType)).alias("params"))
 
 
-@register("d13_restore_check", """WITH x AS (SELECT l_orderkey // 40 AS id, l_orderkey AS s FROM lineitem), e AS (SELECT CAST(id AS VARCHAR) AS id, count(*) AS n, count(*) FILTER (WHERE o_orderkey IS NULL) AS gone, count(DISTINCT CASE WHEN o_orderkey IS NULL THEN s END) AS missing, coalesce(bool_or(s % 97 = 0), false) AS broken FROM x LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 7) ON s = o_orderkey GROUP BY 1)
-SELECT id, CASE WHEN gone > 0 THEN 'missing' WHEN broken THEN 'corrupt' ELSE 'restored' END AS status, missing FROM e""")
+@register("d13_restore_check", """WITH x AS (SELECT l_orderkey // 40 AS id, CASE WHEN l_orderkey // 40 % 9 <> 2 THEN l_orderkey END AS s FROM lineitem), e AS (SELECT CAST(id AS VARCHAR) AS id, count(s) AS n, count(DISTINCT CASE WHEN o_orderkey IS NULL THEN s END) AS missing FROM x LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 7 AND o_orderkey % 97 <> 0) ON s = o_orderkey GROUP BY 1)
+SELECT id, CASE WHEN missing > 0 THEN 'needs-data' WHEN n = 0 THEN 'corrupt' ELSE 'restored' END AS status, missing FROM e UNION ALL SELECT DISTINCT 'x' || c_custkey, 'missing', 0 FROM customer""")
 def d13(spark, d):
-    e = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 40).cast("string").alias("id")).agg(F.collect_list(F.col("l_orderkey").cast("string")).alias("snapshots"))
+    """Experiments made of orders' keys, some with none; snapshots of some keys are gone, of others corrupt; ids that no experiment has."""
+    snap = F.when(F.floor(F.col("l_orderkey") / 40) % 9 != 2, F.col("l_orderkey").cast("string"))
+    e = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 40).cast("string").alias("id")).agg(F.collect_list(snap).alias("snapshots"))
     r = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("snapshot_id"), "o_orderkey")
-    out = catalog.restore_check(e, r.where("o_orderkey % 50 <> 7"), r.where("o_orderkey % 97 = 0"))
+    wanted = e.select("id").union(table(spark, d, "customer").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string"))))
+    out = catalog.restore_check(e, r.where("o_orderkey % 50 <> 7"), r.where("o_orderkey % 97 = 0"), wanted)
     return out.select("id", "status", F.size("missing").cast("long").alias("missing"))
 
 

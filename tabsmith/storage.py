@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +30,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file that must not be there yet; False if it is. The file system lets one of several writers make it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        files.create(at, False).close()
+    except Py4JJavaError as e:
+        if files.exists(at):
+            return False
+        raise e
+    return True

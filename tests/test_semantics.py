@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabsmith import storage
 from tabsmith.errors import WorkbenchError
 from tabsmith.functions import distributions as dist
 from tabsmith.operators import catalog, dataset, features, prep, recon, results, runs
@@ -404,7 +406,9 @@ def test_restore(spark):
     reg = spark.createDataFrame([("1",), ("2",)], "snapshot_id string")
     bad = spark.createDataFrame([("2",)], "snapshot_id string")
     got = {r["id"]: (r["status"], r["missing"]) for r in catalog.restore_check(e, reg, bad).collect()}
-    assert got == {"a": ("corrupt", []), "b": ("missing", ["3"]), "c": ("needs-data", []), "d": ("restored", [])}
+    assert got == {"a": ("needs-data", ["2"]), "b": ("needs-data", ["3"]), "c": ("corrupt", []), "d": ("restored", [])}
+    wanted = spark.createDataFrame([("d",), ("z",)], "id string")
+    assert {r["id"]: r["status"] for r in catalog.restore_check(e, reg, bad, wanted).collect()} == {"d": "restored", "z": "missing"}
 
 
 def test_tables_that_differ(spark):
@@ -582,3 +586,49 @@ def test_csv_line_breaks_in_cells_over_many_ranges(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_digest_trees_name_the_blocks_that_differ(spark):
+    rows = spark.range(1000).select(F.col("id").alias("__ordinal"), (F.col("id") * 7).alias("v"))
+    tree = catalog.digest_tree(rows, ordinal="__ordinal", block=10, fan=3)
+    assert {r["level"]: r["count"] for r in tree.groupBy("level").count().collect()} == {0: 100, 1: 34, 2: 12, 3: 4, 4: 2}
+    assert catalog.root_digest(tree, ["v"]) == catalog.logical_digest(rows, ordinal="__ordinal", block=10, fan=3)
+    for odd, last, want in (([55, 56, 731], 1000, {5: "changed", 73: "changed"}), ([], 1000, {}), ([3], 985, {0: "changed", 98: "changed", 99: "missing"}), ([], 1004, {100: "extra"})):
+        longer = spark.range(last).select(F.col("id").alias("__ordinal"), F.when(F.col("id").isin(odd or [-1]), 0).otherwise(F.col("id") * 7).alias("v"))
+        found = catalog.changed_blocks(catalog.digest_tree(longer, ordinal="__ordinal", block=10, fan=3), tree, fan=3)
+        assert {r["block"]: r["fault"] for r in found.collect()} == want
+
+
+def test_only_differing_segments_are_read(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    df = spark.range(4000).select("id", (F.col("id") * 3).alias("v"))
+    a = catalog.save_snapshot(df, root, "t", "parquet", ["id"], block=20, segment=100)
+    b = catalog.save_snapshot(df.withColumn("v", F.when(F.col("id").isin(1777, 3001), -1).otherwise(F.col("v"))), root, "t", "parquet", ["id"], block=20, segment=100)
+    assert sorted((r["__ordinal"], r["column"]) for r in catalog.diff_snapshots(spark, root, a, b).collect()) == [(1777, "v"), (3001, "v")]
+    blocks = catalog.changed_blocks(*(catalog.snapshot_tree(spark, root, s) for s in (a, b))).select("block")
+    assert sorted(r["block"] for r in blocks.collect()) == [88, 150]
+    part = catalog.snapshot_blocks(spark, root, a, storage.stored(blocks, "blocks"))
+    assert part.count() == 40
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*IN \((17,30|30,17)\)", plan)
+
+
+def test_versions_are_claimed_once(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    assert storage.claim(spark, f"{root}/claims/a/1") and not storage.claim(spark, f"{root}/claims/a/1")
+    catalog.save_snapshot(spark.range(3), root, "a", "csv", ["id"])  # another writer has claimed version 1
+    assert [r["version"] for r in catalog.snapshots(spark, root).collect()] == [2]
+
+
+def test_sign_of_zero_counts_in_digests(spark):
+    of = lambda v: catalog.logical_digest(spark.createDataFrame([(v,)], "v float"), ["v"])
+    assert of(-0.0) != of(0.0) == catalog.logical_digest(spark.createDataFrame([(0,)], "v int"), ["v"])
+
+
+def test_cells_of_other_kinds_differ(spark):
+    make = lambda v, kind: spark.createDataFrame([(0, v), (1, None)], f"row_ordinal long, v {kind}")
+    diff = lambda a, b: [r["row_ordinal"] for r in recon.diff_tables(a, b).collect()]
+    assert diff(make("1", "string"), make(1, "long")) == [0] == diff(make(True, "boolean"), make("true", "string"))
+    assert diff(make(1.0, "double"), make(1, "long")) == []
+    twice = make(1, "long").union(make(2, "long"))
+    assert code(recon.diff_tables, twice, make(1, "long")) == code(recon.diff_tables, make(1, "long"), twice) == "INVALID_DATA"
