@@ -632,3 +632,44 @@ def test_cells_of_other_kinds_differ(spark):
     assert diff(make(1.0, "double"), make(1, "long")) == []
     twice = make(1, "long").union(make(2, "long"))
     assert code(recon.diff_tables, twice, make(1, "long")) == code(recon.diff_tables, make(1, "long"), twice) == "INVALID_DATA"
+
+
+RUNS_CODE = ("reflect('java.lang.Math', 'abs', -1)", "java_method('java.lang.Math', 'abs', -1)", "try_reflect('java.lang.Math', 'abs', -1)", "IDENTIFIER('reflect')('java.lang.Math', 'abs', -1)", "IDENTIFIER('re' || 'flect')('java.lang.Math', 'abs', -1)", "mine(1)", "IDENTIFIER('mine')(1)")
+PLACES = (
+    "SELECT {}", "VALUES ({})", "SELECT id FROM v WHERE {} IS NOT NULL", "SELECT (SELECT {})", "SELECT id FROM v WHERE EXISTS (SELECT {})", "SELECT id FROM v WHERE id IN (SELECT {})", "WITH c AS (SELECT {} AS x) SELECT * FROM c",
+    "SELECT count({}) FROM v", "SELECT id FROM v ORDER BY {}", "SELECT count(*) FROM v GROUP BY {}", "SELECT id FROM v GROUP BY id HAVING max({}) IS NOT NULL", "SELECT max(id) OVER (PARTITION BY {}) FROM v", "SELECT transform(array(1), x -> {})", "SELECT * FROM v JOIN v AS w ON v.id = w.id AND {} IS NOT NULL",
+    "SELECT id FROM v UNION ALL SELECT {}", "SELECT * FROM v, LATERAL (SELECT {})", "SELECT explode(array({})) FROM v", "SELECT coalesce(NULL, CASE WHEN true THEN {} END)", "SELECT id FROM v LIMIT length(CAST({} AS string))", "SELECT named_struct('a', array({}))", "SELECT /* x */ ({})",
+)
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_code_is_refused_in_every_place(spark, place):
+    spark.range(3).createOrReplaceTempView("v")
+    spark.udf.register("mine", lambda x: x, "int")
+    for call in RUNS_CODE:
+        for inner in (call, f"abs({call})", f"(SELECT max(x) FROM (SELECT {call} AS x))"):
+            assert code(query, spark, place.format(inner)) == "INVALID_QUERY"
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM IDENTIFIER('v')", "SELECT * FROM IDENTIFIER('range')(3)", "SELECT * FROM stored_table", "SELECT * FROM spark_catalog.default.stored_table", "SELECT * FROM read_files('/tmp')", "SELECT TRANSFORM(id) USING 'cat' FROM v", "SELECT * FROM stored_view",
+])
+def test_only_registered_views_are_read(spark, sql):
+    spark.range(3).createOrReplaceTempView("v")
+    spark.sql("CREATE TABLE IF NOT EXISTS stored_table USING parquet AS SELECT 1 AS id")
+    spark.sql("CREATE OR REPLACE VIEW stored_view AS SELECT id FROM stored_table")
+    assert code(query, spark, sql) == "INVALID_QUERY"
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT k, count(*) AS n, avg(id), sum(DISTINCT id) FILTER (WHERE id > 2) FROM v GROUP BY k HAVING count(*) > 1 ORDER BY n DESC LIMIT 2",
+    "WITH c AS (SELECT * FROM v) SELECT transform(a, x -> x + 1), aggregate(a, 0L, (p, x) -> p + x), s.x, a[0] FROM c WHERE EXISTS (SELECT 1 FROM v WHERE v.id = c.id) AND id IN (SELECT id FROM v) AND id NOT IN (1, 2) AND t LIKE '1%'",
+    "SELECT row_number() OVER (PARTITION BY k ORDER BY id), sum(id) OVER (ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), lag(id) OVER (ORDER BY id), (SELECT max(id) FROM v) FROM v", "VALUES (1, 'a'), (2, 'b')", "TABLE v", "SELECT * FROM v JOIN v AS w USING (id) CROSS JOIN range(3)",
+    "SELECT CASE WHEN id > 1 THEN 1 ELSE 2 END, CAST(t AS int), try_cast(t AS int), nvl(t, 'x'), date_trunc('day', ts), extract(year FROM ts), ts + interval 1 day, ts - ts, id || t, map('a', 1)['a'], id BETWEEN 1 AND 2, -id, id / 2, id % 2 FROM v",
+    "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY id), listagg(t, ',') WITHIN GROUP (ORDER BY t), max_by(t, id), count_if(id > 1) FROM v", "SELECT explode(a) FROM v", "SELECT * FROM v LATERAL VIEW explode(a) AS e", "SELECT * FROM v, LATERAL (SELECT v.id + 1 AS z)", "SELECT k, grouping(k), count(*) FROM v GROUP BY ROLLUP (k)",
+    "SELECT * FROM (SELECT k, id FROM v) PIVOT (sum(id) FOR k IN (1, 2))", "SELECT id FROM v UNION ALL SELECT id FROM v EXCEPT SELECT 3 INTERSECT SELECT 4", "SELECT * EXCEPT (id) FROM v", "SELECT DISTINCT k FROM v", "SELECT to_json(s), date_format(ts, 'y'), split(t, ','), regexp_replace(t, 'a', 'b'), array_sort(a), to_date('2024-01-01') + 1 FROM v",
+    "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT n FROM r",
+])
+def test_reading_statements_are_not_refused(spark, sql):
+    spark.range(10).selectExpr("id", "id % 3 AS k", "array(id, 2) AS a", "named_struct('x', id) AS s", "cast(id AS string) AS t", "timestamp'2024-01-01' AS ts").createOrReplaceTempView("v")
+    query(spark, sql).collect()
