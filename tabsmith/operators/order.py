@@ -15,23 +15,62 @@ def sort_keys(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
 
 
-def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_ordinal", *, start: int = 0, parts: int | None = None) -> DataFrame:
-    """Adds ``start``, ``start`` + 1, ... in ``order``, which must end in a unique key.
+class Ordered:
+    """Rows in ``order``, which must end in a unique key, over range partitions: running values without a task that sees all rows.
 
     The rows are range-partitioned on the order and written, as the bounds come from a sample and may differ
-    when computed anew; each partition numbers its own rows and adds the rows of those before it, of
-    which there is one count a partition.
+    when computed anew. A running value is made within each partition, and what the partitions before it come to is added: one
+    row a partition, which is broadcast.
     """
-    keys = sort_keys(order)
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ordered")
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    own = Window.partitionBy("_part").orderBy(*keys)
-    # one row a partition
-    out = dealt.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(counts), "_part")
-    return out.withColumn(name, F.col("_ahead") + F.col("_rank") + F.lit(start - 1)).drop("_part", "_rank", "_ahead")
+
+    def __init__(self, df: DataFrame, order: Sequence[str | Column], *, parts: int | None = None) -> None:
+        self.keys = sort_keys(order)
+        n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.df = stored(df.repartitionByRange(n, *self.keys).withColumn("_part", F.spark_partition_id()), "ordered")
+
+    def _with_carry(self, of_part: Column, over_parts: Column) -> DataFrame:
+        """The rows with ``_carry``: ``over_parts`` of the values ``_of`` that the partitions before have."""
+        per = self.df.groupBy("_part").agg(of_part.alias("_of")).select("_part", over_parts.over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+        return self.df.join(F.broadcast(per), "_part")
+
+    def index(self, name: str, start: int = 0) -> Ordered:
+        """Adds ``start``, ``start`` + 1, ..."""
+        own = F.row_number().over(Window.partitionBy("_part").orderBy(*self.keys))
+        x = self._with_carry(F.count(F.lit(1)), F.sum("_of"))
+        self.df = x.withColumn(name, F.coalesce("_carry", F.lit(0)) + own + F.lit(start - 1)).drop("_carry")
+        return self
+
+    def running(self, name: str, value: Column, how: str = "sum") -> Ordered:
+        """Adds the ``sum``, ``min``, ``max`` or ``last`` (known one) of ``value`` over the rows up to each; null while there is none."""
+        own = Window.partitionBy("_part").orderBy(*self.keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        if how == "last":
+            place = F.struct(*[F.row_number().over(Window.partitionBy("_part").orderBy(*self.keys)).alias("n")])
+            self.df = self.df.withColumn("_value", value).withColumn("_at", place)
+            x = self._with_carry(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))), F.last("_of", ignorenulls=True))
+            out = F.coalesce(F.last("_value", ignorenulls=True).over(own), F.col("_carry"))
+            self.df = x.withColumn(name, out).drop("_carry", "_value", "_at")
+            return self
+        fold, both = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "min": (F.min, F.least), "max": (F.max, F.greatest)}[how]
+        self.df = self.df.withColumn("_value", value)
+        x = self._with_carry(fold("_value"), fold("_of"))
+        self.df = x.withColumn(name, both(fold("_value").over(own), F.col("_carry"))).drop("_carry", "_value")
+        return self
+
+    def previous(self, name: str, value: Column) -> Ordered:
+        """Adds the ``value`` of the row before, in whatever partition it is; null for the first."""
+        by = Window.partitionBy("_part").orderBy(*self.keys)
+        self.df = self.df.withColumn("_value", F.struct(value.alias("v"))).withColumn("_at", F.row_number().over(by))
+        x = self._with_carry(F.max_by("_value", "_at"), F.last("_of"))
+        self.df = x.withColumn(name, F.coalesce(F.lag("_value").over(by), F.col("_carry"))["v"]).drop("_carry", "_value", "_at")
+        return self
+
+    def rows(self) -> DataFrame:
+        return self.df.drop("_part")
+
+
+def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_ordinal", *, start: int = 0, parts: int | None = None) -> DataFrame:
+    """Adds ``start``, ``start`` + 1, ... in ``order``, which must end in a unique key."""
+    return Ordered(df, order, parts=parts).index(name, start).rows()
 
 
 def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str, *, parts: int | None = None) -> DataFrame:

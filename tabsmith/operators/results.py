@@ -6,6 +6,7 @@ kinds reserve, publish, cancel, fail, rollback and delete. States and pointers a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.features import is_finite
-from tabsmith.operators.order import global_index
+from tabsmith.operators.order import Ordered, global_index
 
 RESULT_COLUMNS = ("request_id", "input_snapshot_id", "row_ordinal", "business_key", "scenario_id", "context_id", "mean", "q25", "q75")
 
@@ -131,31 +132,62 @@ def scenario_lineage(spark_df: DataFrame, scenario_id: str, baseline_id: str, pa
     return spark_df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(scenario_id).alias("scenario_id"), F.lit(baseline_id).alias("baseline_id"), F.lit(parent_id).alias("parent_id"), changes.alias("modifications"), "rows")
 
 
+def ordinal_mapping(baseline: DataFrame, scenario: DataFrame, *, key: str = "business_key", ordinal: str = "row_ordinal") -> DataFrame:
+    """``scenario_ordinal, baseline_ordinal, <key>`` of each row of a scenario. Keys may repeat: the k-th row of a key, by ordinal, stands for the k-th of it in the
+    baseline; rows that the baseline lacks have none. Ordinals must be their side's own."""
+    def turned(df: DataFrame, name: str) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy(key).orderBy(ordinal))
+        return df.select(key, F.col(ordinal).alias(name), turn.alias("_turn"))
+
+    b, s = turned(baseline, "baseline_ordinal").alias("b"), turned(scenario, "scenario_ordinal").alias("s")
+    equal = F.col(f"b.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("b._turn") == F.col("s._turn"))
+    return s.join(b, equal, "left").select("scenario_ordinal", "baseline_ordinal", f"s.{key}")
+
+
 def experiment_runs(runs: DataFrame) -> DataFrame:
-    """``experiment_id, request_id, input_snapshot_id`` → a row per experiment with its requests and snapshots."""
-    return runs.groupBy("experiment_id").agg(F.array_sort(F.collect_list("request_id")).alias("requests"), F.array_sort(F.collect_set("input_snapshot_id")).alias("snapshots"))
+    """``experiment_id, request_id, input_snapshot_id`` → a row for each request of an experiment, once, with its snapshot and ``n_snapshots``, how many
+    different ones the experiment used."""
+    once = runs.groupBy("experiment_id", "request_id").agg(F.min("input_snapshot_id").alias("input_snapshot_id"))
+    used = runs.groupBy("experiment_id").agg(F.countDistinct("input_snapshot_id").alias("n_snapshots"))
+    return once.join(used, "experiment_id")
+
+
+def experiment_snapshots(runs: DataFrame) -> DataFrame:
+    """``experiment_id, input_snapshot_id, requests``: the snapshots that each experiment used, with the requests that did."""
+    return runs.groupBy("experiment_id", "input_snapshot_id").agg(F.countDistinct("request_id").alias("requests"))
+
+
+def axis_missing(column: str) -> Column:
+    """Null, blank text, and numbers that are not finite."""
+    c = F.col(column)
+    text = F.trim(c.cast("string"))
+    return c.isNull() | (text == "") | F.coalesce(~is_finite(c.try_cast("double")) & text.rlike("(?i)^[+-]?(nan|inf(inity)?)$"), F.lit(False))
 
 
 def axis_kind(df: DataFrame, column: str) -> str:
     """number, time or text: the kind that all known values of the column have."""
-    c = F.col(column).cast("string")
+    c = F.when(~axis_missing(column), F.trim(F.col(column).cast("string")))
     row = df.agg(F.count(c).alias("n"), F.count(c.try_cast("double")).alias("number"), F.count(c.try_cast("timestamp")).alias("time")).first()
     return "number" if row["number"] == row["n"] else "time" if row["time"] == row["n"] else "text"
 
 
 def axis_order(df: DataFrame, column: str, ordinal: str = "row_ordinal", name: str = "position") -> DataFrame:
-    """Positions by a column's values, missing last, ties by row: numbers (also as text) by size, times by time."""
-    c = F.col(column).cast("string")
-    kind = axis_kind(df, column)
+    """Positions by a column's values, missing last (null, blank, not finite), ties by row: numbers (also as text) by size, times by time."""
+    kind, missing = axis_kind(df, column), axis_missing(column)
+    c = F.when(~missing, F.trim(F.col(column).cast("string")) if kind != "text" else F.col(column).cast("string"))
     key = c.try_cast("double") if kind == "number" else c.try_cast("timestamp") if kind == "time" else c
-    missing = c.isNull() if kind != "number" else c.isNull() | F.isnan(key)
     return global_index(df, [missing.asc(), key.asc_nulls_last(), F.col(ordinal).asc()], name)
 
 
-def scope_window(df: DataFrame, start: float, end: float, position: str = "position") -> DataFrame:
-    """Rows from start to end by position, both rounded, swapped if need be, and kept within the rows."""
-    n = df.agg(F.max(position).alias("n")).first()["n"]
-    lo, hi = (min(max(round(x), 0), n or 0) for x in sorted((start, end)))
+def scope_window(df: DataFrame, start: float | None = None, end: float | None = None, position: str = "position") -> DataFrame:
+    """Rows from start to end by position: both rounded, halves up, kept within the rows, and swapped if need be. What is not finite
+    or not given is the first or the last row."""
+    last = df.agg(F.max(position).alias("n")).first()["n"] or 0
+
+    def place(x: float | None, other: int) -> int:
+        return min(max(math.floor(x + 0.5), 0), last) if x is not None and math.isfinite(x) else other
+
+    lo, hi = sorted((place(start, 0), place(end, last)))
     return df.where(F.col(position).between(lo, hi))
 
 
@@ -172,3 +204,15 @@ def interval_available(df: DataFrame) -> DataFrame:
     """One row: whether every point has finite q25 and q75, and how many lack the truth."""
     both = is_finite(F.col("q25").cast("double")) & is_finite(F.col("q75").cast("double"))
     return df.agg(F.coalesce(F.bool_and(both), F.lit(False)).alias("available"), F.count_if(~is_finite(F.col("truth").cast("double"))).alias("gaps"))
+
+
+def series_segments(df: DataFrame, order: Sequence[str | Column], value: str = "truth") -> DataFrame:
+    """All rows with ``segment``, the number from 1 of the unbroken line that the point belongs to, null in a gap; ``gap``, the number of the gap, null on
+    a line; and ``interval``, whether every point of the series has finite q25 and q75. A value that is not finite is a gap."""
+    known = is_finite(F.col(value).cast("double"))
+    x = Ordered(df.withColumn("_known", known), order).previous("_before", F.col("_known"))
+    x.running("segment", (F.col("_known") & ~F.coalesce("_before", F.lit(False))).cast("long"))
+    x.running("gap", (~F.col("_known") & F.coalesce("_before", F.lit(True))).cast("long"))
+    out = x.rows().withColumns({"segment": F.when(F.col("_known"), F.col("segment")), "gap": F.when(~F.col("_known"), F.col("gap"))})
+    whole = interval_available(df).select(F.col("available").alias("interval"))  # one row
+    return out.drop("_known", "_before").crossJoin(F.broadcast(whole))

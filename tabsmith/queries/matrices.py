@@ -9,7 +9,7 @@ from tabsmith.operators import features as ft
 from tabsmith.operators import prep
 from tabsmith.operators.catalog import logical_digest
 from tabsmith.operators.order import global_index
-from tabsmith.operators.scorer import predict, register_scorer
+from tabsmith.operators.scorer import Ridge, Scorer, fit_context, predict, register_scorer
 from tabsmith.queries.core import register, table
 from tabsmith.queries.storage import PRICE, digest_sql
 from tabsmith.storage import fresh_path, stored
@@ -289,3 +289,21 @@ def l01(spark, d):
     register_scorer("size_of_first", lambda s, m: abs(m[:, s]), at)
     found = predict(x, state, name="size_of_first")
     return x.select(*KEY, "row_ordinal").join(found, "row_ordinal").select(*KEY, F.round(F.col("mean").cast("double"), 3).alias("size"))
+
+
+RIDGE = """WITH m AS (SELECT avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_extendedprice) AS my FROM lineitem),
+c AS (SELECT sum((l_quantity - mq) * (l_quantity - mq)) + 10 AS qq, sum((l_quantity - mq) * (l_discount - md)) AS qd, sum((l_discount - md) * (l_discount - md)) + 10 AS dd, sum((l_quantity - mq) * (l_extendedprice - my)) AS qy, sum((l_discount - md) * (l_extendedprice - my)) AS dy FROM lineitem, m),
+b AS (SELECT (qy * dd - dy * qd) / (qq * dd - qd * qd) AS bq, (dy * qq - qy * qd) / (qq * dd - qd * qd) AS bd FROM c)"""
+
+
+@register("l01_fit_ridge", RIDGE + " SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, reused, round(my + bq * (l_quantity - mq) + bd * (l_discount - md), 2) AS mean FROM lineitem, m, b, (VALUES (false), (true)) AS t(reused)")
+def l01_fit(spark, d):
+    """Ridge regression fitted by partial states over the partitions, stored by its id; scored with the fitted and with the stored context."""
+    x, path, names = table(spark, d, "lineitem"), fresh_path(spark, "contexts"), ["l_quantity", "l_discount"]
+    model, out = Ridge(10.0), None
+    identity = prep.context_id("ridge", "1", "lineitem", "TABLE lineitem", [], names, "l_extendedprice", {"penalty": 10})
+    for _ in range(2):
+        context, reused = fit_context(spark, path, identity, "ridge", model, x, names, "l_extendedprice")
+        part = Scorer(model.predict, context, kind=float).score(x, names, KEY).withColumn("reused", F.lit(reused))
+        out = part if out is None else out.union(part)
+    return out.select(*KEY, "reused", F.round("mean", 2).alias("mean"))

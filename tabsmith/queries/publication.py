@@ -197,21 +197,45 @@ def i16(spark, d):
     return out.withColumn("modifications", flat)
 
 
-@register("i17_experiment_runs", "SELECT event_type AS experiment_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT 'snap' || (user_id % 5))), ',') AS snapshots FROM events GROUP BY event_type")
+@register("i16_ordinal_mapping", """SELECT s.o AS scenario_ordinal, b.o AS baseline_ordinal, s.k AS business_key FROM
+(SELECT o_custkey AS k, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS t FROM orders WHERE o_orderkey % 7 <> 3) s
+LEFT JOIN (SELECT o_custkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS t FROM orders WHERE o_orderkey % 5 <> 1) b ON s.k = b.k AND s.t = b.t""")
+def i16_mapping(spark, d):
+    """Rows of a scenario in another order than its baseline's, by keys that repeat."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("business_key"))
+    base = global_index(o.where("o_orderkey % 5 <> 1"), ["o_orderkey"])
+    return results.ordinal_mapping(base, global_index(o.where("o_orderkey % 7 <> 3"), [F.col("o_orderkey").desc()]))
+
+
+RUNS = "(SELECT event_type AS experiment_id, 'r' || (event_id // 2) AS request_id, 'snap' || (user_id % 5) AS snapshot FROM events)"
+
+
+def of_experiments(spark, d):
+    """Requests of experiments, each reported twice or so."""
+    return table(spark, d, "events").select(F.col("event_type").alias("experiment_id"), F.concat(F.lit("r"), F.floor(F.col("event_id") / 2).cast("string")).alias("request_id"), F.concat(F.lit("snap"), (F.col("user_id") % 5).cast("string")).alias("input_snapshot_id"))
+
+
+@register("i17_experiment_runs", f"SELECT experiment_id, request_id, min(snapshot) AS input_snapshot_id, n_snapshots FROM {RUNS} JOIN (SELECT experiment_id, count(DISTINCT snapshot) AS n_snapshots FROM {RUNS} GROUP BY 1) USING (experiment_id) GROUP BY experiment_id, request_id, n_snapshots")
 def i17(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("experiment_id"), F.col("event_id").cast("string").alias("request_id"), F.concat(F.lit("snap"), (F.col("user_id") % 5).cast("string")).alias("input_snapshot_id"))
-    return results.experiment_runs(e).select("experiment_id", F.size("requests").cast("long").alias("n"), F.array_join("snapshots", ",").alias("snapshots"))
+    return results.experiment_runs(of_experiments(spark, d))
+
+
+@register("i17_experiment_snapshots", f"SELECT experiment_id, snapshot AS input_snapshot_id, count(DISTINCT request_id) AS requests FROM {RUNS} GROUP BY 1, 2")
+def i17_snapshots(spark, d):
+    return results.experiment_snapshots(of_experiments(spark, d))
 
 
-@register("i18_axis_order", "SELECT event_id, row_number() OVER (ORDER BY v IS NULL, v, event_id) - 1 AS position FROM (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events)")
+@register("i18_axis_order", "SELECT event_id, row_number() OVER (ORDER BY v IS NULL, v, event_id) - 1 AS position FROM (SELECT event_id, CASE WHEN event_type <> 'error' AND event_id % 11 > 1 THEN value END AS v FROM events)")
 def i18(spark, d):
-    x = table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value").cast("string")).alias("v"))
-    return results.axis_order(x, "v", "event_id").select("event_id", "position")
+    """Numbers as text, some of them null, blank or infinite."""
+    k = F.col("event_id") % 11
+    v = F.when(k == 0, "  ").when(k == 1, "Infinity").when(F.col("event_type") != "error", F.concat(F.lit(" "), F.col("value").cast("string")))
+    return results.axis_order(table(spark, d, "events").select("event_id", v.alias("v")), "v", "event_id").select("event_id", "position")
 
 
-@register("i19_scope_window", "SELECT row_ordinal, mean FROM (" + PREDICTED + ") WHERE row_ordinal BETWEEN 20 AND 301")
+@register("i19_scope_window", "SELECT row_ordinal, mean FROM (" + PREDICTED + ") WHERE row_ordinal BETWEEN 21 AND 301")
 def i19(spark, d):
-    return results.scope_window(predicted(spark, d), 300.7, 20.2, "row_ordinal").select("row_ordinal", "mean")
+    return results.scope_window(predicted(spark, d), 300.5, 20.5, "row_ordinal").select("row_ordinal", "mean")
 
 
 @register("i20_series_bounds", "SELECT min(o_orderdate) AS x_min, max(o_orderdate) AS x_max, round(lo - (hi - lo) * 0.12, 4) AS y_min, round(hi + (hi - lo) * 0.12, 4) AS y_max FROM (SELECT o_orderdate, min(least(mean, q25, q75, truth)) OVER () AS lo, max(greatest(mean, q25, q75, truth)) OVER () AS hi FROM (" + PREDICTED + ")) GROUP BY lo, hi")
@@ -224,6 +248,16 @@ def i21(spark, d):
     return results.interval_available(predicted(spark, d).withColumn("truth", F.when(F.col("business_key") % 9 != 0, F.col("truth"))))
 
 
+@register("i21_series_segments", """SELECT event_id, CASE WHEN known THEN sum(CASE WHEN known AND NOT before THEN 1 ELSE 0 END) OVER w END AS segment, CASE WHEN NOT known THEN sum(CASE WHEN NOT known AND before2 THEN 1 ELSE 0 END) OVER w END AS gap,
+bool_and(event_id % 1000 <> 999) OVER () AS interval FROM (SELECT *, coalesce(lag(known) OVER (ORDER BY event_id), false) AS before, coalesce(lag(known) OVER (ORDER BY event_id), true) AS before2 FROM (SELECT event_id, event_type <> 'error' AND event_id % 13 > 2 AS known FROM events)) WINDOW w AS (ORDER BY event_id)""")
+def i21_segments(spark, d):
+    """Lines and gaps of a series: some values are missing or not finite, and some points have no interval."""
+    e = F.col("event_id")
+    truth = F.when((F.col("event_type") == "error") | (e % 13 == 0), None).when(e % 13 < 3, float("nan")).otherwise(F.col("value"))
+    x = table(spark, d, "events").select("event_id", truth.alias("truth"), F.lit(0.0).alias("q25"), F.when(e % 1000 != 999, F.lit(1.0)).alias("q75"))
+    return results.series_segments(x, ["event_id"]).select("event_id", "segment", "gap", "interval")
+
+
 def changed(df):
     k = F.col("o_orderkey")
     return df.where(k % 100 != 3).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 50 == 0, 1.0).when(k % 50 == 1, 1e-8).otherwise(0.0)).withColumn("o_orderstatus", F.when(k % 70 == 0, "X").otherwise(F.col("o_orderstatus")))

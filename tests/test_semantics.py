@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tabsmith import storage
 from tabsmith.errors import WorkbenchError
 from tabsmith.functions import distributions as dist
-from tabsmith.operators import catalog, dataset, features, prep, recon, results, runs
-from tabsmith.operators.order import global_index, index_within
+from tabsmith.operators import catalog, dataset, features, prep, recon, results, runs, scorer
+from tabsmith.operators.order import Ordered, global_index, index_within
 from tabsmith.plans.readonly import check_readonly, preview, query
 from tabsmith.sources import readers, writers
 from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
@@ -673,3 +673,50 @@ def test_only_registered_views_are_read(spark, sql):
 def test_reading_statements_are_not_refused(spark, sql):
     spark.range(10).selectExpr("id", "id % 3 AS k", "array(id, 2) AS a", "named_struct('x', id) AS s", "cast(id AS string) AS t", "timestamp'2024-01-01' AS ts").createOrReplaceTempView("v")
     query(spark, sql).collect()
+
+
+def test_running_values_over_many_partitions(spark):
+    rng = random.Random(11)
+    rows = [(k, rng.choice([None, rng.randrange(100)]), rng.random() < 0.5) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, v long, b boolean").repartition(5)
+    x = Ordered(df, ["k"], parts=13).index("i").running("s", F.col("v")).running("lo", F.col("v"), "min").running("hi", F.col("v"), "max").running("known", F.col("v"), "last").previous("was", F.col("b"))
+    seen, want = [], []
+    for k, v, b in rows:
+        seen += [] if v is None else [v]
+        want.append((k, k, sum(seen) if seen else None, min(seen, default=None), max(seen, default=None), seen[-1] if seen else None, rows[k - 1][2] if k else None))
+    assert [tuple(r[c] for c in ("k", "i", "s", "lo", "hi", "known", "was")) for r in x.rows().orderBy("k").collect()] == want
+    assert Ordered(df.limit(0), ["k"]).running("s", F.col("v")).rows().count() == 0
+
+
+def test_axis_blanks_and_scope_halves(spark):
+    df = spark.createDataFrame([(0, "10"), (1, "9"), (2, ""), (3, None), (4, "Infinity"), (5, " 8 ")], "row_ordinal long, a string")
+    got = results.axis_order(df, "a").orderBy("position")
+    assert [r["row_ordinal"] for r in got.collect()] == [5, 1, 0, 2, 3, 4]
+    floats = spark.createDataFrame([(0, float("nan")), (1, 2.0), (2, float("inf")), (3, 1.0)], "row_ordinal long, a double")
+    assert [r["row_ordinal"] for r in results.axis_order(floats, "a").orderBy("position").collect()] == [3, 1, 0, 2]
+    of = lambda *a: [r["position"] for r in results.scope_window(got, *a).orderBy("position").collect()]
+    assert of(0.5, 2.5) == [1, 2, 3] and of(-0.5, 0.49) == [0] and of(None, float("nan")) == [0, 1, 2, 3, 4, 5] and of(99, 4) == [4, 5]
+
+
+def test_models_are_fitted_by_merged_states(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    y = x @ [1.0, -2.0, 0.5] + 4 + rng.normal(size=500) * 0.01
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)] + [(0.0, 0.0, 0.0, None)], "a double, b double, c double, t double")
+    model = scorer.Ridge(0.5)
+    whole = model.finish(model.add(model.start(3), x, y))
+    z = x - x.mean(0)
+    assert np.allclose(whole["slope"], np.linalg.solve(z.T @ z + 0.5 * np.eye(3), z.T @ (y - y.mean())))
+    for parts in (1, 7, 40):
+        got = scorer.fit_model(model, df.repartition(parts), ["a", "b", "c"], "t", fan=3)
+        assert np.allclose(got["slope"], whole["slope"]) and np.isclose(got["bias"], whole["bias"])
+    assert code(scorer.fit_model, model, df.limit(0), ["a", "b", "c"], "t") == "EMPTY_INPUT"
+
+
+def test_contexts_are_kept_by_id(spark, tmp_path):
+    df, path = spark.createDataFrame([(float(k), 2.0 * k) for k in range(10)], "a double, t double"), f"file://{tmp_path}/c"
+    first, reused = scorer.fit_context(spark, path, "one", "ridge", scorer.Ridge(), df, ["a"], "t")
+    again, reused_then = scorer.fit_context(spark, path, "one", "ridge", scorer.Ridge(), df.limit(0), ["a"], "t")
+    assert (reused, reused_then) == (False, True) and np.array_equal(first["slope"], again["slope"])
+    assert scorer.import_context(spark, path, "two", "ridge", ["a"]) is None
+    assert code(scorer.import_context, spark, path, "one", "forest", ["a"]) == code(scorer.import_context, spark, path, "one", "ridge", ["b"]) == "CONTEXT_INCOMPATIBLE"
