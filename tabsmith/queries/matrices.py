@@ -244,8 +244,8 @@ def h01(spark, d):
 
 @register("h02_rebin", f"SELECT vec_id, round(list_sum(p[1:16]), 8) AS a, round(list_sum(p[17:32]), 8) AS b, round(list_sum(p[33:64]), 8) AS c FROM ({P})")
 def h02(spark, d):
-    # a Python UDF can not take an expression with lambdas
-    out = stored(probs(spark, d), "probs").select("vec_id", dist.rebin(F.col("p"), BORDERS, [0.0, 16.0, 32.0, 64.0]).alias("r"))
+    # logits that were not softmaxed before: a Python UDF can not take an expression with lambdas
+    out = table(spark, d, "embeddings").select("vec_id", dist.rebin(F.col("embedding"), BORDERS, [0.0, 16.0, 32.0, 64.0], logits=True, temperature=0.5).alias("r"))
     return out.select("vec_id", *[F.round(F.get("r", F.lit(k)), 8).alias(n) for k, n in enumerate("abc")])
 
 
@@ -254,7 +254,24 @@ MEANS = [float(x) for x in dist.bucket_means(BORDERS)]
 
 @register("h03_decode_mean", f"SELECT vec_id, round(list_sum(list_transform(list_zip(p, [{', '.join(f'{m!r}' for m in MEANS)}]::DOUBLE[]), lambda z: z[1] * z[2])) * 2 + 10, 6) AS mean FROM ({P})")
 def h03(spark, d):
-    return probs(spark, d).select("vec_id", F.round(dist.decode_mean(F.col("p"), MEANS, 10.0, 2.0), 6).alias("mean"))
+    mean = dist.decode_mean(F.col("embedding"), MEANS, 10.0, 2.0, logits=True, temperature=0.5)
+    return table(spark, d, "embeddings").select("vec_id", mean.alias("mean")).select("vec_id", F.round("mean", 6).alias("mean"))
+
+
+#: Default borders of 64 bins: the mirrored control points at their places, as SQL.
+FIXED = ", ".join(f"({float(p)}, {v})" for p, v in [*dist.CONTROLS, *((5000 - p, -v) for p, v in dist.CONTROLS[-2::-1])])
+DEFAULTS = f"""cp AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM (VALUES {FIXED}) AS t(x, y)),
+bo AS (SELECT k, CASE WHEN k = 64 THEN 128 ELSE y + (y1 - y) * (k * 5000 / CAST(64 AS DOUBLE) - x) / (x1 - x) END AS b FROM range(65) r(k), cp WHERE k * 5000 / CAST(64 AS DOUBLE) >= x AND (k * 5000 / CAST(64 AS DOUBLE) < x1 OR x1 IS NULL)),
+bm AS (SELECT list(m ORDER BY k) AS ms FROM (SELECT k, CASE WHEN k = 0 THEN b1 - (b1 - b) * {dist.TAIL_MEAN!r} WHEN k = 63 THEN b + (b1 - b) * {dist.TAIL_MEAN!r} ELSE (b + b1) / 2 END AS m FROM (SELECT k, b, lead(b) OVER (ORDER BY k) AS b1 FROM bo) WHERE k < 64))"""
+
+
+@register("h03_default_borders", f"WITH {DEFAULTS} SELECT vec_id, CASE WHEN label <> 3 AND label <> 2 THEN round(list_sum(list_transform(list_zip(p, ms), lambda z: z[1] * z[2])) * 2 + 10, 6) END AS mean FROM ({P}) JOIN (SELECT vec_id AS v, label FROM embeddings) ON v = vec_id, bm")
+def h03_default(spark, d):
+    """Means over the default borders; some rows have no logits, or too few."""
+    means = dist.bucket_means(dist.default_borders(BINS))
+    x = table(spark, d, "embeddings").withColumn("e", F.when(F.col("label") == 2, F.slice("embedding", 1, 9)).when(F.col("label") != 3, F.col("embedding")))
+    out = x.select("vec_id", dist.decode_mean(F.col("e"), means, 10.0, 2.0, logits=True, temperature=0.5).alias("mean"))
+    return out.select("vec_id", F.round("mean", 6).alias("mean"))
 
 
 CDF = f"SELECT vec_id, k, p[k] AS m, list_sum(p[1:k]) AS c FROM (SELECT vec_id, p, unnest(range(1, 65)) AS k FROM ({P}))"
@@ -266,7 +283,7 @@ CDF = f"SELECT vec_id, k, p[k] AS m, list_sum(p[1:k]) AS c FROM (SELECT vec_id,
     FROM (SELECT * FROM ({CDF}) WHERE c >= 0.25 AND c - m < 0.25 OR c >= 0.75 AND c - m < 0.75) GROUP BY vec_id""",
 )
 def h04(spark, d):
-    out = stored(probs(spark, d), "probs").select("vec_id", dist.decode_quantiles(F.col("p"), BORDERS).alias("q"))
+    out = table(spark, d, "embeddings").select("vec_id", dist.decode_quantiles(F.col("embedding"), BORDERS, logits=True, temperature=0.5).alias("q"))
     return out.select("vec_id", F.round(F.get("q", F.lit(0)), 6).alias("q25"), F.round(F.get("q", F.lit(1)), 6).alias("q75"))
 
 

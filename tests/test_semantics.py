@@ -720,3 +720,24 @@ def test_contexts_are_kept_by_id(spark, tmp_path):
     assert (reused, reused_then) == (False, True) and np.array_equal(first["slope"], again["slope"])
     assert scorer.import_context(spark, path, "two", "ridge", ["a"]) is None
     assert code(scorer.import_context, spark, path, "one", "forest", ["a"]) == code(scorer.import_context, spark, path, "one", "ridge", ["b"]) == "CONTEXT_INCOMPATIBLE"
+
+
+def test_odd_distributions_give_null(spark):
+    inf = math.inf
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [1.0]), (4, []), (5, [-inf, -inf]), (6, [1.0, math.nan]), (7, [inf, 0.0]), (8, [0.0, -inf]), (9, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "k long, x array<double>").coalesce(1)
+    good = {r["k"] for r in df.where(dist.softmax(F.col("x")).isNotNull()).collect()}
+    assert good == {0, 3, 8, 9}  # of any length
+    for f in (dist.decode_mean(F.col("x"), [0.0, 1.0], logits=True), dist.decode_quantiles(F.col("x"), [0.0, 1.0, 2.0], logits=True), dist.rebin(F.col("x"), [0.0, 1.0, 2.0], [0.0, 2.0], logits=True)):
+        got = {r["k"]: r["v"] for r in df.select("k", f.alias("v")).collect()}
+        assert {k for k, v in got.items() if v is not None} == {0, 8, 9}
+    mean = {r["k"]: r["v"] for r in df.select("k", dist.decode_mean(F.col("x"), [0.0, 1.0], 10.0, 2.0, logits=True, temperature=2.0).alias("v")).collect()}
+    assert math.isclose(mean[0], 10 + 2 / (1 + math.exp(-0.5))) and mean[8] == 10
+    plain = {r["k"]: r["v"] for r in df.select("k", dist.decode_mean(F.col("x"), [1.0, 3.0]).alias("v")).collect()}
+    assert {k for k, v in plain.items() if v is not None} == {0, 9} and plain[0] == 7.0
+    assert df.limit(0).select(dist.decode_mean(F.col("x"), [0.0, 1.0])).collect() == []
+
+
+def test_default_borders():
+    b = dist.default_borders(5000)
+    assert (b[0], b[5], b[2500], b[4980], b[5000]) == (-128, -16.9, 0, 13, 128) and np.allclose(b, -b[::-1]) and (np.diff(b) > 0).all()
