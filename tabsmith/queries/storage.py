@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabsmith.operators import catalog, recon
 from tabsmith.queries.core import register, table
 from tabsmith.sources import readers, writers
-from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
+from tabsmith.sources.arrow_ipc import read_arrow_ipc, stream_arrow_ipc, write_arrow_ipc
 from tabsmith.storage import fresh_path, stored
 
 
@@ -60,6 +60,27 @@ def a04(spark, d):
     return read_arrow_ipc(spark, path)
 
 
+@register("a04_arrow_by_batch", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 500 AND 900 OR o_orderkey > 50000")
+def a04_batches(spark, d):
+    """Two columns and a range of keys of one file of many batches."""
+    path = fresh_path(spark, "arrow")
+    write_arrow_ipc(table(spark, d, "orders").coalesce(1).sortWithinPartitions("o_orderkey"), path, rows=256)
+    names = ["o_orderkey", "o_totalprice"]
+    x = read_arrow_ipc(spark, path, columns=names, where=[("o_orderkey", ">=", 500), ("o_orderkey", "<=", 900)])
+    return x.union(read_arrow_ipc(spark, path, columns=names, where=[("o_orderkey", ">", 50000)]))
+
+
+@register("a04_arrow_stream", "SELECT event_id, event_type, value FROM events")
+def a04_stream(spark, d):
+    """Files that arrive in two batches, as a stream."""
+    path, out, cp = (fresh_path(spark, n) for n in ("arrow", "arrow-out", "arrow-cp"))
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    for k in range(2):
+        write_arrow_ipc(e.where(F.col("event_id") % 2 == k).repartition(3), path)
+        stream_arrow_ipc(spark, path, e.schema).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(once=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 @register("a05_union_by_name", "SELECT c_custkey AS key, c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS name FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_name FROM supplier")
 def a05(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))

@@ -19,6 +19,7 @@ from tabsmith.operators import catalog, dataset, features, prep, recon, results,
 from tabsmith.operators.order import Ordered, global_index, index_within
 from tabsmith.plans.readonly import check_readonly, preview, query
 from tabsmith.sources import readers, writers
+from tabsmith.sources import arrow_ipc
 from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
 
 
@@ -741,3 +742,25 @@ def test_odd_distributions_give_null(spark):
 def test_default_borders():
     b = dist.default_borders(5000)
     assert (b[0], b[5], b[2500], b[4980], b[5000]) == (-128, -16.9, 0, 13, 128) and np.allclose(b, -b[::-1]) and (np.diff(b) > 0).all()
+
+
+def test_arrow_batches_columns_and_bounds(spark, tmp_path):
+    path = str(tmp_path / "x")
+    df = spark.range(5000).select("id", (F.col("id") * 0.5).alias("half"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"), F.when(F.col("id") < 4000, None).otherwise(1).alias("late"))
+    write_arrow_ipc(df.coalesce(1), path, rows=100)
+    file = arrow_ipc._infos(path)[0].path
+    x = read_arrow_ipc(spark, path)
+    assert x.rdd.getNumPartitions() == 7 and x.count() == 5000
+    assert read_arrow_ipc(spark, path, columns=["name"]).columns == ["name"]
+    of = lambda *f: [k for p in arrow_ipc._partitions(path, [file], f) for k in p.numbers]
+    assert of(("id", "=", 250)) == [2] and of(("half", ">", 2449.5)) == [49] and of(("half", ">", 2499.5)) == []
+    assert of(("name", "in", ("n00001", "n04999", "zz"))) == [0, 49] and of(("late", "known", None)) == list(range(40, 50))
+    assert of(("id", "<", 100), ("half", "<=", 10)) == [0] and of(("id", "=", "x")) == list(range(50)) and of(("id", "=", None)) == []
+    y = read_arrow_ipc(spark, path, where=[("id", ">", 4750), ("name", "<", "n04753")])
+    assert [r["id"] for r in y.collect()] == [4751, 4752] and y.rdd.getNumPartitions() == 1
+    assert read_arrow_ipc(spark, path, where=[("id", "<", 0)]).count() == 0
+    assert y.union(x.where("id < 3")).count() == 5
+    assert code(read_arrow_ipc, spark, path, where=[("id", "~", 1)]) == "INVALID_QUERY"
+    odd = spark.createDataFrame([(float("nan"), "x" * 100), (1.0, None)], "v double, t string")
+    write_arrow_ipc(odd.coalesce(1), str(tmp_path / "odd"))
+    assert read_arrow_ipc(spark, str(tmp_path / "odd"), where=[("v", ">", 5)]).count() == 1  # NaN is greater
