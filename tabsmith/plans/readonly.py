@@ -155,8 +155,3 @@ def preview(df: DataFrame, limit: int = 200) -> tuple[int, DataFrame]:
 
 def with_row_ordinal(df: DataFrame, order: Sequence[Any]) -> DataFrame:
     return global_index(df, order)
-
-
-def materialize(df: DataFrame, order: Sequence[Any]) -> DataFrame:
-    """Freezes a result with its ordinals: they are made from rows that have been written."""
-    return global_index(df, order)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions import distributions as dist
 from tabsmith.operators import features as ft
-from tabsmith.operators import prep
+from tabsmith.operators import inputs, prep
 from tabsmith.operators.catalog import logical_digest
 from tabsmith.operators.order import global_index
 from tabsmith.operators.scorer import Ridge, Scorer, fit_context, predict, register_scorer
@@ -71,11 +71,14 @@ def f07(spark, d):
     return a.union(p.predict.agg(F.lit(True), F.count(F.lit(1)), F.round(F.sum(F.col("l_discount").cast("double")), 2), F.count("truth")))
 
 
-@register("f08_materialize_training", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_ordinal, o_orderkey, CAST(CAST(o_custkey AS FLOAT) AS DOUBLE) AS x, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS y FROM orders WHERE o_orderstatus = 'F'")
+@register("f08_materialize_training", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_ordinal, o_orderkey, CAST(CAST(o_custkey AS FLOAT) AS DOUBLE) AS x, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS y, 'training' AS kind, '[\"F\"]' AS args, 'y' AS target FROM orders WHERE o_orderstatus = 'F'")
 def f08(spark, d):
+    """A training matrix as a snapshot, read back by its id beside what made it."""
     table(spark, d, "orders").createOrReplaceTempView("orders")
-    m = ft.materialize_matrix(spark, "SELECT o_orderkey, o_custkey AS x, o_totalprice AS y FROM orders WHERE o_orderstatus = ?", ["F"], ["x"], "y", ["o_orderkey"], ["o_orderkey"])
-    return m.select("row_ordinal", "o_orderkey", F.col("x").cast("double"), F.col("y").cast("double"))
+    root = fresh_path(spark, "inputs")
+    sid = inputs.materialize_input(spark, root, "SELECT o_orderkey, o_custkey AS x, o_totalprice AS y FROM orders WHERE o_orderstatus = ?", ["F"], ["x"], "y", ["o_orderkey"], ["o_orderkey"])
+    made = inputs.provenance(spark, root).where(F.col("snapshot_id") == sid).select("kind", "args", "target")
+    return inputs.input_rows(spark, root, sid).select("row_ordinal", "o_orderkey", F.col("x").cast("double"), F.col("y").cast("double")).crossJoin(F.broadcast(made))  # one row
 
 
 @register("g01_constant_stats", "SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, count(l_quantity) AS n, count(*) - count(l_quantity) AS nans, count(DISTINCT l_quantity) > 1 AS kept, false AS one_kept FROM lineitem")

@@ -10,7 +10,8 @@ from tabsmith.queries.core import register, table
 from tabsmith.queries.matrices import KEY, LINEAR, fitted
 from tabsmith.sources.writers import query_results, register_results
 from tabsmith.storage import fresh_path, stored
-from tabsmith.streaming.runs import PROVIDER, latest_per_stream, run_state, score_stream
+from tabsmith.streaming.runs import PROVIDER, run_state, score_stream
+from tabsmith.streaming.upsert import upserted, upserter
 
 PREDICTED = "SELECT o_orderkey AS business_key, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_ordinal, o_totalprice * 1.5 AS mean, o_totalprice AS q25, o_totalprice * 2 AS q75, o_totalprice + o_custkey AS truth, o_orderdate FROM orders"
 
@@ -274,16 +275,20 @@ def j02(spark, d):
     return recon.normalize_cells(table(spark, d, "events").select("event_id", "ts", "value"))
 
 
-@register("k01_latest_per_stream", "SELECT stream_id, max(generation) AS generation, arg_max(request_id, generation) AS request_id FROM (SELECT 's' || (user_id % 400) AS stream_id, event_id + 1 AS generation, 'r' || event_id AS request_id FROM events WHERE event_id % 13 <> 0 AND event_id % 70 <> 0) GROUP BY stream_id")
+@register("k01_latest_per_stream", """SELECT stream_id, generation, request_id FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY generation DESC, seq DESC) AS n FROM (
+SELECT 's' || (user_id % 400) AS stream_id, CASE WHEN event_id % 70 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 1 ELSE event_id + 1 END + x AS generation, event_id * 10 + CASE WHEN x > 0 THEN 9004 ELSE 0 END AS seq, 'r' || event_id AS request_id
+FROM events, (VALUES (0), (1200)) AS t(x) WHERE x = 0 OR event_id % 9 = 4)) WHERE n = 1""")
 def k01(spark, d):
-    """Over a stream of files, in update mode; the sink's last row of each stream is what a table would hold."""
-    path = fresh_path(spark, "latest-in")
-    run_events(spark, d).where("kind = 'reserve' and generation > 1").repartition(4).write.parquet(path)
-    src = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = fresh_path(spark, "latest-out")
-    q = latest_per_stream(src).writeStream.outputMode("update").option("checkpointLocation", fresh_path(spark, "latest-cp")).foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).groupBy("stream_id").agg(F.max_by(F.struct("generation", "request_id"), "batch").alias("l")).select("stream_id", "l.generation", "l.request_id")
+    """All reservations, over a stream of files that is stopped and started again; a batch that was committed comes a second time."""
+    path, out, cp = (fresh_path(spark, n) for n in ("latest-in", "latest-out", "latest-cp"))
+    x = run_events(spark, d).where("kind = 'reserve'").select("stream_id", "generation", "seq", "request_id")
+    sink = upserter(out, ["stream_id"], ["generation", "seq"], buckets=16)
+    for k in range(2):
+        x.where(F.col("seq") % 2 == k).repartition(3).write.mode("append").parquet(path)
+        src = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        src.writeStream.option("checkpointLocation", cp).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    sink(x.limit(100).withColumn("generation", F.lit(1 << 40)), 0)
+    return upserted(spark, out).select("stream_id", "generation", "request_id")
 
 
 @register("k02_run_state", STATES + " SELECT request_id, seq, status FROM states")

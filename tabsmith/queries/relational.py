@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.operators import dataset as ds
+from tabsmith.operators import inputs
 from tabsmith.operators.order import global_index
-from tabsmith.plans.readonly import materialize, preview, query, with_row_ordinal
+from tabsmith.plans.readonly import preview, query, with_row_ordinal
 from tabsmith.queries.core import register, table, views
+from tabsmith.storage import fresh_path
 
 
 def sql_query(name: str, text: str, tables: tuple[str, ...], args: list | None = None, oracle: str | None = None) -> None:
@@ -63,10 +65,14 @@ def c15(spark, d):
     return with_row_ordinal(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "row_ordinal")
 
 
-@register("c16_materialize", "SELECT o_custkey, n, row_number() OVER (ORDER BY o_custkey) - 1 AS row_ordinal FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
+@register("c16_materialize", "SELECT o_custkey, n, row_number() OVER (ORDER BY o_custkey) - 1 AS row_ordinal, 'snap-1' AS source_snapshot, 3 AS revision, 'SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey > ? GROUP BY o_custkey' AS sql FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey > 7 GROUP BY o_custkey)")
 def c16(spark, d):
+    """A query's rows frozen under an id, twice, beside its definition."""
     views(spark, d, "orders")
-    return materialize(query(spark, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey"), ["o_custkey"])
+    root, sql = fresh_path(spark, "frozen"), "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey > ? GROUP BY o_custkey"
+    sid, _ = [inputs.freeze_query(spark, root, sql, [7], order=["o_custkey"], source_snapshot="snap-1", revision=3) for _ in range(2)]
+    made = inputs.provenance(spark, root).where(F.col("snapshot_id") == sid).select("source_snapshot", "revision", "sql")
+    return inputs.input_rows(spark, root, sid).crossJoin(F.broadcast(made))  # one row
 
 
 DATASET = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority FROM orders"

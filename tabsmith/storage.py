@@ -43,3 +43,10 @@ def claim(spark: SparkSession, path: str) -> bool:
             return False
         raise e
     return True
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []

@@ -17,12 +17,6 @@ from tabsmith.operators.runs import CHANGES, Cells, Heap, Run, Stream, changes_o
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def latest_per_stream(events: DataFrame) -> DataFrame:
-    """``stream_id, generation, request_id``: the newest submission of each stream; batch or stream (update mode)."""
-    newest = F.max_by(F.struct("generation", "request_id"), "generation")
-    return events.groupBy("stream_id").agg(newest.alias("l")).select("stream_id", "l.generation", "l.request_id")
-
-
 def _reader(state: Any, made: Callable[..., Any]) -> Callable[[Any], Any]:
     def load(key: Any) -> Any:
         return made(key, state.getValue((key,))) if state.containsKey((key,)) else None

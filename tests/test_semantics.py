@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+import struct
+from collections import Counter
 from decimal import Decimal
 
 import numpy as np
@@ -15,11 +17,12 @@ from pyspark.sql import functions as F
 from tabsmith import storage
 from tabsmith.errors import WorkbenchError
 from tabsmith.functions import distributions as dist
-from tabsmith.operators import catalog, dataset, features, prep, recon, results, runs, scorer
+from tabsmith.operators import catalog, dataset, features, inputs, prep, recon, results, runs, scorer
 from tabsmith.operators.order import Ordered, global_index, index_within
 from tabsmith.plans.readonly import check_readonly, preview, query
 from tabsmith.sources import readers, writers
 from tabsmith.sources import arrow_ipc
+from tabsmith.streaming import upsert
 from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
 
 
@@ -764,3 +767,60 @@ def test_arrow_batches_columns_and_bounds(spark, tmp_path):
     odd = spark.createDataFrame([(float("nan"), "x" * 100), (1.0, None)], "v double, t string")
     write_arrow_ipc(odd.coalesce(1), str(tmp_path / "odd"))
     assert read_arrow_ipc(spark, str(tmp_path / "odd"), where=[("v", ">", 5)]).count() == 1  # NaN is greater
+
+
+def packed(values, salt):
+    """The fingerprint as its definition reads: little-endian floats and salt, SHA-256, the last eight bytes as a share of 2^64 - 1."""
+    rounded = [math.nan if math.isinf(v) or math.isnan(v) else np.float32(np.round(np.float64(np.float32(v)) / 1e-12) * 1e-12) for v in values]
+    body = b"".join(b"\x00\x00\xc0\x7f" if math.isnan(v) else struct.pack("<f", v) for v in rounded) + struct.pack("<q", salt)
+    return np.float32(int.from_bytes(hashlib.sha256(body).digest()[-8:], "big") / (2**64 - 1))
+
+
+def test_fingerprints_of_a_table_by_their_definition(spark):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 7).cast("double").alias("k"))
+    odd = spark.createDataFrame([(-1, float("nan"), 1.0), (-2, float("inf"), None), (-3, -0.0, 1e-30)], o.schema)
+    x = o.union(odd)
+    got = {r["o_orderkey"]: (r["o_totalprice"], r["k"], r["fp"]) for r in prep.row_fingerprint(x, ["o_totalprice", "k"], 30, "fp").collect()}
+    assert len(got) == x.count()
+    for price, k, fp in got.values():
+        assert np.float32(fp) == packed([price, math.nan if k is None else k], 30)
+    rows = prep.row_fingerprint_distinct(x, ["k"], 30, "o_orderkey", "fp").orderBy("o_orderkey").collect()
+    seen = Counter()
+    for r in rows:
+        key = "nan" if r["k"] is None else np.float32(r["k"])
+        assert np.float32(r["fp"]) == packed([math.nan if r["k"] is None else r["k"]], 30 + seen[key])
+        seen[key] += 1
+    assert max(seen.values()) > 100
+
+
+def test_frozen_inputs(spark, tmp_path):
+    root = f"file://{tmp_path}/f"
+    spark.range(5).createOrReplaceTempView("five")
+    freeze = lambda sql="SELECT id FROM five", **k: inputs.freeze_query(spark, root, sql, order=["id"], **({"source_snapshot": "s", "revision": 0} | k))
+    one = freeze()
+    assert freeze() == one == freeze("SELECT id FROM five WHERE id >= 0") and inputs.provenance(spark, root).count() == 2
+    assert [r["row_ordinal"] for r in inputs.input_rows(spark, root, one).orderBy("id").collect()] == [0, 1, 2, 3, 4]
+    assert code(freeze, source_snapshot=" ") == code(freeze, revision=-1) == code(freeze, revision=True) == code(freeze, "DROP TABLE x") == "INVALID_QUERY"
+    assert code(inputs.input_rows, spark, root, "none") == "SNAPSHOT_CORRUPT"
+    made = inputs.materialize_input(spark, root, "SELECT id, id * 2 AS x FROM five WHERE id > ?", [1], ["x"], None, ["id"], ["id"])
+    assert inputs.input_rows(spark, root, made).columns == ["id", "x", "row_ordinal"]
+    assert inputs.provenance(spark, root).where(F.col("snapshot_id") == made).first()["kind"] == "prediction"
+
+
+def test_upserts_are_fenced_by_batch(spark, tmp_path):
+    root, rng, want = f"file://{tmp_path}/u", random.Random(12), {}
+    batches = [[(f"k{rng.randrange(30)}", rng.randrange(1000), b * 100 + n) for n in range(20)] for b in range(4)]
+    make = lambda rows: spark.createDataFrame(rows, "k string, g long, v long")
+    assert upsert.upserted(spark, root) is None
+    for b, rows in enumerate(batches):
+        upsert.upsert_batch(make(rows), b, root, ["k"], ["g", "v"], buckets=5)
+        if b == 2:  # a run that broke off before the commit: the batch comes again
+            (tmp_path / "u" / "commits" / "2").unlink()
+            assert {r["k"]: r["v"] for r in upsert.upserted(spark, root).collect()} == want
+            upsert.upsert_batch(make(rows), b, root, ["k"], ["g", "v"], buckets=5)
+        upsert.upsert_batch(make([("k1", 10**6, -1)]), b, root, ["k"], ["g", "v"], buckets=5)  # committed: left out
+        best = {}
+        for k, g, v in [r for part in batches[: b + 1] for r in part]:
+            best[k] = max(best.get(k, (-1, -1)), (g, v))
+        want = {k: v for k, (_, v) in best.items()}
+        assert {r["k"]: r["v"] for r in upsert.upserted(spark, root).collect()} == want
