@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from tabsmith.errors import WorkbenchError
 from tabsmith.operators.catalog import check_source_name, raw_digest
 from tabsmith.operators.features import SAFE, is_inf
+from tabsmith.sources import json_records
 from tabsmith.sources.csv_records import records
+from tabsmith.storage import fresh_path
 
 CORRUPT = "__corrupt"
 #: What counts as a number and as an ISO-8601 time.
@@ -85,17 +87,25 @@ def read_csv(spark: SparkSession, path: str, *, infer: bool = True, types: dict[
 
 
 def read_json_rows(spark: SparkSession, path: str, where: str = "$", *, lines: bool = False, types: dict[str, str] | None = None) -> DataFrame:
-    """An array of flat objects at ``$`` or a dotted path of a JSON document, or JSON lines."""
-    df = spark.read.json(path, multiLine=not lines)
-    if where != "$":
-        if not re.fullmatch(r"\$(\.\w+)+", where):
-            raise WorkbenchError("INVALID_FORMAT", "the path is $ or dotted names", path=where)
-        parts, kind = where.split(".")[1:], df.schema
-        for p in parts:
-            kind = kind[p].dataType if isinstance(kind, T.StructType) and p in kind.names else None
-        if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
-            raise WorkbenchError("INVALID_FORMAT", "there is no array of objects at the path", path=where)
-        df = df.select(F.inline(F.col(".".join(f"`{p}`" for p in parts))))
+    """An array of flat objects at ``$`` or a dotted path of a JSON document, of any size (see ``json_records``); with ``lines``, of one document a line, or
+    lines that are objects."""
+    if where != "$" and not re.fullmatch(r"\$(\.\w+)+", where):
+        raise WorkbenchError("INVALID_FORMAT", "the path is $ or dotted names", path=where)
+    if not lines:
+        cut = fresh_path(spark, "json-rows")
+        json_records.records(spark, path, where).write.text(cut)
+        df = spark.read.json(cut)
+        if not df.columns and spark.read.text(cut).isEmpty():
+            raise WorkbenchError("EMPTY_INPUT", "the array is empty", path=path)
+    else:
+        df = spark.read.json(path)
+        if where != "$":
+            parts, kind = where.split(".")[1:], df.schema
+            for p in parts:
+                kind = kind[p].dataType if isinstance(kind, T.StructType) and p in kind.names else None
+            if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+                raise WorkbenchError("INVALID_FORMAT", "there is no array of objects at the path", path=where)
+            df = df.select(F.inline(F.col(".".join(f"`{p}`" for p in parts))))
     if "_corrupt_record" in df.columns or not df.columns:
         raise WorkbenchError("INVALID_FORMAT", "not JSON objects", path=path)
     reject_nested(df)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -21,7 +22,7 @@ from tabsmith.operators import catalog, dataset, features, inputs, prep, recon,
 from tabsmith.operators.order import Ordered, global_index, index_within
 from tabsmith.plans.readonly import check_readonly, preview, query
 from tabsmith.sources import readers, writers
-from tabsmith.sources import arrow_ipc
+from tabsmith.sources import arrow_ipc, json_records
 from tabsmith.streaming import upsert
 from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
 
@@ -116,7 +117,7 @@ def test_json_paths(spark, tmp_path):
     p = text(tmp_path / "d.json", '{"data": {"rows": [{"x": 1, "y": 2}, {"y": 3}]}}')
     assert [tuple(r) for r in readers.read_json_rows(spark, p, "$.data.rows").collect()] == [(1, 2), (None, 3)]
     assert code(readers.read_json_rows, spark, p, "$.data.none") == "INVALID_FORMAT"
-    assert code(readers.read_json_rows, spark, p) == "TYPE_LOSS"
+    assert code(readers.read_json_rows, spark, p) == "INVALID_FORMAT"
 
 
 def test_a_failed_import_keeps_the_old_table(spark):
@@ -824,3 +825,39 @@ def test_upserts_are_fenced_by_batch(spark, tmp_path):
             best[k] = max(best.get(k, (-1, -1)), (g, v))
         want = {k: v for k, (_, v) in best.items()}
         assert {r["k"]: r["v"] for r in upsert.upserted(spark, root).collect()} == want
+
+
+def test_json_documents_over_many_ranges(spark, tmp_path):
+    rng = random.Random(14)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        for trial, size in enumerate((50, 400, 100_000)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            folder, want = tmp_path / f"t{trial}", []
+            folder.mkdir()
+            for f in range(2):
+                word = lambda: "".join(rng.choice(["a", "é", '"', "\\", "}", "{", "]", "[", ":", ",", "\n", " "]) for _ in range(rng.choice([0, 2, 9, 60])))
+                rows = [{"id": k + 100 * f, "t": word(), 'k"{': word()} for k in range(25)]
+                doc = {"rows": [{"id": -1}], "meta": {"data": {"rows": [{"id": -2, "x": [{}]}]}, "t": word()}, "data": {"a": [{"rows": []}], "rows": rows, "z": {"rows": [{}]}}, "end": [word(), {"data": 1}]}
+                (folder / f"{f}.json").write_text(json.dumps(doc, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n"]), encoding="utf-8")
+                want += rows
+            got = readers.read_json_rows(spark, str(folder), "$.data.rows")
+            assert sorted((r["id"], r["t"], r['k"{']) for r in got.collect()) == sorted((r["id"], r["t"], r['k"{']) for r in want)
+            if size < 1000:
+                assert json_records.chunks(spark, str(folder)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+@pytest.mark.parametrize("doc,where,want", [
+    ('[{"a": 1}, {"a": 2}]', "$", None), ('[{"a": 1}, 2]', "$", "INVALID_FORMAT"), ('[{"a": 1}, [2]]', "$", "INVALID_FORMAT"), ('[{"a": 1}, "x"]', "$", "INVALID_FORMAT"), ('{"a": 1}', "$", "INVALID_FORMAT"), ('{"a": [{"b": 1}]}', "$.b", "INVALID_FORMAT"),
+    ('[{"a": 1}', "$", "INVALID_FORMAT"), ('[{"a": "x}]', "$", "INVALID_FORMAT"), ("[]", "$", "EMPTY_INPUT"), ('[{"a": {"b": 1}}]', "$", "TYPE_LOSS"), ('{"a": {"b": [{"c": 1}]}}', "$.a.b", None), ('{"a": [{"b": [{"c": 1}]}]}', "$.a.b", "INVALID_FORMAT"),
+])
+def test_json_arrays_and_refusals(spark, tmp_path, doc, where, want):
+    p = text(tmp_path / "d.json", doc)
+    if want:
+        assert code(readers.read_json_rows, spark, p, where) == want
+    else:
+        assert readers.read_json_rows(spark, p, where).count() == doc.count(": 1") - doc.count('": 1,') + doc.count(": 2")
