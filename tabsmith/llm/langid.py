@@ -29,13 +29,26 @@ from tabsmith.llm.common import table
 from tabsmith.llm.numtext import _KIND, _LOWER, Words, pieces
 
 BUCKETS, SEGMENT, RULED_OUT, FEW = 1 << 15, 128, -60.0, 16
-#: Script ranges by the first byte of a character's UTF-8 form: 0 none (digits, blanks), 1 Latin, 2 Greek,
-#: 3 Cyrillic and Armenian, 4 Hebrew and Arabic, 5 Indic and Thai, 6 other syllabic, 7 kana and Han, 8 Hangul, 9 rest.
-RANGES = [(0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD5, 3), (0xD6, 0xDF, 4), (0xE0, 0xE0, 5), (0xE1, 0xE1, 6), (0xE3, 0xE9, 7), (0xEA, 0xED, 8), (0xEE, 0xF4, 9)]
-SCRIPTS = 10
-_SCRIPT = np.zeros(256, np.uint8)
-for _a, _b, _s in RANGES:
-    _SCRIPT[_a : _b + 1] = _s
+#: Scripts by ranges of code points. Of a word's scripts the one that stands last in this list counts (kana before Han, as Japanese words mix them). What
+#: lies in no range is no letter.
+RANGES = (
+    ("Latin", 0x41, 0x5A), ("Latin", 0x61, 0x7A), ("Latin", 0xC0, 0x24F), ("Latin", 0x250, 0x2AF), ("Latin", 0x1E00, 0x1EFF), ("Latin", 0xFF21, 0xFF5A),
+    ("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x400, 0x52F), ("Cyrillic", 0x1C80, 0x1C8F), ("Armenian", 0x530, 0x58F), ("Hebrew", 0x591, 0x5F4), ("Hebrew", 0xFB1D, 0xFB4F),
+    ("Arabic", 0x600, 0x6FF), ("Arabic", 0x750, 0x77F), ("Arabic", 0x8A0, 0x8FF), ("Arabic", 0xFB50, 0xFDFF), ("Arabic", 0xFE70, 0xFEFC), ("Syriac", 0x700, 0x74F), ("Thaana", 0x780, 0x7BF),
+    ("Devanagari", 0x900, 0x97F), ("Bengali", 0x980, 0x9FF), ("Gurmukhi", 0xA00, 0xA7F), ("Gujarati", 0xA80, 0xAFF), ("Oriya", 0xB00, 0xB7F), ("Tamil", 0xB80, 0xBFF), ("Telugu", 0xC00, 0xC7F),
+    ("Kannada", 0xC80, 0xCFF), ("Malayalam", 0xD00, 0xD7F), ("Sinhala", 0xD80, 0xDFF), ("Thai", 0xE00, 0xE7F), ("Lao", 0xE80, 0xEFF), ("Tibetan", 0xF00, 0xFFF), ("Myanmar", 0x1000, 0x109F),
+    ("Georgian", 0x10A0, 0x10FF), ("Georgian", 0x1C90, 0x1CBF), ("Ethiopic", 0x1200, 0x139F), ("Cherokee", 0x13A0, 0x13FF), ("Khmer", 0x1780, 0x17FF), ("Mongolian", 0x1800, 0x18AF),
+    ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Han", 0xF900, 0xFAFF), ("Han", 0x20000, 0x323AF), ("kana", 0x3041, 0x30FF), ("kana", 0x31F0, 0x31FF), ("kana", 0xFF66, 0xFF9F),
+    ("Hangul", 0x1100, 0x11FF), ("Hangul", 0x3130, 0x318F), ("Hangul", 0xAC00, 0xD7AF), ("other", 0x1400, 0x177F), ("other", 0x1900, 0x1C7F), ("other", 0xA000, 0xABFF), ("other", 0x10000, 0x1CFFF),
+)
+NAMES = ("none", *dict.fromkeys(n for n, _, _ in RANGES))
+SCRIPTS = len(NAMES)
+_BY_START = sorted((a, b, NAMES.index(n)) for n, a, b in RANGES)
+#: From each of these code points on a script holds, up to the next.
+_EDGES = np.array([x for a, b, _ in _BY_START for x in (a, b + 1)])
+_HOLDS = np.array([x for _, _, s in _BY_START for x in (s, 0)], np.uint8)
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[0x41:0x5B] = _ASCII[0x61:0x7B] = NAMES.index("Latin")
 
 
 def triples(w: Words) -> np.ndarray:
@@ -47,13 +60,19 @@ def triples(w: Words) -> np.ndarray:
     return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)).astype(np.int64)
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of the UTF-8 characters of two bytes or more that begin at ``at``."""
+    first, more = data[at].astype(np.int64), [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    two, three = (first & 0x1F) << 6 | more[0], (first & 0xF) << 12 | more[0] << 6 | more[1]
+    return np.where(first < 0xE0, two, np.where(first < 0xF0, three, (first & 7) << 18 | more[0] << 12 | more[1] << 6 | more[2]))
+
+
 def scripts(w: Words) -> np.ndarray:
     """Each word's script, of several the one with the greatest number; none if it has no letter."""
-    s = _SCRIPT[w.data]
-    extended = np.flatnonzero(w.data[:-1] == 0xE1)  # U+1E00 to U+1EFF is Latin, U+1F00 to U+1FFF Greek
-    second = w.data[extended + 1]
-    s[extended[(second >= 0xB8) & (second <= 0xBB)]] = 1
-    s[extended[second >= 0xBC]] = 2
+    s = _ASCII[w.data]
+    leads = np.flatnonzero(w.data >= 0xC2)
+    place = np.searchsorted(_EDGES, code_points(w.data, leads), "right") - 1
+    s[leads] = np.where(place >= 0, _HOLDS[np.maximum(place, 0)], 0)
     return np.maximum.reduceat(s, w.start) if len(w.start) else np.zeros(0, np.uint8)
 
 
