@@ -6,7 +6,7 @@ window covers it. A document of one or two lines is one window of all its lines.
 
 Defined cases: a null text has no lines and keeps null; windows of blank lines only don't count; rows
 that share a doc_id are versions of one document, so windows at the same line of both are one
-occurrence; null ids come first; an empty table gives an empty result; other columns are ignored.
+occurrence; null ids come first; a text of any length is one row, whose lines and covered lines are arrays, and must fit a task's memory some ten times; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import materialize, same, table, text_key
+from tabsmith.llm.common import join_counted, materialize, same, table, text_key
 
 
 def drop_repeated_lines(docs: DataFrame, *, width: int = 3) -> DataFrame:
@@ -26,12 +26,13 @@ def drop_repeated_lines(docs: DataFrame, *, width: int = 3) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.size("_l") - width, F.lit(0)))
     rows = base.where("text is not null").withColumn("_l", lines).withColumn("pos", F.explode(starts))
     rows = rows.where(F.trim(F.concat_ws("", *at)) != "")
-    rows = rows.select("doc_id", "_v", "pos", F.xxhash64(*at).alias("h1"), F.xxhash64(F.lit(1), *at).alias("h2"))
+    rows = rows.select("doc_id", "_v", "pos", F.struct(F.xxhash64(*at).alias("h1"), F.xxhash64(F.lit(1), *at).alias("h2")).alias("key"))
     rows = materialize(rows, "line-windows")
 
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
-    first = first.where(~same(F.col("first"), F.col("last"))).drop("last")
-    later = rows.join(first, ["h1", "h2"]).where(~same(F.struct("doc_id", "pos"), F.col("first")))
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"), F.count(F.lit(1)).alias("_n"))
+    first = materialize(first.where(~same(F.col("first"), F.col("last"))).drop("last"), "line-repeated")
+    # a window that a great part of all texts have is joined by broadcast
+    later = join_counted(rows, first, "key", rows.count(), written=True).where(~same(F.struct("doc_id", "pos"), F.col("first")))
     drop = later.groupBy("doc_id", "_v").agg(F.collect_set("pos").alias("_starts"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (width - 1))))))
 

@@ -302,9 +302,25 @@ def test_many_languages_and_long_documents():
 
 
 def test_scripts_by_code_point():
-    texts = ["việt ẽ", "ἀρχή", "word 123", "слово", "ქართ", "漢字"]
+    texts = ["việt ẽ", "ἀρχή", "word 123", "слово", "ქართ", "漢字", "ひらがな", "漢字かな", "한국", "שלום", "سلام", "բարեւ", "สวัสดี", "नमस्ते", "ﬀ", "№", "😀", "Ａｂ", "ｶﾅ", "𠀀"]
     w = words(*column_bytes(pa.array(texts)))
-    assert langid.scripts(w).tolist() == [1, 1, 2, 1, 0, 3, 6, 7]
+    got = [langid.NAMES[k] for k in langid.scripts(w).tolist()]
+    assert got == "Latin Latin Greek Latin none Cyrillic Georgian Han kana kana Hangul Hebrew Arabic Armenian Thai Devanagari none none none Latin kana Han".split()
+    assert len({n for n, _, _ in langid.RANGES}) + 1 == langid.SCRIPTS and (np.diff(langid._EDGES) >= 0).all()
+
+
+@pytest.mark.parametrize("pair", [("שלום עולם טוב", "مرحبا بالعالم الجميل"), ("բարեւ աշխարհ", "שלום עולם"), ("สวัสดี ชาวโลก", "नमस्ते दुनिया"), ("これは ひらがな です", "这是 一个 汉字 句子"), ("привет мир", "γεια σου κόσμε")])
+def test_scripts_tell_languages_apart(spark, pair):
+    """Each language was learned from other letters of its script than those it is asked for."""
+    letters = [sorted({c for c in t if c != " "}) for t in pair]
+    rng, rows = random.Random(16), []
+    for k in range(40):
+        for lang, own in zip("ab", letters, strict=True):
+            half = own[: max(2, len(own) // 2)]
+            rows.append((len(rows), " ".join("".join(rng.choice(half) for _ in range(4)) for _ in range(30)), lang))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(n, " ".join("".join(own[len(own) // 2 :]) for _ in range(3))) for n, own in enumerate(letters)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.label(asked, model).collect()} == {0: "a", 1: "b"}
 
 
 def test_held_out_accuracy(documents):
@@ -339,6 +355,15 @@ def test_lines_by_hand(spark):
     assert got == {1: ([], "a\nb\nc\nd"), 2: ([1, 2, 3, 4], "x\ny"), 3: ([], "p\nq"), 4: ([0, 1], ""), 5: ([1, 2, 3, 4], "r")}
 
 
+def test_a_window_that_all_documents_have(spark):
+    """And a text of many lines."""
+    long = "\n".join(f"line {k}" for k in range(20_000))
+    rows = [(k, f"own {k}\nfoot a\nfoot b\nfoot c") for k in range(3000)] + [(5000, long), (5001, long + "\nmore")]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in linedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (4, 0, rows[0][1]) and all(got[k] == (4, 3, f"own {k}") for k in range(1, 3000))
+    assert got[5000][1] == 0 and got[5001] == (20_001, 20_000, "more")
+
+
 def test_lines_edges(odd, none):
     out = linedup.drop_repeated_lines(odd)
     assert ids(out) == ids(odd) and linedup.drop_repeated_lines(none).count() == 0
