@@ -855,5 +855,38 @@ def test_pipeline(spark, documents, odd, none):
     assert corpus_pipeline.run(spark, DATA).count() == counts[3]
 
 
-def test_registry_has_the_ten():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11)) and math.e
+def test_pipeline_row_by_row(spark, documents):
+    """The first two stages against plain decisions on each row; rows without an id among them."""
+    base = [tuple(r) for r in documents.collect()]
+    rows = base + [(None, f"{t[1][:400]} and so on {k}" if t[1] else None, *t[2:]) for k, t in enumerate(base[:50])] + [(None, "!!!", "en", "a", 3), (None, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = corpus_pipeline.known_language(spark, docs, DATA).collect()
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    assert collections.Counter(map(tuple, known)) == collections.Counter(t for t in rows if letters(t[1]))
+
+    some = [t for t in rows if t[1]]
+    bags = []
+    for t in some:
+        w = split(t[1])
+        bags.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(some)))
+
+    def find(a):
+        while group[a] != a:
+            a = group[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(some)), 2):
+        if bags[a] and bags[b] and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b]):
+            group[find(b)] = find(a)
+    kept = [some.index(tuple(r)) for r in corpus_pipeline.one_of_each(spark, spark.createDataFrame(some, SCHEMA), DATA).collect()]
+    assert collections.Counter(find(k) for k in kept if bags[k]) == collections.Counter({find(k): 1 for k in range(len(some)) if bags[k]})
+    least = {}
+    for k, t in enumerate(some):
+        if t[0] is not None and bags[k]:
+            least[find(k)] = min(least.get(find(k), t[0]), t[0])
+    assert all(some[k][0] == least[find(k)] for k in kept if bags[k] and some[k][0] is not None)
+
+
+def test_registry_has_the_thirteen():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 14)) and math.e
