@@ -249,7 +249,7 @@ def i21(spark, d):
     return results.interval_available(predicted(spark, d).withColumn("truth", F.when(F.col("business_key") % 9 != 0, F.col("truth"))))
 
 
-@register("i21_series_segments", """SELECT event_id, CASE WHEN known THEN sum(CASE WHEN known AND NOT before THEN 1 ELSE 0 END) OVER w END AS segment, CASE WHEN NOT known THEN sum(CASE WHEN NOT known AND before2 THEN 1 ELSE 0 END) OVER w END AS gap,
+@register("i21_series_segments", """SELECT event_id, CASE WHEN known THEN CAST(sum(CASE WHEN known AND NOT before THEN 1 ELSE 0 END) OVER w AS BIGINT) END AS segment, CASE WHEN NOT known THEN CAST(sum(CASE WHEN NOT known AND before2 THEN 1 ELSE 0 END) OVER w AS BIGINT) END AS gap,
 bool_and(event_id % 1000 <> 999) OVER () AS interval FROM (SELECT *, coalesce(lag(known) OVER (ORDER BY event_id), false) AS before, coalesce(lag(known) OVER (ORDER BY event_id), true) AS before2 FROM (SELECT event_id, event_type <> 'error' AND event_id % 13 > 2 AS known FROM events)) WINDOW w AS (ORDER BY event_id)""")
 def i21_segments(spark, d):
     """Lines and gaps of a series: some values are missing or not finite, and some points have no interval."""

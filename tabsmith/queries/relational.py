@@ -65,7 +65,7 @@ def c15(spark, d):
     return with_row_ordinal(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "row_ordinal")
 
 
-@register("c16_materialize", "SELECT o_custkey, n, row_number() OVER (ORDER BY o_custkey) - 1 AS row_ordinal, 'snap-1' AS source_snapshot, 3 AS revision, 'SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey > ? GROUP BY o_custkey' AS sql FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey > 7 GROUP BY o_custkey)")
+@register("c16_materialize", "SELECT o_custkey, n, row_number() OVER (ORDER BY o_custkey) - 1 AS row_ordinal, 'snap-1' AS source_snapshot, CAST(3 AS BIGINT) AS revision, 'SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey > ? GROUP BY o_custkey' AS sql FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey > 7 GROUP BY o_custkey)")
 def c16(spark, d):
     """A query's rows frozen under an id, twice, beside its definition."""
     views(spark, d, "orders")

