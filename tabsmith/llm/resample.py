@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import materialize, table
+from tabsmith.llm.common import discard, materialize, table
 from tabsmith.llm.numtext import _LOWER, byte_pieces, word_spans
 
 #: Distances in the table, and bytes of spans that are looked up at a time.
@@ -201,7 +201,8 @@ def resample(docs: DataFrame, target: DataFrame, *, longest: int = 2, buckets: i
     through the driver and to the tasks: a number a bucket."""
     corpus = {r["bucket"]: r["n"] for r in bucket_counts(docs, longest=longest, buckets=buckets).collect()}
     wanted = {r["bucket"]: r["n"] for r in bucket_counts(target, longest=longest, buckets=buckets).collect()}
-    weighed = weigh(docs, gains(corpus, wanted, buckets), longest=longest)
+    # written, as the range bounds below take a first reading of it
+    weighed = materialize(weigh(docs, gains(corpus, wanted, buckets), longest=longest), "resample-weights")
     scored = weighed.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
 
     keys = [F.col("_small"), F.col("score").desc(), F.col("doc_id").asc_nulls_first(), F.col("n_features"), F.col("n_words")]
@@ -209,6 +210,7 @@ def resample(docs: DataFrame, target: DataFrame, *, longest: int = 2, buckets: i
     dealt = scored.withColumn("_small", F.col("n_words") < least_words).repartitionByRange(parts, *keys)
     # written, as range bounds come from a sample and differ when a lost task is run again
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "resample-scores")
+    discard(weighed)
     per = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_small")).alias("_large"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     total = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
