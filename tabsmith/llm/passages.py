@@ -15,7 +15,8 @@ the ends of a document can a paragraph have less than five words; it is not comp
    paragraphs of a document are one passage; a passage counts from ``least_words`` words on. (Of
    a passage of fifty words inside other text about thirty stand in whole paragraphs.)
 4. A changed word spoils its paragraph, and the edges of a passage are in none. So runs below ``least_words``, and runs beside
-   another, are seeds: each is held with the words around it against the first and last occurrence of its classes, and grown
+   another, are seeds: each is held with the words around it against the first and last occurrence of its classes, and of its classes with that of
+   the repeated paragraph before or after (which two copies of a passage share beyond an edit), and grown
    word by word to both sides by a banded alignment (equal words count 1, others -2). A stretch of
    ``least_stretch`` words of which the share ``similar`` is equal in order is a passage too. The words are kept as
    16-bit marks from the second reading of the texts, so there is no third.
@@ -271,7 +272,15 @@ def _grown(words: DataFrame, rep: DataFrame, least_words: int, least_stretch: in
     documents' marks."""
     seed = rep.where((F.col("run_words") < least_words) | (F.col("beside") <= BESIDE))
     place = F.struct(*DOC, "first")
-    pairs = seed.select(*DOC, "first", "run", F.explode(F.array("lead", "last")).alias("to")).where(~same(place, F.col("to")))
+    pairs = seed.select(*DOC, "first", "run", F.explode(F.array("lead", "last")).alias("to"))
+    for beside in ("next", "prior"):
+        # of occurrences between the first and the last, those whose repeated paragraph beside is of one class too
+        two = rep.where(F.col(beside).isNotNull()).select(F.struct("lead", beside).alias("key"), place.alias("place"))
+        two = two.groupBy("key").agg(F.min("place").alias("_lead"), F.max("place").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        own = seed.where(F.col(beside).isNotNull()).select(*DOC, "first", "run", F.struct("lead", beside).alias("key"))
+        own = join_counted(own, two, "key", rep.count())
+        pairs = pairs.unionByName(own.select(*DOC, "first", "run", F.explode(F.array("_lead", "_last")).alias("to")))
+    pairs = pairs.where(~same(place, F.col("to")))
     # along one diagonal all seeds of a run grow alike
     shift = F.col("to.first") - F.col("first")
     pairs = pairs.groupBy(*DOC, "run", F.col("to.doc_id").alias("to_doc"), F.col("to.ver").alias("to_ver"), shift.alias("shift")).agg(F.min("first").alias("first"))
@@ -318,6 +327,8 @@ def _with_sizes(rep: DataFrame) -> DataFrame:
     ends = F.max(F.col("first") + F.col("words")).over(along.rowsBetween(Window.unboundedPreceding, 0))
     rep = rep.withColumn("ends", ends)
     to_next, own = F.lead("first").over(along) - F.col("ends"), Window.partitionBy(*DOC, "run")
+    ahead, back = F.lead("first").over(along) - F.col("first"), F.col("first") - F.lag("first").over(along)
+    rep = rep.withColumns({"next": F.when(ahead <= BESIDE, F.lead("lead").over(along)), "prior": F.when(back <= BESIDE, F.lag("lead").over(along))})
     rep = rep.withColumns({"after": F.when(to_next >= SIZE, to_next), "before": F.when(F.lag("run").over(along) != F.col("run"), F.lag("ends").over(along))})
     beside = F.least(F.max("after").over(own), F.min("first").over(own) - F.max("before").over(own))
     return rep.withColumns({"run_words": F.sum("words").over(own), "beside": beside}).drop("after", "before", "ends")

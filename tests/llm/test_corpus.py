@@ -643,6 +643,23 @@ def test_passages_with_an_inner_edit(spark):
         assert r["words"] <= r["end_word"] - r["first_word"] and r["removed_words"] == (r["words"] if i % 2 else 0)
 
 
+@pytest.mark.parametrize("n", [51, 60])
+def test_passages_with_an_edit_beside_pieces_in_other_documents(spark, n):
+    """The first and last documents by id hold pieces of all passages, so a seed's first and last occurrence are not its passage's other copy."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    around = lambda k: [word() for _ in range(k)]
+    passages_, rows = [[word() for _ in range(n)] for _ in range(60)], []
+    for i, p in enumerate(passages_):
+        q = p[: n // 2] + [word()] + p[n // 2 + 1 :]
+        rows += [(1000 + 2 * i + k, " ".join([*around(70), *w, *around(70)])) for k, w in enumerate((p, q))]
+    for doc in (1, 9999):  # pieces of twenty words, apart
+        rows.append((doc, " ".join(x for p in passages_ for piece in (p[2:22], p[-22:-2]) for x in [*around(60), *piece])))
+    found = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = sum(1000 + 2 * i in found and 1001 + 2 * i in found for i in range(60))
+    assert pairs >= 48, pairs
+
+
 def shared_runs(texts, size):
     """Documents that have ``size`` equal words in a row with another."""
     where = collections.defaultdict(set)
