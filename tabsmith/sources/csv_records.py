@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tabsmith.errors import WorkbenchError
 
 QUOTE, LF, CR = 34, 10, 13
+#: Bytes of text that are worked on at once, as some arrays of that size are made of them.
+PIECE = 1 << 20
 CUT = "value string, first boolean, file string, start long, opens boolean"
 
 
@@ -45,7 +47,7 @@ class _Range:
 
     def add(self, text: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """The whole records that end in ``text``, and the end of a record of the range before."""
-        parity = (np.cumsum(text == QUOTE) + self.parity) & 1
+        parity = (np.cumsum(text == QUOTE, dtype=np.uint8) + np.uint8(self.parity)) & 1
         ends = np.flatnonzero(((text == LF) | (text == CR)) & (parity == 0))
         raw = text.tobytes()
         if not len(ends):
@@ -61,6 +63,14 @@ class _Range:
         return [x for x in found if x.strip(b",")], end
 
 
+def _parts(data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The text of lines that end at ``ends``, with their line breaks, at most ``PIECE`` bytes and these at a time."""
+    for lo in range(0, max(len(data), 1), PIECE):
+        hi = lo + PIECE
+        mine = ends[np.searchsorted(ends, lo, "right" if lo else "left") : np.searchsorted(ends, hi, "right")]
+        yield np.insert(data[lo:hi], mine - lo, LF)
+
+
 def _cutter(inside: np.ndarray):
     def rows(values: list[bytes], first: bool, file: str | None = None, start: int | None = None, opens: bool | None = None) -> pa.RecordBatch:
         n = len(values)
@@ -92,12 +102,13 @@ def _cutter(inside: np.ndarray):
                 col = batch.column("value").slice(a, b - a).cast(pa.large_string())
                 off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
                 data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
-                found, tail = now.add(np.insert(data, off[1:] - off[0], LF))
-                if tail:
-                    yield rows(tail, False, *at, False)
-                if found:
-                    yield rows(found, now.first)
-                    now.first = False
+                for text in _parts(data, off[1:] - off[0]):
+                    found, tail = now.add(text)
+                    if tail:
+                        yield rows(tail, False, *at, False)
+                    if found:
+                        yield rows(found, now.first)
+                        now.first = False
         yield from end()
 
     return run

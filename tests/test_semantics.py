@@ -8,10 +8,12 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 from collections import Counter
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from tabsmith.operators import catalog, dataset, features, inputs, prep, recon,
 from tabsmith.operators.order import Ordered, global_index, index_within
 from tabsmith.plans.readonly import check_readonly, preview, query
 from tabsmith.sources import readers, writers
-from tabsmith.sources import arrow_ipc, json_records
+from tabsmith.sources import arrow_ipc, csv_records, json_records
 from tabsmith.streaming import upsert
 from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
 
@@ -861,3 +863,26 @@ def test_json_arrays_and_refusals(spark, tmp_path, doc, where, want):
         assert code(readers.read_json_rows, spark, p, where) == want
     else:
         assert readers.read_json_rows(spark, p, where).count() == doc.count(": 1") - doc.count('": 1,') + doc.count(": 2")
+
+
+def test_csv_text_is_cut_in_pieces(monkeypatch):
+    """A batch of long lines takes little memory beside its own, and its records are the same however small the pieces."""
+    lines = [f'{k},"{"x" * 4000}""{"y" * 4000}"' + ("," if k % 3 else ',"a') for k in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"value": lines, "file": ["f"] * 2000, "start": pa.array([0] * 2000, pa.int64()), "id": pa.array([1] * 2000, pa.int64())})
+    cut = lambda: [b.column("value").to_pylist() for b in csv_records._cutter(np.zeros(0, np.int64))(iter([batch]))]
+    tracemalloc.start()
+    want = hashlib.sha256()
+    for b in csv_records._cutter(np.zeros(0, np.int64))(iter([batch])):
+        want.update("\n".join(b.column("value").to_pylist()).encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * batch.nbytes
+    batch = batch.slice(0, 40)
+    whole = sum(cut(), [])
+    for size in (1, 7, 8000, 8011):
+        monkeypatch.setattr(csv_records, "PIECE", size)
+        assert sum(cut(), []) == whole
+    ends = np.array([0, 0, 3, 3, 7, 10])
+    for size in (1, 3, 4, 10, 11):
+        monkeypatch.setattr(csv_records, "PIECE", size)
+        assert b"".join(x.tobytes() for x in csv_records._parts(np.frombuffer(b"abcdefghij", np.uint8), ends)) == b"\n\nabc\n\ndefg\nhij\n"
