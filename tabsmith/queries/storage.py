@@ -77,9 +77,9 @@ def a04(spark, d):
 
 @register("a04_arrow_by_batch", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 500 AND 900 OR o_orderkey > 50000")
 def a04_batches(spark, d):
-    """Two columns and a range of keys of one file of many batches."""
+    """Two columns and a range of keys of files of many batches, each file with a range of the keys."""
     path = fresh_path(spark, "arrow")
-    write_arrow_ipc(table(spark, d, "orders").coalesce(1).sortWithinPartitions("o_orderkey"), path, rows=256)
+    write_arrow_ipc(table(spark, d, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), path, rows=256)
     names = ["o_orderkey", "o_totalprice"]
     x = read_arrow_ipc(spark, path, columns=names, where=[("o_orderkey", ">=", 500), ("o_orderkey", "<=", 900)])
     return x.union(read_arrow_ipc(spark, path, columns=names, where=[("o_orderkey", ">", 50000)]))

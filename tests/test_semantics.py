@@ -23,6 +23,8 @@ from tabsmith.functions import distributions as dist
 from tabsmith.operators import catalog, dataset, features, inputs, prep, recon, results, runs, scorer
 from tabsmith.operators.order import Ordered, global_index, index_within
 from tabsmith.plans.readonly import check_readonly, preview, query
+from tabsmith.queries import core
+from tabsmith.queries import storage as storage_queries
 from tabsmith.sources import readers, writers
 from tabsmith.sources import arrow_ipc, csv_records, json_records
 from tabsmith.streaming import upsert
@@ -886,3 +888,21 @@ def test_csv_text_is_cut_in_pieces(monkeypatch):
     for size in (1, 3, 4, 10, 11):
         monkeypatch.setattr(csv_records, "PIECE", size)
         assert b"".join(x.tobytes() for x in csv_records._parts(np.frombuffer(b"abcdefghij", np.uint8), ends)) == b"\n\nabc\n\ndefg\nhij\n"
+
+
+def _parallel(spark):
+    """Shuffles are not put together, however small they are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    return lambda: spark.conf.set(name, before)
+
+
+def test_no_task_sorts_all_rows_for_arrow_files(spark, monkeypatch):
+    found, back = [], _parallel(spark)
+    monkeypatch.setattr(storage_queries, "write_arrow_ipc", lambda df, path, **k: (found.append(df.rdd.getNumPartitions()), write_arrow_ipc(df, path, **k)))
+    try:
+        core.QUERIES["a04_arrow_by_batch"](spark, "/root/testdata/sf0.001")
+    finally:
+        back()
+    assert found[0] > 1
