@@ -49,14 +49,15 @@ def a02(spark, d):
 @register("a02_json_documents", "SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN 'a \"}],{[ ' || event_type || chr(10) ELSE event_type END AS event_type FROM events")
 def a02_documents(spark, d):
     """Two documents that hold all rows in one array each, below other arrays; some texts have brackets, quotes and line breaks."""
-    path, e = fresh_path(spark, "json"), table(spark, d, "events")
+    path, pieces, e = fresh_path(spark, "json"), fresh_path(spark, "json-pieces"), table(spark, d, "events")
     text = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('a "}],{[ '), "event_type", F.lit("\n"))).otherwise(F.col("event_type"))
     row = F.to_json(F.struct("event_id", "user_id", text.alias("event_type")))
     # a file's lines in order: what comes before the rows, the rows with commas, what comes after
     part = F.pmod("event_id", F.lit(2))
     rows = e.select(part.alias("doc"), F.col("event_id").alias("no"), F.concat(F.lit(" , "), row).alias("value"))
     ends = spark.range(2).select(F.col("id").alias("doc"), F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("no"), F.lit('{"meta": {"rows": [{"event_id": 0}], "n": [1, [2]]}, "data": {"other": [{"a": [3]}], "rows": [ {"event_id": -1}').alias("value")), F.struct(F.lit(1 << 60).alias("no"), F.lit('], "tail": "]}"}, "last": [[{"x": 1}]]}').alias("value")))).alias("e")).select("doc", "e.*")
-    rows.unionByName(ends).repartition(2, "doc").sortWithinPartitions("doc", "no").select("doc", "value").write.partitionBy("doc").option("lineSep", "\n").text(path)
+    rows.unionByName(ends).repartitionByRange("doc", "no").sortWithinPartitions("doc", "no").select("doc", "value").write.partitionBy("doc").option("lineSep", "\n").text(pieces)
+    writers.join_files(spark, {f"{pieces}/doc={k}": f"{path}/doc={k}/document.json" for k in range(2)})
     found = [readers.read_json_rows(spark, f"{path}/doc={k}", "$.data.rows") for k in range(2)]
     return found[0].unionByName(found[1]).where("event_id >= 0")
 

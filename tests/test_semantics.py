@@ -906,3 +906,25 @@ def test_no_task_sorts_all_rows_for_arrow_files(spark, monkeypatch):
     finally:
         back()
     assert found[0] > 1
+
+
+def test_no_task_sorts_a_json_document(spark, monkeypatch):
+    found, back, join = [], _parallel(spark), writers.join_files
+    monkeypatch.setattr(writers, "join_files", lambda s, folders: (found.extend(sum(n.startswith("part-") for n in storage.file_names(s, f)) for f in folders), join(s, folders)), raising=False)
+    try:
+        assert core.QUERIES["a02_json_documents"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        back()
+    assert len(found) == 2 and min(found) > 1
+
+
+def test_files_are_joined_in_the_order_of_their_names(spark, tmp_path):
+    for f, n in (("a", 12), ("b", 1)):
+        (tmp_path / f).mkdir()
+        for k in range(n):
+            (tmp_path / f / f"part-{k:05d}.txt").write_text(f"{f}{k}\n" * (k + 1))
+        (tmp_path / f / "_SUCCESS").write_text("x")
+    writers.join_files(spark, {f"file://{tmp_path}/{f}": f"file://{tmp_path}/out/{f}.txt" for f in "ab"})
+    for f, n in (("a", 12), ("b", 1)):
+        assert (tmp_path / "out" / f"{f}.txt").read_text() == "".join(f"{f}{k}\n" * (k + 1) for k in range(n))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.txt", "b.txt"]
