@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tabsmith.storage import stored
 
 
+#: Bits of a row's place in the numbers that ``monotonically_increasing_id`` gives.
+PLACE_BITS = 33
+
+
 def sort_keys(order: Sequence[str | Column]) -> list[Column]:
     """Names sort ascending with nulls last."""
     return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
@@ -18,15 +22,17 @@ def sort_keys(order: Sequence[str | Column]) -> list[Column]:
 class Ordered:
     """Rows in ``order``, which must end in a unique key, over range partitions: running values without a task that sees all rows.
 
-    The rows are range-partitioned on the order and written, as the bounds come from a sample and may differ
+    The rows are range-partitioned on the order, sorted and written with their place in the partition, as the bounds come from a sample and may differ
     when computed anew. A running value is made within each partition, and what the partitions before it come to is added: one
-    row a partition, which is broadcast.
+    row a partition, which is broadcast. A position takes no more than that: nothing is shuffled or sorted again.
     """
 
     def __init__(self, df: DataFrame, order: Sequence[str | Column], *, parts: int | None = None) -> None:
         self.keys = sort_keys(order)
         n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.df = stored(df.repartitionByRange(n, *self.keys).withColumn("_part", F.spark_partition_id()), "ordered")
+        # the number has the partition above bit 33, the row's place in it below
+        dealt = df.repartitionByRange(n, *self.keys).sortWithinPartitions(*self.keys).withColumn("_place", F.monotonically_increasing_id())
+        self.df = stored(dealt, "ordered").withColumn("_part", F.shiftright("_place", PLACE_BITS).cast("int"))
 
     def _with_carry(self, of_part: Column, over_parts: Column) -> DataFrame:
         """The rows with ``_carry``: ``over_parts`` of the values ``_of`` that the partitions before have."""
@@ -35,9 +41,9 @@ class Ordered:
 
     def index(self, name: str, start: int = 0) -> Ordered:
         """Adds ``start``, ``start`` + 1, ..."""
-        own = F.row_number().over(Window.partitionBy("_part").orderBy(*self.keys))
+        own = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
         x = self._with_carry(F.count(F.lit(1)), F.sum("_of"))
-        self.df = x.withColumn(name, F.coalesce("_carry", F.lit(0)) + own + F.lit(start - 1)).drop("_carry")
+        self.df = x.withColumn(name, F.coalesce("_carry", F.lit(0)) + own + F.lit(start)).drop("_carry")
         return self
 
     def running(self, name: str, value: Column, how: str = "sum") -> Ordered:
@@ -65,7 +71,7 @@ class Ordered:
         return self
 
     def rows(self) -> DataFrame:
-        return self.df.drop("_part")
+        return self.df.drop("_part", "_place")
 
 
 def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_ordinal", *, start: int = 0, parts: int | None = None) -> DataFrame:

@@ -928,3 +928,11 @@ def test_files_are_joined_in_the_order_of_their_names(spark, tmp_path):
     for f, n in (("a", 12), ("b", 1)):
         assert (tmp_path / "out" / f"{f}.txt").read_text() == "".join(f"{f}{k}\n" * (k + 1) for k in range(n))
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.txt", "b.txt"]
+
+
+def test_positions_take_no_second_shuffle_of_the_rows(spark):
+    x = global_index(spark.range(1000).select(F.hash("id").alias("k"), "id"), ["k", "id"], parts=7)
+    assert "row_number" not in x._jdf.queryExecution().executedPlan().toString()
+    rows = x.orderBy("row_ordinal").collect()
+    assert [r["row_ordinal"] for r in rows] == list(range(1000)) and x.columns == ["k", "id", "row_ordinal"]
+    assert [(r["k"], r["id"]) for r in rows] == sorted((r["k"], r["id"]) for r in rows)
