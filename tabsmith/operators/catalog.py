@@ -26,6 +26,8 @@ from tabsmith.storage import claim, stored
 SECRET = r"(?i)password|token|secret|authorization|credential"
 #: The folder of a snapshot's rows, and how many of them are named in a filter.
 SEGMENT, SEGMENTS = "__segment", 1000
+#: Folders of a snapshot, at most: in a longer one a folder has as many whole segments as it takes.
+FOLDERS = 1024
 REGISTRY = "snapshot_id string, source string, format string, raw_digest string, logical_digest string, rows long, path string, version int"
 
 
@@ -193,7 +195,8 @@ def check_source_name(name: str, taken: Sequence[str], *, replacing: bool = Fals
 def save_snapshot(df: DataFrame, root: str, source: str, source_format: str, order: Sequence[str | Column] | None = None, *, snapshot: str | None = None, block: int = 4096, segment: int = 1 << 20) -> str:
     """Writes an immutable snapshot and registers it as the source's next version. Equal content under the same id is
     a no-op, other content an error. It can be seen once its registry row is written, after the data and its digest tree. A version is
-    claimed by a file that only one writer can make. The rows are kept in folders of ``segment`` consecutive ones, so that a part can be read."""
+    claimed by a file that only one writer can make. The rows are kept in folders of ``segment`` consecutive ones, or of a multiple where that makes more than
+    ``FOLDERS``, so that a part can be read."""
     spark = df.sparkSession
     if df.isEmpty():
         raise WorkbenchError("EMPTY_INPUT", "the source has no rows", source=source)
@@ -208,12 +211,14 @@ def save_snapshot(df: DataFrame, root: str, source: str, source_format: str, ord
             raise WorkbenchError("SNAPSHOT_CORRUPT", "a snapshot of that id has other content", snapshot_id=sid)
         return sid
     path = f"{root}/data/snapshot_id={sid}"
+    rows = numbered.count()
+    segment *= -(-rows // (segment * FOLDERS))
     numbered.withColumn(SEGMENT, F.floor(F.col("__ordinal") / segment)).write.mode("overwrite").partitionBy(SEGMENT).parquet(path)
     tree.withColumns({"rows": F.lit(block), "segment": F.lit(segment)}).write.mode("overwrite").parquet(f"{root}/trees/snapshot_id={sid}")
     version = (known.where(F.col("source") == source).agg(F.max("version").alias("v")).first()["v"] or 0) + 1
     while not claim(spark, f"{root}/claims/{source}/{version}"):
         version += 1
-    row = [(sid, source, source_format, None, digest, spark.read.parquet(path).count(), path, version)]
+    row = [(sid, source, source_format, None, digest, rows, path, version)]
     spark.createDataFrame(row, REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
     return sid
 
@@ -244,8 +249,8 @@ def snapshot_blocks(spark: SparkSession, root: str, sid: str, blocks: DataFrame)
 def diff_snapshots(spark: SparkSession, root: str, a: str, b: str, *, tol: float = 1e-6) -> DataFrame:
     """``__ordinal, column, actual, expected`` of the cells in which two snapshots differ, by position. Their trees tell the blocks that differ, and only those are read."""
     trees = [snapshot_tree(spark, root, s) for s in (a, b)]
-    shapes = [t.select("rows", "segment").first() for t in trees]
-    if shapes[0] != shapes[1]:
+    sizes = [t.select("rows").first() for t in trees]
+    if sizes[0] != sizes[1]:
         raise WorkbenchError("SCHEMA_MISMATCH", "the snapshots have blocks of another size")
     blocks = stored(changed_blocks(*trees).select("block"), "differing")
     return diff_tables(*(snapshot_blocks(spark, root, s, blocks) for s in (a, b)), on="__ordinal", tol=tol)

@@ -936,3 +936,15 @@ def test_positions_take_no_second_shuffle_of_the_rows(spark):
     rows = x.orderBy("row_ordinal").collect()
     assert [r["row_ordinal"] for r in rows] == list(range(1000)) and x.columns == ["k", "id", "row_ordinal"]
     assert [(r["k"], r["id"]) for r in rows] == sorted((r["k"], r["id"]) for r in rows)
+
+
+def test_snapshots_have_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "FOLDERS", 7)
+    root, df = f"file://{tmp_path}/s", spark.range(4000).select("id", (F.col("id") * 3).alias("v"))
+    a = catalog.save_snapshot(df, root, "t", "parquet", ["id"], block=20, segment=100)
+    assert len([n for n in storage.file_names(spark, f"{root}/data/snapshot_id={a}") if n.startswith(catalog.SEGMENT)]) == 7
+    more = spark.range(5003).select("id", F.when(F.col("id").isin(17, 3999), -1).otherwise(F.col("id") * 3).alias("v"))
+    b = catalog.save_snapshot(more, root, "t", "parquet", ["id"], block=20, segment=100)
+    got = sorted((r["__ordinal"], r["column"]) for r in catalog.diff_snapshots(spark, root, b, a).collect())
+    assert got == [(17, "v"), (3999, "v"), *((k, "<row>") for k in range(4000, 5003))]
+    assert [r["rows"] for r in catalog.snapshots(spark, root).orderBy("version").collect()] == [4000, 5003]
