@@ -11,7 +11,7 @@ none. Generation 0 is a baseline in all but being superseded.
 
 A stream's state is its head and baseline, its known runs by request, and two heaps, of pending and published generations, so that an
 event touches the runs that it changes and a few cells of a heap, not the stream's history. The rules work over maps: dictionaries
-in a batch, keyed state in a stream.
+in a batch, pages of keyed state in a stream.
 
 A batch need not begin at the beginning: ``settled`` makes a table of states from changes, and ``advanced`` goes on from it over later
 events. A stream's events pass through one task in order, as each depends on all before it, but are not gathered; with states
@@ -20,23 +20,23 @@ stored now and then no step works on more than the events since, the live runs,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field, replace
-from typing import Any
+from dataclasses import dataclass, field
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.storage import stored
+from tabsmith.storage import fresh_path, stored
 
 CHANGES = "stream_id string, request_id string, generation long, baseline boolean, experiment boolean, seq long, status string, before string, at long"
 NAMES = [c.split()[0] for c in CHANGES.split(", ")]
 EVENT = ("request_id", "generation", "seq", "kind", "baseline", "experiment")
 
 
-@dataclass(frozen=True)
-class Run:
+class Run(NamedTuple):
     request: str
     generation: int
     baseline: bool
@@ -51,20 +51,93 @@ class Run:
 
 
 class Cells:
-    """A map that reads what it lacks by ``load`` and remembers what it changed; None stands for what is not there."""
+    """A map; None stands for what is not there."""
 
-    def __init__(self, load: Callable[[Any], Any] = lambda key: None) -> None:
-        self.load, self.have, self.changed = load, {}, set()
+    def __init__(self) -> None:
+        self.have: dict = {}
+
+    def get(self, key: Any) -> Any:
+        return self.have.get(key)
+
+    def put(self, key: Any, value: Any) -> None:
+        if value is None:
+            self.have.pop(key, None)
+        else:
+            self.have[key] = value
+
+
+class Pages(Cells):
+    """A map kept elsewhere in ``n`` pages of some 256 entries, of which ``load`` gives one by its number and ``made`` makes a value of what was
+    written. A page is read when an entry of it is asked for; ``written`` gives the pages that change, once all is put."""
+
+    SIZE = 256
+
+    def __init__(self, load: Callable[[int], dict], made: Callable[[Any], Any], n: int = 0) -> None:
+        super().__init__()
+        self.load, self.made, self.n, self.pages, self.changed = load, made, n, {}, set()
+
+    def page_of(self, key: Any) -> int:
+        return key // self.SIZE
+
+    def page(self, number: int) -> dict:
+        if number not in self.pages:
+            self.pages[number] = self.load(number) if number < self.n else {}
+        return self.pages[number]
 
     def get(self, key: Any) -> Any:
         if key not in self.have:
-            self.have[key] = self.load(key)
+            value = self.page(self.page_of(key)).get(key)
+            self.have[key] = None if value is None else self.made(value)
         return self.have[key]
 
     def put(self, key: Any, value: Any) -> None:
         self.have[key] = value
         self.changed.add(key)
 
+    def written(self) -> dict[int, dict]:
+        out = {}
+        for key in self.changed:
+            number = self.page_of(key)
+            out[number] = self.page(number)
+            if self.have[key] is None:
+                out[number].pop(key, None)
+            else:
+                out[number][key] = self.have[key]
+        self.changed = set()
+        return out
+
+
+class HashedPages(Pages):
+    """Pages of keys that are text, dealt by a hash. There is one more for every 256 entries, which takes its own from one other page, so that a
+    page stays small however many ``entries`` there are."""
+
+    def __init__(self, load: Callable[[int], dict], made: Callable[[Any], Any], n: int = 0, entries: int = 0) -> None:
+        super().__init__(load, made, n)
+        self.entries = entries
+
+    def page_of(self, key: str | None) -> int:
+        if self.n < 2:
+            return 0
+        whole = 1 << (self.n - 1).bit_length()
+        k = zlib.crc32((key or "").encode("utf-8", "surrogatepass")) % whole
+        return k if k < self.n else k - whole // 2
+
+    def written(self) -> dict[int, dict]:
+        self.entries += sum((self.have[key] is not None) - (key in self.page(self.page_of(key))) for key in self.changed)
+        out = {}
+        while self.entries > self.n * self.SIZE:
+            out |= self._one_more()
+        return out | super().written()
+
+    def _one_more(self) -> dict[int, dict]:
+        new = self.n
+        old, taken = new - (1 << new.bit_length() - 1) if new else 0, {}
+        rows = self.page(old)
+        self.n, self.pages[new] = new + 1, taken if new else rows
+        for key in [key for key in rows if self.page_of(key) != old]:
+            taken[key] = rows.pop(key)
+        return {old: rows, new: self.pages[new]}
+
 
 @dataclass
 class Heap:
@@ -119,14 +192,14 @@ class Stream:
         return run
 
     def _close(self, run: Run, status: str) -> Run:
-        run = replace(run, status=status)
+        run = run._replace(status=status)
         self.runs.put(run.request, None if status == "deleted" else run)
         return run
 
     def _reserve(self, run: Run) -> list[Run]:
         late = not run.experiment and not run.base and self.head is not None and run.generation <= self.head
         if late or self.runs.get(run.request):
-            return [replace(run, status="refused")]
+            return [run._replace(status="refused")]
         out = []
         if not run.experiment and (not run.base or self.head is None):
             self.head = run.generation
@@ -163,7 +236,7 @@ class Stream:
         if kind == "publish":
             if not run.experiment and not run.base and self.head is not None and self.head != run.generation:
                 return [self._close(run, "superseded")]
-            run = replace(run, status="published", before=self.base if run.base else None)
+            run = run._replace(status="published", before=self.base if run.base else None)
             self.base = request if run.base else self.base
             return [self.hold(run)]
         if kind == "cancel":
@@ -254,6 +327,16 @@ def advanced(state: DataFrame, events: DataFrame) -> DataFrame:
     return _replayed(held.unionByName(new))
 
 
+def in_steps(events: DataFrame, ends: Sequence[int]) -> list[DataFrame]:
+    """The events up to each seq of ``ends``, and those after the last. They are made and written once, and a step reads its own; those without a seq are in the first."""
+    path, step = fresh_path(events.sparkSession, "run-events"), F.lit(0)
+    for end in ends:
+        step = step + F.when(F.col("seq") > end, 1).otherwise(0)
+    events.withColumn("step", step).write.partitionBy("step").parquet(path)
+    rows = events.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema)}, step int").parquet(path)
+    return [rows.where(F.col("step") == k).drop("step") for k in range(len(ends) + 1)]
+
+
 def replayed_in_steps(events: DataFrame, ends: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Changes and last state of events that are worked on up to each seq of ``ends``, then to the last, with the states and changes of each step written: no task
     works on more events of a stream than a step has."""

@@ -297,8 +297,8 @@ def k02(spark, d):
     path, out = fresh_path(spark, "runs-in"), fresh_path(spark, "runs-out")
     events = run_events(spark, d)
     part = max(1, (events.agg(F.max("seq")).first()[0] or 0) // 10)
-    for k in range(10):  # files are read in the order of their times, and a stream has one file in each tenth
-        events.where(F.least(F.floor(F.col("seq") / part), F.lit(9)) == k).repartition(4, "stream_id").write.mode("append").parquet(path)
+    for tenth in runs.in_steps(events, [part * k - 1 for k in range(1, 10)]):  # files are read in the order of their times, and a stream has one file in each tenth
+        tenth.repartition(4, "stream_id").write.mode("append").parquet(path)
     src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
     before = spark.conf.get(PROVIDER[0])
     spark.conf.set(*PROVIDER)

@@ -13,6 +13,7 @@ from collections import Counter
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from tabsmith.queries import core
 from tabsmith.queries import storage as storage_queries
 from tabsmith.sources import readers, writers
 from tabsmith.sources import arrow_ipc, csv_records, json_records
+from tabsmith.streaming import runs as streaming_runs
 from tabsmith.streaming import upsert
 from tabsmith.sources.arrow_ipc import read_arrow_ipc, write_arrow_ipc
 
@@ -371,6 +373,82 @@ def test_heap():
     assert heap.size == len(have)
 
 
+class StandInState:
+    """A state variable by stream, which counts its calls."""
+
+    def __init__(self, handle):
+        self.handle, self.rows = handle, {}
+
+    def _call(self, key=()):
+        self.handle.calls += 1
+        return self.handle.stream, key
+
+    def get(self):
+        return self.rows.get(self._call())
+
+    def update(self, row):
+        self.rows[self._call()] = row
+
+    def getValue(self, key):
+        return self.rows.get(self._call(key))
+
+    def containsKey(self, key):
+        return self._call(key) in self.rows
+
+    def updateValue(self, key, row):
+        self.rows[self._call(key)] = row
+
+    def removeKey(self, key):
+        del self.rows[self._call(key)]
+
+
+class StandInHandle:
+    calls, stream = 0, None
+
+    def getValueState(self, *_):
+        return StandInState(self)
+
+    def getMapState(self, *_):
+        return StandInState(self)
+
+
+def test_stream_states_are_asked_for_by_pages():
+    """Batches of all sizes give the changes of one pass; the store is asked by pages, not by runs and cells."""
+    rng, handle, states = random.Random(10), StandInHandle(), streaming_runs.RunStates()
+    states.init(handle)
+    streams = {name: [(f"r{r}", *rest) for r, *rest in random_events(rng, 9000)] for name in ("a", "b")}
+    got, low = {"a": [], "b": []}, 0
+    for size in (1, 0, 2, 3000, 7, 4000, 1, 1989):
+        for name, rows in streams.items():
+            handle.stream, part = name, rows[low : low + size]
+            if part:
+                rng.shuffle(part)
+                frames = [pd.DataFrame(part[k : k + 1000], columns=["request_id", "generation", "seq", "kind", "baseline", "experiment"]) for k in range(0, size, 1000)]
+                got[name] += [tuple(None if pd.isna(v) else v for v in r) for f in states.handleInputRows((name,), iter(frames), None) for r in f.itertuples(index=False, name=None)]
+        low += size
+    for name, rows in streams.items():
+        stream = runs.Stream()
+        assert got[name] == [(name, r.request, r.generation, r.baseline, r.experiment, r.seq, r.status, r.before, e[2]) for e in rows for r in stream.step(*e)]
+    assert handle.calls < 0.05 * 18000
+
+
+def test_pages_stay_small_and_are_read_once():
+    rng, store, plain, n, entries = random.Random(11), {}, {}, 0, 0
+    for size in (0, 1, 5000, 30, 400, 3000, 1):
+        read = []
+        pages = runs.HashedPages(lambda k, read=read: read.append(k) or dict(store[k]), tuple, n, entries)
+        for _ in range(size):
+            key, value = rng.choice([None, "", "\ud800", *(f"r{k}" for k in range(60))]) if rng.random() < 0.1 else f"r{rng.randrange(9000)}", rng.choice([None, (1,), (2,)])
+            assert pages.get(key) == plain.get(key)
+            pages.put(key, value)
+            plain[key] = value
+        store.update((k, dict(page)) for k, page in pages.written().items() if k < pages.n)
+        n, entries = pages.n, pages.entries
+        assert {k: v for page in store.values() for k, v in page.items()} == {k: v for k, v in plain.items() if v is not None}
+        assert len(read) == len(set(read)) and set(store) == set(range(n)) and entries == sum(map(len, store.values()))
+    assert n > 10 and max(map(len, store.values())) < 4 * runs.Pages.SIZE
+
+
 def test_axis_and_scope(spark):
     df = spark.createDataFrame([(0, "3"), (1, "1"), (2, None), (3, "20")], "row_ordinal long, a string")
     got = results.axis_order(df, "a").orderBy("position").collect()
