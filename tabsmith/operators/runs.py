@@ -340,15 +340,12 @@ def in_steps(events: DataFrame, ends: Sequence[int]) -> list[DataFrame]:
 def replayed_in_steps(events: DataFrame, ends: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Changes and last state of events that are worked on up to each seq of ``ends``, then to the last, with the states and changes of each step written: no task
     works on more events of a stream than a step has."""
-    state, out, low = None, None, None
-    for high in [*sorted(ends), None]:
-        part = events
-        part = part if low is None else part.where(F.col("seq") > low)
-        part = part if high is None else part.where(F.col("seq") <= high)
+    state, out = None, None
+    for part in in_steps(events, ends):
         changes = stored(replayed(part) if state is None else advanced(state, part), "run-changes")
         state = stored(settled(changes, state), "run-states")
         made = changes.where("status <> 'head'")
-        out, low = made if out is None else out.unionByName(made), high
+        out = made if out is None else out.unionByName(made)
     return out, state
 
 

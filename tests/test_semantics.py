@@ -360,6 +360,25 @@ def test_states_from_any_cut_are_those_from_the_beginning(spark):
     assert sum(map(len, plain.values())) == whole.where("status <> 'head' and stream_id in ('s0','s1','s2','s3','s4','s5','s6')").count()
 
 
+def test_events_are_made_once_for_all_steps(spark):
+    """However many steps there are, and whatever the seq; events that have none come first, as in one pass."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    rows = [(f"r{r}", "s", g, q, k, b, x) for r, g, q, k, b, x in random_events(random.Random(12), 200)]
+    ev = spark.createDataFrame([*rows, ("first", "s", 0, None, "reserve", True, False)], "request_id string, stream_id string, generation long, seq long, kind string, baseline boolean, experiment boolean")
+    changes, state = runs.replayed_in_steps(ev.mapInPandas(count, ev.schema), [40, 40, 90, 500])
+    got, whole = sorted(map(repr, changes.collect())), runs.replayed(ev).cache()
+    assert made.value == 201
+    assert got == sorted(map(repr, whole.where("status <> 'head'").select(*changes.columns).collect()))
+    assert sorted(map(repr, state.select(*runs.NAMES).collect())) == sorted(map(repr, runs.settled(whole).select(*runs.NAMES).collect()))
+    assert [p.count() for p in runs.in_steps(ev.limit(0), [1])] == [0, 0] and [p.count() for p in runs.in_steps(ev, [])] == [201]
+
+
 def test_heap():
     rng, heap, have = random.Random(9), runs.Heap(), []
     for _ in range(3000):
