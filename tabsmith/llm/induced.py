@@ -179,6 +179,10 @@ def least_between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def flags(n: int, folder: str, memory: int) -> np.ndarray:
+    return np.zeros(n, bool) if n <= memory else np.asarray(np.memmap(os.path.join(folder, uuid.uuid4().hex), bool, "w+", shape=(n,)))
+
+
 def stars(text: np.ndarray, log: Log) -> None:
     """Positions of the stars: where a fall's last symbol runs on until a rise."""
     fell = -1  # the position after the last change, if that was a fall
@@ -315,10 +319,11 @@ def star_order(text: np.ndarray, n: int, folder: str, memory: int) -> Log:
         by = np.argsort(t, kind="stable")
         seeds.push(t[by], p[by], np.zeros(len(p), np.int16))
     down = Log(folder, kind, memory)
+    starred = flags(n, folder, memory)
+    starred[start] = True
 
     def keep(position: np.ndarray, _: np.ndarray) -> None:
-        at = np.searchsorted(start, position)
-        down.add(position[start[np.minimum(at, m - 1)] == position])
+        down.add(position[starred[position]])
 
     if m:
         induce(text, n, seeds, folder, memory, keep)
@@ -405,7 +410,7 @@ def suffix_order(text: np.ndarray, folder: str, memory: int) -> Log:
 def shared_starts(text: np.ndarray, least: int, folder: str, memory: int) -> np.ndarray:
     """For each place of ``text``, bytes with eight zero bytes beyond their end, whether ``least`` bytes from there also start anywhere else."""
     n = len(text) - 8
-    flag = np.zeros(n, bool) if n <= memory else np.asarray(np.memmap(os.path.join(folder, uuid.uuid4().hex), bool, "w+", shape=(n,)))
+    flag = flags(n, folder, memory)
     if not n:
         return flag
     order = star_order(text, n, folder, memory)

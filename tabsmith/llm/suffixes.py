@@ -5,7 +5,8 @@ equal anchors at the same place, so they meet in one shard if shards are dealt b
 
 1. Consecutive strings with one anchor are a fragment. The texts are read once for the fragments' anchors and content hashes; fragments whose
    anchor occurs nowhere else are dropped, which leaves little but what is repeated.
-2. Fragments with equal content are a class. One fragment a class is fetched from its text and goes to the shard of its anchor.
+2. Fragments with equal content are a class. Where each class of an anchor has copies, all their strings are repeated, and
+   nothing is left to sort. Of the other anchors one fragment a class is fetched from its text and goes to the shard of its anchor.
 3. A shard's suffixes are ordered, with common prefixes, by external induced sorting (see ``induced``): memory is bounded, whatever
    the shard's size. A start of ``least`` bytes is repeated if a neighbour in that order shares them, or if the class has copies.
 4. An anchor with more than ``wide_bytes`` of different fragments (the edges of a passage that has many contexts) would make one shard too
@@ -218,8 +219,14 @@ def repeated_spans(docs: DataFrame, *, least: int = 200, shard_bytes: int = 6 <<
     discard(found_in, per)
     classes = hit.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ver", "start")).alias("rep"))
     classes = materialize(classes.select(*KEY, "copies", "rep.doc_id", "rep.ver", "rep.start"), "suffix-classes")
-    by_anchor = classes.groupBy("a").agg(F.sum(F.col("n") + F.lit(least)).alias("size"), F.count(F.lit(1)).alias("_n"))
-    total, widest = by_anchor.agg(F.sum("size"), F.max("size")).first()
+    by_anchor = classes.groupBy("a").agg(F.sum(F.col("n") + F.lit(least)).alias("size"), F.count(F.lit(1)).alias("_n"), F.min("copies").alias("fewest"))
+    by_anchor = materialize(by_anchor, "suffix-by-anchor")
+    # a string's equals are in fragments of its anchor; where all of these have copies, each string is repeated
+    dealt = materialize(join_counted(classes, by_anchor.select("a", "_n", "fewest"), "a", classes.count(), written=True), "suffix-dealt")
+    discard(classes)
+    settled = dealt.where("fewest > 1").withColumns({"starts": F.array(F.lit(0)), "ends": F.array("n")}).select(*KEY, "copies", "starts", "ends")
+    classes, left = dealt.where("fewest = 1"), by_anchor.where("fewest = 1")
+    total, widest = left.agg(F.sum("size"), F.max("size")).first()
 
     own = classes.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("a", "c", "n", "copies", "start")).alias("parts"))
     d, o = docs.alias("d"), own.alias("o")
@@ -227,14 +234,14 @@ def repeated_spans(docs: DataFrame, *, least: int = 200, shard_bytes: int = 6 <<
     cut = materialize(cut, "suffix-fragments")
     narrow, found = cut, None
     if (widest or 0) > wide_bytes:
-        wide = materialize(by_anchor.where(F.col("size") > wide_bytes).select("a", "_n"), "suffix-wide")
+        wide = materialize(left.where(F.col("size") > wide_bytes).select("a", "_n"), "suffix-wide")
         found = _by_strings(join_counted(cut, wide, "a", classes.count(), written=True), least)
         narrow = cut.join(wide.select("a"), "a", "left_anti")
     shards = max(1, -(-(total or 0) // shard_bytes))
     sorted_ = narrow.repartition(int(shards), "a").mapInArrow(_repeated(least, memory), FOUND)
-    found = sorted_ if found is None else sorted_.unionByName(found)
+    found = settled.unionByName(sorted_ if found is None else sorted_.unionByName(found))
     found = materialize(found.withColumn("key", F.struct(*KEY)).select("key", F.col("copies").alias("_n"), "starts", "ends"), "suffix-found")
-    discard(cut, classes)
+    discard(cut, dealt, by_anchor)
 
     back = join_counted(hit, found.dropDuplicates(["key"]), "key", hit.count())
     runs = F.transform("starts", lambda s, i: F.struct((F.col("start") + s).alias("from"), (F.col("start") + F.get("ends", i) + F.lit(least - 1)).alias("to")))

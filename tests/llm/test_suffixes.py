@@ -86,3 +86,26 @@ def test_other_lengths(spark):
     rows = [(k, "".join(rng.choice("ab") for _ in range(rng.choice([10, 60, 200])))) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(suffixes.cut_repeated(docs, least=40)) == plain(rows, 40)
+
+
+def test_what_has_copies_only_is_not_sorted(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    written, write = {}, suffixes.materialize
+
+    def spy(df, label):
+        out = write(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", spy)
+    long = text(400)
+    rows = [(k, long) for k in range(3)] + [(10 + k, t) for t in (text(100), text(90)) for k in range(2)] + [(20 + k, text(100)) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(suffixes.cut_repeated(docs)) == plain(rows)
+    assert written["suffix-classes"] > 0 and written["suffix-fragments"] == 0
+    # where a copied passage also stands in one other text, its edges are sorted, and what lies inside is not
+    rows += [(30, f"{text(40)} {long[500:1500]} {text(40)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(suffixes.cut_repeated(docs)) == plain(rows)
+    assert 0 < written["suffix-fragments"] < written["suffix-classes"]
