@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import OFTEN, discard, join_counted, materialize, same, table
+from tabsmith.llm.common import discard, join_counted, materialize, same, table
 from tabsmith.llm.components import components
-from tabsmith.llm.near import candidate_links, compare, lowered, numbered, set_jaccard, set_keys
+from tabsmith.llm.near import _beside, candidate_links, compare, lowered, numbered, set_jaccard, set_keys, shared_keys  # noqa: F401
 from tabsmith.llm.numtext import MOST_ROWS, U64, Words, band_keys, list_array, minhash, mix64, pieces, seeds, shingles
 
 SIZE, SIMILAR, BANDS, ROWS, REACH = 5, 0.8, 3, 1, 5
@@ -100,25 +100,6 @@ def _keys(sown: np.ndarray):
     return run
 
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``no, key`` sorted by key those whose key another has. The last row of a batch waits for the next."""
-    key, no, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for batch in batches:
-        key, no = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in ((key, "key"), (no, "no")))
-        if not len(key):
-            continue
-        equal = key[1:] == key[:-1]
-        hit = np.zeros(len(key), bool)
-        hit[1:] = equal
-        hit[:-1] |= equal
-        hit[0] |= known
-        keep = np.flatnonzero(hit[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(no[keep]), pa.array(key[keep])], ["no", "key"])
-        key, no, known = key[-1:], no[-1:], bool(hit[-1])
-    if known:
-        yield pa.RecordBatch.from_arrays([pa.array(no), pa.array(key)], ["no", "key"])
-
-
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``no, key`` sorted by no → a row of keys for each no. The last of a batch waits for the next."""
 
@@ -311,15 +292,6 @@ def _numbered(rep: DataFrame) -> DataFrame:
     return rep.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def _often(keys: DataFrame, total: int, *, sample: int = 1 << 20, most: int = 1024) -> list[int]:
-    """Up to ``most`` keys that a great part of the documents have, from about ``sample`` of the ``total`` keys, those of documents
-    drawn by their number; they only go another way, and each occurs more than once."""
-    part = min(1.0, sample / max(total, 1))
-    drawn = keys.where(F.pmod(F.xxhash64(F.lit(3), F.col("no")), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    least = max(OFTEN * part, part * total / most, 2)
-    return [r["key"] for r in drawn.where(F.col("n") > least).orderBy(F.col("n").desc(), "key").limit(most).select("key").collect()]
-
-
 def _with_sizes(rep: DataFrame) -> DataFrame:
     """Rows once a place, with the words of their run and the words between it and the nearest run."""
     along = Window.partitionBy(*DOC).orderBy("first", "words")
@@ -339,12 +311,7 @@ def _repeated_items(low: DataFrame, sown: np.ndarray) -> DataFrame:
     keyed = low.mapInArrow(_keys(sown), "doc_id long, ver long, keys array<long>").withColumn("no", F.monotonically_increasing_id())
     keyed = materialize(keyed, "passage-keys")
     keys = keyed.select("no", F.explode("keys").alias("key"))
-    often = _often(keys, keyed.agg(F.sum(F.size("keys"))).first()[0] or 0)
-    # one shuffle of the others: equal keys stand side by side, and those beside another go on
-    rest = (keys.where(~F.col("key").isin(often)) if often else keys).repartition("key").sortWithinPartitions("key")
-    shared = rest.mapInArrow(_beside, "no long, key long")
-    if often:
-        shared = shared.union(keys.where(F.col("key").isin(often)))
+    shared = shared_keys(keys, keyed.agg(F.sum(F.size("keys"))).first()[0] or 0)
     wanted = shared.repartition("no").sortWithinPartitions("no").mapInArrow(_listed, "no long, keys array<long>")
     wanted = materialize(wanted.join(keyed.select("no", *DOC), "no").drop("no"), "passage-wanted")
     discard(keyed)

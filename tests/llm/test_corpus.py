@@ -483,6 +483,21 @@ def test_a_large_group_loses_no_link_to_its_leaders(spark):
     assert sum(got[i]["class_id"] == cls[i] for i in texts) >= 0.99 * len(texts)
 
 
+def test_keys_of_one_class_are_held_against_no_frequent_bucket(spark, monkeypatch):
+    handled, joined = [], near.join_counted
+
+    def spy(rows, *rest, **more):
+        handled.append(rows.count())
+        return joined(rows, *rest, **more)
+
+    monkeypatch.setattr(near, "join_counted", spy)
+    rows = [(i, [i], [1000 + 8 * i + k for k in range(7)] + [5 if i < 300 else 1007 + 8 * i]) for i in range(600)]
+    classes = near.materialize(spark.createDataFrame(rows, "no long, bits array<long>, bands array<long>"), "test-classes")
+    links = near.candidate_links(classes, "bits", lambda a, b: F.lit(1.0), link=0.4, done=0.8)
+    assert sorted((r["u"], r["v"]) for r in links.collect()) == [(i, 0) for i in range(1, 300)]
+    assert max(handled) <= 300
+
+
 def test_near_edges(odd, none):
     out = near.near_duplicates(odd)
     assert ids(out) == ids(odd) and near.near_duplicates(none).count() == 0
